@@ -2,8 +2,9 @@
 
 A pair of bytes that is adjacent in no vocabulary token can never be joined by a merge, so every such pair marks a
 certain cut. After the vocabulary's own pre-split, each piece is cut at those pairs, the fragments are encoded
-independently and their ids are concatenated: the result is that of encoding the whole. Fragments are short and
-repeat, so a bounded memo answers nearly all of them; long runs without a cut are merged by a heap in n log n.
+independently and their ids are concatenated: the result is that of encoding the whole. As fragments are short and
+independent, those of many texts are merged side by side, and a bounded memo answers words that were seen before; long
+runs without a cut are merged by a heap in n log n.
 
 Nulls and empty texts give no ids and decode to the empty text. Texts are encoded whole, whatever their length.
 The special token's string in a text is that token, as in the tokenizers library's default.
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import unicodedata
+from array import array
 from functools import lru_cache
 from itertools import pairwise
 
@@ -22,15 +25,21 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F
 
-#: White space as the vocabulary's pre-split knows it.
+#: White space as the vocabularies' pre-splits know it.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_WORD_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 #: A space beside other white space: only without one do the words between single spaces split independently.
 _RUN = regex.compile(rf" [{_SPACE}]|[{_SPACE}] ")
-#: Entries of each memo; it is emptied when full, which bounds a worker's memory.
-MEMO = 300_000
-#: Longer pieces are not remembered.
-MEMO_CHARS = 64
+#: Entries of a worker's memo; it is emptied when full, which bounds its memory.
+MEMO = 600_000
+#: Longer words are not remembered.
+MEMO_CHARS = 48
+#: Texts are encoded together until they have so many characters.
+PART_CHARS = 1_500_000
+#: Longer fragments are merged by a heap, one by one.
+LONG = 64
+_NEVER = 1 << 60
 
 
 def _byte_letters() -> dict[str, int]:
@@ -41,96 +50,199 @@ def _byte_letters() -> dict[str, int]:
 
 
 class ForcedBoundaryBPE:
+    """Encoder and decoder of a byte-level vocabulary file, with or without word ends."""
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        vocab, end = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
         letters = _byte_letters()
-        raw = lambda token: bytes(letters[c] for c in token)
-        self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
-        self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(spec["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        together = np.zeros((256, 256), bool)
-        for token in self.ids:
-            for a, b in pairwise(token):
-                together[a, b] = True
+        self.word_ends = bool(end)
+        self.first_ids = np.array([vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int64)
+        self.last_ids = np.array([vocab[c + end] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int64)
+        #: Rank of a pair of ids, and by rank the id of both together.
+        self.rank, joined = {}, []
+        for k, (x, y) in enumerate(spec["model"]["merges"]):
+            self.rank.setdefault(vocab[x] << 32 | vocab[y], k)
+            joined.append(vocab[x + y])
+        self.joined = np.array(joined, np.int64)
+        pairs = sorted(self.rank)
+        self.pairs, self.pair_rank = np.array([*pairs, _NEVER], np.int64), np.array([*(self.rank[x] for x in pairs), _NEVER], np.int64)
+        self.token_bytes = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
+        together = np.zeros(1 << 16, bool)
+        for token, i in vocab.items():
+            if end and token.endswith(end):
+                token, tail = token[: -len(end)], b" "
+            else:
+                tail = b""
+            raw = bytes(letters[c] for c in token)
+            self.token_bytes[i] = raw + tail
+            for x, y in pairwise(raw):
+                together[x << 8 | y] = True
+        for token, i in self.special.items():
+            self.token_bytes[i] = token.encode()
+        #: Whether the vocabulary has the two bytes side by side.
         self.together = together
-        size = 1 + max([*self.ids.values(), *self.special.values()])
-        self.token_bytes = [b""] * size
-        for token, i in [*self.ids.items(), *((t.encode(), i) for t, i in self.special.items())]:
-            self.token_bytes[i] = token
-        self.fragments: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        lengths = np.array([len(t) for t in self.token_bytes], np.int64)
-        self.flat, self.length = np.frombuffer(b"".join(self.token_bytes), np.uint8), lengths
-        self.first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-
-    def cuts(self, piece: bytes) -> list[bytes]:
-        """The fragments between the certain cuts of a piece."""
-        if len(piece) < 2:
-            return [piece] if piece else []
-        b = np.frombuffer(piece, np.uint8)
-        at = (np.flatnonzero(~self.together[b[:-1], b[1:]]) + 1).tolist()
-        return [piece[i:j] for i, j in pairwise([0, *at, len(piece)])]
-
-    def merge(self, fragment: bytes) -> bytes:
-        """Ids of one fragment, as little-endian 32-bit integers."""
-        n = len(fragment)
-        parts: list[bytes | None] = [fragment[i : i + 1] for i in range(n)]
+        self.memo: dict[str, bytes] = {}
+        self.length = np.array([len(t) for t in self.token_bytes], np.int64)
+        self.flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
+        self.first = np.concatenate(([0], np.cumsum(self.length)[:-1]))
+
+    def certain_cuts(self, flat: np.ndarray) -> np.ndarray:
+        """For each byte but the last, whether it and the next are side by side in no token."""
+        return ~self.together[flat[:-1].astype(np.int64) << 8 | flat[1:]]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.pair_rank[at], _NEVER)
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece of the pre-split. All fragments of all pieces are merged side by side: each round joins
+        every fragment's pair of least rank, leftmost on ties."""
+        raw = [p.encode("utf-8") for p in pieces]
+        size = np.array([len(r) for r in raw], np.int64)
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        if not len(flat):
+            return [b""] * len(pieces)
+        ends = np.cumsum(size)
+        ids = self.first_ids[flat]
+        last = ends[size > 0] - 1
+        ids[last] = self.last_ids[flat[last]]
+        cut = np.ones(len(flat), bool)  # after each byte
+        cut[:-1] = self.certain_cuts(flat)
+        cut[last] = True
+        starts = np.concatenate(([0], np.flatnonzero(cut)[:-1] + 1))
+        length = np.diff(np.concatenate((starts, [len(flat)])))
+        piece_of = np.searchsorted(ends, starts, side="right")
+        done_ids, done_fragment = [], []
+        names = np.arange(len(starts))
+        for k in np.flatnonzero(length > LONG):
+            got = self._merged_long(ids[starts[k] : starts[k] + length[k]].tolist())
+            done_ids.append(np.array(got, np.int64))
+            done_fragment.append(np.full(len(got), k))
+        fragment = np.repeat(names, length)
+        keep = (length <= LONG)[fragment]
+        ids, fragment, cut = ids[keep], fragment[keep], cut[keep]
+        names, length = names[length <= LONG], length[length <= LONG]
+        rank = np.full(len(ids), _NEVER, np.int64)
+        inner = np.flatnonzero(~cut)
+        rank[inner] = self._ranks(ids[inner], ids[inner + 1])
+        while len(names):
+            starts = np.cumsum(length) - length
+            least = np.minimum.reduceat(rank, starts)
+            open_ = least < _NEVER
+            if not open_.all():
+                live = np.repeat(open_, length)
+                done_ids.append(ids[~live])
+                done_fragment.append(fragment[~live])
+                ids, fragment, rank, names, length, least = ids[live], fragment[live], rank[live], names[open_], length[open_], least[open_]
+                if not len(names):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(least, length))
+            of = fragment[hit]
+            first = hit[np.concatenate(([True], of[1:] != of[:-1]))]
+            ids[first] = self.joined[least]
+            rank[first] = rank[first + 1]  # for now: whether something follows
+            keep = np.ones(len(ids), bool)
+            keep[first + 1] = False
+            ids, fragment, rank = ids[keep], fragment[keep], rank[keep]
+            length = length - 1
+            at = first - np.arange(len(first))
+            starts = np.cumsum(length) - length
+            before, after = at[at > starts] - 1, at[at < starts + length - 1]
+            rank[before] = self._ranks(ids[before], ids[before + 1])
+            rank[at] = _NEVER
+            rank[after] = self._ranks(ids[after], ids[after + 1])
+        ids, fragment = np.concatenate(done_ids), np.concatenate(done_fragment)
+        order = np.argsort(fragment, kind="stable")
+        counts = np.bincount(piece_of[fragment], minlength=len(pieces))
+        out = ids[order].astype(np.int32).tobytes()
+        at = (np.concatenate(([0], np.cumsum(counts))) * 4).tolist()
+        return [out[i:j] for i, j in pairwise(at)]
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same by a heap, in n log n."""
+        n, rank = len(ids), self.rank.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, p) for i, p in enumerate(pairwise(parts)) if (r := self.rank.get(p)) is not None]
+        heap = [(r, i, x, y) for i, (x, y) in enumerate(pairwise(ids)) if (r := rank(x << 32 | y)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            r, i, x, y = heapq.heappop(heap)
             j = after[i]
-            if j >= n or (parts[i], parts[j]) != pair:
+            if ids[i] != x or j >= n or ids[j] != y:
                 continue
-            parts[i], parts[j] = pair[0] + pair[1], None
+            ids[i], ids[j] = int(self.joined[r]), -1
             after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < n and (r := self.rank.get(p := (parts[left], parts[right]))) is not None:
-                    heapq.heappush(heap, (r, left, p))
-        return np.array([self.ids[p] for p in parts if p is not None], "<i4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        out = []
-        for fragment in self.cuts(piece.encode("utf-8")):
-            got = self.fragments.get(fragment)
-            if got is None:
-                got = self.merge(fragment)
-                if len(fragment) <= MEMO_CHARS:
-                    if len(self.fragments) >= MEMO:
-                        self.fragments.clear()
-                    self.fragments[fragment] = got
-            out.append(got)
-        return b"".join(out)
-
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            got = b"".join(map(self._piece, _PIECES.findall(word)))
-            if len(word) <= MEMO_CHARS:
-                if len(self.words) >= MEMO:
-                    self.words.clear()
-                self.words[word] = got
-        return got
-
-    def _plain(self, text: str) -> bytes:
-        if _RUN.search(text):
-            return b"".join(map(self._word, _PIECES.findall(text)))
+            if after[i] < n:
+                before[after[i]] = i
+            for p, q in ((before[i], i), (i, after[i])):
+                if p >= 0 and q < n and (r := rank(ids[p] << 32 | ids[q])) is not None:
+                    heapq.heappush(heap, (r, p, ids[p], ids[q]))
+        return [i for i in ids if i >= 0]
+
+    def _split(self, word: str) -> list[str]:
+        """The pre-split of a word, or of any run of text that splits independently."""
+        if self.word_ends:  # Python lower-cases a capital sigma by its place in the word, the vocabulary doesn't
+            if word.isascii():
+                word = word.lower()
+                return [word] if word.isalpha() else [word[:-1], word[-1]] if word[:-1].isalpha() and word[-1] in ".,;:!?" else _WORD_PIECES.findall(word)
+            return _WORD_PIECES.findall(unicodedata.normalize("NFC", word).replace("\u03a3", "\u03c3").lower())
+        body = word[1:] if word[:1] == " " else word
+        if body.isalpha():
+            return [word]
+        return [word[:-1], word[-1]] if body[:-1].isalpha() and body[-1] in ".,;:!?" else _PIECES.findall(word)
+
+    def _words(self, text: str) -> list[str]:
+        """Runs of a text that split and encode independently."""
+        if not self.word_ends and _RUN.search(text):
+            return _PIECES.findall(text)
         first, *rest = text.split(" ")
-        return self._word(first) + b"".join([self._word(" " + w) for w in rest])
+        return [first, *rest] if self.word_ends else [first, *[" " + w for w in rest]]
+
+    def _learn(self, words: set[str], known: dict[str, bytes]) -> None:
+        """Puts the ids of words into known and the memo."""
+        split = {w: self._split(w) for w in words}
+        pieces = list({p for own in split.values() for p in own})
+        ids = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
+        if len(self.memo) + len(split) > MEMO:
+            self.memo.clear()
+        for w, own in split.items():
+            known[w] = got = ids[own[0]] if len(own) == 1 else b"".join([ids[p] for p in own])
+            if len(w) <= MEMO_CHARS:
+                self.memo[w] = got
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts, as 32-bit integers of the machine's order."""
+        out: list[bytes] = []
+        part: list[list] = []  # of each text: lists of words, or ids of special tokens
+        size = 0
+        for k, text in enumerate(texts, 1):
+            pieces = self.split_special.split(text) if text and self.split_special else [text]
+            part.append([array("i", [self.special[p]]).tobytes() if i % 2 else self._words(p) for i, p in enumerate(pieces) if p])
+            size += len(text or "")
+            if size >= PART_CHARS or k == len(texts):
+                known: dict[str, bytes] = {}
+                missing = {w for own in part for ws in own if isinstance(ws, list) for w in ws} - self.memo.keys()
+                if missing:
+                    self._learn(missing, known)
+                for own in part:
+                    out.append(b"".join([ws if isinstance(ws, bytes) else self._joined_ids(ws, known) for ws in own]))
+                part, size = [], 0
+        return out
+
+    def _joined_ids(self, words: list[str], known: dict[str, bytes]) -> bytes:
+        memo = self.memo
+        try:
+            return b"".join([memo[w] if w in memo else known[w] for w in words])
+        except KeyError:  # the memo was emptied meanwhile
+            self._learn({w for w in words if w not in self.memo and w not in known}, known)
+            return b"".join([known[w] if w in known else self.memo[w] for w in words])
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if not self.split_special:
-            return self._plain(text)
-        parts = self.split_special.split(text)
-        return b"".join(np.array([self.special[p]], "<i4").tobytes() if k % 2 else self._plain(p) for k, p in enumerate(parts) if p)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -154,9 +266,9 @@ def encoder(path: str | None = None):
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         c = codec(path or public_tokenizers.path("byte_bpe_50k.json"))
-        got = [c.encode(t) for t in texts.to_pylist()]
+        got = c.encode_many(texts.to_pylist())
         ends = np.cumsum([0, *map(len, got)]) // 4
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<i4"), pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(got), np.int32), pa.int32()))
 
     return encode
 

@@ -1,12 +1,14 @@
 """The registered queries of this subpackage."""
 
-from leadmill.llm import bpe, decontaminate, quality, shards, urls
+from leadmill.llm import bpe, decontaminate, html, quality, shards, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_url_filters": urls.op2_url_filters,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_sharding": shards.op9_sharding,
+    "op10_html_extraction": html.op10_html_extraction,
 }
 ORACLE_SQL = {"op2_url_filters": urls.OP2_SQL, "op3_decontamination": decontaminate.OP3_SQL}
