@@ -30,6 +30,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids are broadcast up to this number (16 bytes each); beyond, joins shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def maybe_broadcast(ids: DataFrame) -> DataFrame:
+    """The frame of ids, with a broadcast hint where it was counted to be small."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value worked out once a row, however often body mentions it."""
     return F.element_at(F.transform(F.array(value), body), 1)

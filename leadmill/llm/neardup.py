@@ -28,14 +28,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from leadmill.llm.common import table, written
+from leadmill.llm.common import maybe_broadcast, table, written
 
 COLLECTIONS = 16
 ROWS = 3
 #: Pairs across components of so many members at most are listed bucket by bucket.
 SMALL = 24
-#: Candidate ids are broadcast up to this number (16 bytes each); beyond, texts are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 MEMO = 400_000
 _memo: dict[bytes, int] = {}
@@ -154,9 +152,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "
     stars = members.filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
     sizes = classes.select("id", "n")
     stars = written(_sized(stars, sizes, percent), "stars")
-    ids = members.select("id").distinct()
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    ids = written(members.select("id").distinct(), "ids")
+    texts = docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).join(maybe_broadcast(ids), "id", "left_semi")
     texts = written(texts, "texts")
     links = written(_confirmed(stars, texts, k, percent), "links")
     parts = components(links)

@@ -1,14 +1,20 @@
 """The registered queries of this subpackage."""
 
-from leadmill.llm import bpe, decontaminate, html, quality, shards, toxicity, urls
+import corpus_pipeline
+
+from leadmill.llm import bpe, decontaminate, html, lm, neardup, quality, shards, tokenfiles, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_url_filters": urls.op2_url_filters,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_token_files": tokenfiles.op4_token_files,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_minhash": neardup.op6_minhash,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_sharding": shards.op9_sharding,
     "op10_html_extraction": html.op10_html_extraction,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op2_url_filters": urls.OP2_SQL, "op3_decontamination": decontaminate.OP3_SQL}
