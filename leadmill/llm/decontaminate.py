@@ -45,8 +45,15 @@ def winnowed(hashes: Column) -> Column:
 
 
 def fingerprints(words: Column, short: list[int]) -> Column:
-    """Array of (hash, start, number of words): winnowed K-grams, and every run of each length in short."""
-    entry = lambda h, i, n: F.struct(h.alias("hash"), i.cast("int").alias("start"), F.lit(n).alias("n"))
+    """Array of (hash, start, n, lead, around): winnowed K-grams (n = 0) with the words that the guarantee reaches, lead
+    of them before the gram; and every run of each length n in short. Carrying these few words, not the whole list,
+    keeps a row for each hit small, however long the text."""
+
+    def entry(h: Column, i: Column, n: int) -> Column:
+        lead = F.least(i, F.lit(_REACH)) if n == 0 else F.lit(0)
+        around = F.slice(words, i - lead + 1, lead + K + _REACH if n == 0 else F.lit(n))
+        return F.struct(h.alias("hash"), i.cast("int").alias("start"), F.lit(n).alias("n"), lead.cast("int").alias("lead"), around.alias("around"))
+
     out = let(gram_hashes(words), lambda h: F.transform(winnowed(h), lambda i: entry(F.get(h, i), i, 0)))
     for n in short:
         out = F.concat(out, F.transform(indices(F.size(words) - (n - 1)), lambda i, n=n: entry(F.xxhash64(F.slice(words, i + 1, n), F.lit(n)), i, n)))
@@ -57,21 +64,20 @@ def item_index(items: DataFrame, item: str = "item_id", text: str = "text") -> t
     """Fingerprints of the items with the words around them, and the lengths below SPAN that occur."""
     items = items.select(F.col(item).cast("string").alias("_item"), words_of(F.col(text)).alias("_w")).filter(F.size("_w") > 0)
     short = sorted(r.n for r in items.select(F.size("_w").alias("n")).filter(F.col("n") < SPAN).distinct().collect())  # SPAN - 1 rows at most
-    long = items.filter(F.size("_w") >= SPAN).select("_item", "_w", F.explode(fingerprints(F.col("_w"), [])).alias("_f"))
-    start = F.col("_f.start")
-    long = long.select(F.col("_f.hash").alias("_hash"), F.lit(0).alias("_n"), F.least(start, F.lit(_REACH)).alias("_lead"), F.slice("_w", F.greatest(start - _REACH, F.lit(0)) + 1, F.least(start, F.lit(_REACH)) + K + _REACH).alias("_around"), "_item")
+    long = items.filter(F.size("_w") >= SPAN).select("_item", F.explode(fingerprints(F.col("_w"), [])).alias("f"))
+    long = long.select(F.col("f.hash").alias("_hash"), F.col("f.n").alias("_n"), F.col("f.lead").alias("_lead"), F.col("f.around").alias("_around"), "_item")
     small = items.filter(F.size("_w") < SPAN).select(F.xxhash64("_w", F.size("_w")).alias("_hash"), F.size("_w").alias("_n"), F.lit(0).alias("_lead"), F.col("_w").alias("_around"), "_item")
     return long.unionByName(small).groupBy("_hash", "_n", "_lead", "_around").agg(F.collect_set("_item").alias("_items")), short
 
 
-def _extended(words: Column, start: Column, n: Column, lead: Column, around: Column) -> Column:
+def _extended(f: Column, lead: Column, around: Column) -> Column:
     """(from, to) of the words that doc and item share at this hit; null if they are fewer than asked for."""
     some = lambda count, same: F.when(count > 0, F.size(F.filter(F.sequence(F.lit(1), count), same))).otherwise(0)
-    left = some(F.least(start, lead), lambda e: F.slice(words, start - e + 1, e) == F.slice(around, lead - e + 1, e))
-    right = some(F.least(F.size(words) - start - K, F.size(around) - lead - K), lambda e: F.slice(words, start + K + 1, e) == F.slice(around, lead + K + 1, e))
-    core = F.slice(words, start + 1, K) == F.slice(around, lead + 1, K)
-    long = F.when(core & (left + K + right >= SPAN), F.struct((start - left).alias("a"), (start + K + right).alias("b")))
-    return F.when(n > 0, F.when(F.slice(words, start + 1, n) == around, F.struct(start.alias("a"), (start + n).alias("b")))).otherwise(long)
+    left = some(F.least(f.lead, lead), lambda e: F.slice(f.around, f.lead - e + 1, e) == F.slice(around, lead - e + 1, e))
+    right = some(F.least(F.size(f.around) - f.lead, F.size(around) - lead) - K, lambda e: F.slice(f.around, f.lead + K + 1, e) == F.slice(around, lead + K + 1, e))
+    core = F.slice(f.around, f.lead + 1, K) == F.slice(around, lead + 1, K)
+    long = F.when(core & (left + K + right >= SPAN), F.struct((f.start - left).alias("a"), (f.start + K + right).alias("b")))
+    return F.when(f.n > 0, F.when(f.around == around, F.struct(f.start.alias("a"), (f.start + f.n).alias("b")))).otherwise(long)
 
 
 def _united(spans: Column) -> Column:
@@ -89,15 +95,13 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     index = F.broadcast(index) if small else index
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "item_ids", "n_items", "contaminated")]
     rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_words", words_of(F.col(text)))
-    rows = rows.withColumn("_prints", fingerprints(F.col("_words"), short))
+    rows = rows.withColumn("_prints", fingerprints(F.col("_words"), short)).withColumn("_n_words", F.size("_words").cast("long")).drop("_words")
     # one entry without a hash for each document, so that those without hits stay
-    none = F.struct(F.lit(None).cast("long").alias("hash"), F.lit(0).alias("start"), F.lit(0).alias("n"))
-    rows = rows.withColumn("_f", F.explode(F.concat("_prints", F.array(none)))).drop("_prints")
-    rows = rows.withColumns({"_hash": F.col("_f.hash"), "_n": F.col("_f.n"), "_start": F.col("_f.start")}).drop("_f")
-    rows = rows.join(index, ["_hash", "_n"], "left").filter("_hash is null or _items is not null")
-    span = F.when(F.col("_hash").isNotNull(), _extended(F.col("_words"), F.col("_start"), F.col("_n"), F.col("_lead"), F.col("_around")))
-    rows = rows.select("_row", *own, F.size("_words").cast("long").alias("n_words"), "_hash", "_items", span.alias("_span")).filter("_hash is null or _span is not null")
-    found = rows.groupBy("_row").agg(*[F.first(F.when(F.col("_hash").isNull(), F.col(c)), ignorenulls=True).alias(c) for c in own], F.max("n_words").alias("n_words"), F.collect_set("_span").alias("_spans"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("_items"))
+    rows = rows.select("_row", *own, "_n_words", F.explode(F.concat("_prints", F.array(F.lit(None).cast(rows.schema["_prints"].dataType.elementType)))).alias("_f"))
+    rows = rows.withColumns({"_hash": F.col("_f.hash"), "_n": F.col("_f.n")}).join(index, ["_hash", "_n"], "left").filter("_hash is null or _items is not null")
+    span = F.when(F.col("_hash").isNotNull(), _extended(F.col("_f"), F.col("_lead"), F.col("_around")))
+    rows = rows.select("_row", *own, "_n_words", "_hash", "_items", span.alias("_span")).filter("_hash is null or _span is not null")
+    found = rows.groupBy("_row").agg(*[F.first(F.when(F.col("_hash").isNull(), F.col(c)), ignorenulls=True).alias(c) for c in own], F.max("_n_words").alias("n_words"), F.collect_set("_span").alias("_spans"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("_items"))
     n_hit = _united(F.col("_spans")).cast("long")
     return found.select(*own, "n_words", n_hit.alias("n_hit"), F.array_sort("_items").alias("item_ids"), F.size("_items").cast("long").alias("n_items")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
