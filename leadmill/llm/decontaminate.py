@@ -55,9 +55,8 @@ def fingerprints(words: Column, short: list[int]) -> Column:
         return F.struct(h.alias("hash"), i.cast("int").alias("start"), F.lit(n).alias("n"), lead.cast("int").alias("lead"), around.alias("around"))
 
     out = let(gram_hashes(words), lambda h: F.transform(winnowed(h), lambda i: entry(F.get(h, i), i, 0)))
-    for n in short:
-        out = F.concat(out, F.transform(indices(F.size(words) - (n - 1)), lambda i, n=n: entry(F.xxhash64(F.slice(words, i + 1, n), F.lit(n)), i, n)))
-    return out
+    runs = lambda n: F.transform(indices(F.size(words) - (n - 1)), lambda i: entry(F.xxhash64(F.slice(words, i + 1, n), F.lit(n)), i, n))
+    return F.concat(out, *map(runs, short)) if short else out
 
 
 def item_index(items: DataFrame, item: str = "item_id", text: str = "text") -> tuple[DataFrame, list[int]]:
