@@ -1,34 +1,619 @@
-"""All registered queries of the lead engine with their DuckDB counterparts."""
+"""All registered queries of the lead engine with their DuckDB counterparts.
+
+Inputs that the tables don't hold as such (companies, keywords, search logs, stored pages) are derived from their rows
+by SQL that Spark and DuckDB read alike, so every query's work grows with the tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leadmill.functions import text as T, urls as U
+from leadmill.functions.names import is_valid_company, is_valid_company_labelled, normalize_names, sanitize_names
+from leadmill.operators import dedupe, keywords as K, maintain as D, match as J, pages as H, quality as Q, windows as W
+from leadmill.sources import readers as S
+from leadmill.streaming import alerts as R
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+AS_OF = "2024-01-20 12:00:00"
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a (spark, sf_dir) function under a name, with its DuckDB SQL where there is one."""
+def query(name: str, sql: str | None = None, **derived: str):
+    """Registers f(spark, sf_dir, *tables) under a name. derived: tables that the SQL of both engines is given, by name, in
+    the order of f's arguments; a plain table name stands for itself."""
 
     def put(f):
-        QUERIES[name] = f
+        def run(spark, sf_dir):
+            return f(spark, *[_table(spark, sf_dir, v) for v in derived.values()])
+
+        QUERIES[name] = run
         if sql:
-            ORACLE_SQL[name] = sql
+            own = ",\n".join(f"{k} AS ({'SELECT * FROM ' + v if v.isidentifier() else v.replace('{', '').replace('}', '')})" for k, v in derived.items() if k != v)
+            ORACLE_SQL[name] = (f"WITH {own}\n" if own else "") + sql
         return f
 
     return put
 
 
-def table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _table(spark, sf_dir: str, sql: str):
+    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    if sql.isidentifier():
+        return read(sql)
+    names = [p.split("}")[0] for p in sql.split("{")[1:]]
+    return spark.sql(sql, **{n: read(n) for n in names})
+
+
+# Derived tables, in SQL that both engines read alike.
+DIGITS = """CASE c_custkey % 9 WHEN 0 THEN '03' || lpad(CAST(c_custkey % 7919 AS STRING), 8, '3') WHEN 1 THEN '045' || lpad(CAST(c_custkey % 6700 AS STRING), 7, '2') WHEN 2 THEN '0120' || lpad(CAST(c_custkey % 990 AS STRING), 6, '4')
+ WHEN 3 THEN '090' || lpad(CAST(c_custkey % 9001 AS STRING), 8, '5') WHEN 4 THEN '050' || lpad(CAST(c_custkey % 880 AS STRING), 8, '6') WHEN 5 THEN '0476' || lpad(CAST(c_custkey % 770 AS STRING), 6, '1') WHEN 6 THEN '06' || lpad(CAST(c_custkey % 550 AS STRING), 8, '7')
+ WHEN 7 THEN '01111111' ELSE '0570000000' END"""
+NAME = "CASE c_custkey % 5 WHEN 0 THEN '株式会社' || c_name WHEN 1 THEN c_name || '株式会社' WHEN 2 THEN c_name || ' Inc.' WHEN 3 THEN '有限会社 ' || c_name ELSE c_name END"
+COMPANIES = f"""SELECT c_custkey AS id, {NAME} AS company_name, {DIGITS} AS phone, lower(c_mktsegment) || ' ' || CAST(c_nationkey AS STRING) AS keyword, CAST(c_nationkey AS STRING) AS area_name,
+ 'https://' || CASE WHEN c_custkey % 3 = 0 THEN 'www.' ELSE '' END || 'c' || CAST(c_custkey % 800 AS STRING) || '.example.co.jp/lp?x=' || CAST(c_custkey AS STRING) AS lp_url, 'c' || CAST(c_custkey % 800 AS STRING) || '.example.co.jp' AS base_url,
+ CASE WHEN c_custkey % 7 = 0 THEN '' ELSE CAST(1000000 + c_custkey AS STRING) END AS corporate_number, CASE c_custkey % 6 WHEN 0 THEN 'tokutei_hp' WHEN 1 THEN 'json_ld' WHEN 2 THEN 'crawl_hp' WHEN 3 THEN 'lp' WHEN 4 THEN 'meta' ELSE 'other' END AS phone_source,
+ CASE c_custkey % 4 WHEN 0 THEN 'S' WHEN 1 THEN 'A' WHEN 2 THEN 'B' ELSE 'C' END AS rank, CAST(c_custkey % 7 AS INT) AS seen_count, c_custkey % 5 = 0 AS exported, CAST(c_custkey % 8 AS INT) AS nta_retry_count,
+ CASE c_custkey % 4 WHEN 0 THEN 'Google+Yahoo' WHEN 1 THEN 'Google' WHEN 2 THEN 'Meta,Yahoo' ELSE 'Google,Meta,Yahoo' END AS ad_sources, lower(c_name) AS normalized_name, c_acctbal AS acctbal FROM {{customer}}"""
+KEYWORDS = """SELECT p_name || ' ' || CAST(p_partkey AS STRING) AS keyword, CASE p_partkey % 3 WHEN 0 THEN 'google_yahoo' WHEN 1 THEN 'meta' ELSE 'auto_expanded' END AS source,
+ CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE TIMESTAMP '2024-01-20 12:00:00' - CAST(p_size AS INT) * INTERVAL '7' HOUR END AS last_searched, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE TIMESTAMP '2024-01-20 12:00:00' - CAST(p_size AS INT) * INTERVAL '1' DAY END AS last_new_company,
+ CAST(p_size % 9 AS INT) AS total_found, p_partkey % 10 = 3 AS is_archived FROM {part}"""
+LOG = """SELECT p_name || ' ' || CAST(p_partkey AS STRING) AS keyword, CASE p_partkey % 2 WHEN 0 THEN 'ASIA' ELSE 'EUROPE' END AS area_name, 'google_yahoo' AS source, TIMESTAMP '2024-01-20 12:00:00' - CAST(p_size AS INT) * INTERVAL '3' HOUR AS last_searched FROM {part} WHERE p_partkey % 3 <> 1"""
+AREAS = "SELECT r_name AS name FROM {region}"
+REGISTRY = "SELECT p_partkey AS corp_number, '株式会社' || p_name || ' ' || CAST(p_partkey % 500 AS STRING) AS name, p_brand AS pref FROM {part}"
+NAMES = "SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN '株式会社' || p_name || ' ' || CAST(p_partkey % 500 AS STRING) WHEN 1 THEN p_name || ' ' || CAST(p_partkey % 500 AS STRING) || '株式会社' WHEN 2 THEN p_name || CAST(p_partkey % 500 AS STRING) ELSE p_name || ' unknown ' || CAST(p_partkey AS STRING) END AS name FROM {part}"
+SIGHTINGS = "SELECT user_id, event_type, event_id FROM {events} WHERE event_id % 97 < 29"
+TELEMETRY = "SELECT CAST(ts AS TIMESTAMP) AS ts, event_id AS id, event_type AS source, CASE event_id % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'extract' ELSE 'write' END AS kind, CASE WHEN value > 60 THEN 1 ELSE 0 END AS n, value > 40 AS ok FROM {events}"
+LINES = "SELECT substr(CAST(ts AS STRING), 1, 19) || ' [' || upper(event_type) || '] ' || CASE event_id % 6 WHEN 0 THEN 'CAPTCHA seen' WHEN 1 THEN 'ERROR browser start failed' ELSE 'found ' || CAST(event_id % 17 AS STRING) || '件' END AS value FROM {events}"
+PREFIXES = [("03", "東京都"), ("06", "大阪府"), ("045", "神奈川県"), ("0476", "千葉県"), ("011", "北海道")]
+NEIGHBOURS = [("東京都", "千葉県"), ("東京都", "神奈川県"), ("千葉県", "東京都"), ("神奈川県", "東京都")]
+TABLE_PAGES = f"""SELECT c_custkey AS page_id, 'https://c' || CAST(c_custkey AS STRING) || '.example.co.jp/law' AS url, '<html><head><title>' || c_name || ' | x</title></head><body><p>news</p><table><tr><th>会社名</th><td>株式会社' || substr(c_name, 10) || '商事</td></tr><tr><th>電話番号</th><td>' || {DIGITS} || '</td></tr></table><a href="/tokutei">特定商取引法</a></body></html>' AS html FROM {{customer}}"""
+SCRIPT_PAGES = f"""SELECT c_custkey AS page_id, 'https://c' || CAST(c_custkey AS STRING) || '.example.co.jp/' AS url, '<html><head><script type="application/ld+json">{{{{"@context":"https://schema.org","@graph":[{{{{"@type":"WebSite","name":"x"}}}},{{{{"@type":"Organization","name":"株式会社' || substr(c_name, 10) || '商事","telephone":["' || {DIGITS} || '"]}}}}]}}}}</script></head><body></body></html>' AS html FROM {{customer}}""".replace("{{", "<<").replace("}}", ">>")
+SCRIPT_PAGES = SCRIPT_PAGES.replace("<<", "' || chr(123) || '").replace(">>", "' || chr(125) || '")
+
+_RANK = "CASE WHEN {n} >= 3 OR {s} >= 5 THEN 'S' WHEN {n} >= 2 OR {s} >= 3 THEN 'A' WHEN {s} >= 2 THEN 'B' ELSE 'C' END"
+_N, _SEEN = "len(sources)", "seen_count"
+_SIGHT = "SELECT user_id, count(*) AS seen_count, list_sort(list(DISTINCT event_type)) AS sources FROM sights GROUP BY user_id"
+
+
+def _rows(spark, rows: list[tuple], names: str):
+    return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split()))
+
+
+@query("a10_rank_distribution", f"SELECT l.rank, count(r.rank) AS n FROM (VALUES ('S'), ('A'), ('B'), ('C')) l(rank) LEFT JOIN (SELECT {_RANK.format(n=_N, s=_SEEN)} AS rank FROM ({_SIGHT})) r ON r.rank = l.rank GROUP BY l.rank", sights=SIGHTINGS)
+def _(spark, sights):
+    return Q.rank_distribution(dedupe.sightings(sights, "user_id", "event_type"))
+
+
+@query("a12_sightings", f"SELECT user_id, CAST(seen_count AS INT) AS seen_count, array_to_string(sources, '+') AS sources, {_RANK.format(n=_N, s=_SEEN)} AS rank FROM ({_SIGHT})", sights=SIGHTINGS)
+def _(spark, sights):
+    return dedupe.sightings(sights, "user_id", "event_type").withColumn("sources", F.array_join("sources", "+"))
+
+
+@query("a2_count_by", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type", events="events")
+def _(spark, events):
+    return Q.count_by(events, "event_type")
+
+
+@query("a2_volume", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag", lineitem="lineitem")
+def _(spark, lineitem):
+    return Q.count_by(lineitem, "l_returnflag")
+
+
+@query("a3_count_by_medium", "SELECT medium, count(*) AS n FROM (SELECT DISTINCT id, unnest(regexp_split_to_array(ad_sources, '[+,]')) AS medium FROM comp) GROUP BY medium", comp=COMPANIES)
+def _(spark, comp):
+    return Q.count_by_medium(comp)
+
+
+@query("a4_name_length", "SELECT CASE WHEN n < 5 THEN '0-4' WHEN n < 10 THEN '5-9' WHEN n < 20 THEN '10-19' WHEN n < 30 THEN '20-29' WHEN n < 50 THEN '30-49' ELSE '50+' END AS bucket, count(*) AS n FROM (SELECT length(company_name) AS n FROM comp) GROUP BY 1", comp=COMPANIES)
+def _(spark, comp):
+    return Q.name_length_hist(comp)
+
+
 
 
 @query(
-    "a10_rank_distribution",
-    """WITH s AS (SELECT user_id, count(*) AS seen, count(DISTINCT event_type) AS n FROM events WHERE event_id % 97 < 9 GROUP BY user_id),
-    r AS (SELECT CASE WHEN n >= 3 OR seen >= 5 THEN 'S' WHEN n >= 2 OR seen >= 3 THEN 'A' WHEN seen >= 2 THEN 'B' ELSE 'C' END AS rank FROM s)
-    SELECT l.rank, count(r.rank) AS n FROM (VALUES ('S'), ('A'), ('B'), ('C')) l(rank) LEFT JOIN r ON r.rank = l.rank GROUP BY l.rank""",
+    "a5_daily_counts",
+    f"""d AS (SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE CAST(ts AS DATE) <= DATE '{AS_OF[:10]}' GROUP BY 1 ORDER BY 1 DESC LIMIT 7), b AS (SELECT row_number() OVER (ORDER BY date DESC) AS k, * FROM d)
+SELECT date, n, (SELECT avg(n) FROM b WHERE k >= 3) AS baseline FROM b""".replace("d AS (", "WITH d AS (", 1),
+    events="events",
 )
-def _(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+def _(spark, events):
+    return Q.daily_counts(events, AS_OF, 7, "ts")
+
+
+@query("a6_speed", f"SELECT count_if(ts >= TIMESTAMP '{AS_OF}' - INTERVAL 6 HOUR) / 6 AS per_hour, count_if(CAST(ts AS DATE) = DATE '{AS_OF[:10]}') AS today, count_if(CAST(ts AS DATE) = DATE '{AS_OF[:10]}' - 1) AS yesterday, count(*) AS total FROM events WHERE ts <= TIMESTAMP '{AS_OF}'", events="events")
+def _(spark, events):
+    return Q.speed(events.withColumn("ts", F.col("ts").cast("timestamp")), AS_OF, 6, "ts")
+
+
+@query("a17_total_latest", "SELECT count(*) AS total, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS latest FROM events", events="events")
+def _(spark, events):
+    return Q.total_and_latest(events, "ts").withColumn("latest", F.to_date("latest").cast("string"))
+
+
+@query("a1_coverage", "SELECT 'quality' AS metric, count(quality) / count(*) AS value FROM j UNION ALL SELECT 'toxic', count(toxic) / count(*) FROM j UNION ALL SELECT 'source:src1', count_if(source LIKE 'src1%') / count(*) FROM j", j="SELECT d.doc_id, d.source, l.quality, l.toxic FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
+def _(spark, j):
+    return Q.coverage(j, ["quality", "toxic"], "src1", "source")
+
+
+@query("a7_availability", "SELECT count_if(NOT is_archived AND (last_searched IS NULL OR last_searched < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 48 HOUR)) / count_if(NOT is_archived) AS availability FROM kw", kw=KEYWORDS)
+def _(spark, kw):
+    return K.availability(kw, 48, AS_OF)
+
+
+@query("a16_keyword_status", "SELECT source, count(*) AS total, count_if(is_archived) AS archived, count_if(NOT is_archived) AS active, count_if(NOT is_archived AND last_searched IS NULL) AS unsearched, count_if(NOT is_archived AND last_searched >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 48 HOUR) AS cooling FROM kw GROUP BY source", kw=KEYWORDS)
+def _(spark, kw):
+    return K.keyword_status(kw, 48, AS_OF)
+
+
+@query("a14_keyword_yield", "SELECT k.keyword, CAST(k.total_found + coalesce(n, 0) AS INT) AS total_found, CAST(greatest(k.last_new_company, i.ts) AS VARCHAR) AS last_new_company FROM kw k LEFT JOIN (SELECT keyword, count(*) AS n, max(ts) AS ts FROM ins GROUP BY keyword) i USING (keyword)", kw=KEYWORDS, ins="SELECT p_name || ' ' || CAST(p_partkey AS STRING) AS keyword, CAST(TIMESTAMP '2024-01-19 00:00:00' AS TIMESTAMP) AS ts FROM {part} WHERE p_partkey % 6 = 1")
+def _(spark, kw, ins):
+    return K.keyword_yield(kw, ins).select("keyword", "total_found", F.col("last_new_company").cast("string").alias("last_new_company"))
+
+
+@query("a18_companies_per_keyword", "SELECT keyword, count(*) AS n FROM comp WHERE NOT (keyword ILIKE '%BUILD%' OR keyword ILIKE 'auto% 3') GROUP BY keyword", comp=COMPANIES)
+def _(spark, comp):
+    return Q.companies_per_keyword(comp, ["%build%", "auto% 3"])
+
+
+VERDICTS = "SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN 'tokutei_ok' WHEN 1 THEN 'phone_mismatch' WHEN 2 THEN 'base_ok' WHEN 3 THEN 'nta_only' WHEN 4 THEN 'lp_dead' ELSE 'not_found' END AS result, lower(c_mktsegment) AS source, c_name AS company_name FROM {customer}"
+
+
+@query("a8_accuracy", "SELECT count(*) AS checked, count_if(result = 'tokutei_ok') AS tokutei_ok, count_if(result = 'phone_mismatch') AS phone_mismatch, count_if(result = 'base_ok') AS base_ok, count_if(result = 'nta_only') AS nta_only, count_if(result = 'not_found') AS not_found, count_if(result = 'lp_dead') AS lp_dead, round(count_if(result IN ('tokutei_ok', 'base_ok')) / count(*), 4) AS accuracy FROM v", v=VERDICTS)
+def _(spark, v):
+    return Q.accuracy(v)
+
+
+@query(
+    "a9_diagnose_rates",
+    """, r AS (SELECT result AS problem, count(*) / (SELECT count(*) FROM v) AS rate FROM v GROUP BY result), t AS (SELECT * FROM (VALUES ('not_found', 0.2), ('lp_dead', 0.1), ('nta_only', 0.35), ('phone_mismatch', 0.05)) t(problem, threshold)),
+s AS (SELECT result AS problem, source, count(*) AS n FROM v GROUP BY 1, 2), top AS (SELECT problem, source FROM (SELECT *, row_number() OVER (PARTITION BY problem ORDER BY n DESC, source DESC) AS k FROM s) WHERE k = 1),
+few AS (SELECT result AS problem, list_sort(list(company_name)) AS names FROM (SELECT *, row_number() OVER (PARTITION BY result ORDER BY company_name DESC) AS k FROM v) WHERE k <= 3 GROUP BY 1)
+SELECT problem, CASE WHEN rate >= 2 * threshold THEN 'high' ELSE 'medium' END AS severity, round(rate, 9) AS rate, source AS top_source, array_to_string(names, '+') AS samples FROM r JOIN t USING (problem) JOIN top USING (problem) JOIN few USING (problem) WHERE rate >= threshold""",
+    v=VERDICTS,
+)
+def _(spark, v):
+    out = Q.diagnose_rates(Q.accuracy(v), v, {"not_found": 0.2, "lp_dead": 0.1, "nta_only": 0.35, "phone_mismatch": 0.05})
+    return out.withColumn("samples", F.array_join("samples", "+")).withColumn("rate", F.round("rate", 9))
+
+
+@query("a13_keyword_lists", "SELECT user_id AS company, array_to_string(list(event_type ORDER BY o), ' / ') AS all_keywords FROM (SELECT user_id, event_type, min(event_id) AS o FROM sights GROUP BY 1, 2) GROUP BY 1", sights=SIGHTINGS)
+def _(spark, sights):
+    out = dedupe.keyword_lists(sights.select(F.col("user_id").alias("company"), F.col("event_type").alias("keyword"), F.col("event_id").alias("ts")))
+    return out.withColumn("all_keywords", F.array_join("all_keywords", " / "))
+
+
+@query("a19_compare_runs", "SELECT CASE WHEN b > a THEN 'IMPROVED' WHEN b = a THEN 'SAME' ELSE 'WORSE' END AS status, count(*) AS n FROM (SELECT CAST(id % 3 <> 0 AS INT) + CAST(id % 4 <> 0 AS INT) AS a, CAST(id % 5 <> 0 AS INT) + CAST(id % 2 <> 0 AS INT) AS b FROM comp) GROUP BY 1", comp=COMPANIES)
+def _(spark, comp):
+    cut = lambda a, b: comp.select("id", F.when(F.col("id") % a != 0, F.col("company_name")).alias("company_name"), F.when(F.col("id") % b != 0, F.col("phone")).alias("phone"))
+    return Q.compare_runs(cut(3, 4), cut(5, 2))
+
+
+@query("a20_profile", "SELECT 'p_partkey' AS \"column\", 'bigint' AS type, count(*) AS rows, count_if(p_partkey IS NULL) AS nulls FROM part UNION ALL SELECT 'p_name', 'string', count(*), count_if(p_name IS NULL) FROM part", part="part")
+def _(spark, part):
+    return Q.profile(part.select("p_partkey", "p_name"))
+
+
+@query("a15_log_rollup", """SELECT lower(regexp_extract(value, '\\[(\\w+)\\]', 1)) AS source, sum(coalesce(try_cast(regexp_extract(value, '(\\d+)件', 1) AS INT), 0)) AS n, count_if(value LIKE '%CAPTCHA%') AS captcha, count_if(value LIKE '%browser start failed%') AS browser_fail, count_if(value LIKE '%ERROR%') AS errors
+FROM lines WHERE CAST(substr(value, 1, 19) AS TIMESTAMP) BETWEEN TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 240 HOUR AND TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1""", lines=LINES)
+def _(spark, lines):
+    return Q.log_rollup(S.parse_logs(lines), AS_OF, 240)
+
+
+_URLS = "SELECT page_id, url FROM {pages}"
+_NETLOC = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '')"
+
+
+@query("f2_normalize_url", f"SELECT page_id, 'https://' || {_NETLOC} || rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS norm, regexp_replace(url, '[?#].*$', '') AS bare FROM u", u=_URLS)
+def _(spark, u):
+    return u.select("page_id", U.normalize_url(F.col("url")).alias("norm"), U.drop_query(F.col("url")).alias("bare"))
+
+
+@query("f3_base_domain", "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*?([^./?#]+\\.(?:com|net|org))(?:[/?#]|$)', 1) AS base_domain FROM u", u=_URLS)
+def _(spark, u):
+    return J.base_domain(u, "url", _rows(spark, [("com",), ("net",), ("org",), ("co.jp",)], "suffix")).select("page_id", "base_domain")
+
+
+@query("f25_unwrap_tracker", "SELECT page_id, url FROM u UNION ALL SELECT page_id + 1000000000, NULL FROM u", u=_URLS)
+def _(spark, u):
+    e = F.url_encode(F.col("url"))
+    code = F.translate(F.regexp_replace(F.base64(F.col("url").cast("binary")), "[=\r\n]", ""), "+/", "-_")
+    href = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://ads.example/aclk?sa=l&adurl="), e)).when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://rd.example/r/"), e)).when(F.col("page_id") % 4 == 2, F.concat(F.lit("https://cl.example/x/**"), F.col("url"))).otherwise(F.concat(F.lit("https://b.example/ck/a?u=a1"), code))
+    both = u.select("page_id", href.alias("href")).unionByName(u.select((F.col("page_id") + 1000000000).alias("page_id"), F.lit("https://x.example/plain").alias("href")))
+    return both.select("page_id", U.unwrap_tracker(F.col("href")).alias("url"))
+
+
+@query("p1_url_predicates", "SELECT page_id, url LIKE 'http%' AS http, regexp_matches(url, '(?i)[/?&=#](?:test|demo|sample|preview|staging|sandbox|dummy)[/?&#=]|/(?:test|demo|sample|preview|staging)$') AS test, regexp_matches(url, '(?i)/(?:columns?|articles?|blogs?|media|news|faq|guide|ranking)/') AS article, regexp_matches(url, '^[a-z]+://[^/?#]*(?:spam|pills)') AS blocked FROM u", u="SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || '/blog/1' WHEN 1 THEN url || '/demo' ELSE url END AS url FROM {pages}")
+def _(spark, u):
+    c = F.col("url")
+    return u.select("page_id", U.is_http(c).alias("http"), U.is_test_url(c).alias("test"), U.is_article_url(c).alias("article"), U.host_contains_any(c, ["spam", "pills"]).alias("blocked"))
+
+
+@query("p2_drop_hosts", "SELECT page_id, url FROM u WHERE NOT regexp_matches(url, '^[a-z]+://(?:[^/?#]*\\.)?(?:example\\.net|cheap-pills\\.example\\.com)(?:[/?#]|$)')", u=_URLS)
+def _(spark, u):
+    return J.drop_hosts(u, "url", _rows(spark, [("example.net",), ("cheap-pills.example.com",)], "host"))
+
+
+@query("w1_first_per_host", "SELECT host, min(page_id) AS page_id FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM u) GROUP BY host", u=_URLS)
+def _(spark, u):
+    return W.first_per_key(u.withColumn("host", U.host(F.col("url"))), "host", "page_id").select("host", "page_id")
+
+
+@query("w10_last_n", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM sights) WHERE k <= 5", sights=SIGHTINGS)
+def _(spark, sights):
+    return W.last_n_per_group(sights, "user_id", "event_id", 5).select("user_id", "event_id")
+
+
+@query("f30_headline", "SELECT page_id, CASE WHEN length(h) > 80 THEN rtrim(left(h, 80)) ELSE h END AS headline FROM (SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '&quot;', '\"'), '\\s+', ' ', 'g')) AS h FROM pages) WHERE length(h) >= 2", pages="pages")
+def _(spark, pages):
+    return pages.select("page_id", H.headline(F.col("html")).alias("headline")).filter("headline is not null")
+
+
+@query("h1_visible_text", """SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
+ '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages)""", pages="pages")
+def _(spark, pages):
+    return pages.select("page_id", H.visible_text(F.col("html")).alias("t")).select("page_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
+
+
+@query("h14_links", "SELECT page_id, count(*) AS n, count(DISTINCT regexp_extract(a, 'href=\"([^\"]*)\"', 1)) AS hrefs FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>')) AS a FROM pages) GROUP BY page_id", pages="pages")
+def _(spark, pages):
+    return H.links(pages).groupBy("page_id").agg(F.count("*").alias("n"), F.count_distinct("href").alias("hrefs"))
+
+
+@query("h15_page_quality", "SELECT page_id, 1 + CASE WHEN regexp_matches(array_to_string(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>'), ' '), '(?i)>[^<]*the[^<]*<|href=\"[^\"]*the') THEN 2 ELSE 0 END + CASE WHEN len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"'))) >= 6 THEN 1 ELSE 0 END AS score FROM pages", pages="pages")
+def _(spark, pages):
+    return H.page_quality(pages, ["the"], 6)
+
+
+@query("h4_table_pairs", "SELECT c_custkey AS page_id, '株式会社' || substr(c_name, 10) || '商事' AS company FROM customer", pages=TABLE_PAGES)
+def _(spark, pages):
+    return H.table_pairs(H.blocks(pages)).select("page_id", "company")
+
+
+@query("h2_jsonld_orgs", "SELECT c_custkey AS page_id, '株式会社' || substr(c_name, 10) || '商事' AS company FROM customer", pages=SCRIPT_PAGES)
+def _(spark, pages):
+    return H.jsonld_orgs(pages).select("page_id", "company")
+
+
+@query("h9_page_company", "SELECT c_custkey AS page_id, '株式会社' || substr(c_name, 10) || '商事' AS company FROM customer", pages=TABLE_PAGES)
+def _(spark, pages):
+    return H.page_company(pages).select("page_id", "company")
+
+
+@query("h10_page_phones", None, pages=TABLE_PAGES)
+def _(spark, pages):
+    return H.page_phones(pages).select("page_id", "phone", "tier")
+
+
+@query("h7_container_pairs", None, pages=TABLE_PAGES)
+def _(spark, pages):
+    return H.container_pairs(H.blocks(pages))
+
+
+@query("h14_legal_links", "SELECT c_custkey AS page_id, 'https://c' || CAST(c_custkey AS VARCHAR) || '.example.co.jp/tokutei' AS link FROM customer", pages=TABLE_PAGES)
+def _(spark, pages):
+    return H.keyword_links(pages, H.LEGAL_WORDS).select("page_id", "link")
+
+
+_D4 = "left(d, 4) IN ('0120', '0800', '0570', '0990')"
+_FORMAT = f"""CASE WHEN length(d) = 11 AND {_D4} THEN left(d, 4) || '-' || substr(d, 5, 3) || '-' || substr(d, 8) WHEN length(d) = 11 THEN left(d, 3) || '-' || substr(d, 4, 4) || '-' || substr(d, 8) WHEN length(d) = 10 AND {_D4} THEN left(d, 4) || '-' || substr(d, 5, 3) || '-' || substr(d, 8)
+ WHEN length(d) = 10 AND left(d, 2) IN ('03', '06') THEN left(d, 2) || '-' || substr(d, 3, 4) || '-' || substr(d, 7) WHEN length(d) = 10 AND left(d, 3) IN ('045', '011') THEN left(d, 3) || '-' || substr(d, 4, 3) || '-' || substr(d, 7) WHEN length(d) = 10 THEN left(d, 4) || '-' || substr(d, 5, 2) || '-' || substr(d, 7) ELSE d END"""
+_PHONES = f"SELECT c_custkey AS id, {DIGITS} AS d FROM {{customer}}"
+
+
+@query("f5_normalize_phone", f"SELECT id, {_FORMAT} AS phone, {_D4} AS free, length(d) BETWEEN 10 AND 11 AND NOT left(d, 4) IN ('0120', '0800', '0570', '0990') AND left(d, 3) <> '050' AND NOT regexp_matches(d, '^(?:00|010|041|051|056[01]|057|061|06[2-5]|06[7-9]|071|081|085|091)') AS fixed, NOT regexp_matches(d, '^(?:0[1-9][0-9]{{8,9}}|0(?:120|800|570|990)[0-9]{{6,7}}|050[0-9]{{8}}|0[789]0[0-9]{{8}})$') AS garbage FROM p", p=_PHONES)
+def _(spark, p):
+    c = F.col("d")
+    return p.select("id", T.normalize_phone(c).alias("phone"), T.is_freephone(c).alias("free"), T.is_fixed_line(c).alias("fixed"), T.is_garbage_phone(c).alias("garbage"))
+
+
+@query("f8_extract_phones", f"SELECT id, CASE WHEN length(d) = 8 OR regexp_matches(substr(d, 5), '^(0{{6,}}|1{{6,}}|2{{6,}}|3{{6,}}|4{{6,}}|5{{6,}}|6{{6,}}|7{{6,}})$') THEN NULL ELSE {_FORMAT} END AS phone FROM p", p=_PHONES)
+def _(spark, p):
+    return p.select("id", T.extract_phone(F.concat(F.lit("お電話 "), T.to_fullwidth(F.col("d")), F.lit(" FAX: 03-9999-0000 (24h)"))).alias("phone"))
+
+
+@query("j7_j8_phone_prefecture", """SELECT id, pref, pp AS phone_pref, CASE WHEN pp IS NULL THEN 'unknown' WHEN pp = pref THEN 'match' WHEN (pref, pp) IN (('東京都', '千葉県'), ('東京都', '神奈川県'), ('千葉県', '東京都'), ('神奈川県', '東京都')) THEN 'near' ELSE 'mismatch' END AS pref_match
+FROM (SELECT id, CASE id % 2 WHEN 0 THEN '東京都' ELSE '北海道' END AS pref, CASE WHEN regexp_matches(d, '^(?:0[789]0|050|0120|0800|0570|0990)') THEN NULL WHEN left(d, 4) = '0476' THEN '千葉県' WHEN left(d, 3) = '045' THEN '神奈川県' WHEN left(d, 3) = '011' THEN '北海道' WHEN left(d, 2) = '03' THEN '東京都' WHEN left(d, 2) = '06' THEN '大阪府' END AS pp FROM p)""", p=_PHONES)
+def _(spark, p):
+    rows = p.select("id", "d", F.when(F.col("id") % 2 == 0, "東京都").otherwise("北海道").alias("pref"))
+    rows = J.phone_prefecture(rows, "d", _rows(spark, PREFIXES, "prefix prefecture"))
+    return J.pref_match(rows, "pref", "phone_pref", _rows(spark, NEIGHBOURS, "src dst")).select("id", "pref", "phone_pref", "pref_match")
+
+
+@query("f11_confidence", """SELECT id, greatest(0, least(100, CASE WHEN phone_source LIKE '%tokutei%' THEN 90 WHEN phone_source LIKE '%json_ld%' THEN 80 WHEN phone_source LIKE '%crawl%' THEN 70 WHEN phone_source LIKE '%lp%' THEN 60 WHEN phone_source LIKE '%meta%' THEN 50 ELSE 50 END + CASE WHEN phone_source LIKE '%\\_hp' ESCAPE '\\' THEN 10 ELSE 0 END
+ + CASE id % 4 WHEN 0 THEN 10 WHEN 1 THEN 5 WHEN 2 THEN -25 ELSE 0 END)) AS confidence, CASE rank WHEN 'S' THEN 'A' WHEN 'A' THEN 'B' ELSE 'C' END AS demoted FROM comp""", comp=COMPANIES)
+def _(spark, comp):
+    level = F.when(F.col("id") % 4 == 0, "match").when(F.col("id") % 4 == 1, "near").when(F.col("id") % 4 == 2, "mismatch").otherwise("unknown")
+    return comp.select("id", T.phone_confidence(F.col("phone_source"), level).alias("confidence"), T.demote_rank(F.col("rank")).alias("demoted"))
+
+
+@query("p7_garbage_names", "SELECT id, CASE WHEN length(n) < 4 THEN 'length' WHEN n LIKE '%/%' THEN 'separator' WHEN n LIKE '%。%' THEN 'sentence' WHEN n LIKE '「%' THEN 'start' WHEN NOT regexp_matches(n, '株式会社|有限会社|Inc') THEN 'no form' END AS reason FROM c", c=f"SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN c_name || '/x' WHEN 1 THEN c_name || '。' WHEN 2 THEN '「' || c_name || '」株式会社' WHEN 3 THEN 'ab' ELSE {NAME} END AS n FROM {{customer}}")
+def _(spark, c):
+    return c.select("id", T.garbage_name_reason(F.col("n")).alias("reason"))
+
+
+@query("p9_valid_company", "SELECT id, regexp_matches(company_name, '株式会社|有限会社|Inc') AS strict, regexp_matches(company_name, '株式会社|有限会社|Inc') AS labelled, false AS leak, false AS again FROM comp", comp=COMPANIES)
+def _(spark, comp):
+    c = F.col("company_name")
+    return comp.select("id", is_valid_company(c).alias("strict"), is_valid_company_labelled(c).alias("labelled"), T.has_label_leak(c).alias("leak"), T.needs_reextract(c).alias("again"))
+
+
+@query("f18_normalize_names", "SELECT id, CASE id % 5 WHEN 4 THEN 'x' ELSE company_name END AS name FROM comp WHERE id % 5 <> 4", comp=COMPANIES)
+def _(spark, comp):
+    raw = comp.filter("id % 5 <> 4").select("id", F.concat(F.lit("【公式】"), "company_name", F.lit("（東京本社）")).alias("raw"))
+    return normalize_names(raw, "raw").select("id", "name")
+
+
+@query("f19_sanitize_names", "SELECT id, company_name AS name FROM comp WHERE id % 5 <> 4", comp=COMPANIES)
+def _(spark, comp):
+    raw = comp.filter("id % 5 <> 4").select("id", F.concat("company_name", F.lit(" 採用情報")).alias("raw"))
+    return sanitize_names(raw, "raw").select("id", "name")
+
+
+@query("f15_industry", "SELECT id, CASE WHEN id % 3 = 0 THEN '外壁・屋根塗装' WHEN id % 3 = 1 THEN '塗装' ELSE '' END AS industry, split_part(keyword, ' ', 1) AS head, keyword AS head2 FROM comp", comp=COMPANIES)
+def _(spark, comp):
+    word = F.when(F.col("id") % 3 == 0, "外壁塗装 東京").when(F.col("id") % 3 == 1, "塗装 業者").otherwise(F.col("keyword"))
+    return comp.select("id", T.classify_industry(word).alias("industry"), T.keyword_head(F.col("keyword")).alias("head"), T.keyword_head(F.col("keyword"), 2).alias("head2"))
+
+
+_KEY = "lower(replace(replace(replace(replace(name, '株式会社', ''), ' ', ''), '-', ''), '.', ''))"
+
+
+@query("j3_resolve", f""", r AS (SELECT *, {_KEY} AS core FROM reg), n AS (SELECT name, {_KEY} AS core FROM names), e AS (SELECT name, min(corp_number) AS num FROM r GROUP BY name), p AS (SELECT core, min(corp_number) AS num FROM r GROUP BY core)
+SELECT n.name, coalesce(e.num, p.num) AS corp_number, CASE WHEN e.num IS NOT NULL THEN 'exact' WHEN p.num IS NOT NULL THEN 'partial' ELSE 'none' END AS confidence FROM n LEFT JOIN e USING (name) LEFT JOIN p ON p.core = n.core""", names=NAMES, reg=REGISTRY)
+def _(spark, names, reg):
+    return J.resolve_exact_or_core(names, reg).select("name", "corp_number", "confidence")
+
+
+@query("j4_resolve_guarded", f""", r AS (SELECT min(corp_number) AS num, replace(lower(replace(name, '株式会社', '')), ' ', '') AS core FROM reg GROUP BY 2)
+SELECT n.name, num AS corp_number, CASE WHEN num IS NOT NULL THEN 'guarded' ELSE 'none' END AS confidence FROM names n LEFT JOIN r ON r.core = replace(lower(replace(n.name, '株式会社', '')), ' ', '')""", names=NAMES, reg=REGISTRY)
+def _(spark, names, reg):
+    return J.resolve_guarded(names, reg).select("name", "corp_number", "confidence")
+
+
+_QUERIES5 = "SELECT DISTINCT p_name || ' ' || CAST(p_partkey % 90 AS STRING) AS name FROM {part} WHERE p_partkey % 20 = 7"
+
+
+@query("j5_search_trigram", "SELECT query, corp_number, pos FROM (SELECT q.name AS query, corp_number, row_number() OVER (PARTITION BY q.name ORDER BY corp_number) AS pos FROM q JOIN reg ON contains(reg.name, q.name)) WHERE pos <= 5", q=_QUERIES5, reg=REGISTRY)
+def _(spark, q, reg):
+    return J.search_trigram(q, reg).select("query", "corp_number", "pos")
+
+
+@query("j6_verify_local", "SELECT query, arg_min(corp_number, k) AS corp_number, CASE WHEN min(k) < 100 THEN 'exact' ELSE 'partial' END AS confidence FROM (SELECT query, corp_number, pos + CASE WHEN name = query THEN 0 ELSE 100 END AS k FROM (SELECT q.name AS query, reg.name, corp_number, row_number() OVER (PARTITION BY q.name ORDER BY corp_number) AS pos FROM q JOIN reg ON contains(reg.name, q.name)) WHERE pos <= 5) GROUP BY query", q=_QUERIES5, reg=REGISTRY)
+def _(spark, q, reg):
+    return J.verify_local(q, reg).select("query", "corp_number", "confidence")
+
+
+@query("j13_directory_mismatch", "SELECT c.id, d.listed FROM comp c JOIN dir d ON d.phone = c.phone WHERE NOT contains(lower(regexp_replace(c.company_name, '株式会社|有限会社|Inc\\.|[ #\\-]', '', 'g')), lower(regexp_replace(d.listed, '[ #\\-]', '', 'g'))) AND NOT contains(lower(regexp_replace(d.listed, '[ #\\-]', '', 'g')), lower(regexp_replace(c.company_name, '株式会社|有限会社|Inc\\.|[ #\\-]', '', 'g')))", comp=COMPANIES, dir=f"SELECT {DIGITS} AS phone, c_name AS listed FROM {{customer}} WHERE c_custkey % 40 = 1")
+def _(spark, comp, dir_):
+    clean = lambda c: F.regexp_replace(c, "#", "")
+    out = J.directory_mismatch(comp.withColumn("company_name", clean(F.col("company_name"))), dir_.withColumn("key", clean(F.col("listed"))).withColumnRenamed("listed", "shown").withColumnRenamed("key", "listed").select("phone", "listed"))
+    return out.join(dir_.select(F.col("listed").alias("shown"), clean(F.col("listed")).alias("_k")).distinct(), F.col("listed") == F.col("_k")).select("id", F.col("shown").alias("listed"))
+
+
+_HALVES = {"new": COMPANIES + " WHERE c_custkey % 2 = 1", "old": COMPANIES + " WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0"}
+
+
+@query("j14_duplicates", "SELECT n.id, CASE WHEN n.base_url IN (SELECT base_url FROM old) THEN 'base_url' WHEN n.phone IN (SELECT phone FROM old) THEN 'phone' WHEN n.normalized_name IN (SELECT normalized_name FROM old) THEN 'normalized_name' END AS dup_by FROM new n", **_HALVES)
+def _(spark, new, old):
+    return J.find_duplicates(new, old, "B").select("id", "dup_by")
+
+
+@query("j15_ledger", "SELECT min(id) AS id FROM new WHERE phone NOT IN (SELECT phone FROM old) GROUP BY phone", **_HALVES)
+def _(spark, new, old):
+    return J.ledger_filter(new.withColumn("ts", F.lit(AS_OF)), old.select("phone"), "a")[0].select("id")
+
+
+@query("j17_only_new", "SELECT DISTINCT keyword FROM new WHERE keyword NOT IN (SELECT keyword FROM old WHERE id % 12 = 0)", **_HALVES)
+def _(spark, new, old):
+    return J.only_new(new.select("keyword"), old.filter("id % 12 = 0"), "keyword")
+
+
+@query("j16_competitors", """, t AS (SELECT *, split_part(keyword, ' ', 1) AS tok FROM comp), p AS (SELECT a.id, b.company_name AS name, min(CASE WHEN a.area_name = b.area_name THEN 0 ELSE 1 END * 1000000000 - b.id) AS k FROM t a JOIN t b ON a.tok = b.tok AND a.id <> b.id AND a.company_name <> b.company_name GROUP BY 1, 2),
+r AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM p) SELECT t.id, coalesce(string_agg(name, '+' ORDER BY n), '') AS competitors FROM t LEFT JOIN (SELECT * FROM r WHERE n <= 3) r USING (id) GROUP BY t.id""", comp=COMPANIES + " WHERE c_custkey % 3 = 1")
+def _(spark, comp):
+    return J.competitors(comp).select("id", F.array_join("competitors", "+").alias("competitors"))
+
+
+@query("j1_next_keywords", "SELECT k.keyword, k.source FROM kw k LEFT JOIN (SELECT * FROM log WHERE area_name = 'ASIA') l USING (keyword) WHERE k.source = 'google_yahoo' AND NOT is_archived AND (l.last_searched IS NULL OR l.last_searched < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 72 HOUR)", kw=KEYWORDS, log=LOG)
+def _(spark, kw, log):
+    return K.next_keywords(kw, log, "google_yahoo", "ASIA", 72, AS_OF).select("keyword", "source")
+
+
+@query("j2_available_pairs", "SELECT k.keyword, a.name AS area, round(sqrt(total_found + 1), 9) AS weight FROM kw k, areas a WHERE k.source = 'google_yahoo' AND NOT is_archived AND NOT EXISTS (SELECT 1 FROM log l WHERE l.keyword = k.keyword AND l.area_name = a.name AND l.last_searched >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 72 HOUR)", kw=KEYWORDS, areas=AREAS, log=LOG)
+def _(spark, kw, areas, log):
+    return K.available_pairs(kw, areas, log, "google_yahoo", 72, AS_OF).withColumn("weight", F.round("weight", 9))
+
+
+@query("t4_weighted_pick", None, kw=KEYWORDS)
+def _(spark, kw):
+    return W.weighted_pick(kw, F.sqrt(F.col("total_found") + 1), 20, 7, T.matches_any(F.col("keyword"), ["%1%"])).select("keyword")
+
+
+@query("t3_sample", None, comp=COMPANIES)
+def _(spark, comp):
+    return W.sample_n(comp, "id", 25, 3).select("id")
+
+
+@query("t1_latest", "SELECT id FROM comp ORDER BY id DESC LIMIT 10", comp=COMPANIES)
+def _(spark, comp):
+    return W.latest(comp, "id", 10).select("id")
+
+
+@query("t2_top_keywords", "SELECT keyword FROM kw ORDER BY total_found DESC, keyword LIMIT 10", kw=KEYWORDS)
+def _(spark, kw):
+    return W.top_keywords(kw).select("keyword")
+
+
+@query("t6_retry_batch", "SELECT id FROM comp WHERE corporate_number = '' AND company_name <> '' AND nta_retry_count < 5 ORDER BY id DESC LIMIT 100", comp=COMPANIES)
+def _(spark, comp):
+    return W.retry_batch(comp).select("id")
+
+
+@query("t7_recycle", "SELECT keyword, is_archived AND keyword NOT IN (SELECT keyword FROM kw WHERE source = 'meta' AND is_archived ORDER BY last_searched NULLS FIRST, keyword LIMIT 7) AS is_archived FROM kw", kw=KEYWORDS)
+def _(spark, kw):
+    return K.recycle(kw, "meta", 7).select("keyword", "is_archived")
+
+
+@query("t8_refill", None, kw=KEYWORDS)
+def _(spark, kw):
+    return K.refill(kw.filter("total_found < 4"), kw.select("keyword"), "meta", 1_000_000, 12, AS_OF, 5)
+
+
+@query("d9_archive_stale", "SELECT keyword, is_archived OR coalesce(last_searched < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 10 DAY AND (last_new_company IS NULL OR last_new_company < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 10 DAY), false) AS is_archived FROM kw", kw=KEYWORDS)
+def _(spark, kw):
+    return K.archive_stale(kw, 10, AS_OF).select("keyword", "is_archived")
+
+
+@query("d10_restore", "SELECT keyword, is_archived AND source <> 'meta' AS is_archived FROM kw WHERE source <> 'meta' OR is_archived", kw=KEYWORDS)
+def _(spark, kw):
+    return K.restore_archived(kw.filter("source <> 'meta' or is_archived")).select("keyword", "is_archived")
+
+
+_COMMANDS = "SELECT p_partkey AS pos, CASE p_partkey % 2 WHEN 0 THEN 'add' ELSE 'archive' END AS command, p_name || ' ' || CAST(p_partkey + p_partkey % 3 AS STRING) AS keyword, 'meta' AS source FROM {part} WHERE p_partkey % 7 < 3"
+
+
+@query("d11_commands", """, l AS (SELECT keyword, command FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY pos DESC) AS k FROM cmd) WHERE k = 1)
+SELECT kw.keyword, kw.source, CAST(total_found AS INT) AS total_found, is_archived OR l.command IS NOT NULL AS is_archived FROM kw LEFT JOIN l USING (keyword) WHERE coalesce(l.command, '') <> 'add' UNION ALL SELECT keyword, 'meta', 0, false FROM l WHERE command = 'add'""", kw=KEYWORDS, cmd=_COMMANDS)
+def _(spark, kw, cmd):
+    return K.apply_keyword_commands(kw, cmd).select("keyword", "source", "total_found", "is_archived")
+
+
+@query("d12_touch_pairs", "SELECT keyword, area_name, CAST(max(last_searched) AS VARCHAR) AS last_searched FROM (SELECT keyword, area_name, last_searched FROM log UNION ALL SELECT keyword, 'ASIA', TIMESTAMP '2024-01-20 12:00:00' FROM kw WHERE total_found > 6) GROUP BY 1, 2", log=LOG, kw=KEYWORDS)
+def _(spark, log, kw):
+    out = K.touch_pairs(log, kw.filter("total_found > 6").select("keyword", F.lit("ASIA").alias("area_name")), AS_OF)
+    return out.withColumn("last_searched", F.col("last_searched").cast("string"))
+
+
+@query("k1_expand", None, kw=KEYWORDS)
+def _(spark, kw):
+    return K.expand_keywords(kw)
+
+
+@query("k2_modifiers", "SELECT keyword || ' ' || m AS keyword, keyword AS base FROM kw, (VALUES ('料金'), ('口コミ')) t(m)", kw=KEYWORDS)
+def _(spark, kw):
+    return K.cross_modifiers(kw, ["料金", "口コミ"])
+
+
+@query("k3_generate", """, s AS (SELECT DISTINCT p_type AS t FROM part) SELECT t AS keyword FROM s UNION SELECT t || ' ' || m FROM s, (VALUES ('a'), ('b'), ('c')) x(m) UNION SELECT c || ' ' || t FROM s, (VALUES ('東京'), ('大阪')) y(c) UNION SELECT c || ' ' || t || ' ' || m FROM s, (VALUES ('東京'), ('大阪')) y(c), (VALUES ('a'), ('b')) x(m)""".replace(", s AS", "WITH s AS", 1), part="part")
+def _(spark, part):
+    return K.generate_keywords(part.select(F.col("p_type").alias("service")).distinct().withColumn("modifiers", F.array(F.lit("a"), F.lit("b"), F.lit("c"))), ["東京", "大阪"])
+
+
+SHEET = f"SELECT CAST(c_custkey AS INT) AS row_index, {NAME} AS company_name, {DIGITS} AS phone, CAST(1000000 + c_custkey AS STRING) AS corporate_number, 'B' AS rank FROM {{customer}} WHERE c_custkey % 3 <> 2"
+
+
+@query("j9_reconcile", "SELECT c.id, s.r AS sheet_row FROM comp c LEFT JOIN (SELECT company_name, phone, min(row_index) AS r FROM sheet GROUP BY 1, 2) s USING (company_name, phone)", comp=COMPANIES.replace(" c_custkey % 5 = 0 AS exported", " c_custkey % 5 = 0 AS exported, CAST(NULL AS INT) AS sheet_row"), sheet=SHEET)
+def _(spark, comp, sheet):
+    found, again = D.reconcile_export(comp, sheet)
+    return found.select("id", "sheet_row").unionByName(again.select("id", "sheet_row"))
+
+
+@query("j10_propagate_rank", "SELECT row_index, r AS rank FROM (SELECT s.row_index, coalesce(arg_min(c.rank, c.id), 'C') AS r FROM sheet s LEFT JOIN comp c ON c.phone = s.phone GROUP BY 1) WHERE r <> 'B'", sheet=SHEET, comp=COMPANIES)
+def _(spark, sheet, comp):
+    return D.propagate_rank(sheet, comp)
+
+
+@query("j11_locate_rows", "SELECT c.id, s.row_index FROM comp c LEFT JOIN sheet s ON s.corporate_number = c.corporate_number", comp=COMPANIES, sheet=SHEET)
+def _(spark, comp, sheet):
+    return D.locate_rows(comp.withColumn("normalized_name", F.lit("-")), sheet).select("id", "row_index")
+
+
+@query("d1_insert_or_ignore", None, arrivals="SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS normalized_name, CAST(o_orderdate AS STRING) AS base_url FROM {orders}")
+def _(spark, arrivals):
+    return dedupe.insert_or_ignore(arrivals, arrivals.limit(0), ["normalized_name", "base_url"], "id")[0].select("id")
+
+
+@query("d2_insert_one_key", "SELECT min(o_orderkey) AS id FROM orders GROUP BY o_custkey", arrivals="SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS normalized_name FROM {orders}")
+def _(spark, arrivals):
+    return dedupe.insert_or_ignore(arrivals, arrivals.limit(0), ["normalized_name"], "id")[0].select("id")
+
+
+@query("d3_apply_sightings", "SELECT c.id, CAST(c.seen_count + coalesce(n, 0) AS INT) AS seen_count FROM comp c LEFT JOIN (SELECT min_id, count(*) AS n FROM (SELECT phone, min(id) AS min_id, max(k) AS k FROM (SELECT *, 1 AS k FROM comp) GROUP BY phone) p JOIN dup d ON d.phone = p.phone GROUP BY 1) m ON m.min_id = c.id", comp=COMPANIES, dup=f"SELECT {DIGITS} AS phone, '' AS base_url, 'Bing' AS source FROM {{customer}} WHERE c_custkey % 9 = 4")
+def _(spark, comp, dup):
+    own = comp.withColumn("ad_sources", F.split("ad_sources", "[+,]"))
+    return dedupe.apply_sightings(own, dup)[0].select("id", "seen_count")
+
+
+@query("d14_rerank", f"SELECT id, {_RANK.format(n='len(regexp_split_to_array(ad_sources, chr(91) || chr(43) || chr(44) || chr(93)))', s='seen_count')} AS rank FROM comp", comp=COMPANIES)
+def _(spark, comp):
+    return D.rerank_by_sightings(comp.withColumn("ad_sources", F.split("ad_sources", "[+,]"))).select("id", "rank")
+
+
+@query("d16_janitor", "SELECT id FROM comp WHERE regexp_matches(company_name, '株式会社|有限会社|Inc') AND length(phone) >= 10 AND regexp_matches(phone, '^(?:0[1-9][0-9]{8,9}|0(?:120|800|570|990)[0-9]{6,7}|050[0-9]{8}|0[789]0[0-9]{8})$')", comp=COMPANIES)
+def _(spark, comp):
+    return D.janitor(comp)[0].select("id")
+
+
+@query("d17_drop_freephone", "SELECT id FROM comp WHERE left(phone, 4) NOT IN ('0120', '0800', '0570', '0990')", comp=COMPANIES)
+def _(spark, comp):
+    return D.drop_freephone(comp, comp.limit(0)).select("id")
+
+
+@query("d7_replace_freephone", "SELECT id, CASE WHEN left(phone, 4) IN ('0120', '0800', '0570', '0990') AND id % 2 = 0 THEN '03-5555-1234' ELSE phone END AS phone FROM comp", comp=COMPANIES)
+def _(spark, comp):
+    found = comp.filter("id % 2 = 0").select("id", F.lit("0120-111-222").alias("page_phone"), F.lit("03-5555-1234").alias("directory_phone"))
+    return D.replace_freephone(comp, found).select("id", "phone")
+
+
+@query("d5_backfill_numbers", "SELECT id, CASE WHEN corporate_number = '' AND id % 2 = 0 THEN 'N' || CAST(id AS VARCHAR) ELSE corporate_number END AS corporate_number, CAST(nta_retry_count + CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END AS INT) AS nta_retry_count FROM comp", comp=COMPANIES)
+def _(spark, comp):
+    looked = comp.select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("N"), F.col("id").cast("string"))).alias("corp_number"), (F.col("id") % 3 == 0).alias("error"))
+    return D.backfill_numbers(comp, looked).select("id", "corporate_number", "nta_retry_count")
+
+
+@query("p15_exportable", "SELECT id FROM comp WHERE NOT exported AND corporate_number <> ''", comp=COMPANIES)
+def _(spark, comp):
+    return D.exportable(comp).select("id")
+
+
+@query("w4_rolling_success", "SELECT id, seen, CASE WHEN seen >= 50 THEN round(rate, 9) END AS rate FROM (SELECT id, count(*) OVER w AS seen, avg(CAST(ok AS INT)) OVER w AS rate FROM tele WINDOW w AS (PARTITION BY source ORDER BY ts, id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))", tele=TELEMETRY)
+def _(spark, tele):
+    return W.rolling_success(tele).select("id", "seen", F.round("rate", 9).alias("rate"))
+
+
+@query("w7_streaks", """, g AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY id) AS isl FROM tele), r AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY source, isl ORDER BY id) AS run FROM g)
+SELECT id, CAST(CASE WHEN ok THEN (run - 1) % 3 + 1 ELSE 0 END AS INT) AS streak FROM r""", tele=TELEMETRY)
+def _(spark, tele):
+    return W.streaks(tele, "ok", order="id").select("id", "streak")
+
+
+_HOP = "SELECT source, time_bucket(INTERVAL 5 MINUTE, ts) + (k + 1) * INTERVAL 5 MINUTE AS ts, {v} FROM {t}, range(12) r(k) WHERE {w}"
+
+
+@query("r2_zero_yield", "SELECT source, CAST(ts AS VARCHAR) AS ts, tries FROM (" + _HOP.format(v="count(*) AS tries, sum(n) AS found", t="tele", w="kind = 'search'") + " GROUP BY 1, 2) WHERE tries >= 2 AND found = 0", tele=TELEMETRY)
+def _(spark, tele):
+    return R.zero_yield_alerts(tele, 2).select("source", F.col("ts").cast("string").alias("ts"), "tries")
+
+
+@query("r5_error_burst", "SELECT source, CAST(ts AS VARCHAR) AS ts, errors FROM (" + _HOP.format(v="count(*) AS errors", t="tele", w="kind = 'write' AND NOT ok") + " GROUP BY 1, 2) WHERE errors >= 2", tele=TELEMETRY)
+def _(spark, tele):
+    return R.error_burst_alerts(tele, 2).select("source", F.col("ts").cast("string").alias("ts"), "errors")
+
+
+@query("r10_hourly_stats", "SELECT source, CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, count_if(kind = 'search') AS tries, round(coalesce(count_if(kind = 'search' AND n = 0) / nullif(count_if(kind = 'search'), 0), 0), 9) AS zero_rate, round(coalesce(count_if(kind = 'extract' AND ok) / nullif(count_if(kind = 'extract'), 0), 0), 9) AS extraction_rate FROM tele GROUP BY 1, 2", tele=TELEMETRY)
+def _(spark, tele):
+    return R.hourly_stats(tele).select("source", F.col("window.start").cast("string").alias("hour"), "tries", F.round("zero_rate", 9).alias("zero_rate"), F.round("extraction_rate", 9).alias("extraction_rate"))
+
+
+@query("r7_live_sightings", f"SELECT user_id, CAST(seen_count AS INT) AS seen_count, {_RANK.format(n=_N, s=_SEEN)} AS rank FROM ({_SIGHT})", sights=SIGHTINGS)
+def _(spark, sights):
+    return R.live_sightings(sights, "user_id", "event_type").select("user_id", "seen_count", "rank")
+
+
+@query("s3_archive_ads", "SELECT page_id, url, 'n' || CAST(page_id AS VARCHAR) AS company FROM u WHERE url NOT LIKE '%spam%'", u=_URLS)
+def _(spark, u):
+    body = u.select(F.col("page_id").cast("string").alias("keyword"), F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("n"), F.col("page_id").cast("string")).alias("page_name"), F.array("url", F.lit("ftp://x")).alias("ad_creative_link_urls"))).alias("data"))).alias("body"))
+    return S.ads_from_archive(body, ["spam"]).select(F.col("keyword").cast("long").alias("page_id"), "url", "company")
+
+
+@query("s5_nested_ads", "SELECT page_id, url, 'c' AS company FROM u", u=_URLS)
+def _(spark, u):
+    inner = F.struct(F.struct(F.array(F.struct(F.col("url").alias("link_url"), F.lit("c").alias("page_name"))).alias("list")).alias("edges"))
+    body = u.select(F.col("page_id").cast("string").alias("keyword"), F.to_json(inner).alias("body"))
+    return S.ads_from_nested(body, ["link_url", "website_url"], ["page_name"], 4).select(F.col("keyword").cast("long").alias("page_id"), "url", "company")
+
+
+@query("h11_line_pairs", "SELECT c_custkey AS page_id, '株式会社' || substr(c_name, 10) || '商事' AS company FROM customer", pages=f"SELECT c_custkey AS page_id, 'お知らせ' || chr(10) || '会社名：株式会社' || substr(c_name, 10) || '商事' || chr(10) || '住所' || chr(10) || 'TEL：' || {DIGITS} AS text FROM {{customer}}")
+def _(spark, pages):
+    return H.line_pairs(pages).select("page_id", "company")
