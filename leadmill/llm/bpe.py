@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -29,8 +30,10 @@ from pyspark.sql import Column, functions as F
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _WORD_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-#: A space beside other white space: only without one do the words between single spaces split independently.
-_RUN = regex.compile(rf" [{_SPACE}]|[{_SPACE}] ")
+#: White space but the space and the line feed; and a space beside other white space. Only without the latter do the words
+#: between single spaces split independently.
+_RARE_SPACE = re.compile("[\\t\\v-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_RUN = re.compile(r" \s|\s ")
 #: Entries of a worker's memo; it is emptied when full, which bounds its memory.
 MEMO = 600_000
 #: Longer words are not remembered.
@@ -197,7 +200,7 @@ class ForcedBoundaryBPE:
 
     def _words(self, text: str) -> list[str]:
         """Runs of a text that split and encode independently."""
-        if not self.word_ends and _RUN.search(text):
+        if not self.word_ends and ("  " in text or " \n" in text or "\n " in text or (_RARE_SPACE.search(text) and _RUN.search(text))):
             return _PIECES.findall(text)
         first, *rest = text.split(" ")
         return [first, *rest] if self.word_ends else [first, *[" " + w for w in rest]]
@@ -225,7 +228,7 @@ class ForcedBoundaryBPE:
             size += len(text or "")
             if size >= PART_CHARS or k == len(texts):
                 known: dict[str, bytes] = {}
-                missing = {w for own in part for ws in own if isinstance(ws, list) for w in ws} - self.memo.keys()
+                missing = set().union(*[ws for own in part for ws in own if isinstance(ws, list)]).difference(self.memo)
                 if missing:
                     self._learn(missing, known)
                 for own in part:
@@ -234,10 +237,9 @@ class ForcedBoundaryBPE:
         return out
 
     def _joined_ids(self, words: list[str], known: dict[str, bytes]) -> bytes:
-        memo = self.memo
         try:
-            return b"".join([memo[w] if w in memo else known[w] for w in words])
-        except KeyError:  # the memo was emptied meanwhile
+            return b"".join(map(self.memo.__getitem__, words))
+        except KeyError:  # words too long to remember, or the memo was emptied meanwhile
             self._learn({w for w in words if w not in self.memo and w not in known}, known)
             return b"".join([known[w] if w in known else self.memo[w] for w in words])
 
