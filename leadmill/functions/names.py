@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadmill.functions.text import BUSINESS_TYPE, EN_FORMS, JP_FORM, JP_FORMS, LEGAL_FORM, PREFECTURES, expand_abbreviations, has, is_address_token, text, unescape_entities
+from leadmill.functions.text import BUSINESS_TYPE, JP_FORM, LEGAL_FORM, PREFECTURES, chain, expand_abbreviations, has, is_address_token, let, text, unescape_entities
 
 _START = f"^{JP_FORM}"
 _PAGE = r"採用サイト|採用情報|採用ページ|採用|求人情報|求人|公式サイト|公式ページ|公式HP|公式|ホームページ"
@@ -48,32 +48,45 @@ def _tails(c: Column) -> Column:
     c = _cut(c, r"\s*「[^」]{1,20}」は(?:こちらから|こちら)?\s*$")
     c = _cut(c, r"ホームページ\s*$")
     c = _cut(c, r"代表者名.+$")
-    job = F.regexp_extract(c, r"^(.*?(?:法人|株式会社|有限会社|合同会社|協同組合))", 1)
-    c = _if(has(c, "バイト|パートタイム|派遣社員|派遣スタッフ") & (F.length(c) > 15) & (F.length(job) >= 4) & (F.length(job) < F.length(c) - 3), job, c)
-    c = _cut(c, r"の(?:採用(?:・求人情報|情報|サイト|ページ)?|求人(?:情報|サイト|ページ)?|個人情報.*について|プライバシーポリシー.*|お取り扱い.*|会社(?:概要|情報|案内|紹介))\s*$")
-    c = _cut(c, r"\s*[（(][^）)]{4,}$")
-    c = _cut(c, r"[\-‐–—－_/\\|｜・]+$")
-    unpaired = F.regexp_count(c, F.lit("[（(]")) < F.regexp_count(c, F.lit("[）)]"))
-    c = _if(unpaired, _cut(c, "[）)]+$"), c)
-    c = _cut(c, r"(?<=[ぁ-んァ-ン一-鿿])\.\s*$")
-    c = _cut(c, r"\s*[（(](?:本社|東京本社|大阪本社|名古屋本社|支社|支店|本店|営業所|分室|出張所)[）)]\s*$")
-    c = _cut(c, r"\s*[（(][旧以][^）)]*[）)]?\s*$")
-    c = _cut(c, r"(?:本社所在地|事業所所在地|所在地|本社住所)\s*$")
-    for _ in range(3):  # notes of up to 12 characters without a legal form
-        inner = F.regexp_extract(c, r"[（(]([^（(）)]{1,12})[）)]\s*$", 1)
-        c = _if((inner != "") & ~has(inner, LEGAL_FORM), _cut(c, r"\s*[（(][^（(）)]{1,12}[）)]\s*$"), c)
-    return c
+
+    def jobs(x: Column) -> Column:
+        job = F.regexp_extract(x, r"^(.*?(?:法人|株式会社|有限会社|合同会社|協同組合))", 1)
+        return _if(has(x, "バイト|パートタイム|派遣社員|派遣スタッフ") & (F.length(x) > 15) & (F.length(job) >= 4) & (F.length(job) < F.length(x) - 3), job, x)
+
+    def describes(x: Column) -> Column:
+        x = _cut(x, r"の(?:採用(?:・求人情報|情報|サイト|ページ)?|求人(?:情報|サイト|ページ)?|個人情報.*について|プライバシーポリシー.*|お取り扱い.*|会社(?:概要|情報|案内|紹介))\s*$")
+        return _cut(_cut(x, r"\s*[（(][^）)]{4,}$"), r"[\-‐–—－_/\\|｜・]+$")
+
+    def unpaired(x: Column) -> Column:
+        return _if(F.regexp_count(x, F.lit("[（(]")) < F.regexp_count(x, F.lit("[）)]")), _cut(x, "[）)]+$"), x)
+
+    def places(x: Column) -> Column:
+        x = _cut(x, r"(?<=[ぁ-んァ-ン一-鿿])\.\s*$")
+        x = _cut(x, r"\s*[（(](?:本社|東京本社|大阪本社|名古屋本社|支社|支店|本店|営業所|分室|出張所)[）)]\s*$")
+        x = _cut(x, r"\s*[（(][旧以][^）)]*[）)]?\s*$")
+        return _cut(x, r"(?:本社所在地|事業所所在地|所在地|本社住所)\s*$")
+
+    def note(x: Column) -> Column:
+        """A note of up to 12 characters without a legal form."""
+        inner = F.regexp_extract(x, r"[（(]([^（(）)]{1,12})[）)]\s*$", 1)
+        return _if((inner != "") & ~has(inner, LEGAL_FORM), _cut(x, r"\s*[（(][^（(）)]{1,12}[）)]\s*$"), x)
+
+    return chain(c, jobs, describes, unpaired, places, note, note, note)
 
 
 def _inner(c: Column) -> Column:
     """A company in brackets or after a description is the name."""
-    c = _first(c, rf"[（(]({JP_FORM}[^）)]+)[）)]")
-    c = _if(~has(c, _START), _first(c, rf"【({JP_FORM}[^】]+)】\s*$"), c)
-    c = _if(~has(c, _START), _first(c, rf"^.+?(?:の|[ 　])({JP_FORM}\S+)"), c)
-    last = F.element_at(F.split(c, " "), -1)
-    before = F.left(c, F.greatest(F.length(c) - F.length(last), F.lit(0)))
-    alone = has(last, rf"^\S+(?:{JP_FORM}|ホールディングス)$") & ~has(before, f"{JP_FORM}|ホールディングス")
-    return _if(~has(c, _START) & (F.regexp_count(c, F.lit(" ")) >= 2) & alone, last, c)
+
+    def last(x: Column) -> Column:
+        end = F.element_at(F.split(x, " "), -1)
+        before = F.left(x, F.greatest(F.length(x) - F.length(end), F.lit(0)))
+        alone = has(end, rf"^\S+(?:{JP_FORM}|ホールディングス)$") & ~has(before, f"{JP_FORM}|ホールディングス")
+        return _if(~has(x, _START) & (F.regexp_count(x, F.lit(" ")) >= 2) & alone, end, x)
+
+    bracket = lambda x: _first(x, rf"[（(]({JP_FORM}[^）)]+)[）)]")
+    corner = lambda x: _if(~has(x, _START), _first(x, rf"【({JP_FORM}[^】]+)】\s*$"), x)
+    described = lambda x: _if(~has(x, _START), _first(x, rf"^.+?(?:の|[ 　])({JP_FORM}\S+)"), x)
+    return chain(c, bracket, corner, described, last)
 
 
 def _addresses(c: Column) -> Column:
@@ -107,18 +120,19 @@ def _roles(c: Column) -> Column:
     return _if(has(c, LEGAL_FORM) & (F.length(cut) >= 3), cut, c)
 
 
-def _steps(df: DataFrame, c: str, steps) -> DataFrame:
-    """One projection a step: later steps mention the text so often that nesting them would work each out many times."""
-    for f in steps:
-        df = df.withColumn(c, f(F.col(c)))
-    return df
+def _named(df: DataFrame, raw: str, out: str, steps) -> DataFrame:
+    """Adds the result of the steps, worked out once for each distinct raw name."""
+    names = df.select(F.col(raw).alias("_raw")).distinct()
+    names = names.withColumn("_name", chain(text(F.col("_raw")), *steps))
+    return df.drop(out).join(names, F.col(raw).eqNullSafe(F.col("_raw")), "left").drop("_raw").withColumnRenamed("_name", out)
+
+
+_NORMAL = [_marks, _tails, _inner, _addresses, _roles]
 
 
 def normalize_names(df: DataFrame, raw: str, out: str = "name") -> DataFrame:
-    """Adds the normalised name, worked out once for each distinct raw one; null gives the empty text."""
-    names = df.select(F.col(raw).alias("_raw")).distinct().withColumn("_name", text(F.col("_raw")))
-    names = _steps(names, "_name", [_marks, _tails, _inner, _addresses, _roles])
-    return df.join(names, df[raw].eqNullSafe(names["_raw"]), "left").drop("_raw").withColumnRenamed("_name", out) if out not in df.columns else df.drop(out).join(names, F.col(raw).eqNullSafe(F.col("_raw")), "left").drop("_raw").withColumnRenamed("_name", out)
+    """Adds the normalised name; null gives the empty text."""
+    return _named(df, raw, out, _NORMAL)
 
 
 def sanitize_names(df: DataFrame, raw: str, out: str = "name") -> DataFrame:
@@ -127,11 +141,8 @@ def sanitize_names(df: DataFrame, raw: str, out: str = "name") -> DataFrame:
     service = lambda c: _if(has(c, rf"^(?:[ァ-ヶー・]{{7,}}|(?:FC本部|代理店|フランチャイズ|正規|公認|認定|加盟)\S*) \S+(?:{JP_FORM}|ホールディングス)$") & ~has(c, _START), F.element_at(F.split(c, " "), -1), c)
     after = lambda c: F.regexp_replace(F.regexp_extract(c, r"(?i)\bin\b(.+)", 1), r"^(?:こちらは|当社|弊社|私達は|私たちは)\s*", "")
     inside = lambda c: _if(has(after(c), LEGAL_FORM) & (F.length(after(c)) >= 4), F.trim(after(c)), c)
-    names = df.select(F.col(raw).alias("_raw")).distinct().withColumn("_name", text(F.col("_raw")))
-    names = _steps(names, "_name", [_marks, _tails, _inner, _addresses, _roles, *[lambda c: _cut(c, page)] * 4, _roles, service, inside, _marks, _tails, _inner, _addresses, _roles])
-    bad = (F.col("_name") == "") | has(F.col("_name"), page) | ((F.length("_name") > 25) & ~has(F.col("_name"), LEGAL_FORM))
-    names = names.withColumn("_name", F.when(~bad, F.col("_name")))
-    return df.drop(out).join(names, F.col(raw).eqNullSafe(F.col("_raw")), "left").drop("_raw").withColumnRenamed("_name", out)
+    gate = lambda c: F.when((c != "") & ~has(c, page) & ((F.length(c) <= 25) | has(c, LEGAL_FORM)), c)
+    return _named(df, raw, out, [*_NORMAL, *[lambda c: _cut(c, page)] * 4, _roles, service, inside, *_NORMAL, gate])
 
 
 # What is no company name, by its beginning.
@@ -150,14 +161,19 @@ def _common(name: Column) -> Column:
 
 def is_valid_company(name: Column) -> Column:
     """Strict: of a normalised name; a legal form is needed."""
+    return let(name, _strict)
+
+
+def _strict(name: Column) -> Column:
     return F.length(name).between(4, 60) & _common(name) & ~has(name, "[/／]|[ぁ-ん]なら|なら[ぁ-ん]|として|のため|をお") & has(name, LEGAL_FORM)
 
 
 def is_valid_company_labelled(name: Column) -> Column:
     """After a label: a kind of business will do if two more characters are there."""
+    return let(name, _labelled)
+
+
+def _labelled(name: Column) -> Column:
     bare = F.regexp_replace(text(name), r"(?U)\s+", "")
     trade = has(name, BUSINESS_TYPE) & (F.length(F.regexp_replace(bare, BUSINESS_TYPE, "")) >= 2)
     return (F.length(bare) >= 2) & (F.length(name) <= 80) & _common(name) & ~has(name, r"^[\d\s\-()+]+$|https?://|[ぁ-ん]の|のため|として|について|に関する|をお|にて|より") & (has(name, LEGAL_FORM) | trade)
-
-
-__all__ = ["EN_FORMS", "JP_FORMS", "is_valid_company", "is_valid_company_labelled", "normalize_names", "sanitize_names"]

@@ -297,7 +297,7 @@ def _(spark, pages):
 
 _D4 = "left(d, 4) IN ('0120', '0800', '0570', '0990')"
 _FORMAT = f"""CASE WHEN length(d) = 11 AND {_D4} THEN left(d, 4) || '-' || substr(d, 5, 3) || '-' || substr(d, 8) WHEN length(d) = 11 THEN left(d, 3) || '-' || substr(d, 4, 4) || '-' || substr(d, 8) WHEN length(d) = 10 AND {_D4} THEN left(d, 4) || '-' || substr(d, 5, 3) || '-' || substr(d, 8)
- WHEN length(d) = 10 AND left(d, 2) IN ('03', '06') THEN left(d, 2) || '-' || substr(d, 3, 4) || '-' || substr(d, 7) WHEN length(d) = 10 AND left(d, 3) IN ('045', '011') THEN left(d, 3) || '-' || substr(d, 4, 3) || '-' || substr(d, 7) WHEN length(d) = 10 THEN left(d, 4) || '-' || substr(d, 5, 2) || '-' || substr(d, 7) ELSE d END"""
+ WHEN length(d) = 10 AND left(d, 2) IN ('03', '06') THEN left(d, 2) || '-' || substr(d, 3, 4) || '-' || substr(d, 7) WHEN length(d) = 10 AND left(d, 3) IN ('045', '011', '047') THEN left(d, 3) || '-' || substr(d, 4, 3) || '-' || substr(d, 7) WHEN length(d) = 10 THEN left(d, 4) || '-' || substr(d, 5, 2) || '-' || substr(d, 7) ELSE d END"""
 _PHONES = f"SELECT c_custkey AS id, {DIGITS} AS d FROM {{customer}}"
 
 
