@@ -1,0 +1,276 @@
+"""Each operator against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from leadmill.llm import bpe, decontaminate, html, lm, neardup, quality, shards, tokenfiles, toxicity, urls
+
+ODD = ["a", "b", " ", "  ", "\n", "\t", "'s", "\x1c", "\x85", "é", "漢", "1", "２", "½", "<|endoftext|>", "🙂", "\u0301", "!", "...", "\u3000", "a" * 90, "Σ", "ΟΔΟΣ", "İ", "<|startoftext|>"]
+
+
+def odd_texts(n, seed=1):
+    random.seed(seed)
+    return ["".join(random.choice(ODD) for _ in range(random.randint(0, 25))) for _ in range(n)] + ["", None, "ab" * 4000 + "\n" * 200, "漢" * 900, " " * 300 + "x"]
+
+
+def test_bpe_equals_the_library():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        codec, library = bpe.codec(P.path(name)), Tokenizer.from_file(P.path(name))
+        texts = odd_texts(600)
+        for t, ids in zip(texts, codec.encode_many(texts), strict=True):
+            want = library.encode(t or "", add_special_tokens=False).ids
+            got = np.frombuffer(ids, np.int32)
+            assert got.tolist() == want, t
+            if name.startswith("byte"):
+                assert codec.decode(got.astype(np.int64)) == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_cuts_are_certain():
+    codec = bpe.codec(P.path("byte_bpe_50k.json"))
+    assert not codec.together[ord("a") << 8 | ord("\n")] and codec.together[ord("t") << 8 | ord("h")]
+    codec.memo.clear()
+    limit, bpe.MEMO = bpe.MEMO, 5  # the memo empties all the time: results stay
+    try:
+        assert codec.encode_many(["the cat sat on the mat"] * 3) == [codec.encode("the cat sat on the mat")] * 3
+    finally:
+        bpe.MEMO = limit
+
+
+def test_bpe_columns(spark):
+    docs = spark.createDataFrame([(1, "Hello there", "x"), (2, None, "y"), (2, "", "z")], "doc_id long, text string, ids string")
+    rows = bpe.with_text(bpe.with_ids(docs)).orderBy("doc_id", F.size("ids").desc()).collect()
+    assert [(r.decoded, len(r.ids)) for r in rows] == [("Hello there", 2), ("", 0), ("", 0)]
+    assert bpe.with_text(bpe.with_ids(docs.limit(0))).count() == 0
+
+
+def test_urls(spark):
+    rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "deep.org/a*z/"), ("allow", "deep.org")]
+    given = ["https://a.example.com/en/75", "https://A.Example.COM/en/8?x", "http://deep.org/abcz/q", "http://x.deep.org", "http://notdeep.org/a/", None, "no scheme", "", "x://com/en/"]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(given + given[:1])], "page_id long, url string, host string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages, rules).collect()}
+    assert got[0] == ("a.example.com", "/en/75", "example.com/en/7", "allow") and got[9] == got[0]
+    assert got[1] == ("a.example.com", "/en/8", "com/en/", "block")
+    assert got[2][2:] == ("deep.org/a*z/", "block") and got[3][2:] == ("deep.org", "allow")
+    assert got[4][2:] == (None, "allow") and got[5] == got[6] == got[7] == ("", "", None, "allow") and got[8][2:] == ("com/en/", "block")
+    assert urls.judge_urls(pages.limit(0), rules).count() == 0
+    assert urls.judge_urls(pages, []).filter("rule is not null").count() == 0
+
+
+def _contaminated(docs, items):
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    windows = [(i, tuple(w[p : p + min(13, len(w))])) for i, t in items for w in [words(t)] if w for p in range(max(1, len(w) - 12))]
+    for doc, t in docs:
+        w, hit, found = words(t), set(), set()
+        for i, g in windows:
+            for p in range(len(w) - len(g) + 1):
+                if tuple(w[p : p + len(g)]) == g:
+                    hit |= set(range(p, p + len(g)))
+                    found.add(str(i))
+        yield doc, len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_decontamination(spark):
+    random.seed(2)
+    vocabulary = ["a", "b", "C", "ü", "d1"]
+    text = lambda n: " ".join(random.choice(vocabulary) for _ in range(n))
+    items = [(i, text(random.choice([2, 5, 13, 20, 30]))) for i in range(12)] + [(50, None), (51, ""), (3, text(14))]
+    docs = [(i, text(random.randint(0, 60))) for i in range(20)]
+    docs += [(100 + i, text(9) + "! " + random.choice(items[:12])[1] + " " + text(400)) for i in range(12)] + [(7, None), (8, ""), docs[0]]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_hit", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in got.collect()) == sorted(_contaminated(docs, items))
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), none).filter("n_hit > 0").count() == 0
+
+
+def test_token_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(odd_texts(40, 4))] + [(3, "again"), (3, "again")], "doc_id long, text string")
+    tokenfiles.write_tokens(docs, f"{tmp_path}/t")
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = sorted(tokenfiles.read_tokens(spark, f"{tmp_path}/t").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in docs.collect())
+    at = 0
+    texts = Counter((r.doc_id, tuple(library.encode(r.text or "", add_special_tokens=False).ids + [1])) for r in docs.collect())
+    for r in rows:
+        assert r.start == at and r.n_tokens == len(r.ids)
+        at += r.n_tokens
+        texts[r.doc_id, tuple(r.ids)] -= 1
+    assert not any(texts.values())
+    sums = {(r.start, r.ids_crc32) for r in tokenfiles.read_checksums(spark, f"{tmp_path}/t").collect()}
+    assert sums == {(r.start, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in rows}
+    tokenfiles.write_tokens(docs.limit(0), f"{tmp_path}/e")
+    assert tokenfiles.read_tokens(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_code_lengths():
+    rng = np.random.default_rng(0)
+    for n, limit in ((1, 4), (2, 4), (9, 4), (200, 9), (200, 20)):
+        counts = {i: int(c) for i, c in enumerate(rng.zipf(1.3, n).clip(1, 10**6))}
+        lengths = tokenfiles.code_lengths(counts, limit)
+        assert max(lengths.values()) <= limit and sum(2.0**-b for b in lengths.values()) <= 1
+    fibonacci = {0: 1, 1: 1, 2: 2, 3: 3, 4: 5, 5: 8}
+    assert sum(fibonacci[i] * b for i, b in tokenfiles.code_lengths(fibonacci, 20).items()) == 45
+    assert max(tokenfiles.code_lengths(fibonacci, 3).values()) == 3
+
+
+def test_quality(spark):
+    random.seed(3)
+    texts = [None, "", "one", "a b c a b c", "x\n\ny\nx\n \nx", "# $ & word|", "w " * 5000] + [" ".join(random.choice("ab") for _ in range(n)) for n in (3, 7, 60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.j for r in docs.select("doc_id", quality.judgement(F.col("text"), [[quality.Condition("symbol_rate", True, 0.5)]]).alias("j")).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        ws = t.split()
+        win = Counter(tuple(ws[k : k + 3]) for k in range(len(ws) - 2))
+        covered = {k + d for k in range(len(ws) - 2) if win[tuple(ws[k : k + 3])] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if x.strip()]
+        g = got[i]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered))
+        assert g.base_failed == (len(ws) < 50 or 100 * len(covered) > 50 * len(ws)) and (g.kept or g.base_failed or g.rule)
+
+
+def test_decision_list():
+    random.seed(4)
+    rows = [{s: random.random() for s in quality.STATISTICS} | {"fold": i % 3} for i in range(600)]
+    for r in rows:
+        r["bad"] = int(r["symbol_rate"] > 0.8 or (r["upper_rate"] > 0.7 and r["shout_rate"] > 0.5))
+    rules = quality.learn_list(rows)
+    caught = lambda r: any(all(c.fits(r) for c in rule) for rule in rules)
+    assert sum(caught(r) == bool(r["bad"]) for r in rows) >= 0.97 * len(rows)
+    assert quality.learn_list([]) == [] and quality.learn_list([r | {"bad": 0} for r in rows]) == []
+
+
+def _components(docs, k, percent):
+    sets = {d: (lambda w: set() if not w else {tuple(w)} if len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)})((t or "").encode().lower().split()) for d, t in docs}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+def test_near_duplicates(spark):
+    random.seed(6)
+    words = [f"w{i}" for i in range(300)]
+    docs = []
+    for g in range(12):
+        base = [random.choice(words) for _ in range(random.choice([3, 30, 120]))]
+        for _ in range(random.randint(1, 9)):
+            own = list(base)
+            for _ in range(random.randint(0, len(base) // 10)):
+                own[random.randrange(len(own))] = random.choice(words)
+            docs.append((len(docs), " ".join(own)))
+    shared = " ".join(random.choice(words) for _ in range(60))  # a passage that many have, without being copies
+    docs += [(500 + i, shared + " " + " ".join(random.choice(words) for _ in range(25))) for i in range(40)]
+    docs += [(900, None), (901, ""), (902, " \n"), (903, "Single"), (904, "single")]
+    small, neardup.SMALL = neardup.SMALL, 3  # the exact join for the rest has work to do
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=2).collect()}
+    finally:
+        neardup.SMALL = small
+    assert got == _components(docs, 2, 80)
+    assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    again = neardup.near_duplicates(spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (6, "a b c d e f")], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in again.collect()) == [(5, 5), (5, 5), (6, 5)]
+
+
+def test_segments():
+    random.seed(7)
+    for _ in range(200):
+        s = [random.uniform(-3, 3) for _ in range(random.randint(1, 14))]
+        want = []
+
+        def split(a, b, s=s, want=want):
+            best = max(((sum(s[i : j + 1]), i, j + 1) for i in range(a, b) for j in range(i, b)), default=(0, 0, 0))
+            if best[0] > 0:
+                split(a, best[1])
+                want.append((best[1], best[2]))
+                split(best[2], b)
+
+        split(0, len(s))
+        assert [(a, b) for a, b, _ in toxicity.maximal_segments(np.array(s))] == want
+
+
+def test_toxicity(spark):
+    random.seed(8)
+    words = [f"clean{i}" for i in range(200)]
+    docs, labels = [], []
+    for i in range(400):
+        own = [random.choice(words) for _ in range(60)]
+        bad = i % 5 == 0
+        for _ in range(3 * bad):
+            own[random.randrange(60)] = "nasty" + random.choice("abcdef")
+        docs.append((i, " ".join(own)))
+        labels.append((i, int(bad)))
+    docs += [(1000, None), (1001, ""), (1002, "!!!"), (1003, "nastyz so nastyq")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.trained(table, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.t for r in table.select("doc_id", toxicity.scorer(spark, model)(F.col("text")).alias("t")).collect()}
+    held = [(d, y) for d, y in labels if toxicity.crc_held_out(d)]
+    assert sum((got[d].score >= 0.5) == bool(y) for d, y in held) >= 0.97 * len(held)
+    assert all(0 <= t.score <= 1 for t in got.values()) and got[1000].score == got[1001].score == got[1002].score < 0.5
+    assert got[1003].score >= 0.5 and got[1003].segments
+    assert spark.createDataFrame(docs, "doc_id long, text string").filter(toxicity.held_out(F.col("doc_id"))).count() == sum(zlib.crc32(str(d).encode()) % 5 == 0 for d, _ in docs)
+    empty = toxicity.trained(table, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert empty.probability(0.0, 0.0) < 0.5
+
+
+def test_lm(spark):
+    random.seed(9)
+    a, b = [f"good{i}" for i in range(30)], [f"other{i}" for i in range(30)]
+    docs = [(i, " ".join(random.choice(a if i % 2 else b) for _ in range(50))) for i in range(200)] + [(900, None), (901, "")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    target = spark.createDataFrame([(i,) for i in range(1, 200, 4)], "doc_id long")
+    got = {r.doc_id: r.lm for r in lm.scored(lm.with_target(table, target), lm.trained(table, target)).collect()}
+    assert max(got[i].score for i in range(3, 200, 4)) < min(got[i].score for i in range(0, 200, 2))  # unseen ones of the target's kind
+    assert got[900].n_tokens == got[901].n_tokens == 0 and got[900].score is None
+
+
+def test_shards(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "cast(id as string) as slot").union(spark.createDataFrame([(None, "n"), (7, "7"), (7, "7")], "doc_id long, slot string"))
+    now, grown = shards.into_shards(docs, shards.even_tree(16)), shards.even_tree(17)
+    rows = now.withColumn("grown", shards.shard_of(F.col("doc_id"), grown)).collect()
+    assert all(r.grown in (r.shard, 16) for r in rows) and any(r.grown == 16 for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(by) == 16 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert len({r.shard for r in rows if r.doc_id == 7}) == 1
+    heavy = {"r0": {"k": {0: 1.0}}, "r1": {"k": {1: 3.0, 2: 0.0}}}
+    sizes = Counter(r.s for r in spark.range(4000).select(shards.shard_of(F.col("id"), heavy).alias("s")).collect())
+    assert 2 not in sizes and abs(sizes[1] / sizes[0] - 3) < 0.5
+    assert shards.into_shards(docs.limit(0), shards.even_tree(16)).count() == 0
+
+
+def test_html(spark):
+    page = """<html><head><title>t</title><script>var a="<p>x</p>";</script></head><body><header><a href=/>Home</a></header><div id="cookie-banner">We use cookies to make this site work better for all of our many readers here.</div>
+    <article><h1>The &amp; title</h1><p>One<p>Two <a href="/x">linked</a>&nbsp;words<br>more</p><ul><li>item</li></ul><div class="comments"><p>I disagree with every single word of this long and winding article, sorry.</p></div></article>
+    <aside>Side text</aside><form><p>Your mail</p><input></form><footer>&copy; us</footer>"""
+    assert html.main_text(page) == "The & title\n\nOne\n\nTwo linked words more\n\nitem"
+    plain = "<body><ul><li><a href=/a>A</a></li><li><a href=/b>B</a></li></ul><h1>A heading of some words</h1><p>" + "word " * 60 + "</p><p>" + "more " * 50 + "</p><div><a href=/c>next page</a></div></body>"
+    assert html.main_text(plain) == "A heading of some words\n\n" + " ".join(["word"] * 60) + "\n\n" + " ".join(["more"] * 50)
+    assert html.main_text(None) == html.main_text("") == html.main_text("<script>x") == "" and isinstance(html.main_text("<p " + "a" * 5000), str)
+    rows = spark.createDataFrame([(1, page), (1, page), (2, None)], "page_id long, html string").select(html.extractor()(F.col("html")).alias("t")).collect()
+    assert sorted(r.t for r in rows) == sorted([html.main_text(page)] * 2 + [""])
+
+
+def test_digest(spark):
+    row = spark.createDataFrame([([5, 6, 70],)], "ids array<int>").select(bpe.digest(F.col("ids"))).first()
+    assert row[0] == hashlib.sha256(b"5,6,70").hexdigest()
