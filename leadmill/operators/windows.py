@@ -95,9 +95,8 @@ def nearest_phone(df: DataFrame, body: str, company: str, phones: str, out: str
     """Adds of several phones the one nearest the company's name in the text, other lines before free ones; the first
     where the name doesn't occur."""
     t = F.regexp_replace(text(F.col(body)), r"[-‐－ー()（） ]", "")
-    at = F.locate(F.regexp_replace(name_core(F.col(company), 10), r"[-‐－ー()（） ]", ""), t)
-    free = F.left
-    ranked = F.transform(F.col(phones), lambda p, i: F.struct(free(digits(p), F.lit(4)).isin("0120", "0800", "0570", "0990").alias("free"), F.when((at > 0) & F.contains(t, digits(p)), F.abs(F.locate(digits(p), t) - at)).otherwise(F.lit(1 << 30)).alias("distance"), i.alias("i"), p.alias("phone")))
+    at = F.position(F.regexp_replace(name_core(F.col(company), 10), r"[-‐－ー()（） ]", ""), t)
+    ranked = F.transform(F.col(phones), lambda p, i: F.struct(F.left(digits(p), F.lit(4)).isin("0120", "0800", "0570", "0990").alias("free"), F.when((at > 0) & F.contains(t, digits(p)), F.abs(F.position(digits(p), t) - at)).otherwise(F.lit(1 << 30)).alias("distance"), i.alias("i"), p.alias("phone")))
     return df.withColumn(out, F.array_min(ranked).phone)
 
 

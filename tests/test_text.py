@@ -50,7 +50,7 @@ def test_normalize_company(spark):
 
 
 def test_phones(spark):
-    got = apply(spark, T.extract_phone, ["+81-3-5555-1234", "０３－５５５５－１２３４", "03-1234-5678", "0120-123-456", "FAX: 03-9999-1111", None, "tel:0355551234", "06-6666-1234 090-1111-2345"])
+    got = apply(spark, T.extract_phone, ["+81-3-5555-1234", "０３－５５５５－１２３４", "03-1234-5678", "0120-123-456", "FAX: 03-9999-1111", None, "tel:0355551234", "06-6666-1234\n090-1111-2345"])
     assert got == ["03-5555-1234", "03-5555-1234", None, "0120-123-456", None, None, "03-5555-1234", "06-6666-1234"]
     sme = apply(spark, lambda c: T.extract_phones(c, "sme"), ["06-6666-1234\n090-1111-2345"])
     assert sme == [["090-1111-2345", "06-6666-1234"]]
@@ -67,7 +67,7 @@ def test_scores(spark):
 
 
 def test_entities_and_widths(spark):
-    assert apply(spark, T.unescape_entities, ["a&amp;b", "&#26666;&#x5F0F;", "A&nbsp;B", "x &foo y", None]) == ["a&b", "株式", "A B", "x  y", ""]
+    assert apply(spark, T.unescape_entities, ["a&amp;b", "&#26666;&#x5F0F;", "A&nbsp;B", "x &foo y", None]) == ["a&b", "株式", "A\xa0B", "x  y", ""]
     assert apply(spark, lambda c: T.to_halfwidth(T.to_fullwidth(c)), ["Ab 1-!"]) == ["Ab 1-!"]
 
 
