@@ -5,12 +5,13 @@ every pair of groups is one hash table, so COLLECTIONS * ROWS minhashes serve CO
 of twice the rows; two sets of similarity 0.8 meet in a table with probability 0.9998. Texts with equal sets are one
 class from the start. Candidates are then confirmed on full sets, and links join classes into components:
 
-1. In each bucket, every member is compared with the bucket's least member.
+1. ROUNDS times, every text is compared with one other: the least member of a bucket's least component, of all its
+   buckets the least that is of another component, fits in size and wasn't compared yet. Links join components.
 2. Buckets whose members are then of one component are done. In others of at most SMALL members, each pair of members
-   from different components is compared.
+   from different components that fit in size is compared.
 3. Members of larger open buckets are joined exactly, whatever their number: two sets of similarity s share one of
-   their n - ceil(s * n) + 1 rarest shingles, so pairs that share such a shingle, fit in size and are of different
-   components are compared.
+   their n - ceil(s * n) + 1 rarest shingles, early enough in both that what follows can make up the similarity. Pairs
+   of different components that share such a shingle and fit in size are compared.
 
 Large groups of copies or near copies thus cost a comparison a member, and no bucket is cut off.
 
@@ -35,6 +36,8 @@ ROWS = 3
 #: Pairs across components of so many members at most are listed bucket by bucket.
 SMALL = 24
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Rounds of one comparison a text before the rest is paired.
+ROUNDS = 2
 MEMO = 400_000
 _memo: dict[bytes, int] = {}
 
@@ -101,9 +104,9 @@ def described(docs: DataFrame, k: int, id_: str = "doc_id", text: str = "text")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, id): a row for each class and pair of collections."""
+    """(bucket, id, n): a row for each class and pair of collections."""
     keys = F.array(*[F.xxhash64(F.get("signature", F.lit(i)), F.get("signature", F.lit(j)), F.lit(i * COLLECTIONS + j)) for i, j in combinations(range(COLLECTIONS), 2)])
-    return classes.select(F.explode(keys).alias("bucket"), "id")
+    return classes.select(F.explode(keys).alias("bucket"), "id", F.col("n").cast("int").alias("n"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -147,17 +150,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "
     classes = rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("signature").alias("signature"))
     classes = written(classes, "classes")
     buckets = _buckets(classes)
-    least = buckets.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("size")).filter("size > 1")
-    members = written(buckets.join(least, "bucket"), "members")
-    stars = members.filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-    sizes = classes.select("id", "n")
-    stars = written(_sized(stars, sizes, percent), "stars")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = written(buckets.join(shared, "bucket"), "members")
     ids = written(members.select("id").distinct(), "ids")
     texts = docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).join(maybe_broadcast(ids), "id", "left_semi")
     texts = written(texts, "texts")
-    links = written(_confirmed(stars, texts, k, percent), "links")
-    parts = components(links)
-    rest = _across(members, parts, sizes, texts, k, percent).join(stars, ["a", "b"], "left_anti")
+    parts = classes.select("id", F.col("id").alias("component")).limit(0)
+    links = compared = None
+    for _ in range(ROUNDS):
+        pairs = written(_one_each(members, parts, compared, percent), "pairs")
+        compared = pairs if compared is None else compared.union(pairs)
+        more = written(_confirmed(pairs, texts, k, percent), "links")
+        links = more if links is None else links.union(more)
+        parts = components(links)
+    rest = _across(members, parts, texts, k, percent).join(compared, ["a", "b"], "left_anti")
     more = written(_confirmed(rest, texts, k, percent), "links")
     if more.limit(1).count():
         parts = components(links.union(more))
@@ -167,39 +173,57 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "
     return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    both = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+def _fits(a: str, b: str, percent: int):
+    """Column: two set sizes allow the similarity."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _across(members: DataFrame, parts: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _of_parts(members: DataFrame, parts: DataFrame) -> DataFrame:
+    return members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _one_each(members: DataFrame, parts: DataFrame, compared: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): for each text at most one other, the least center of its open buckets. At most a pair a text."""
+    known = _of_parts(members, parts)
+    centers = known.groupBy("bucket").agg(F.min(F.struct("component", "id", "n")).alias("c"), F.max("component").alias("hi")).filter("c.component < hi").select("bucket", "c")
+    pairs = known.join(centers, "bucket").filter(F.col("component") != F.col("c.component")).withColumn("nb", F.col("c.n")).filter(_fits("n", "nb", percent)).select(F.col("id").alias("a"), F.col("c.id").alias("b"))
+    if compared is not None:
+        pairs = pairs.distinct().join(compared, ["a", "b"], "left_anti")
+    return pairs.groupBy("a").agg(F.min("b").alias("b"))
+
+
+def _across(members: DataFrame, parts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Distinct pairs (a > b) that open buckets leave to be compared."""
-    known = members.select("bucket", "id", "size").join(parts, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
+    known = _of_parts(members, parts)
     open_ = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     known = written(known.join(open_, "bucket", "left_semi"), "open")
     few = known.filter(F.col("size") <= SMALL)
-    pairs = _pairs(few, "bucket")
-    large = known.filter(F.col("size") > SMALL).select("id", "component").distinct()
+    pairs = _pairs(few, "bucket", percent)
+    large = known.filter(F.col("size") > SMALL).select("id", "component", "n").distinct()
     if large.limit(1).count():
         large = written(large, "large")
         shingles = F.arrow_udf(lambda t: pa.array([shingle_set(x, k).view(np.int64).tolist() for x in t.to_pylist()], pa.list_(pa.int64())), "array<long>")
-        own = large.join(texts.groupBy("id").agg(F.min("text").alias("text")), "id").select("id", "component", F.explode(shingles(F.col("text"))).alias("shingle"))
+        own = large.join(texts.groupBy("id").agg(F.min("text").alias("text")), "id").select("id", "component", "n", F.explode(shingles(F.col("text"))).alias("shingle"))
         own = written(own, "shingles")
         uses = own.groupBy("shingle").agg(F.count("*").alias("uses")).filter("uses > 1")
         # shingles of one text can't be shared, but they are its rarest and fill its prefix first
-        ranked = own.join(uses, "shingle", "left").groupBy("id", "component").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "shingle"))).alias("all"))
+        ranked = own.join(uses, "shingle", "left").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "shingle"))).alias("all"))
         prefix = F.slice("all", F.lit(1), (F.size("all") - F.ceil(F.size("all") * F.lit(percent) / 100) + 1).cast("int"))
-        rare = ranked.select("id", "component", F.explode(prefix).alias("s")).filter("s.uses > 1").select("id", "component", F.col("s.shingle").alias("shingle"))
-        pairs = pairs.union(_pairs(rare, "shingle"))
-    return _sized(pairs.distinct(), sizes, percent)
-
-
-def _pairs(rows: DataFrame, key: str) -> DataFrame:
-    """Distinct pairs of different components under one key."""
-    left = rows.select(key, F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = rows.select(key, F.col("id").alias("b"), F.col("component").alias("cb"))
-    return left.join(right, key).filter("a > b and ca <> cb").select("a", "b").distinct()
+        rare = ranked.select("id", "component", "n", F.posexplode(prefix).alias("at", "s")).filter("s.uses > 1").select("id", "component", "n", "at", F.col("s.shingle").alias("shingle"))
+        pairs = pairs.union(_pairs(rare, "shingle", percent))
+    return pairs.distinct()
+
+
+def _pairs(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """Distinct pairs of different components under one key that fit in size; and, where rows say at which place of the
+    prefix the key is, in what can still follow."""
+    place = ["at"] if "at" in rows.columns else []
+    side = lambda s: rows.select(key, F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("component", "n", *place)])
+    good = (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b")) & _fits("n_a", "n_b", percent)
+    if place:
+        follow = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
+        good = good & (follow * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+    return side("a").join(side("b"), key).filter(good).select("a", "b").distinct()
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
