@@ -617,3 +617,177 @@ def _(spark, u):
 @query("h11_line_pairs", "SELECT c_custkey AS page_id, '株式会社' || substr(c_name, 10) || '商事' AS company FROM customer", pages=f"SELECT c_custkey AS page_id, 'お知らせ' || chr(10) || '会社名：株式会社' || substr(c_name, 10) || '商事' || chr(10) || '住所' || chr(10) || 'TEL：' || {DIGITS} AS text FROM {{customer}}")
 def _(spark, pages):
     return H.line_pairs(pages).select("page_id", "company")
+
+
+def _company(c: str = "c_name") -> str:
+    return f"'株式会社' || substr({c}, 10) || '商事'"
+
+
+RECORDS = f"SELECT c_custkey AS id, {_company()} AS company_name, {DIGITS} AS phone, 'https://c' || CAST(c_custkey AS STRING) || '.example.co.jp' AS base_url FROM {{customer}}"
+SAID = f"SELECT 'c' || CAST(c_custkey AS STRING) || '.example.co.jp' AS host, CASE c_custkey % 3 WHEN 0 THEN 'base' ELSE 'tokutei' END AS kind, '/law' AS path, '販売業者 ' || {_company()} || ' TEL ' || CASE WHEN c_custkey % 4 = 0 THEN '03-0000-1111' ELSE {DIGITS} END AS text FROM {{customer}}"
+
+
+@query("h18_verdicts", "SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN length(phone) >= 9 AND id % 4 <> 0 THEN 'base_ok' ELSE 'not_found' END WHEN length(phone) >= 9 AND id % 4 <> 0 THEN 'tokutei_ok' ELSE 'phone_mismatch' END AS result FROM rec", rec=RECORDS, said=SAID)
+def _(spark, rec, said):
+    return Q.verdicts(J.evidence(rec, said).withColumn("order", F.lit(0)))
+
+
+@query("j18_phone_on_domain", "SELECT id, CASE WHEN length(phone) >= 9 AND id % 4 <> 0 THEN '/law' ELSE '' END AS found_in FROM rec", rec=RECORDS, said=SAID)
+def _(spark, rec, said):
+    return J.phone_on_domain(rec, said).select("id", F.coalesce(F.array_join("found_in", "+"), F.lit("")).alias("found_in"))
+
+
+@query("j19_ttl_lookup", "SELECT id, CASE WHEN id % 7 < 3 THEN 't' || CAST(id AS VARCHAR) END AS tokutei_url FROM rec", rec=RECORDS)
+def _(spark, rec):
+    age = F.make_interval(hours=(F.col("id") % 7 * 24 + 1).cast("int"))
+    cache = rec.select("base_url", F.concat(F.lit("t"), F.col("id").cast("string")).alias("tokutei_url"), (F.lit(AS_OF).cast("timestamp") - age).alias("cached_at"))
+    return J.ttl_lookup(rec, cache, 72, AS_OF).select("id", "tokutei_url")
+
+
+@query("j20_phone_from_blocks", f"SELECT id, {_FORMAT.replace('d)', 'phone)').replace('(d,', '(phone,').replace('ELSE d END', 'ELSE phone END')} AS phone FROM rec WHERE length(phone) > 8 AND NOT regexp_matches(substr(phone, 5), '^(0{{6,}}|1{{6,}}|2{{6,}}|3{{6,}}|4{{6,}}|5{{6,}}|6{{6,}}|7{{6,}})$')", rec=RECORDS)
+def _(spark, rec):
+    found = rec.select(F.col("id").alias("query_id"), F.lit(0).alias("pos"), F.concat("company_name", F.lit(" 電話 "), "phone").alias("text"))
+    return J.phone_from_blocks(rec.select("id", F.col("id").alias("query_id"), F.col("company_name").alias("name")), found)
+
+
+@query("w5_nearest_pair", "SELECT DISTINCT ON (c.user_id) c.user_id AS doc_id, c.k AS company, p.k AS phone, abs(c.k - p.k) AS distance FROM l c JOIN l p ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'view' AND abs(c.k - p.k) <= 8 ORDER BY c.user_id, abs(c.k - p.k), c.k, p.k", l="SELECT user_id, event_type, CAST(event_id % 61 AS INT) AS k FROM {events}")
+def _(spark, lines):
+    rows = lines.select(F.col("user_id").alias("doc_id"), F.col("k").alias("line"), F.when(F.col("event_type") == "click", F.col("k")).alias("company"), F.when(F.col("event_type") == "view", F.col("k")).alias("phone"))
+    return W.nearest_pair(rows)
+
+
+@query("w8_latest_pending", "SELECT event_type AS problem, max(event_id) AS ts FROM events WHERE event_id % 3 = 0 GROUP BY 1", events="events")
+def _(spark, events):
+    return W.latest_pending(events.select(F.col("event_type").alias("problem"), F.col("event_id").alias("ts"), F.when(F.col("event_id") % 3 == 0, "pending").otherwise("done").alias("status"))).select("problem", "ts")
+
+
+@query("w9_resolve_fields", "SELECT id, 'phone' AS field, arg_min(phone, p) AS value FROM (SELECT id % 50 AS id, phone, id AS p FROM rec WHERE length(phone) > 8) GROUP BY id % 50, id", rec=RECORDS)
+def _(spark, rec):
+    c = rec.select((F.col("id") % 50).alias("id"), F.lit("phone").alias("field"), F.col("phone").alias("value"), F.col("id").alias("priority"), (F.length("phone") > 8).alias("ok"))
+    return W.resolve_fields(c, "id").select("id", "field", "value")
+
+
+@query("d4_merge_reextracted", "SELECT id, CASE WHEN id % 5 = 4 AND id % 2 = 0 THEN 'DELETE' WHEN id % 2 = 0 THEN CASE WHEN id % 3 = 0 THEN 'UPDATE' ELSE 'KEEP' END ELSE 'KEEP' END AS action FROM comp", comp=COMPANIES)
+def _(spark, comp):
+    new = comp.filter("id % 2 = 0").select("id", F.col("company_name"), F.when(F.col("id") % 3 == 0, "03-5555-1234").otherwise(F.col("phone")).alias("phone"))
+    return D.merge_reextracted(comp, new).select("id", "action")
+
+
+@query("d6_backfill_prefecture", """SELECT id, m AS pref_match, CASE WHEN m = 'mismatch' THEN CASE r WHEN 'S' THEN 'A' WHEN 'A' THEN 'B' ELSE 'C' END ELSE r END AS rank FROM (SELECT id, CASE WHEN left(phone, 4) = '0476' AND length(phone) = 10 THEN 'near' WHEN left(phone, 2) = '03' THEN 'match' WHEN left(phone, 3) = '045' THEN 'near' WHEN left(phone, 2) = '06' THEN 'mismatch' WHEN left(phone, 3) = '011' THEN 'mismatch' ELSE 'unknown' END AS m,
+ CASE WHEN id % 4 IN (3) OR seen_count >= 5 THEN 'S' WHEN id % 4 IN (0, 2) OR seen_count >= 3 THEN 'A' WHEN seen_count >= 2 THEN 'B' ELSE 'C' END AS r FROM comp)""", comp=COMPANIES + " WHERE c_custkey % 7 <> 0")
+def _(spark, comp):
+    own = comp.withColumn("ad_sources", F.split("ad_sources", "[+,]")).withColumns({"nta_prefecture": F.lit(None).cast("string"), "pref_match": F.lit(None).cast("string"), "phone_confidence": F.lit(0)})
+    registry = comp.select(F.col("corporate_number").alias("corp_number"), F.lit("東京都").alias("pref"))
+    return D.backfill_prefecture(own, registry, _rows(spark, PREFIXES, "prefix prefecture"), _rows(spark, NEIGHBOURS, "src dst")).select("id", "pref_match", "rank")
+
+
+@query("d13_rerank_by_evidence", "SELECT id, CASE WHEN s IS NULL THEN rank WHEN s >= 8 THEN 'S' WHEN s >= 5 THEN 'A' WHEN s >= 3 THEN 'B' ELSE 'C' END AS rank FROM comp LEFT JOIN (SELECT id, id % 10 AS s FROM comp WHERE id % 3 = 0) USING (id)", comp=COMPANIES)
+def _(spark, comp):
+    return D.rerank_by_evidence(comp, comp.filter("id % 3 = 0").select("id", (F.col("id") % 10).alias("score"))).select("id", "rank")
+
+
+@query("d15_rank_changes", "SELECT id FROM comp WHERE id = (SELECT min(id) FROM comp c2 WHERE c2.phone = comp.phone) AND phone IN (SELECT phone FROM dup) AND rank <> CASE WHEN id % 4 IN (0, 2, 3) OR seen_count + (SELECT count(*) FROM dup d WHERE d.phone = comp.phone) >= 5 THEN 'S' ELSE 'A' END", comp=COMPANIES, dup=f"SELECT {DIGITS} AS phone, '' AS base_url, 'Bing' AS source FROM {{customer}} WHERE c_custkey % 9 = 4")
+def _(spark, comp, dup):
+    return dedupe.apply_sightings(comp.withColumn("ad_sources", F.split("ad_sources", "[+,]")), dup)[1].select("id")
+
+
+@query("k4_tune", "SELECT source, CASE WHEN n % 10 = 0 THEN 7 ELSE 8 END AS cooling_hours, CASE WHEN n % 5 = 0 THEN 12 WHEN n % 5 > 2 THEN 8 ELSE 10 END AS min_delay, CASE WHEN n % 5 = 0 THEN 72 WHEN n % 5 > 2 THEN 51 ELSE 60 END AS max_delay FROM s", s="SELECT 's' || CAST(c_custkey AS STRING) AS source, c_custkey AS n FROM {customer}")
+def _(spark, s):
+    n = F.col("n")
+    settings = s.select("source", F.lit(8).alias("cooling_hours"), F.lit(10).alias("min_delay"), F.lit(60).alias("max_delay"))
+    stats = s.select("source", F.when(n % 10 == 0, 0.1).otherwise(0.5).alias("availability"), F.when(n % 5 == 0, 1).otherwise(20).alias("today"), F.lit(20.0).alias("baseline"), F.lit(0.0).alias("zero_rate"), F.lit(0.5).alias("extraction_rate"), (n % 5).alias("streak"))
+    return K.tune(settings, stats)
+
+
+@query("a11_geo_consistency", 'SELECT count_if(id % 4 = 0) AS "match", count_if(id % 4 = 1) AS near, count_if(id % 4 = 2) AS mismatch, count_if(id % 4 = 3) AS unknown, count_if(id % 4 < 2) / count(*) AS consistency FROM rec', rec=RECORDS)
+def _(spark, rec):
+    m = F.col("id") % 4
+    return Q.geo_consistency(rec.withColumn("pref_match", F.when(m == 0, "match").when(m == 1, "near").when(m == 2, "mismatch")))
+
+
+@query("p12_drop_junk", "SELECT id FROM rec WHERE NOT (id % 3 = 0 AND id % 2 = 0)", rec=RECORDS)
+def _(spark, rec):
+    blank = lambda c: F.when(F.col("id") % 3 == 0, "").otherwise(F.col(c))
+    aged = rec.select("id", blank("company_name").alias("company_name"), blank("phone").alias("phone"), F.when(F.col("id") % 2 == 0, F.lit("2024-01-01")).otherwise(F.lit("2024-01-19")).cast("date").alias("found_date"))
+    return D.drop_junk(aged, AS_OF, 7).select("id")
+
+
+@query("p17_recent", "SELECT event_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-20' - 3", events="events")
+def _(spark, events):
+    return Q.recent(events, "ts", AS_OF, 3).select("event_id")
+
+
+@query("u4_candidate_urls", "SELECT base_url AS site, base_url || p AS url FROM rec, (VALUES ('/law'), ('/company')) t(p) UNION ALL SELECT base_url, base_url || '/found' FROM rec", rec=RECORDS)
+def _(spark, rec):
+    sites = rec.select(F.col("base_url").alias("site"))
+    found = sites.select("site", F.explode(F.array(F.concat("site", F.lit("/law")), F.concat("site", F.lit("/found")))).alias("url")).withColumn("pos", F.lit(0))
+    return W.candidate_urls(found, sites, ["/law", "/company"]).select("site", "url")
+
+
+@query("s6_html_ad_links", "SELECT page_id, url FROM u", u=_URLS)
+def _(spark, u):
+    pages = u.select("page_id", F.concat(F.lit('<a href="https://x.example/aclk?sa=1&amp;adurl='), F.url_encode("url"), F.lit('">ad</a>')).alias("html"))
+    return S.ad_links_from_html(pages).select("page_id", "url")
+
+
+@query("s4_serp_ads", "SELECT page_id, url FROM u", u=_URLS)
+def _(spark, u):
+    ad = F.struct(F.lit("https://own.test/x").alias("link"), F.col("url").alias("url"))
+    body = u.select(F.col("page_id").cast("string").alias("keyword"), F.to_json(F.struct(F.array().cast("array<string>").alias("ads"), F.array(ad).alias("paidResults"))).alias("body"))
+    return S.ads_from_serp(body, "own.test").select(F.col("keyword").cast("long").alias("page_id"), "url")
+
+
+@query("s12_snapshot_flags", "SELECT page_id, regexp_matches(html, '(?i)captcha') AS captcha, html LIKE '%ual%' OR regexp_matches(html, '(?i)ual') AS ual, len(regexp_extract_all(html, '(?i)<h3')) AS results FROM pages", pages="pages")
+def _(spark, pages):
+    return H.snapshot_flags(pages).select("page_id", "captcha", "ual", "results")
+
+
+@query("s13_export_rows", "SELECT company_name, phone, rank, '' AS memo FROM comp", comp=COMPANIES)
+def _(spark, comp):
+    return D.export_rows(comp.withColumns({"found_date": F.lit(AS_OF).cast("date"), "industry": F.lit("")})).select("company_name", "phone", "rank", "memo")
+
+
+@query("h5_div_pairs", f"SELECT c_custkey AS page_id, {_company()} AS company FROM customer", pages=f"SELECT c_custkey AS page_id, '' AS url, '<body><nav><a><div>会社名：株式会社リンク</div></a></nav><div>会社名：' || {_company()} || '</div></body>' AS html FROM {{customer}}")
+def _(spark, pages):
+    return H.div_pairs(H.blocks(pages)).select("page_id", "company")
+
+
+@query("h3_h8_site_names", f"SELECT c_custkey AS page_id, {_company()} AS meta, {_company()} AS script FROM customer", pages=f"SELECT c_custkey AS page_id, '' AS url, '<head><meta property=\"og:site_name\" content=\"' || {_company()} || ' | top\"></head><script>x = (companyName: \"' || {_company()} || '\")</script>' AS html FROM {{customer}}")
+def _(spark, pages):
+    return H.site_names(pages).select("page_id", F.col("company").alias("meta")).join(H.spa_names(pages).select("page_id", F.col("company").alias("script")), "page_id")
+
+
+@query("h12_legal_block_phone", "SELECT c_custkey AS page_id, '06-6666-1234' AS phone FROM customer", pages=f"SELECT c_custkey AS page_id, '販売業者：株式会社別' || chr(10) || 'TEL：03-5555-1234' || chr(10) || '販売業者：' || {_company()} || chr(10) || 'TEL：06-6666-1234' AS text, {_company()} AS company FROM {{customer}}")
+def _(spark, pages):
+    return H.legal_block_phone(pages)
+
+
+@query("h16_merge_site_pages", "SELECT id % 40 AS site, arg_min(company_name, id) AS company, arg_min(phone, id) AS phone FROM rec WHERE id % 2 = 0 GROUP BY 1", rec=RECORDS + " WHERE c_custkey % 2 = 0 OR c_custkey % 40 IN (SELECT 0 WHERE false)")
+def _(spark, rec):
+    return H.merge_site_pages(rec.select((F.col("id") % 40).alias("site"), F.col("company_name").alias("company"), "phone", F.col("id").alias("ord")))
+
+
+@query("h21_guess_site", "SELECT c_custkey AS page_id, 'good' || CAST(c_custkey AS VARCHAR) || '.example' AS site FROM customer", pages="SELECT c_custkey AS page_id, '<cite>https://bad.example/x</cite><cite>Good' || CAST(c_custkey AS STRING) || '.example/y</cite>' AS html FROM {customer}")
+def _(spark, pages):
+    return H.guess_site(pages, ["bad"])
+
+
+@query("h22_case_clients", f"SELECT c_custkey AS page_id, {_company()} AS client, 'https://client.example/' AS site FROM customer", pages=f"SELECT c_custkey AS page_id, 'https://me.example/' AS url, '<body><p>企業名：' || {_company()} || '</p><a href=\"https://client.example/\">公式サイト</a></body>' AS html FROM {{customer}}")
+def _(spark, pages):
+    return H.case_clients(pages, ["me.example"])
+
+
+@query("h19_ad_evidence", "SELECT id, CAST(3 + id % 5 AS INT) AS score FROM rec", rec=RECORDS)
+def _(spark, rec):
+    own = rec.select("id", F.concat(F.lit("c"), F.col("id").cast("string"), F.lit(".example")).alias("domain"), (F.col("id") % 5).alias("quality"))
+    return H.ad_evidence(own, own.select("id", F.lit("serp").alias("kind"), F.concat(F.lit('<div class="ad">'), "domain", F.lit("</div>")).alias("html"))).select("id", "score")
+
+
+@query("r4_failure_streaks", None, tele=TELEMETRY)
+def _(spark, tele):
+    return R.failure_streak_alerts(tele.withColumn("ok", F.col("ok") & (F.col("id") % 2 == 0)), 3).select("source", "ts", "value")
+
+
+@query("r3_low_success", None, tele=TELEMETRY)
+def _(spark, tele):
+    return R.low_success_alerts(tele, 20).select("source", "ts", "value")

@@ -41,7 +41,7 @@ def ads_from_archive(df: DataFrame, blocked: list[str]) -> DataFrame:
 def ads_from_serp(df: DataFrame, own_host: str) -> DataFrame:
     """(keyword, url, company, pos) from result payloads df(keyword, body): the first ad list that isn't empty, of each ad
     the first usable address, not of the searched site itself, each once."""
-    lists = F.coalesce(*[F.expr(f"nullif(try_cast(try_variant_get(v, '$.{k}') as array<variant>), array())") for k in ("ads", "paidResults", "searchAds", "sponsored")])
+    lists = F.coalesce(*[F.expr(f"CASE WHEN size(try_cast(try_variant_get(v, '$.{k}') AS array<variant>)) > 0 THEN try_cast(try_variant_get(v, '$.{k}') AS array<variant>) END") for k in ("ads", "paidResults", "searchAds", "sponsored")])
     ads = df.withColumn("v", F.try_parse_json("body")).select("keyword", lists.alias("ads")).select("keyword", F.posexplode("ads").alias("pos", "v"))
     urls = F.array(*[F.expr(f"try_variant_get(v, '$.{k}', 'string')") for k in ("link", "url", "trackedLink", "displayLink", "domain")])
     full = F.transform(F.filter(urls, lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.when(is_http(x), F.coalesce(unwrap_tracker(x, own_host), x)).otherwise(F.concat(F.lit("https://"), x)))
