@@ -783,11 +783,13 @@ def _(spark, rec):
     return H.ad_evidence(own, own.select("id", F.lit("serp").alias("kind"), F.concat(F.lit('<div class="ad">'), "domain", F.lit("</div>")).alias("html"))).select("id", "score")
 
 
-@query("r4_failure_streaks", None, tele=TELEMETRY)
+@query("r4_failure_streaks", """, t AS (SELECT *, ok AND id % 2 = 0 AS good FROM tele WHERE kind = 'search'), g AS (SELECT *, sum(CAST(good AS INT)) OVER (PARTITION BY source ORDER BY ts, id) AS isl FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, isl ORDER BY ts, id) AS run FROM g WHERE NOT good) SELECT source, CAST(ts AS VARCHAR) AS ts, CAST(run AS DOUBLE) AS value FROM r WHERE run = 3""", tele=TELEMETRY)
 def _(spark, tele):
-    return R.failure_streak_alerts(tele.withColumn("ok", F.col("ok") & (F.col("id") % 2 == 0)), 3).select("source", "ts", "value")
+    return R.failure_streak_alerts(tele.withColumn("ok", F.col("ok") & (F.col("id") % 2 == 0)), 3).select("source", F.col("ts").cast("string").alias("ts"), "value")
 
 
-@query("r3_low_success", None, tele=TELEMETRY)
+@query("r3_low_success", """, w AS (SELECT source, ts, id, count(*) OVER l AS n, avg(CAST(ok AS INT)) OVER l AS rate FROM tele WHERE kind = 'extract' WINDOW l AS (PARTITION BY source ORDER BY ts, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+x AS (SELECT *, n >= 10 AND rate < 0.2 AS low FROM w) SELECT source, CAST(ts AS VARCHAR) AS ts, round(rate, 9) AS value FROM (SELECT *, lag(low, 1, false) OVER (PARTITION BY source ORDER BY ts, id) AS was FROM x) WHERE low AND NOT was""", tele=TELEMETRY)
 def _(spark, tele):
-    return R.low_success_alerts(tele, 20).select("source", "ts", "value")
+    return R.low_success_alerts(tele, 20, 0.2).select("source", F.col("ts").cast("string").alias("ts"), F.round("value", 9).alias("value"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leadmill.functions.text import calc_rank
@@ -162,20 +162,44 @@ class Silence(_Ordered):
         yield pd.DataFrame([(at, key[0], "silence", "critical", float(self.seconds))] if last else [], columns=["ts", "source", "problem", "severity", "value"])
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ALERT = "ts timestamp, source string, problem string, severity string, value double"
 
 
 def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, mode: str = "None", event_time: str = "") -> DataFrame:
-    """Needs the RocksDB state store on streams."""
+    """Sets the RocksDB state store, which such processors need, where the session has another."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return _timed(df).groupBy(key).transformWithStateInPandas(processor, ALERT, "append", mode, eventTimeColumnName=event_time)
 
 
-def low_success_alerts(tele: DataFrame, n: int = 100) -> DataFrame:
-    return _stateful(tele.filter("kind = 'extract'"), "source", LowSuccess(n))
+def _in_order(tele: DataFrame) -> list[str]:
+    return ["ts", "id"] if "id" in tele.columns else ["ts"]
+
+
+def _told(rows: DataFrame, problem: str, severity: str, value) -> DataFrame:
+    return rows.select(F.col("ts").cast("timestamp").alias("ts"), "source", F.lit(problem).alias("problem"), F.lit(severity).alias("severity"), value.cast("double").alias("value"))
+
+
+def low_success_alerts(tele: DataFrame, n: int = 100, share: float = 0.10) -> DataFrame:
+    """On a table windows say the same as the processor on a stream."""
+    own = tele.filter("kind = 'extract'")
+    if own.isStreaming:
+        return _stateful(own, "source", LowSuccess(n, share))
+    order = W.partitionBy("source").orderBy(*_in_order(own))
+    last = order.rowsBetween(-(n - 1), 0)
+    rated = own.withColumn("_rate", F.avg(F.col("ok").cast("double")).over(last)).withColumn("_low", (F.count(F.lit(1)).over(last) >= n // 2) & (F.col("_rate") < share))
+    first = rated.withColumn("_was", F.lag("_low", 1, False).over(order)).filter("_low and not _was")
+    return _told(first, "low_success", "warning", F.col("_rate"))
 
 
 def failure_streak_alerts(tele: DataFrame, n: int = 5) -> DataFrame:
-    return _stateful(tele.filter("kind = 'search'"), "source", FailureStreak(n))
+    own = tele.filter("kind = 'search'")
+    if own.isStreaming:
+        return _stateful(own, "source", FailureStreak(n))
+    order = W.partitionBy("source").orderBy(*_in_order(own))
+    island = own.withColumn("_island", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).filter("not ok")
+    run = F.row_number().over(W.partitionBy("source", "_island").orderBy(*_in_order(own)))
+    return _told(island.withColumn("_run", run).filter(F.col("_run") == n), "failure_streak", "critical", F.col("_run"))
 
 
 def suppress(alerts: DataFrame, repairs: DataFrame, hours: float = 2) -> DataFrame:
