@@ -4,12 +4,13 @@ Token log-odds with Dirichlet priors: the toxic share of the texts that use a wo
 five-letter stem, the stem's towards its four-letter stem, and that towards the share of all texts, so new inflections
 of known words count; log-odds within their standard error shrink towards 0. A linear-time scan over a text's word scores finds all maximal segments; a segment's significance follows the
 extreme-value law of maximal segments in clean texts, E = K * words * exp(-lambda * score), with K and lambda fitted
-to clean training texts. A text's score is a logistic function of the log E of its best segment and of the summed
-evidence of its significant ones.
+to the upper tail of clean training texts. A text's score is a logistic function of the log E of its best segment and of
+the summed scores of its three best.
 
-The model learns from labelled rows, at most TRAIN_ROWS distinct texts (those of least hash, a documented parameter).
+The model learns from labelled rows, at most TRAIN_ROWS (those of least hash, a documented parameter); of texts with one
+label and the same four longest words, which near copies share, it takes one.
 Counts of one half score the other half when the law and the logistic function are fitted. A null or empty text, or one
-without words, has no segments; its score is that of an E value of 1. Repeated rows get equal scores; texts are scanned
+without words, has no segments; its score is that of one word without any. Repeated rows get equal scores; texts are scanned
 whole. Without labels of both kinds every score is 0.
 """
 
@@ -35,8 +36,12 @@ ALPHA = 6.0
 MIN_COUNT = 3
 #: Log-odds taken off each word, so that clean text drifts down.
 DRIFT = 0.25
+#: Smaller positive log-odds count as none: else a plain word that a text repeats adds up.
+TELLING = 1.0
 #: Log-odds of so many standard errors are halved.
 SHRINK = 3.0
+#: Below this score of the best segment a text's other segments are not looked for.
+LEAST_SCORE = 1.0
 #: A segment of a smaller E value is significant.
 SIGNIFICANT = 0.05
 #: Entries of a worker's memo of words; it is emptied when full.
@@ -60,14 +65,15 @@ class Model:
     def word_score(self, word: str) -> float:
         got = self.memo.get(word)
         if got is None:
-            got = next((s for u in units(word) if (s := self.log_odds.get(u)) is not None), 0.0) - DRIFT
+            odds = next((s for u in units(word) if (s := self.log_odds.get(u)) is not None), 0.0)
+            got = (0.0 if 0 < odds < TELLING else odds) - DRIFT
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[word] = got
         return got
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of words; all maximal scoring segments as (first word, end, score), where any could be significant."""
+        """Number of words; all maximal scoring segments as (first word, end, score), or the best where it scores little."""
         words = _WORD.findall((text or "").lower())
         if not words:
             return 0, []
@@ -76,7 +82,7 @@ class Model:
         best = float((total[1:] - np.minimum.accumulate(total[:-1])).max())
         if best <= 0:
             return len(words), []
-        if self.log_e(best, len(words)) > 0:  # not even the best comes near: one segment tells all
+        if best < LEAST_SCORE:
             end = int(np.argmax(total[1:] - np.minimum.accumulate(total[:-1]))) + 1
             return len(words), [(int(np.argmin(total[:end])), end, best)]
         return len(words), maximal_segments(score)
@@ -84,24 +90,23 @@ class Model:
     def log_e(self, score: float, n: int) -> float:
         return self.log_k + math.log(max(n, 1)) - self.lam * score
 
-    def features(self, text: str | None) -> tuple[float, float, list]:
-        """-log E of the best segment, summed -log E of significant ones, and these as (first, end, score, E)."""
+    def evidence(self, n: int, scores: list[float]) -> tuple[float, float]:
+        """-log E of the best segment and the summed scores of the three best, within bounds."""
+        best = sorted(scores, reverse=True)[:3]
+        return max(-20.0, min(40.0, -self.log_e(best[0] if best else 0.0, n))) / 5, min(60.0, sum(best)) / 5
+
+    def judged(self, text: str | None) -> tuple[float, list[tuple[int, int, float, float]]]:
+        """Score, and significant segments as (first, end, score, E)."""
         n, found = self.segments(text)
-        if not found:
-            return 0.0, 0.0, []
         with_e = [(a, b, s, self.log_e(s, n)) for a, b, s in found]
-        kept = [(a, b, s, math.exp(min(e, 0.0))) for a, b, s, e in with_e if e < math.log(SIGNIFICANT)]
-        return -min(e for *_, e in with_e), sum(-e for *_, e in with_e if e < math.log(SIGNIFICANT)), kept
+        kept = [(a, b, s, math.exp(e)) for a, b, s, e in with_e if e < math.log(SIGNIFICANT)]
+        return self.probability(*self.evidence(n, [s for *_, s in found])), kept
 
     def probability(self, best: float, summed: float) -> float:
-        z = self.weights[0] + self.weights[1] * squashed(best) + self.weights[2] * squashed(summed)
+        z = self.weights[0] + self.weights[1] * best + self.weights[2] * summed
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def squashed(x: float) -> float:
-    return math.copysign(math.log1p(abs(x)), x)
-
-
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments in one pass: each candidate keeps the sums before it and up to its end, and merges
     back over candidates that it dominates."""
@@ -140,28 +145,33 @@ def log_odds(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict
                 return priors[stem]
         return base
 
+    def certainty(unit: str) -> float:
+        """How far the unit's own counts, under the prior of all texts, stand out of their standard error."""
+        t, c = counts[unit][0] + ALPHA * base, counts[unit][1] + ALPHA * (1 - base)
+        z2 = (math.log(t / c) - math.log(base / (1 - base))) ** 2 / (1 / t + 1 / c)
+        return z2 / (z2 + SHRINK * SHRINK)
+
     out = {}
     for unit, (t, c) in counts.items():
-        rho = min(max(prior(unit), 1e-4), 1 - 1e-4)
-        t, c = t + ALPHA * rho, c + ALPHA * (1 - rho)
-        odds = math.log(t / c) - math.log(base / (1 - base))
-        z2 = odds * odds / (1 / t + 1 / c)
-        out[unit] = odds * z2 / (z2 + SHRINK * SHRINK)
+        rho = min(max(prior(unit), 0.01), 0.95)
+        odds = math.log((t + ALPHA * rho) / (c + ALPHA * (1 - rho))) - math.log(base / (1 - base))
+        # a word is as certain as its stem: few uses of a known stem's inflection are enough
+        out[unit] = odds * max(certainty(u) for u in {unit, *units(unit.rstrip("*"))} if u in counts and len(u) <= len(unit) + 1)
     return out
 
 
 def fitted_law(scores: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """lambda and log K of the extreme-value law from best scores of clean texts of n words, by moments in turn."""
+    """lambda and log K of the extreme-value law from best scores of clean texts of n words: through two upper quantiles,
+    corrected for length in turn."""
+    low, high = 0.90, 0.99
+    spread = math.log(-math.log(low)) - math.log(-math.log(high))
     lam = 1.0
-    for _ in range(30):
+    for _ in range(50):
         rest = scores - np.log(np.maximum(n, 1)) / lam
-        spread = max(float(rest.std()), 1e-3)
-        new = math.pi / (spread * math.sqrt(6))
-        if abs(new - lam) < 1e-6:
-            break
-        lam = 0.5 * lam + 0.5 * new
-    rest = scores - np.log(np.maximum(n, 1)) / lam
-    return lam, lam * (float(rest.mean()) - 0.5772156649 / lam)
+        a, b = np.quantile(rest, [low, high])
+        lam = 0.5 * lam + 0.5 * min(10.0, spread / max(float(b - a), 1e-3))
+    a = float(np.quantile(scores - np.log(np.maximum(n, 1)) / lam, low))
+    return lam, lam * a + math.log(-math.log(low))
 
 
 def fitted_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -207,8 +217,10 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # three numbers a row, broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter("text is not null")
-    # copies count once: else a group of copies makes its plain words telling
-    rows = rows.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    # copies and near copies count once: else a group of them makes its plain words telling
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    longest = F.slice(F.sort_array(F.transform(words, lambda w: F.struct(-F.length(w), w))), 1, 4)
+    rows = rows.groupBy(F.xxhash64(longest).alias("h"), "toxic").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id"))
     rows = rows.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("h", F.lit("fold")), F.lit(2)).cast("int").alias("fold"))
     counted = rows.mapInArrow(_count_units, "fold int, unit string, toxic long, clean long").groupBy("fold", "unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = counted.groupBy("unit").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c))).alias(f"{c}{f}") for f in (0, 1) for c in ("toxic", "clean")]).na.fill(0)
@@ -232,18 +244,14 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
                 out.append((n, toxic, [s for *_, s in found]))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["n", "toxic", "scores"])
 
-    halves[0].log_k = halves[1].log_k = -1e9  # every text's segments are wanted here
     seen = [r for r in rows.mapInArrow(measure, "n long, toxic int, scores array<double>").collect() if r.n]
     out = model((0, 1))
     clean = [(max(r.scores, default=0.0), r.n) for r in seen if not r.toxic]
     if not clean or len(clean) == len(seen):
         return out
     out.lam, out.log_k = fitted_law(np.array([s for s, _ in clean]), np.array([n for _, n in clean]))
-    x = []
-    for r in seen:
-        e = [out.log_e(s, r.n) for s in r.scores]
-        x.append((squashed(-min(e, default=0.0)), squashed(sum(-v for v in e if v < math.log(SIGNIFICANT)))))
-    out.weights = fitted_logistic(np.array(x), np.array([float(bool(r.toxic)) for r in seen]))
+    x = np.array([out.evidence(r.n, list(r.scores)) for r in seen])
+    out.weights = fitted_logistic(x, np.array([float(bool(r.toxic)) for r in seen]))
     return out
 
 
@@ -255,15 +263,15 @@ def scorer(spark, model: Model) -> Callable:
     shared = spark.sparkContext.broadcast(model)  # bounded by the bounded sample that it comes from
 
     @F.arrow_udf(SEGMENTS)
-    def score(texts: pa.Array) -> pa.Array:
+    def scored(texts: pa.Array) -> pa.Array:
         m, out = shared.value, []
         for text in texts.to_pylist():
-            best, summed, kept = m.features(text)
-            out.append({"score": m.probability(best, summed), "segments": [dict(zip(("first", "end", "score", "e_value"), k, strict=True)) for k in kept]})
+            score, kept = m.judged(text)
+            out.append({"score": score, "segments": [dict(zip(("first", "end", "score", "e_value"), k, strict=True)) for k in kept]})
         kind = pa.struct([("score", pa.float64()), ("segments", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())])))])
         return pa.array(out, kind)
 
-    return score
+    return scored
 
 
 def crc_held_out(doc_id: int) -> bool:
