@@ -8,7 +8,7 @@ to the upper tail of clean training texts. A text's score is a logistic function
 the summed scores of its three best.
 
 The model learns from labelled rows, at most TRAIN_ROWS (those of least hash, a documented parameter); of texts with one
-label and the same four longest words, which near copies share, it takes one.
+label and the same four longest words, which near copies share, it takes one (of texts with few words, equal ones).
 Counts of one half score the other half when the law and the logistic function are fitted. A null or empty text, or one
 without words, has no segments; its score is that of one word without any. Repeated rows get equal scores; texts are scanned
 whole. Without labels of both kinds every score is 0.
@@ -220,7 +220,8 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     # copies and near copies count once: else a group of them makes its plain words telling
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     longest = F.slice(F.sort_array(F.transform(words, lambda w: F.struct(-F.length(w), w))), 1, 4)
-    rows = rows.groupBy(F.xxhash64(longest).alias("h"), "toxic").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id"))
+    same = F.when(F.size(words) >= 20, F.xxhash64(longest)).otherwise(F.xxhash64("text"))
+    rows = rows.groupBy(same.alias("h"), "toxic").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id"))
     rows = rows.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("h", F.lit("fold")), F.lit(2)).cast("int").alias("fold"))
     counted = rows.mapInArrow(_count_units, "fold int, unit string, toxic long, clean long").groupBy("fold", "unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = counted.groupBy("unit").agg(*[F.sum(F.when(F.col("fold") == f, F.col(c))).alias(f"{c}{f}") for f in (0, 1) for c in ("toxic", "clean")]).na.fill(0)
