@@ -5,9 +5,11 @@ of good quality, the background's all documents. A document's score is the mean
 loss less the background model's: the lower, the more it is like the target. A document's own counts are taken off the
 models that counted it, so none is scored by what it taught.
 
-The vocabulary is the most used words of all documents, VOCABULARY at most; others are one unknown word. Unigrams are counted
-exactly, bigrams in CELLS cells by hash, so a model has a fixed size and is broadcast; its counts come from all words of
-all documents, summed in each task before the shuffle. Probabilities are absolutely discounted and interpolated with
+Every word is a word of the vocabulary, and words, contexts and bigrams are counted exactly, by their strings, over all
+documents. Tasks cut their documents into chunks of CHUNK tokens or one document more. A chunk sends each of its distinct
+keys once, with its uses, to one of as many buckets as the input's size asks for; a bucket adds them up and answers each
+chunk; a chunk's documents are then scored with the answers. So no task or driver holds the model, a common bigram is one
+key a chunk, and what is gathered grows with the input. Probabilities are absolutely discounted and interpolated with
 unigrams, those with a uniform law.
 
 A null or empty text has no tokens and null losses and score. Repeated rows count and are scored as often as they
@@ -16,96 +18,208 @@ occur; texts are used whole. An empty target gives every document the uniform la
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from leadmill.llm.common import maybe_broadcast, table, written
 
-VOCABULARY = 65_536
-CELLS = 1 << 20
 DISCOUNT = 0.75
-#: Distinct words a task counts before it sends them on.
-WORDS_AT_ONCE = 400_000
+#: Tokens of a chunk, and characters of input a bucket.
+CHUNK = 1_000_000
+BUCKET_CHARS = 12_000_000
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+_LM = StructType([StructField("n_tokens", LongType()), *(StructField(k, DoubleType()) for k in ("target_loss", "background_loss", "score"))])
 
 
 def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
-def cell(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Cell of each pair of word ids."""
-    x = (left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - 20)).astype(np.int64)
-
-
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, uses) over all documents."""
+def packed(x) -> bytes:
+    raw = pickle.dumps(x, 5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unpacked(body: bytes):
+    return pickle.loads(pa.Codec("zstd").decompress(body[8:], int.from_bytes(body[:8], "little"), asbytes=True))
+
+
+class Chunk(NamedTuple):
+    """Documents of a chunk: the columns but the text, whether of the target, numbers of tokens, and ids (places among the
+    chunk's words by use) of each text that has tokens, its beginning included, as planes of bytes, which pack well."""
+
+    rows: pa.Table
+    target: np.ndarray
+    sizes: np.ndarray
+    planes: np.ndarray
+    sums: np.ndarray  # a checksum of each word, which deals out keys
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the word before each token and of the token."""
+        there = self.sizes[self.sizes > 0]
+        ids = np.ascontiguousarray(self.planes.T).view(np.int32).ravel().astype(np.int64)
+        first = np.zeros(len(ids) + 1, bool)
+        first[np.concatenate([[0], np.cumsum(there + 1)])] = True
+        at = np.flatnonzero(~first[:-1])
+        return ids[at - 1], ids[at]
+
+    def buckets(self, distinct: np.ndarray, n: int) -> np.ndarray:
+        """Bucket of each key: the distinct pairs, the words as contexts, the words."""
+        left = np.concatenate([self.sums[distinct >> 32], self.sums, self.sums])
+        right = np.concatenate([self.sums[distinct & 0xFFFFFFFF], np.full(len(self.sums), 1, np.uint64), np.full(len(self.sums), 2, np.uint64)])
+        x = (left << np.uint64(32) | right) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+
+
+def _lines(keys: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Ends of each string, from 0 on, and the bytes of all."""
+    ends = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
+    return ends, memoryview(keys.buffers()[2] or b"")
+
+
+def _tallied(chunk: Chunk, words: list[str], n: int) -> Iterator[tuple[int, bytes]]:
+    """Bucket and body of a chunk's keys."""
+    left, right = chunk.pairs()
+    distinct, which = np.unique(left << 32 | right, return_inverse=True)
+    taught = np.repeat(chunk.target, chunk.sizes)
+    uses = lambda at, size: np.stack([np.bincount(at, minlength=size), np.bincount(at[taught], minlength=size)])
+    counts = np.concatenate([uses(which, len(distinct)), uses(left, len(words)), uses(right, len(words))], 1).astype(np.int32)
+    strings = pa.array(words, pa.large_string())
+    # words hold no white space: "left right", "left " and "right" are never the same key
+    join = lambda a, b: pc.binary_join_element_wise(a, b, pa.scalar(" ", pa.large_string()))
+    keys = pa.concat_arrays([join(strings.take(pa.array(distinct >> 32)), strings.take(pa.array(distinct & 0xFFFFFFFF))), join(strings, pa.scalar("", pa.large_string())), strings])
+    bucket = chunk.buckets(distinct, n)
+    order = np.argsort(bucket, kind="stable")
+    keys = pc.binary_join_element_wise(keys.take(pa.array(order)), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+    ends, text = _lines(keys)
+    counts, bucket = counts[:, order], bucket[order]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=n))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(bucket[a]), packed((bytes(text[ends[a] : ends[b]]), counts[:, a:b]))
+
+
+def _keyed(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, body, words in zip(*(batch.column(c) for c in ("chunk", "body", "words")), strict=True):
+                for bucket, keys in _tallied(unpacked(body.as_py()), unpacked(words.as_py()), n):
+                    yield pa.RecordBatch.from_arrays([pa.array([number.as_py()], pa.int64()), pa.array([bucket], pa.int32()), pa.array([keys], pa.binary())], names=["chunk", "bucket", "body"])
+
+    return run
+
+
+def _chunked(kept: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        of, rows, texts, target, size = {"": 0}, [], [], [], 0
+
+        def out():
+            nonlocal number, of, rows, texts, target, size
+            words = list(of)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            ids = np.concatenate([np.concatenate([[0], t]) for t in texts if len(t)] or [np.empty(0)]).astype(np.int64)
+            order = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")
+            place = np.empty(len(words), np.int32)
+            place[order] = np.arange(len(words))
+            words = [words[k] for k in order]
+            planes = np.ascontiguousarray(place[ids].view(np.uint8).reshape(-1, 4).T)
+            chunk = Chunk(pa.Table.from_batches(rows).combine_chunks(), np.array(target, bool), sizes, planes, np.array([zlib.crc32(w.encode()) for w in words], np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed(chunk)], pa.binary()), pa.array([packed(words)], pa.binary())], names=["chunk", "body", "words"])
+            number += 1
+            of, rows, texts, target, size = {"": 0}, [], [], [], 0
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "uses"])
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(tokens(t))
-                if len(seen) > WORDS_AT_ONCE:
-                    yield out()
-                    seen.clear()
-        yield out()
-
-    return docs.select(text).mapInArrow(count, "word string, uses long").groupBy("word").agg(F.sum("uses").alias("uses"))
-
-
-def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most used words, at most size of them: those used more often than the least number of uses that would be too
-    many. Only these words and the distinct numbers of uses reach the driver."""
-    left, least = size, 0
-    for r in sorted(counts.groupBy("uses").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.uses):
-        if r.n > left:
-            least = r.uses
-            break
-        left -= r.n
-    return sorted(r.word for r in counts.filter(F.col("uses") > least).select("word").collect())
-
-
-class Ids:
-    """Word ids: 0 begins a text, 1 is the unknown word."""
-
-    def __init__(self, words: list[str]):
-        self.of = {w: i for i, w in enumerate(words, 2)}
-        self.size = len(words) + 2
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        get = self.of.get
-        return np.array([0, *[get(w, 1) for w in tokens(text)]], np.int64)
-
-
-class Model:
-    """Discounted bigram model from counts of words, of bigrams' cells, and of contexts."""
-
-    def __init__(self, unigrams: np.ndarray, cells: np.ndarray, contexts: np.ndarray):
-        self.unigrams, self.cells, self.contexts = unigrams, cells, contexts
-        self.total, self.seen, self.uniform = unigrams.sum(), int((unigrams > 0).sum()), 1 / len(unigrams)
-
-    def loss(self, ids: np.ndarray, own: bool) -> np.ndarray:
-        """Nats of each token after the first. own: the text was counted, so its counts are taken off first."""
-        left, right = ids[:-1], ids[1:]
-        at = cell(left, right)
-        pair, before, word, total = self.cells[at], self.contexts[left], self.unigrams[right], self.total
-        if own:
-            pair, before, word, total = pair - _uses(at), before - _uses(left), word - _uses(right), total - len(right)
-        seen = min(self.seen, total)
-        unigram = (np.maximum(word - DISCOUNT, 0) + DISCOUNT * seen * self.uniform) / total if total > 0 else np.full(len(right), self.uniform)
-        uses = np.maximum(before, 1)
-        # what a context leaves to words not seen after it: less, the more it was used
-        back = np.where(before > 0, DISCOUNT * np.minimum(1.0, 8 / np.sqrt(uses)), 1.0)
-        return -np.log((1 - back) * np.minimum(np.maximum(pair - DISCOUNT, 0) / uses, 1.0) + back * unigram)
+            begun = 0
+            for k, (t, good) in enumerate(zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True)):
+                texts.append(np.array([of.setdefault(w, len(of)) for w in tokens(t)], np.int32))
+                target.append(good)
+                size += len(texts[-1])
+                if size >= CHUNK:
+                    rows.append(batch.select(kept).slice(begun, k + 1 - begun))
+                    begun = k + 1
+                    yield from out()
+            if begun < batch.num_rows:
+                rows.append(batch.select(kept).slice(begun))
+        if texts:
+            yield from out()
+
+    return run
+
+
+class Counts(NamedTuple):
+    """Chunks of documents, written; the number of buckets; the documents' columns but the text."""
+
+    rows: DataFrame
+    buckets: int
+    kept: StructType
+
+
+def counted(docs: DataFrame, buckets: int | None = None) -> Counts:
+    """Chunks of docs(text, target, others)."""
+    if buckets is None:
+        buckets = 1 + (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS
+    kept = docs.drop("text").schema
+    return Counts(written(docs.mapInArrow(_chunked(kept.names), "chunk long, body binary, words binary"), "chunks"), buckets, kept)
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """Adds up a bucket's keys and answers its chunks; a row without a chunk has the bucket's share of the model's sizes."""
+    parts = [unpacked(b.as_py()) for b in group.column("body")]
+    arrays = []
+    for text, _ in parts:
+        ends = np.concatenate([[0], np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1]).astype(np.int64)
+        arrays.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(text)]))
+    coded = pa.concat_arrays(arrays).dictionary_encode()
+    at, distinct = coded.indices.to_numpy(), coded.dictionary
+    teaches = np.repeat(group.column("teaches").to_numpy(), [len(a) for a in arrays])
+    sums = np.stack([np.bincount(at, np.where(teaches, np.concatenate([c[k] for _, c in parts]), 0), len(distinct)) for k in (0, 1)]).astype(np.int64)
+    words = sums[:, ~pc.match_substring(distinct, b" ").to_numpy(zero_copy_only=False) & ~pc.equal(distinct, b"\n").to_numpy(zero_copy_only=False)]
+    chunks, bodies, begun = [None], [None], 0
+    for chunk, asks, a in zip(group.column("chunk").to_pylist(), group.column("asks").to_pylist(), arrays, strict=True):
+        if asks:
+            chunks.append(chunk)
+            bodies.append(packed(sums[:, at[begun : begun + len(a)]]))
+        begun += len(a)
+    sizes = [*words.sum(1).tolist(), *(words > 0).sum(1).tolist()]
+    bucket = group.column("bucket")[0].as_py()
+    columns = [pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int32()), pa.array(bodies, pa.binary()), pa.array([sizes] + [None] * (len(chunks) - 1), pa.list_(pa.int64()))]
+    return pa.Table.from_arrays(columns, names=["chunk", "bucket", "body", "sizes"])
+
+
+class Sizes(NamedTuple):
+    """Tokens and distinct words of a model, and words of the vocabulary that both models share."""
+
+    total: int
+    seen: int
+    words: int
+
+
+def losses(pair, before, word, own, spans: np.ndarray, sizes: Sizes) -> np.ndarray:
+    """Nats of each token, from the uses of its bigram, its context and itself in a model. own: the same uses in its text,
+    0 where the model didn't count the text; spans: numbers of tokens of the texts."""
+    pair, before, word = pair - own[0], before - own[1], word - own[2]
+    starts = np.cumsum(spans) - spans
+    counted = np.add.reduceat((own[2] > 0).astype(np.int64), starts)
+    # words that no other text holds
+    gone = np.add.reduceat(np.where((word == 0) & (own[2] > 0), 1 / np.maximum(own[2], 1), 0.0), starts)
+    total, seen = np.repeat(sizes.total - counted, spans), np.repeat(np.maximum(sizes.seen - np.rint(gone), 0), spans)
+    uniform = 1 / max(sizes.words, 1)
+    unigram = np.where(total > 0, (np.maximum(word - DISCOUNT, 0) + DISCOUNT * seen * uniform) / np.maximum(total, 1), uniform)
+    uses = np.maximum(before, 1)
+    # what a context leaves to words not seen after it: less, the more it was used
+    back = np.where(before > 0, DISCOUNT * np.minimum(1.0, 8 / np.sqrt(uses)), 1.0)
+    return -np.log((1 - back) * np.maximum(pair - DISCOUNT, 0) / uses + back * unigram)
 
 
 def _uses(x: np.ndarray) -> np.ndarray:
@@ -114,25 +228,27 @@ def _uses(x: np.ndarray) -> np.ndarray:
     return n[which]
 
 
-def _counted(ids, size: int):
-    """Tasks' sums: kind 0 unigrams, 1 contexts, 2 cells; of all rows and of target rows."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: np.zeros((2, n), np.int64) for k, n in ((0, size), (1, size), (2, CELLS))}
-        for batch in batches:
-            for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                x = ids.value(text)
-                if len(x) < 2:
-                    continue
-                for kind, at in ((0, x[1:]), (1, x[:-1]), (2, cell(x[:-1], x[1:]))):
-                    np.add.at(sums[kind][0], at, 1)
-                    if target:
-                        np.add.at(sums[kind][1], at, 1)
-        for kind, both in sums.items():
-            there = np.flatnonzero(both[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), kind), pa.int32()), pa.array(there, pa.int64()), pa.array(both[0][there], pa.int64()), pa.array(both[1][there], pa.int64())], names=["kind", "at", "background", "target"])
-
-    return count
+def _scores(chunk: Chunk, answers: dict[int, np.ndarray], n: int, target: Sizes, background: Sizes) -> pa.Array:
+    empty = pa.nulls(len(chunk.sizes), pa.float64())
+    spans = chunk.sizes[chunk.sizes > 0]
+    columns = [empty, empty, empty]
+    if len(spans):
+        left, right = chunk.pairs()
+        distinct, which = np.unique(left << 32 | right, return_inverse=True)
+        bucket = chunk.buckets(distinct, n)
+        order = np.argsort(bucket, kind="stable")
+        sums = np.empty((2, len(bucket)), np.int64)
+        sums[:, order] = np.concatenate([answers[b] for b in sorted(answers)], 1)
+        at = (which, left + len(distinct), right + len(distinct) + len(chunk.sums))
+        ends = np.cumsum(spans)
+        own = [np.concatenate([_uses(x[b - a : b]) for a, b in zip(spans, ends, strict=True)]) for x in (which, left, right)]
+        taught = np.repeat(chunk.target[chunk.sizes > 0], spans)
+        a = losses(*(sums[1][x] for x in at), [np.where(taught, x, 0) for x in own], spans, target)
+        b = losses(*(sums[0][x] for x in at), own, spans, background)
+        means = [np.add.reduceat(x, ends - spans) / spans for x in (a, b, a - b)]
+        where = pa.array(np.where(chunk.sizes > 0, np.cumsum(chunk.sizes > 0) - 1, 0), mask=chunk.sizes == 0)
+        columns = [pa.array(m).take(where) for m in means]
+    return pa.StructArray.from_arrays([pa.array(chunk.sizes), *columns], names=["n_tokens", "target_loss", "background_loss", "score"])
 
 
 def with_target(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -141,51 +257,38 @@ def with_target(docs: DataFrame, target: DataFrame) -> DataFrame:
     return docs.join(maybe_broadcast(known), "doc_id", "left").withColumn("target", F.coalesce("_target", F.lit(False))).drop("_target")
 
 
-def trained(docs: DataFrame, target: DataFrame) -> tuple[Ids, Model, Model]:
-    """Vocabulary, target model and background model from docs(doc_id, text) and the target's doc_ids."""
-    spark = docs.sparkSession
-    ids = Ids(vocabulary(written(word_counts(docs), "words")))
-    marked = with_target(docs.select("doc_id", "text"), target)
-    sums = marked.mapInArrow(_counted(spark.sparkContext.broadcast(ids), ids.size), "kind int, at long, background long, target long")
-    sums = sums.groupBy("kind", "at").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    # at most CELLS and twice VOCABULARY rows, whatever the input
-    got = sums.toArrow()
-    kind, at = got.column("kind").to_numpy(), got.column("at").to_numpy()
-
-    def model(name: str) -> Model:
-        n = got.column(name).to_numpy()
-        parts = []
-        for k, size in ((0, ids.size), (2, CELLS), (1, ids.size)):
-            part = np.zeros(size)
-            part[at[kind == k]] = n[kind == k]
-            parts.append(part)
-        return Model(*parts)
-
-    return ids, model("target"), model("background")
-
-
-def scored(docs: DataFrame, models: tuple[Ids, Model, Model], text: str = "text") -> DataFrame:
-    """Adds a struct `lm` of n_tokens, target_loss, background_loss and score to each row of docs, which the background
-    model counted; `target` says whether the target model did."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    @F.arrow_udf("struct<n_tokens: long, target_loss: double, background_loss: double, score: double>")
-    def score(texts: pa.Array, own: pa.Array) -> pa.Array:
-        ids, target, background = shared.value
-        out = []
-        for t, in_target in zip(texts.to_pylist(), own.to_pylist(), strict=True):
-            x = ids(t)
-            if len(x) < 2:
-                out.append({"n_tokens": 0})
-                continue
-            a, b = target.loss(x, in_target), background.loss(x, True)
-            out.append({"n_tokens": len(x) - 1, "target_loss": float(a.mean()), "background_loss": float(b.mean()), "score": float((a - b).mean())})
-        return pa.array(out, pa.struct([("n_tokens", pa.int64()), *((k, pa.float64()) for k in ("target_loss", "background_loss", "score"))]))
-
-    return docs.withColumn("lm", score(F.col(text), F.col("target")))
+def trained(docs: DataFrame, target: DataFrame) -> Counts:
+    """Counts of both models from docs(doc_id, text) and the target's doc_ids."""
+    return counted(with_target(docs.select("doc_id", "text"), target))
+
+
+def scored(docs: DataFrame, models: Counts) -> DataFrame:
+    """The columns of docs but the text, and a struct `lm` of n_tokens, target_loss, background_loss and score, for each
+    row of docs, which the background model counted; `target` says whether the target model did."""
+    return answered(counted(docs, models.buckets), models)
+
+
+def answered(asked: Counts, models: Counts) -> DataFrame:
+    """scored() for documents in chunks, which may be those that the models counted."""
+    n = models.buckets
+    known = lambda rows, asks, teaches: rows.mapInArrow(_keyed(n), "chunk long, bucket int, body binary").withColumns({"asks": F.lit(asks), "teaches": F.lit(teaches)})
+    keys = known(asked.rows, True, True) if asked is models else known(asked.rows, True, False).unionByName(known(models.rows, False, True))
+    sums = written(keys.groupBy("bucket").applyInArrow(_summed, "chunk long, bucket int, body binary, sizes array<long>"), "sums")
+    total = sums.filter("chunk IS NULL").agg(*[F.coalesce(F.sum(F.col("sizes")[k]), F.lit(0)) for k in range(4)]).first()
+    background, target = Sizes(total[0], total[2], total[2]), Sizes(total[1], total[3], total[2])
+    schema = StructType(asked.kept.fields).add("lm", _LM)
+    names = asked.kept.names
+
+    def score(documents: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = unpacked(documents.column("body")[0].as_py())
+        lm = _scores(chunk, {b: unpacked(x.as_py()) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("body"), strict=True)}, n, target, background)
+        return pa.Table.from_arrays([*(chunk.rows.column(c) for c in names), lm], names=[*names, "lm"])
+
+    documents = asked.rows.select("chunk", "body").groupBy("chunk")
+    return documents.cogroup(sums.filter("chunk IS NOT NULL").groupBy("chunk")).applyInArrow(score, schema)
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    target = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return scored(with_target(docs, target), trained(docs, target)).select("doc_id", "lm.n_tokens", "lm.target_loss", "lm.background_loss", "lm.score")
+    models = trained(docs, table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
+    return answered(models, models).select("doc_id", "lm.n_tokens", "lm.target_loss", "lm.background_loss", "lm.score")

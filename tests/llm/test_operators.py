@@ -274,3 +274,38 @@ def test_html(spark):
 def test_digest(spark):
     row = spark.createDataFrame([([5, 6, 70],)], "ids array<int>").select(bpe.digest(F.col("ids"))).first()
     assert row[0] == hashlib.sha256(b"5,6,70").hexdigest()
+
+
+def exact_lm(docs, good):
+    """Mean losses by plain counting: exact bigrams of all words, a text's own counts taken off."""
+    cut = {d: ["", *lm.tokens(t)] for d, t in docs}
+    count = lambda ds: (Counter(p for d in ds for p in zip(cut[d], cut[d][1:])), Counter(w for d in ds for w in cut[d][:-1]), Counter(w for d in ds for w in cut[d][1:]))  # noqa: E731, B905
+    vocabulary, out = len({w for c in cut.values() for w in c[1:]}), {}
+    for d, c in cut.items():
+        means = []
+        for ds in (good, list(cut)):
+            pair, left, word = count([x for x in ds if x != d])
+            total, losses = sum(word.values()), []
+            for a, b in zip(c, c[1:], strict=False):
+                unigram = (max(word[b] - 0.75, 0) + 0.75 * len(word) / vocabulary) / total if total else 1 / vocabulary
+                back = 0.75 * min(1, 8 / left[a] ** 0.5) if left[a] else 1.0
+                losses.append(-np.log((1 - back) * max(pair[a, b] - 0.75, 0) / max(left[a], 1) + back * unigram))
+            means.append(np.mean(losses) if losses else None)
+        out[d] = means
+    return out
+
+
+def test_lm_counts_every_bigram_and_word_exactly(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_CHARS", 500)
+    random.seed(4)
+    docs = [(i, " ".join(f"w{int(random.paretovariate(0.6)) % 5000}" for _ in range(random.randint(1, 60)))) for i in range(60)] + [(60, ""), (61, None), (62, "one-off Ωmega\x1cx")]
+    good = list(range(0, 60, 3))
+    table, target = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame([(i,) for i in good], "doc_id long")
+    want, models = exact_lm(docs, good), lm.trained(table, target)
+    for frame in (lm.answered(models, models), lm.scored(lm.with_target(table, target), models)):
+        got = {r.doc_id: r.lm for r in frame.collect()}
+        assert len(got) == len(docs)
+        for d, (a, b) in want.items():
+            assert (got[d].target_loss is None) == (a is None)
+            if a is not None:
+                assert abs(got[d].target_loss - a) < 1e-9 and abs(got[d].background_loss - b) < 1e-9
