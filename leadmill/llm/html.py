@@ -29,6 +29,14 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OTHER = frozenset("nav aside footer form fieldset menu dialog".split())
 _CONTENT = frozenset("article main".split())
+#: Elements whose end tags may be missing: what a start tag of that name ends, and the elements that bound the search.
+_CELLS = frozenset("table td th".split())
+_ENDS = {
+    "p": ({"p"}, _CELLS), "li": ({"li"}, _CELLS | {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, _CELLS | {"dl"}), "dd": ({"dt", "dd"}, _CELLS | {"dl"}),
+    "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), **{k: ({"tbody", "thead", "tfoot", "tr"}, {"table"}) for k in ("tbody", "thead", "tfoot")},
+}
+#: Start tags that end an open p.
+_END_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 _NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Parts of names of what isn't main text.
 _HINT = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|foot(?:er)?\w*|header|masthead|side(?:bar)?\w*|widget\w*|cookie\w*|consent|notice\w*|alert\w*|popup|modal|newsletter|subscri\w*|signup|login|comments?\w*|repl(?:y|ies)|disqus|share\w*|sharing|social\w*|related\w*|recommend\w*|contentinfo|navigation|complementary|search\w*|legal|copyright|tags?)(?=$|[-_\s\d])", re.I)
@@ -51,6 +59,15 @@ def blocks(page: str | None) -> list[Block]:
     link_parts: list[str] = []
     in_link = heading = 0
 
+    def end(names, bounds=()):
+        """Closes the nearest open element of one of the names, unless one of the bounds is nearer."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                del stack[k:]
+                return
+            if stack[k][0] in bounds:
+                return
+
     def flush():
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
@@ -83,7 +100,11 @@ def blocks(page: str | None) -> list[Block]:
         flush()
         in_link = 0
         heading = int(not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit())
-        if name in _VOID or name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and not _NAMES.search(m[4]):
+        if not closing and name in _END_P:
+            end({"p"}, _CELLS)
+        if not closing and name in _ENDS:
+            end(*_ENDS[name])
+        if name in _VOID:
             continue
         if not closing:
             named = " ".join(filter(None, (x for g in _NAMES.findall(m[4]) for x in g)))
@@ -92,10 +113,7 @@ def blocks(page: str | None) -> list[Block]:
             if not m[4].endswith("/"):
                 stack.append((name, int(other), int(name in _CONTENT)))
         else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            end({name}, _ENDS[name][1] - {name} if name in _ENDS else ())
     say(page[at:])
     flush()
     return out

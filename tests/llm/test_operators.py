@@ -309,3 +309,10 @@ def test_lm_counts_every_bigram_and_word_exactly(spark, monkeypatch):
             assert (got[d].target_loss is None) == (a is None)
             if a is not None:
                 assert abs(got[d].target_loss - a) < 1e-9 and abs(got[d].background_loss - b) < 1e-9
+
+
+def test_html_named_elements_end():
+    assert html.main_text('<article><p class="ad">Buy</p><p>Text</p></article>') == "Text"
+    assert html.main_text('<article><p class="notice">Buy<p>Text<div>more</div></article>') == "Text\n\nmore"
+    assert html.main_text('<article><ul><li class="ad">Buy<ul><li>in</li></ul>it</li><li>Text</li></ul>end</article>') == "Text\n\nend"
+    assert html.main_text('<main><table><tr><td class="sidebar">Side<td>Cell</td></tr><tr class="ad"><td>Buy<tr><td>Row</table>end</main>') == "Cell\n\nRow\n\nend"
