@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from leadmill.llm.common import table
 
-_DROPPED = "script|style|noscript|template|textarea|select|button|svg|math|iframe|object|head|title|option|datalist|canvas|audio|video"
+_DROPPED = "script|style|noscript|template|textarea|select|button|svg|annotation-xml|annotation|iframe|object|title|option|datalist|canvas|audio|video"
 #: Comments, elements that hold no text, and tags; an element without its end tag runs to the page's end.
 _MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({_DROPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mfenced mstyle mspace mpadded mphantom menclose merror".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OTHER = frozenset("nav aside footer form fieldset menu dialog".split())
 _CONTENT = frozenset("article main".split())
@@ -38,8 +38,12 @@ _ENDS = {
 #: Start tags that end an open p.
 _END_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 _NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: Parts of names of what isn't main text.
-_HINT = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|foot(?:er)?\w*|header|masthead|side(?:bar)?\w*|widget\w*|cookie\w*|consent|notice\w*|alert\w*|popup|modal|newsletter|subscri\w*|signup|login|comments?\w*|repl(?:y|ies)|disqus|share\w*|sharing|social\w*|related\w*|recommend\w*|contentinfo|navigation|complementary|search\w*|legal|copyright|tags?)(?=$|[-_\s\d])", re.I)
+#: Whole names of what isn't main text: parts that say so, and others beside them that say nothing (sidebar, site-footer, but not has-sidebar, tag-politics).
+_SAYS = r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|foot(?:er)?\w*|header|masthead|side(?:bar)?\w*|widget\w*|cookie\w*|consent|notice\w*|alert\w*|popup|modal|newsletter|subscri\w*|signup|login|comments?\w*|repl(?:y|ies)|disqus|share\w*|sharing|social\w*|related\w*|recommend\w*|contentinfo|navigation|complementary|search\w*|legal|copyright|tags?)\d*"
+_BESIDE = r"(?:\d+|area|bar|block|bottom|box|container|global|inner|left|links?|list|page|primary|right|secondary|section|site|slot|text|top|unit|wrap(?:per)?)"
+_HINT = re.compile(rf"(?:^|(?<=\s))(?:{_BESIDE}[-_]+)*{_SAYS}(?:[-_]+(?:{_SAYS}|{_BESIDE}))*(?=$|\s)", re.I)
+#: Never something else by their names.
+_NEVER = frozenset("html head body article main".split())
 
 
 class Block(NamedTuple):
@@ -54,7 +58,7 @@ class Block(NamedTuple):
 def blocks(page: str | None) -> list[Block]:
     """Flat blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # open containers: name, other, content
+    stack: list[tuple[str, int, int]] = []  # open containers: name, other (1 by tag, 2 by name), content
     parts: list[str] = []
     link_parts: list[str] = []
     in_link = heading = 0
@@ -109,7 +113,13 @@ def blocks(page: str | None) -> list[Block]:
         if not closing:
             named = " ".join(filter(None, (x for g in _NAMES.findall(m[4]) for x in g)))
             inside = any(s[2] for s in stack)
-            other = name in _OTHER or (name == "header" and not inside) or bool(_HINT.search(named))
+            other = name in _OTHER or (name == "header" and not inside)
+            if name in _CONTENT:
+                # what holds an article or main isn't something else by its name, but comments within an article are
+                within = next((k for k, x in enumerate(stack) if x[0] == "article"), len(stack)) if name == "article" else len(stack)
+                stack[:within] = [(x[0], int(x[1] == 1), x[2]) for x in stack[:within]]
+            elif not other and name not in _NEVER and _HINT.search(named):
+                other = 2
             if not m[4].endswith("/"):
                 stack.append((name, int(other), int(name in _CONTENT)))
         else:

@@ -316,3 +316,14 @@ def test_html_named_elements_end():
     assert html.main_text('<article><p class="notice">Buy<p>Text<div>more</div></article>') == "Text\n\nmore"
     assert html.main_text('<article><ul><li class="ad">Buy<ul><li>in</li></ul>it</li><li>Text</li></ul>end</article>') == "Text\n\nend"
     assert html.main_text('<main><table><tr><td class="sidebar">Side<td>Cell</td></tr><tr class="ad"><td>Buy<tr><td>Row</table>end</main>') == "Cell\n\nRow\n\nend"
+
+
+def test_html_names_of_pages_and_wrappers():
+    inner = "<article><p>Text</p></article>"
+    for a, b in (('<body class="has-sidebar">', "</body>"), ('<body class="no-sidebar">', ""), ('<body class="sidebar">', ""), ('<main id="search-main">', "</main>"), ('<div class="legal-news">', "</div>"), ('<main><div class="search">', "</div></main>")):
+        assert html.main_text(f"<html>{a}{inner}{b}") == "Text", a
+    assert html.main_text('<article class="post tag-politics"><p>Text</p><div class="site-footer related">Buy</div></article>') == "Text"
+    assert html.main_text('<article><p>Text</p><div class="comments"><article>No</article></div></article>') == "Text"
+    assert html.main_text("<aside><article>No</article></aside>" + inner) == "Text"
+    assert html.main_text("<html><head><title>T</title><meta charset=utf-8><body>" + inner) == html.main_text("<head><title>T</title>" + inner) == "Text"
+    assert html.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "So x=2 holds"
