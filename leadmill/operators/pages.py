@@ -1,8 +1,7 @@
 """Stored web pages to facts: names, phones, links, quality.
 
 What regular expressions can say is native. Only the tree needs Python: `blocks` turns pages into a table of elements in
-one pass, and everything after it is DataFrame work. Scripts and pages are cut to a length before heavy expressions, as
-documented at each constant. Null pages give no rows.
+one pass, and everything after it is DataFrame work. Pages and scripts are read whole. Null pages give no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +17,6 @@ from leadmill.functions.text import extract_phone, extract_phones, has, score_to
 from leadmill.functions.urls import host, host_contains_any, resolve_link
 from leadmill.operators.windows import first_per_key, nearest_pair
 
-#: Characters of a page that regular expressions look at.
-PAGE_CHARS = 500_000
-#: Characters of inline script that are searched for names.
-SCRIPT_CHARS = 100_000
 # Labels of a company's name, and of its phone, in tables and lists.
 COMPANY_LABELS = [
     "販売業者", "運営会社", "事業者名", "法人名", "会社名", "商号", "企業名", "提供者", "サービス提供者", "運営者", "発行者", "管理者", "事業者", "販売者",
@@ -105,7 +100,7 @@ def blocks(pages: DataFrame) -> DataFrame:
 
 def visible_text(c: Column) -> Column:
     """Text without scripts, styles and tags, spaces squeezed."""
-    t = F.regexp_replace(F.left(text(c), F.lit(PAGE_CHARS)), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    t = F.regexp_replace(text(c), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     t = unescape_entities(F.regexp_replace(t, r"(?s)<[^>]+>", " "))
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
@@ -122,7 +117,7 @@ def _inner(html: Column, tag: str) -> Column:
 
 def headline(html: Column) -> Column:
     """h1 (cut to 80), og:title, title (their first part), og:description; of 2 to 80 characters."""
-    h = F.left(text(html), F.lit(PAGE_CHARS))
+    h = text(html)
     h1 = _inner(h, "h1")
     part = lambda c: F.trim(F.get(F.split(c, r"\||｜| - |–|—"), F.lit(0)))
     good = lambda c: F.when(F.length(c).between(2, 80), c)
@@ -144,7 +139,7 @@ _TYPES = ["Organization", "Corporation", "LocalBusiness", "ProfessionalService",
 
 def _variants(pages: DataFrame) -> DataFrame:
     """(page_id, pos, v): objects of the page's JSON-LD scripts; lists and @graph are unrolled."""
-    bodies = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.left(text(F.col("html")), F.lit(PAGE_CHARS)), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))).alias("pos", "body"))
+    bodies = pages.select("page_id", F.posexplode(F.regexp_extract_all(text(F.col("html")), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))).alias("pos", "body"))
     v = bodies.select("page_id", "pos", F.try_parse_json("body").alias("v")).filter("v is not null")
     top = v.select("page_id", "pos", F.explode(F.coalesce(F.expr("try_cast(v as array<variant>)"), F.array("v"))).alias("v"))
     graph = top.select("page_id", "pos", F.explode(F.expr("try_cast(try_variant_get(v, '$[\"@graph\"]') as array<variant>)")).alias("v"))
@@ -172,7 +167,7 @@ def jsonld_orgs(pages: DataFrame) -> DataFrame:
 
 def site_names(pages: DataFrame) -> DataFrame:
     """(page_id, company, pos): valid parts of site-name meta tags."""
-    tags = F.array(*[F.struct(F.lit(i).alias("i"), _meta(F.left(text(F.col("html")), F.lit(PAGE_CHARS)), n).alias("c")) for i, n in enumerate(("og:site_name", "application-name", "author", "copyright", "publisher"))])
+    tags = F.array(*[F.struct(F.lit(i).alias("i"), _meta(text(F.col("html")), n).alias("c")) for i, n in enumerate(("og:site_name", "application-name", "author", "copyright", "publisher"))])
     each = pages.select("page_id", F.explode(tags).alias("t")).select("page_id", F.col("t.i").alias("i"), F.posexplode(F.split("t.c", r"\s*[|｜/／:：–—]\s*|\s+-\s+")).alias("j", "company"))
     strict = is_valid_company(F.col("company"))
     return each.withColumn("company", F.trim("company")).filter(strict | is_valid_company_labelled(F.col("company"))).select("page_id", "company", (F.col("i") * 100 + F.col("j") + F.when(strict, 0).otherwise(1000)).alias("pos"))
@@ -226,8 +221,8 @@ def container_pairs(b: DataFrame) -> DataFrame:
 
 def spa_names(pages: DataFrame) -> DataFrame:
     """(page_id, company, pos): names under company keys in embedded JSON and inline scripts."""
-    scripts = F.array_join(F.regexp_extract_all(F.left(text(F.col("html")), F.lit(PAGE_CHARS)), F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n")
-    found = F.regexp_extract_all(F.left(scripts, F.lit(SCRIPT_CHARS)), F.lit(r"[\"']?(?:companyName|company_name|corporateName|corporationName|legalName|operatorName|company|corp_name|organizationName)[\"']?\s*[:=]\s*[\"']([^\"'\n]{2,80})[\"']"), F.lit(1))
+    scripts = F.regexp_extract_all(text(F.col("html")), F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1))
+    found = F.flatten(F.transform(scripts, lambda x: F.regexp_extract_all(x, F.lit(r"[\"']?(?:companyName|company_name|corporateName|corporationName|legalName|operatorName|company|corp_name|organizationName)[\"']?\s*[:=]\s*[\"']([^\"'\n]{2,80})[\"']"), F.lit(1))))
     each = pages.select("page_id", F.posexplode(found).alias("pos", "company"))
     return each.filter(is_valid_company(F.col("company")) | is_valid_company_labelled(F.col("company")))
 
@@ -236,7 +231,7 @@ def page_company(pages: DataFrame, b: DataFrame | None = None) -> DataFrame:
     """(page_id, company, source): the first source that names a valid company: JSON-LD, microdata, script data, meta tags,
     title, headings, elements of a company's class, tables, divs, labels in the text."""
     b = blocks(pages) if b is None else b
-    html = F.left(text(F.col("html")), F.lit(PAGE_CHARS))
+    html = text(F.col("html"))
     parts = lambda c: F.explode(F.split(c, r"\s*[|｜]\s*|\s+[-–—]\s+"))
     titles = pages.select("page_id", parts(_inner(html, "title")).alias("company"), F.lit("title").alias("source"), F.lit(4).alias("tier"), F.lit(0).alias("pos"))
     heads = b.filter("tag in ('h1', 'h2')").select("page_id", F.col("text").alias("company"), F.lit("heading").alias("source"), F.lit(5).alias("tier"), "pos")
@@ -252,7 +247,7 @@ def page_company(pages: DataFrame, b: DataFrame | None = None) -> DataFrame:
 
 def visible_text_lines(c: Column) -> Column:
     """Visible text with a line for each block."""
-    t = F.regexp_replace(F.left(text(c), F.lit(PAGE_CHARS)), r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", " ")
+    t = F.regexp_replace(text(c), r"(?is)<(script|style)[^>]*>.*?</\1>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)</?(?:p|div|li|tr|td|th|dt|dd|h[1-6]|br|section|article|footer|header|table|ul|ol|dl)\b[^>]*>", "\n")
     t = unescape_entities(F.regexp_replace(t, r"(?s)<[^>]+>", ""))
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f　]+", " "), r" ?\n[ \n]*", "\n"))
@@ -268,7 +263,7 @@ def page_phones(pages: DataFrame, b: DataFrame | None = None) -> DataFrame:
         (b.filter("tag = 'a' and lower(attrs['href']) like 'tel:%'"), a["href"]), (b.filter("attrs['data-tel'] is not null or attrs['data-phone'] is not null"), F.coalesce(a["data-tel"], a["data-phone"])),
         (b.filter("tag = 'address'"), F.col("text")), (b.filter("attrs['aria-label'] is not null"), a["aria-label"]), (b.filter("tag = 'img'"), a["alt"]),
         (b.filter("tag = 'input' and attrs['value'] is not null"), a["value"]), (b.filter(F.exists(F.map_keys("attrs"), lambda k: F.startswith(k, F.lit("data-")))), F.array_join(F.map_values("attrs"), "\n")),
-        (b.filter("tag = 'script'"), F.left("text", F.lit(SCRIPT_CHARS))), (b.filter("tag = 'meta'"), a["content"]), (b.filter("attrs['itemprop'] = 'telephone'"), F.coalesce(a["content"], F.col("text"))),
+        (b.filter("tag = 'script'"), F.col("text")), (b.filter("tag = 'meta'"), a["content"]), (b.filter("attrs['itemprop'] = 'telephone'"), F.coalesce(a["content"], F.col("text"))),
         (b.filter(F.rlike(named, F.lit("tel|phone|contact"))), F.col("text")),
     ]
     rows = [d.select("page_id", F.explode(F.filter(F.concat(F.array(extract_phone(c)), extract_phones(c)), lambda x: x.isNotNull())).alias("phone"), F.lit(i).alias("tier"), "pos") for i, (d, c) in enumerate(places)]
@@ -317,7 +312,7 @@ def legal_block_phone(pages: DataFrame, company: str = "company", max_dist: int
 
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, url, href, said, tag, pos) of every anchor."""
-    anchors = F.regexp_extract_all(F.left(text(F.col("html")), F.lit(PAGE_CHARS)), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
+    anchors = F.regexp_extract_all(text(F.col("html")), F.lit(r"(?is)<a\b[^>]*>.*?</a\s*>"), F.lit(0))
     each = pages.select("page_id", "url", F.posexplode(anchors).alias("pos", "tag"))
     href = unescape_entities(F.regexp_extract("tag", r"(?is)href\s*=\s*[\"']?([^\"'\s>]+)", 1))
     return each.select("page_id", "url", href.alias("href"), visible_text(F.col("tag")).alias("said"), "tag", "pos")
@@ -399,8 +394,8 @@ def case_clients(pages: DataFrame, excluded: list[str]) -> DataFrame:
     said = visible_text_lines(F.col("html"))
     label = F.regexp_extract(said, r"(?:導入企業|お客様名|企業名|会社名|クライアント)\s*[：:]?\s*\n?([^\n：:]{2,60})", 1)
     form = r"((?:株式会社|有限会社|合同会社)[^\s|｜]{2,20}|[^\s|｜]{2,20}(?:株式会社|有限会社|合同会社))"
-    title = F.regexp_extract(_inner(F.left(text(F.col("html")), F.lit(PAGE_CHARS)), "h1"), form, 1)
-    title2 = F.regexp_extract(_inner(F.left(text(F.col("html")), F.lit(PAGE_CHARS)), "title"), form, 1)
+    title = F.regexp_extract(_inner(text(F.col("html")), "h1"), form, 1)
+    title2 = F.regexp_extract(_inner(text(F.col("html")), "title"), form, 1)
     good = lambda c: F.when(is_valid_company_labelled(F.trim(c)), F.trim(c))
     names = pages.select("page_id", "url", F.coalesce(good(label), good(title), good(title2)).alias("client"))
     out = links(pages).filter(has(F.col("said"), "公式|サイト|ホームページ|https?://")).withColumn("site", resolve_link(F.col("url"), F.col("href"), True)).filter("site is not null")

@@ -67,3 +67,13 @@ def test_line_pairs(spark):
 def test_nearest_phone(spark):
     rows = spark.createDataFrame([("東京店 03-5555-1111 本社 株式会社田中 06-6666-1234", "株式会社田中", ["03-5555-1111", "06-6666-1234"]), ("", "x", []), ("a", "x", ["03-5555-1111"])], "body string, company string, phones array<string>")
     assert sorted(str(r.phone) for r in W.nearest_phone(rows, "body", "company", "phones").collect()) == ["03-5555-1111", "06-6666-1234", "None"]
+
+
+def test_long_pages_are_read_whole(spark):
+    late = '<script>var big = 1;</script><script>var a = {"companyName": "株式会社後方商事"};</script><h1>Late</h1><a href="/late">late link</a><p>late text</p>'
+    page = "<html><body><script>" + "x" * 150_000 + "</script>" + "<p>word</p>" * 50_000 + late + "</body></html>"
+    pages = spark.createDataFrame([(1, "https://a.example.com/", page)], "page_id long, url string, html string")
+    assert "late text" in pages.select(H.visible_text(F.col("html")).alias("t")).first().t
+    assert "late text" in pages.select(H.visible_text_lines(F.col("html")).alias("t")).first().t
+    assert [r.company for r in H.spa_names(pages).collect()] == ["株式会社後方商事"]
+    assert any("/late" in str(r) for r in H.links(pages).collect())
