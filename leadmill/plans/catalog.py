@@ -61,7 +61,7 @@ LOG = """SELECT p_name || ' ' || CAST(p_partkey AS STRING) AS keyword, CASE p_pa
 AREAS = "SELECT r_name AS name FROM {region}"
 REGISTRY = "SELECT p_partkey AS corp_number, '株式会社' || p_name || ' ' || CAST(p_partkey % 500 AS STRING) AS name, p_brand AS pref FROM {part}"
 NAMES = "SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN '株式会社' || p_name || ' ' || CAST(p_partkey % 500 AS STRING) WHEN 1 THEN p_name || ' ' || CAST(p_partkey % 500 AS STRING) || '株式会社' WHEN 2 THEN p_name || CAST(p_partkey % 500 AS STRING) ELSE p_name || ' unknown ' || CAST(p_partkey AS STRING) END AS name FROM {part}"
-SIGHTINGS = "SELECT user_id, event_type, event_id FROM {events} WHERE event_id % 97 < 29"
+SIGHTINGS = "SELECT user_id, event_type, event_id FROM {events}"
 TELEMETRY = "SELECT CAST(ts AS TIMESTAMP) AS ts, event_id AS id, event_type AS source, CASE event_id % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'extract' ELSE 'write' END AS kind, CASE WHEN value > 60 THEN 1 ELSE 0 END AS n, value > 40 AS ok FROM {events}"
 LINES = "SELECT substr(CAST(ts AS STRING), 1, 19) || ' [' || upper(event_type) || '] ' || CASE event_id % 6 WHEN 0 THEN 'CAPTCHA seen' WHEN 1 THEN 'ERROR browser start failed' ELSE 'found ' || CAST(event_id % 17 AS STRING) || '件' END AS value FROM {events}"
 PREFIXES = [("03", "東京都"), ("06", "大阪府"), ("045", "神奈川県"), ("0476", "千葉県"), ("011", "北海道")]

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from leadmill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline")
@@ -40,3 +41,9 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
+
+
+def test_sightings_are_all_events(spark, duck):
+    got = entry.queries()["a12_sightings"](spark, SF).count(), duck.sql(entry.oracle_sql()["a12_sightings"]).fetchall()
+    assert got[0] == len(got[1])
+    assert "% 97" not in catalog.SIGHTINGS
