@@ -6,11 +6,11 @@ package merging with at most MAX_BITS bits, codes are canonical, so the lengths
 small table. Decoding peeks MAX_BITS bits at each checkpoint of a block, looks symbol and length up in one table and
 steps all checkpoints on side by side.
 
-Tables under a path: `tokens` (doc_id, n_tokens, ids: as they come), `lengths` (id, bits), `blocks` (part, block, first
-token, documents, bits, offsets). Parts are ranges of document ids; a part's place among all tokens is the sum of those
-before it, found from one row a part.
+Tables under a path: `lengths` (id, bits), `blocks` (part, block, first token, documents, bits, offsets); while they are
+made also `tokens` (the documents' ids as they come, and each task's counts). Parts are ranges of document ids; a part's
+place among all tokens is the sum of those before it, found from one row a part.
 
-Null and empty texts have the end id alone. Rows that repeat a doc_id are kept, in order of their tokens' checksum.
+Null and empty texts have the end id alone. A null doc_id comes before all others. Rows that repeat a doc_id are kept, in order of their tokens' checksum.
 Texts are encoded whole. Empty tables give empty files.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -27,13 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadmill.llm.bpe import codec
-from leadmill.llm.common import shared_folder, table
+from leadmill.llm.common import dropped, shared_folder, table
 
 MAX_BITS = 20
 #: Tokens between two checkpoints.
 STRIDE = 256
 #: A block ends with the document that brings it to so many tokens.
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 19
+#: Tokens whose bits are packed at once.
+PACKED = 1 << 17
 END_ID = 1
 
 
@@ -86,62 +89,66 @@ class Code:
         """The bits of ids, and the bit offset of every STRIDE-th."""
         n = self.bits[ids]
         ends = np.cumsum(n)
-        offsets = (ends - n)[::STRIDE]
-        out = []
-        carry = np.zeros(0, np.uint8)
-        for at in range(0, len(ids), 1 << 16):  # 32 bytes a token while it is packed
-            part, m = ids[at : at + (1 << 16)], n[at : at + (1 << 16)]
-            left = (self.code[part].astype(np.uint64) << (32 - m).astype(np.uint64)).astype(">u4")
-            rows = np.unpackbits(left.view(np.uint8).reshape(-1, 4), axis=1)
-            bits = np.concatenate((carry, rows[np.arange(32) < m[:, None]]))
-            whole = len(bits) // 8 * 8
-            out.append(np.packbits(bits[:whole]).tobytes())
-            carry = bits[whole:]
-        out.append(np.packbits(carry).tobytes())
-        return b"".join(out), offsets
+        at = ends - n
+        bits = int(ends[-1]) if len(ends) else 0
+        out = np.zeros((bits >> 5) + 2, np.uint64)
+        for k in range(0, len(ids), PACKED):  # each code lies in two neighbouring 32-bit words, and shares no bit
+            p, m = at[k : k + PACKED], n[k : k + PACKED]
+            both = self.code[ids[k : k + PACKED]].astype(np.uint64) << (64 - (p & 31) - m).astype(np.uint64)
+            first = int(p[0]) >> 5
+            word = (p >> 5) - first
+            size = int(word[-1]) + 2
+            sums = np.bincount(word, both >> np.uint64(32), size) + np.bincount(word + 1, both & np.uint64(0xFFFFFFFF), size)
+            out[first : first + size] += sums.astype(np.uint64)
+        return out.astype(">u4").tobytes()[: (bits + 7) // 8], at[::STRIDE]
 
     def decode(self, packed: bytes, offsets: np.ndarray, count: int) -> np.ndarray:
         """The ids again, all checkpoints side by side."""
-        data = np.frombuffer(packed + bytes(8), np.uint8)
+        data = packed + bytes(8)
+        windows = np.ndarray((len(packed) + 4,), ">u4", data, strides=(1,))  # 32 bits from each byte on
         at = offsets.astype(np.int64).copy()
         out = np.zeros((len(at), STRIDE), np.int32)
         for step in range(STRIDE):
             live = len(at) if step < count - (len(at) - 1) * STRIDE else len(at) - 1
             p = at[:live]
-            b = p >> 3
-            window = data[b].astype(np.int64) << 24 | data[b + 1].astype(np.int64) << 16 | data[b + 2].astype(np.int64) << 8 | data[b + 3]
-            peek = (window >> (32 - MAX_BITS - (p & 7))) & ((1 << MAX_BITS) - 1)
+            peek = (windows[p >> 3].astype(np.int64) >> (32 - MAX_BITS - (p & 7))) & ((1 << MAX_BITS) - 1)
             out[:live, step] = self.symbol[peek]
             at[:live] += self.length[peek]
         return out.reshape(-1)[:count]
 
 
-def encoded(docs: DataFrame, vocabulary: str | None, end_id: int | None) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian 16-bit integers where they fit, else 32-bit."""
+TOKENS = "doc_id long, sum long, ids binary, id int, uses long"
 
-    @F.arrow_udf("binary")
-    def ids(texts: pa.Array) -> pa.Array:
-        c = codec(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
-        kind = "<u2" if len(c.token_bytes) <= 1 << 16 else "<u4"
-        tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
-        return pa.array([np.frombuffer(b, np.int32).astype(kind).tobytes() + tail for b in c.encode_many(texts.to_pylist())], pa.binary())
 
-    return docs.select("doc_id", ids(F.col("text")).alias("ids"))
+def _encoded(vocabulary: str | None, end_id: int | None):
+    """Rows of TOKENS: of each document its ids and their checksum; at the task's end, of each id its uses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+        uses = np.zeros(max(len(c.token_bytes), (end_id or 0) + 1), np.int64)
+        kind = f"<u{_width(len(uses))}"
 
+        def rows(doc_ids, sums, ids, of, n):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((doc_ids, pa.int64()), (sums, pa.int64()), (ids, pa.binary()), (of, pa.int32()), (n, pa.int64()))], names=["doc_id", "sum", "ids", "id", "uses"])
 
-def _counted(width: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for b in batch.column("ids"):
-                own = np.bincount(np.frombuffer(b.as_py(), f"<u{width}"))
-                if len(own) > len(total):
-                    total = np.concatenate((total, np.zeros(len(own) - len(total), np.int64)))
-                total[: len(own)] += own
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], names=["id", "uses"])
+            ends, ids = c.encode_array(batch.column("text"))
+            if end_id is not None:
+                ids, ends = np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
+            uses += np.bincount(ids, minlength=len(uses))
+            raw, at = ids.astype(kind).tobytes(), (ends * int(kind[-1])).tolist()
+            own, none = [raw[a:b] for a, b in pairwise(at)], [None] * batch.num_rows
+            yield rows(batch.column("doc_id"), [zlib.crc32(b) for b in own], own, none, none)
+        there = np.flatnonzero(uses)
+        none = [None] * len(there)
+        yield rows(none, none, none, there, uses[there])
+
+    return run
+
 
-    return count
+def _width(ids: int) -> int:
+    """Bytes of an id of so many."""
+    return 2 if ids <= 1 << 16 else 4
 
 
 def _blocked(code, width: int):
@@ -178,16 +185,17 @@ BLOCKS = "part int, block int, first long, n_tokens long, doc_ids array<long>, d
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int | None = END_ID) -> None:
     """Encodes docs(doc_id, text) and writes the three tables under path."""
     spark = docs.sparkSession
-    width = 2 if len(codec(vocabulary or public_tokenizers.path("word_bpe_49k.json")).token_bytes) <= 1 << 16 else 4
-    encoded(docs, vocabulary, end_id).write.parquet(f"{path}/tokens")
-    tokens = spark.read.schema("doc_id long, ids binary").parquet(f"{path}/tokens")
-    counts = tokens.select("ids").mapInArrow(_counted(width), "id long, uses long").groupBy("id").agg(F.sum("uses").alias("uses"))
+    width = _width(max(len(codec(vocabulary or public_tokenizers.path("word_bpe_49k.json")).token_bytes), (end_id or 0) + 1))
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(vocabulary, end_id), TOKENS).write.parquet(f"{path}/tokens")
+    tokens = spark.read.schema(TOKENS).parquet(f"{path}/tokens")
+    counts = tokens.filter("id is not null").groupBy("id").agg(F.sum("uses").alias("uses"))
     lengths = code_lengths({r.id: r.uses for r in counts.collect()})  # a row for each id of the vocabulary at most
     spark.createDataFrame([*lengths.items()], "id long, bits int").coalesce(1).write.parquet(f"{path}/lengths")
     code = spark.sparkContext.broadcast(Code(lengths))
     # ranges of ids; rows of one id are told apart by their tokens
-    ordered = tokens.withColumn("sum", F.crc32("ids")).repartitionByRange("doc_id", "sum").sortWithinPartitions("doc_id", "sum").select("doc_id", "ids")
+    ordered = tokens.filter("ids is not null").select("doc_id", "sum", "ids").repartitionByRange("doc_id", "sum").sortWithinPartitions("doc_id", "sum").select("doc_id", "ids")
     ordered.mapInArrow(_blocked(code, width), BLOCKS).write.parquet(f"{path}/blocks")
+    dropped(spark, f"{path}/tokens")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -217,7 +225,7 @@ def _decoded(spark: SparkSession, path: str, schema: str, last) -> DataFrame:
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): the checksum of each document's ids as little-endian 32-bit integers."""
-    sums = lambda ids: (pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), "ids_crc32")
+    sums = lambda ids: (pa.array([zlib.crc32(i.astype("<u4", copy=False)) for i in ids], pa.int64()), "ids_crc32")
     return _decoded(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", sums)
 
 
