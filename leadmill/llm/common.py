@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -58,10 +59,7 @@ def indices(n: Column) -> Column:
 
 
 def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table of literals, as part of the plan."""
+    """A table of the rows, however many, as one literal of the plan."""
     names = [x.split()[0] for x in schema.split(",")]
-    kinds = [x.split()[1] for x in schema.split(",")]
-    one = lambda r: F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(r, kinds, names, strict=True)])
-    inner = f"array<struct<{','.join(f'{n}:{k}' for n, k in zip(names, kinds, strict=True))}>>"
-    values = F.array(*[one(r) for r in rows]) if rows else F.array()
-    return spark.range(1).select(F.inline(values.cast(inner)))
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' string', ': string')}>>")))

@@ -7,13 +7,18 @@ below, tells main text from the rest; the chosen blocks are joined in page order
 
 Scripts, styles, comments of the markup and form controls hold no text. Character references are decoded, white space
 within a block becomes one space. A null or empty page, or one without main text, gives the empty text; pages are read
-whole, broken markup included; repeated rows each get their text.
+whole, in one pass forward, broken markup included; repeated rows each get their text.
+
+Broken markup: a tag whose quoted value never ends is taken to end at the next `>`; a `<` without any `>` after it is
+text; of an element without its end tag only scripts and the like run to the page's end, of others the tag goes.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import deque
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -22,9 +27,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from leadmill.llm.common import table
 
-_DROPPED = "script|style|noscript|template|textarea|select|button|svg|annotation-xml|annotation|iframe|object|title|option|datalist|canvas|audio|video"
-#: Comments, elements that hold no text, and tags; an element without its end tag runs to the page's end.
-_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({_DROPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+#: Elements that hold no text, and those of them that run to the page's end where their end tag is missing.
+_DROPPED = frozenset("script style noscript template textarea select button svg annotation-xml annotation iframe object title option datalist canvas audio video".split())
+_RAW = frozenset("script style textarea title iframe".split())
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_VALUE = re.compile(r"=\s*([\"'])|>")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mfenced mstyle mspace mpadded mphantom menclose merror".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OTHER = frozenset("nav aside footer form fieldset menu dialog".split())
@@ -39,9 +46,9 @@ _ENDS = {
 _END_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 _NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Whole names of what isn't main text: parts that say so, and others beside them that say nothing (sidebar, site-footer, but not has-sidebar, tag-politics).
-_SAYS = r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|foot(?:er)?\w*|header|masthead|side(?:bar)?\w*|widget\w*|cookie\w*|consent|notice\w*|alert\w*|popup|modal|newsletter|subscri\w*|signup|login|comments?\w*|repl(?:y|ies)|disqus|share\w*|sharing|social\w*|related\w*|recommend\w*|contentinfo|navigation|complementary|search\w*|legal|copyright|tags?)\d*"
-_BESIDE = r"(?:\d+|area|bar|block|bottom|box|container|global|inner|left|links?|list|page|primary|right|secondary|section|site|slot|text|top|unit|wrap(?:per)?)"
-_HINT = re.compile(rf"(?:^|(?<=\s))(?:{_BESIDE}[-_]+)*{_SAYS}(?:[-_]+(?:{_SAYS}|{_BESIDE}))*(?=$|\s)", re.I)
+_SAYS = r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|foot(?:er\w*)?|header|masthead|side(?:bar)?\w*|widget\w*|cookie\w*|consent|notice\w*|alert\w*|popup|modal|newsletter|subscri\w*|signup|login|comments?\w*|repl(?:y|ies)|disqus|share\w*|sharing|social\w*|related\w*|recommend\w*|contentinfo|navigation|complementary|search\w*|legal|copyright|tags?)\d*"
+_BESIDE = r"(?:\d+|area|articles|bar|block|bottom|box|container|form|global|inner|items|left|links?|list|message|page|policy|posts|primary|right|secondary|section|site|slot|stories|text|top|unit|wrap(?:per)?)"
+_SAYS_PART, _ANY_PART = re.compile(_SAYS, re.I), re.compile(f"{_SAYS}|{_BESIDE}", re.I)
 #: Never something else by their names.
 _NEVER = frozenset("html head body article main".split())
 
@@ -55,22 +62,117 @@ class Block(NamedTuple):
     heading: int
 
 
+def says_other(names: str) -> bool:
+    """Whether one of the names, with all its parts, says that the element isn't main text."""
+    for name in names.split():
+        parts = [p for p in re.split("[-_]+", name) if p]
+        if parts and any(map(_SAYS_PART.fullmatch, parts)) and all(map(_ANY_PART.fullmatch, parts)):
+            return True
+    return False
+
+
+def tags(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before it, name, whether it ends the element, attributes) of each tag; without a name for comments, what
+    holds no text, and the page's end. Each kind of end that is missing is looked for once."""
+    at = pos = 0
+    gone: set[str] = set()
+
+    def end_of_tag(i: int) -> int:
+        while "quotes" not in gone:
+            m = _VALUE.search(page, i)
+            if m is None:
+                gone.add("quotes")  # no end outside of values: from here on quotes say nothing
+                break
+            if m[1] is None:
+                return m.end()
+            close = -1 if m[1] in gone else page.find(m[1], m.end())
+            if close < 0:
+                gone.add(m[1])
+            i = m.end() if close < 0 else close + 1
+        return page.find(">", i) + 1
+
+    while (lt := page.find("<", pos)) >= 0:
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2)
+            yield page[at:lt], "", False, ""
+            at = pos = len(page) if end < 0 else end + 3
+            continue
+        m = _TAG.match(page, lt)
+        if m is None and page[lt + 1 : lt + 2] not in ("!", "?", "/"):
+            pos = lt + 1
+            continue
+        end = end_of_tag(m.end()) if m else page.find(">", lt) + 1
+        if not end and m:
+            end = page.find(">", m.end()) + 1
+        if not end:
+            break
+        if m is None:
+            yield page[at:lt], "", False, ""
+            at = pos = end
+            continue
+        name, attributes = m[2].lower(), page[m.end() : end - 1]
+        if name in _DROPPED and not m[1]:
+            close = None if name in gone or (name == "svg" and attributes.endswith("/")) else re.compile(rf"</{name}\s*>", re.I).search(page, end)
+            yield page[at:lt], "", False, ""
+            at = pos = close.end() if close else end
+            if close is None and not attributes.endswith("/"):
+                gone.add(name)
+                if name in _RAW:
+                    at = len(page)
+                    break
+            continue
+        yield page[at:lt], name, bool(m[1]), attributes
+        at = pos = end
+    yield page[at:], "", False, ""
+
+
+class _Open:
+    """Open elements. Their places are kept by name and their marks are counted, so no step walks over all of them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int]] = []  # name, other (1 by tag, 2 by name), content
+        self.places: dict[str, list[int]] = {}
+        self.by_name: deque[int] = deque()  # places of those that are something else by name
+        self.other = self.content = 0
+        self.link: int | None = None  # number of elements around the open link
+
+    def push(self, name: str, other: int, content: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if other == 2:
+            self.by_name.append(len(self.stack))
+        self.stack.append((name, other, content))
+        self.other += other == 1
+        self.content += content
+
+    def close(self, names, bounds=()) -> None:
+        """Closes the nearest open element of one of the names and all within, unless one of the bounds is nearer."""
+        nearest = lambda some: max((self.places[n][-1] for n in some if self.places.get(n)), default=-1)
+        k = nearest(names)
+        if k < 0 or k < nearest(bounds):
+            return
+        while len(self.stack) > k:
+            name, other, content = self.stack.pop()
+            self.places[name].pop()
+            if self.by_name and self.by_name[-1] == len(self.stack):
+                self.by_name.pop()
+            self.other -= other == 1
+            self.content -= content
+        if self.link is not None and self.link > k:
+            self.link = None
+
+    def unmark(self, before: int) -> None:
+        """Elements at places before it aren't something else by their names any more."""
+        while self.by_name and self.by_name[0] < before:
+            self.by_name.popleft()
+
+
 def blocks(page: str | None) -> list[Block]:
     """Flat blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # open containers: name, other (1 by tag, 2 by name), content
+    open_ = _Open()
     parts: list[str] = []
     link_parts: list[str] = []
-    in_link = heading = 0
-
-    def end(names, bounds=()):
-        """Closes the nearest open element of one of the names, unless one of the bounds is nearer."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in bounds:
-                return
+    heading = 0
 
     def flush():
         if parts:
@@ -78,53 +180,44 @@ def blocks(page: str | None) -> list[Block]:
             if text:
                 n = text.count(" ") + 1
                 linked = len(" ".join(entities.unescape(" ".join(link_parts)).split()).split(" ")) if link_parts else 0
-                out.append(Block(text, n, min(1.0, linked / n), int(any(s[1] for s in stack)), int(any(s[2] for s in stack)), heading))
+                out.append(Block(text, n, min(1.0, linked / n), int(open_.other > 0 or bool(open_.by_name)), int(open_.content > 0), heading))
             parts.clear()
             link_parts.clear()
 
-    def say(text: str):
+    for text, name, closing, attributes in tags(page or ""):
         if text:
             parts.append(text)
-            if in_link and not text.isspace():
+            if open_.link is not None and not text.isspace():
                 link_parts.append(text)
-
-    page, at = page or "", 0
-    for m in _MARKUP.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+        if not name:
             continue
-        name, closing = m[3].lower(), bool(m[2])
         if name == "a":
-            in_link = int(not closing)
+            open_.link = None if closing else len(open_.stack)
         elif name == "br" or name == "img":
             parts.append(" ")
         if name in _INLINE:
             continue
         flush()
-        in_link = 0
         heading = int(not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit())
         if not closing and name in _END_P:
-            end({"p"}, _CELLS)
+            open_.close({"p"}, _CELLS)
         if not closing and name in _ENDS:
-            end(*_ENDS[name])
+            open_.close(*_ENDS[name])
         if name in _VOID:
             continue
         if not closing:
-            named = " ".join(filter(None, (x for g in _NAMES.findall(m[4]) for x in g)))
-            inside = any(s[2] for s in stack)
-            other = name in _OTHER or (name == "header" and not inside)
+            named = " ".join(filter(None, (x for g in _NAMES.findall(attributes) for x in g)))
+            other = name in _OTHER or (name == "header" and not open_.content)
             if name in _CONTENT:
                 # what holds an article or main isn't something else by its name, but comments within an article are
-                within = next((k for k, x in enumerate(stack) if x[0] == "article"), len(stack)) if name == "article" else len(stack)
-                stack[:within] = [(x[0], int(x[1] == 1), x[2]) for x in stack[:within]]
-            elif not other and name not in _NEVER and _HINT.search(named):
+                articles = open_.places.get("article")
+                open_.unmark(articles[0] if name == "article" and articles else len(open_.stack))
+            elif not other and name not in _NEVER and says_other(named):
                 other = 2
-            if not m[4].endswith("/"):
-                stack.append((name, int(other), int(name in _CONTENT)))
+            if not attributes.endswith("/"):
+                open_.push(name, int(other), int(name in _CONTENT))
         else:
-            end({name}, _ENDS[name][1] - {name} if name in _ENDS else ())
-    say(page[at:])
+            open_.close({name}, _ENDS[name][1] - {name} if name in _ENDS else ())
     flush()
     return out
 

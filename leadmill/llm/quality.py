@@ -120,7 +120,7 @@ def _grow(rows: list[dict]) -> Rule:
             sums = [0]
             for r in ordered:
                 sums.append(sums[-1] + r["bad"])
-            tried = sorted({len(ordered) * k // CUTS for k in range(1, CUTS)} | {j for j in range(1, len(ordered)) if ordered[j]["bad"] != ordered[j - 1]["bad"] and len(ordered) <= 4000})
+            tried = sorted({len(ordered) * k // CUTS for k in range(1, CUTS)})
             for j in tried:
                 if not 0 < j < len(ordered) or ordered[j - 1][name] == ordered[j][name]:
                     continue
@@ -181,7 +181,8 @@ def learned_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     # at most train_rows rows of two numbers
     rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = rows.select("doc_id", "quality", statistics(F.col("text")).alias("s")).orderBy("doc_id", "s").limit(2 * train_rows)
+    # of rows that repeat an id the one of least statistics: one row a sampled id
+    rows = rows.select("doc_id", "quality", statistics(F.col("text")).alias("s")).groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("s").alias("s")).orderBy("doc_id")
     got = [r.s.asDict() | {"bad": int(r.quality == 0)} for r in rows.collect()]
     got = [r for r in got if r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]]
     return learn_list([{k: float(r[k]) for k in STATISTICS} | {"bad": r["bad"], "fold": i % 3} for i, r in enumerate(got)])

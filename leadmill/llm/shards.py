@@ -1,9 +1,9 @@
 """Sharding by a hierarchical weighted hash tree.
 
-Each row descends region, rack and shard. At every level each child draws -ln(u) / weight with u from a hash of key and
-child, and the least draw wins, so a child gets rows in proportion to its weight and a draw depends on that child alone.
-When weights change, rows move only into or out of the subtrees whose weights changed; a shard that opens a region of
-its own takes rows only into itself.
+Each shard draws -ln(u) / weight, u from a hash of key and shard; the draw of a rack is the least of its shards' draws,
+that of a region the least of its racks'. A row descends to the region, the rack and the shard of least draw, so each
+gets rows in proportion to its weight. A shard's draw depends on key, shard and its own weight alone: where a weight grows
+or a shard comes, rows move only into that subtree and there only into that shard; where one falls, only out of it.
 
 The law is `key`: the key and the tree decide alone. A null key is a key like others; rows of one key share a shard.
 Slots number a shard's rows without gaps, in an order by hash bucket and key, so that no task holds a whole shard.
@@ -30,31 +30,24 @@ def even_tree(shards: int, racks: int = 2, per_rack: int = 4) -> Tree:
     return tree
 
 
-def _draw(key: Column, child: str, weight: float) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(child)), 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.log(u) / F.lit(float(weight))
-
-
-def _descend(key: Column, path: str, node, depth: int) -> Column:
-    if depth == 0:
-        return F.lit(int(path.rpartition("/")[2]))
-    weight = lambda x: sum(map(weight, x.values())) if isinstance(x, dict) else x
-    children = [(f"{path}/{name}", child) for name, child in node.items() if weight(child) > 0]
-    if len(children) == 1:
-        return _descend(key, *children[0], depth - 1)
-    draws = F.array(*[_draw(key, p, weight(c)) for p, c in children])
-    return F.element_at(F.array(*[_descend(key, p, c, depth - 1) for p, c in children]), F.array_position(draws, F.array_min(draws)).cast("int"))
-
-
 def shard_of(key: Column, tree: Tree) -> Column:
     """The shard of a key."""
-    return _descend(key, "", tree, 3).cast("int")
+    shard = lambda s, w: F.struct(F.lit(int(s)).alias("shard"), F.lit(float(w)).alias("weight"))
+    rack = lambda shards: F.array(*[shard(s, w) for s, w in shards.items() if w > 0])
+    region = lambda racks: F.array(*[rack(shards) for shards in racks.values() if any(w > 0 for w in shards.values())])
+    regions = F.array(*[region(racks) for racks in tree.values() if any(w > 0 for shards in racks.values() for w in shards.values())])
+    u = lambda s: (F.shiftrightunsigned(F.xxhash64(key, s.shard), 11).cast("double") + 0.5) / float(1 << 53)
+    of_shard = lambda s: F.struct((-F.log(u(s)) / s.weight).alias("draw"), s.shard.alias("shard"))
+    of_rack = lambda shards: F.array_min(F.transform(shards, of_shard))
+    of_region = lambda racks: F.array_min(F.transform(racks, of_rack))
+    return F.array_min(F.transform(regions, of_region)).shard.cast("int")
 
 
 def into_shards(df: DataFrame, tree: Tree, key: str = "doc_id", order: tuple[str, ...] = ()) -> DataFrame:
     """Adds shard and slot. order: further columns that order rows of one key."""
     keep = [c for c in df.columns if c not in ("shard", "slot", "_bucket", "_before")]
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(BUCKETS)).cast("int")
+    # the further columns too: rows of one key fall into many buckets
+    bucket = F.pmod(F.xxhash64(F.col(key), *order, F.lit("slot")), F.lit(BUCKETS)).cast("int")
     rows = df.select(*keep, shard_of(F.col(key), tree).alias("shard"), bucket.alias("_bucket"))
     counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ to the upper tail of clean training texts. A text's score is a logistic function
 the summed scores of its three best.
 
 The model learns from labelled rows, at most TRAIN_ROWS (those of least hash, a documented parameter); of texts with one
-label and the same four longest words, which near copies share, it takes one (of texts with few words, equal ones).
+label, about one number of distinct words and the same four longest ones, which near copies share, it takes one.
 Counts of one half score the other half when the law and the logistic function are fitted. A null or empty text, or one
 without words, has no segments; its score is that of one word without any. Repeated rows get equal scores; texts are scanned
 whole. Without labels of both kinds every score is 0.
@@ -40,8 +40,6 @@ DRIFT = 0.25
 TELLING = 1.0
 #: Log-odds of so many standard errors are halved.
 SHRINK = 3.0
-#: Below this score of the best segment a text's other segments are not looked for.
-LEAST_SCORE = 1.0
 #: A segment of a smaller E value is significant.
 SIGNIFICANT = 0.05
 #: Entries of a worker's memo of words; it is emptied when full.
@@ -73,19 +71,9 @@ class Model:
         return got
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of words; all maximal scoring segments as (first word, end, score), or the best where it scores little."""
+        """Number of words; all maximal scoring segments as (first word, end, score)."""
         words = _WORD.findall((text or "").lower())
-        if not words:
-            return 0, []
-        score = np.array([self.word_score(w) for w in words])
-        total = np.concatenate(([0.0], np.cumsum(score)))
-        best = float((total[1:] - np.minimum.accumulate(total[:-1])).max())
-        if best <= 0:
-            return len(words), []
-        if best < LEAST_SCORE:
-            end = int(np.argmax(total[1:] - np.minimum.accumulate(total[:-1]))) + 1
-            return len(words), [(int(np.argmin(total[:end])), end, best)]
-        return len(words), maximal_segments(score)
+        return len(words), maximal_segments(np.fromiter(map(self.word_score, words), float, len(words)))
 
     def log_e(self, score: float, n: int) -> float:
         return self.log_k + math.log(max(n, 1)) - self.lam * score
@@ -108,25 +96,24 @@ class Model:
 
 
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments in one pass: each candidate keeps the sums before it and up to its end, and merges
-    back over candidates that it dominates."""
-    open_: list[list] = []  # first, end, sum before, sum up to end
-    total = 0.0
-    for i, s in enumerate(score.tolist()):
-        before, total = total, total + s
-        if s <= 0:
-            continue
-        new = [i, i + 1, before, total]
+    """All maximal scoring segments in one pass. Each candidate keeps the sums before it and up to its end, and the place
+    of the nearest candidate before it with a smaller sum before; a new one looks back along these links only, and merges
+    with the one it finds where that ends lower. So each candidate is passed over at most once."""
+    totals = np.cumsum(score)
+    at = np.flatnonzero(score > 0)
+    open_: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum up to end, link
+    for i, own, total in zip(at.tolist(), score[at].tolist(), totals[at].tolist(), strict=True):
+        first, before, j = i, total - own, len(open_) - 1
         while True:
-            j = len(open_) - 1
-            while j >= 0 and open_[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or open_[j][3] >= new[3]:
-                open_.append(new)
+            while j >= 0 and open_[j][2] >= before:
+                j = open_[j][4]
+            if j < 0 or open_[j][3] >= total:
                 break
-            new = [open_[j][0], new[1], open_[j][2], new[3]]
+            first, _, before, _, link = open_[j]
             del open_[j:]
-    return [(a, b, r - l) for a, b, l, r in open_]
+            j = link
+        open_.append((first, i + 1, before, total, j))
+    return [(a, b, r - l) for a, b, l, r, _ in open_]
 
 
 def log_odds(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
@@ -218,9 +205,9 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # three numbers a row, broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter("text is not null")
     # copies and near copies count once: else a group of them makes its plain words telling
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     longest = F.slice(F.sort_array(F.transform(words, lambda w: F.struct(-F.length(w), w))), 1, 4)
-    same = F.when(F.size(words) >= 20, F.xxhash64(longest)).otherwise(F.xxhash64("text"))
+    same = F.xxhash64(longest, F.round(F.log2(F.size(words).cast("double"))))
     rows = rows.groupBy(same.alias("h"), "toxic").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id"))
     rows = rows.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("h", F.lit("fold")), F.lit(2)).cast("int").alias("fold"))
     counted = rows.mapInArrow(_count_units, "fold int, unit string, toxic long, clean long").groupBy("fold", "unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

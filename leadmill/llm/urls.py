@@ -2,7 +2,8 @@
 those run their regular expressions. DataFrame functions only.
 
 A rule is (action, pattern); a pattern is `host/path-prefix` with `*` for any characters in the path. It fits that host
-and all its subdomains. Of the rules that fit, the longest pattern wins, then the pattern that sorts first.
+and all its subdomains, one without a host all hosts. Of the rules that fit, the longest pattern wins, then the pattern
+that sorts first, then the action. A rule without a literal token is a candidate of every URL.
 A URL without `://`, or null, has an empty host and path; no rule fits it. Repeated rows are each judged.
 """
 
@@ -18,6 +19,10 @@ from leadmill.llm.common import rows_of, table
 BROADCAST_RULES = 100_000
 
 
+#: The token of rules without one; every URL has it.
+ALWAYS = ""
+
+
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased."""
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -32,16 +37,17 @@ def rule_parts(action: str, pattern: str) -> tuple[str, str, str, list[str]]:
     """(action, pattern, regular expression over host + path, literal tokens that every fitting URL has)."""
     host, slash, path = pattern.partition("/")
     path = slash + path
-    expression = r"(?s)\A(?:[^/]*\.)?" + re.escape(host) + ("" if slash else r"(?:/|\z)") + "".join(".*" if c == "*" else re.escape(c) for c in path)
+    anywhere = r"(?:[^/]*\.)?" + re.escape(host) if host else "[^/]*"
+    expression = r"(?s)\A" + anywhere + ("" if slash else r"(?:/|\z)") + "".join(".*" if c == "*" else re.escape(c) for c in path)
     whole = [p for p in path.split("/")[1:-1] if p and "*" not in p]
-    return action, pattern, expression, [*(f".{x}" for x in host.split(".") if x), *(f"/{x}" for x in whole)]
+    return action, pattern, expression, [*(f".{x}" for x in host.split(".") if x), *(f"/{x}" for x in whole)] or [ALWAYS]
 
 
 def url_tokens(host: Column, path: Column) -> Column:
     """Distinct tokens: labels of the host with a dot before them, segments of the path with a slash."""
     labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("."), x))
     segments = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("/"), x))
-    return F.array_distinct(F.concat(labels, segments))
+    return F.array_distinct(F.concat(labels, segments, F.array(F.lit(ALWAYS))))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", otherwise: str = "allow") -> DataFrame:
@@ -55,7 +61,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url",
     index = F.broadcast(index) if len(rules) <= BROADCAST_RULES else index
     seen = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_token", F.explode(url_tokens(F.col("host"), F.col("path"))))
     fits = F.rlike(F.concat("host", "path"), F.col("_expression"))
-    best = F.max(F.when(fits, F.struct(F.length("_pattern").alias("n"), F.col("_pattern").alias("rule"), F.col("_action").alias("action"))))
+    best = F.min(F.when(fits, F.struct((-F.length("_pattern")).alias("n"), F.col("_pattern").alias("rule"), F.col("_action").alias("action"))))
     found = seen.join(index, "_token", "left").groupBy("_row", *keep, "host", "path").agg(best.alias("_best"))
     return found.select(*keep, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(otherwise)).alias("verdict"))
 
