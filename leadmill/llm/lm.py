@@ -5,10 +5,11 @@ of good quality, the background's all documents. A document's score is the mean
 loss less the background model's: the lower, the more it is like the target. A document's own counts are taken off the
 models that counted it, so none is scored by what it taught.
 
-Every word is a word of the vocabulary, and words, contexts and bigrams are counted exactly, by their strings, over all
-documents. Tasks cut their documents into chunks of CHUNK tokens or one document more. A chunk sends each of its distinct
+Every word is a word of the vocabulary, and words, contexts and bigrams are counted exactly, under 64-bit hashes, over all
+documents; of a hash, what is beyond BITS within its bucket is left out, so a key is mistaken for another of its bucket
+with a chance of 3 in 10 million, however large the input. Tasks cut their documents into chunks of CHUNK tokens or one document more. A chunk sends each of its distinct
 keys once, with its uses, to one of as many buckets as the input's size asks for; a bucket adds them up and answers each
-chunk; a chunk's documents are then scored with the answers. So no task or driver holds the model, a common bigram is one
+chunk; a chunk's documents are then scored with the answers. Keys are ranges of hashes, sent in order as differences. So no task or driver holds the model, a common bigram is one
 key a chunk, and what is gathered grows with the input. Probabilities are absolutely discounted and interpolated with
 unigrams, those with a uniform law.
 
@@ -20,13 +21,13 @@ from __future__ import annotations
 
 import pickle
 import re
-import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -36,7 +37,9 @@ from leadmill.llm.common import maybe_broadcast, table, written
 DISCOUNT = 0.75
 #: Tokens of a chunk, and characters of input a bucket.
 CHUNK = 1_000_000
-BUCKET_CHARS = 12_000_000
+BUCKET_CHARS = 24_000_000
+BITS = 44
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _LM = StructType([StructField("n_tokens", LongType()), *(StructField(k, DoubleType()) for k in ("target_loss", "background_loss", "score"))])
 
@@ -45,6 +48,15 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
+def _planes(x: np.ndarray) -> tuple[np.ndarray, str]:
+    """Numbers as planes of bytes, which pack well, and their kind."""
+    return np.ascontiguousarray(x.reshape(-1, 1).view(np.uint8).T), x.dtype.str
+
+
+def _numbers(planes: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def packed(x) -> bytes:
     raw = pickle.dumps(x, 5)
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
@@ -54,72 +66,91 @@ def unpacked(body: bytes):
     return pickle.loads(pa.Codec("zstd").decompress(body[8:], int.from_bytes(body[:8], "little"), asbytes=True))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Keys(NamedTuple):
+    """A chunk's bigrams and words in order of their hashes."""
+
+    pairs: np.ndarray  # hashes, and the place of each in the order of the chunk's ids
+    pair_order: np.ndarray
+    words: np.ndarray
+    word_order: np.ndarray
+
+
 class Chunk(NamedTuple):
     """Documents of a chunk: the columns but the text, whether of the target, numbers of tokens, and ids (places among the
-    chunk's words by use) of each text that has tokens, its beginning included, as planes of bytes, which pack well."""
+    chunk's words by use) of each text that has tokens, its beginning included, as planes of bytes."""
 
     rows: pa.Table
     target: np.ndarray
     sizes: np.ndarray
-    planes: np.ndarray
-    sums: np.ndarray  # a checksum of each word, which deals out keys
+    planes: tuple[np.ndarray, str]
+    words: tuple[np.ndarray, str]  # a hash of each word
+
+    def hashes(self) -> np.ndarray:
+        return _numbers(*self.words)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the word before each token and of the token."""
         there = self.sizes[self.sizes > 0]
-        ids = np.ascontiguousarray(self.planes.T).view(np.int32).ravel().astype(np.int64)
+        ids = _numbers(*self.planes).astype(np.int64)
         first = np.zeros(len(ids) + 1, bool)
         first[np.concatenate([[0], np.cumsum(there + 1)])] = True
         at = np.flatnonzero(~first[:-1])
         return ids[at - 1], ids[at]
 
-    def buckets(self, distinct: np.ndarray, n: int) -> np.ndarray:
-        """Bucket of each key: the distinct pairs, the words as contexts, the words."""
-        left = np.concatenate([self.sums[distinct >> 32], self.sums, self.sums])
-        right = np.concatenate([self.sums[distinct & 0xFFFFFFFF], np.full(len(self.sums), 1, np.uint64), np.full(len(self.sums), 2, np.uint64)])
-        x = (left << np.uint64(32) | right) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return ((x >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+    def keys(self, distinct: np.ndarray, n: int) -> Keys:
+        words = self.hashes()
+        pairs = _mixed(words[distinct >> 32] * _GOLD + words[distinct & 0xFFFFFFFF])
+        pairs = pairs >> _left_out(n) << _left_out(n)
+        a, b = np.argsort(pairs), np.argsort(words)
+        return Keys(pairs[a], a, words[b], b)
+
 
+def _left_out(n: int) -> np.uint64:
+    """Low bits that the hashes of n buckets go without."""
+    return np.uint64(max(0, 64 - BITS - (n - 1).bit_length()))
 
-def _lines(keys: pa.Array) -> tuple[np.ndarray, memoryview]:
-    """Ends of each string, from 0 on, and the bytes of all."""
-    ends = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
-    return ends, memoryview(keys.buffers()[2] or b"")
 
+def _cuts(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n ranges of hashes begins, and the end."""
+    bounds = np.array([(k << 64) // n for k in range(n)], np.uint64)
+    return np.append(np.searchsorted(hashes, bounds), len(hashes))
 
-def _tallied(chunk: Chunk, words: list[str], n: int) -> Iterator[tuple[int, bytes]]:
-    """Bucket and body of a chunk's keys."""
+
+def _tallied(chunk: Chunk, n: int) -> Iterator[tuple[int, bytes]]:
+    """Bucket and body of a chunk's keys: hashes and uses (of all texts, of the target's) of bigrams; hashes and uses of
+    words as contexts and as tokens."""
     left, right = chunk.pairs()
     distinct, which = np.unique(left << 32 | right, return_inverse=True)
     taught = np.repeat(chunk.target, chunk.sizes)
-    uses = lambda at, size: np.stack([np.bincount(at, minlength=size), np.bincount(at[taught], minlength=size)])
-    counts = np.concatenate([uses(which, len(distinct)), uses(left, len(words)), uses(right, len(words))], 1).astype(np.int32)
-    strings = pa.array(words, pa.large_string())
-    # words hold no white space: "left right", "left " and "right" are never the same key
-    join = lambda a, b: pc.binary_join_element_wise(a, b, pa.scalar(" ", pa.large_string()))
-    keys = pa.concat_arrays([join(strings.take(pa.array(distinct >> 32)), strings.take(pa.array(distinct & 0xFFFFFFFF))), join(strings, pa.scalar("", pa.large_string())), strings])
-    bucket = chunk.buckets(distinct, n)
-    order = np.argsort(bucket, kind="stable")
-    keys = pc.binary_join_element_wise(keys.take(pa.array(order)), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
-    ends, text = _lines(keys)
-    counts, bucket = counts[:, order], bucket[order]
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=n))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(bucket[a]), packed((bytes(text[ends[a] : ends[b]]), counts[:, a:b]))
+    uses = lambda at, size: [np.bincount(at, minlength=size), np.bincount(at[taught], minlength=size)]
+    keys = chunk.keys(distinct, n)
+    size = len(keys.words)
+    pairs = np.stack(uses(which, len(distinct))).astype(np.int32)[:, keys.pair_order]
+    words = np.stack([*uses(left, size), *uses(right, size)]).astype(np.int32)[:, keys.word_order]
+    p, w = _cuts(keys.pairs, n), _cuts(keys.words, n)
+    part = lambda hashes, counts, a, b: (_planes(np.diff(hashes[a:b] >> _left_out(n), prepend=np.uint64(0))), _planes(counts[:, a:b].ravel()))
+    for k in range(n):
+        if p[k] < p[k + 1] or w[k] < w[k + 1]:
+            yield k, packed((part(keys.pairs, pairs, p[k], p[k + 1]), part(keys.words, words, w[k], w[k + 1])))
 
 
 def _keyed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, body, words in zip(*(batch.column(c) for c in ("chunk", "body", "words")), strict=True):
-                for bucket, keys in _tallied(unpacked(body.as_py()), unpacked(words.as_py()), n):
+            for number, body in zip(batch.column("chunk"), batch.column("body"), strict=True):
+                for bucket, keys in _tallied(unpacked(body.as_py()), n):
                     yield pa.RecordBatch.from_arrays([pa.array([number.as_py()], pa.int64()), pa.array([bucket], pa.int32()), pa.array([keys], pa.binary())], names=["chunk", "bucket", "body"])
 
     return run
 
 
-def _chunked(kept: list[str]):
+def _chunked(kept: list[str], n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         of, rows, texts, target, size = {"": 0}, [], [], [], 0
@@ -133,9 +164,9 @@ def _chunked(kept: list[str]):
             place = np.empty(len(words), np.int32)
             place[order] = np.arange(len(words))
             words = [words[k] for k in order]
-            planes = np.ascontiguousarray(place[ids].view(np.uint8).reshape(-1, 4).T)
-            chunk = Chunk(pa.Table.from_batches(rows).combine_chunks(), np.array(target, bool), sizes, planes, np.array([zlib.crc32(w.encode()) for w in words], np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed(chunk)], pa.binary()), pa.array([packed(words)], pa.binary())], names=["chunk", "body", "words"])
+            hashes = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64) >> _left_out(n) << _left_out(n)
+            chunk = Chunk(pa.Table.from_batches(rows).combine_chunks(), np.array(target, bool), sizes, _planes(place[ids]), _planes(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed(chunk)], pa.binary())], names=["chunk", "body"])
             number += 1
             of, rows, texts, target, size = {"": 0}, [], [], [], 0
 
@@ -170,28 +201,30 @@ def counted(docs: DataFrame, buckets: int | None = None) -> Counts:
     if buckets is None:
         buckets = 1 + (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS
     kept = docs.drop("text").schema
-    return Counts(written(docs.mapInArrow(_chunked(kept.names), "chunk long, body binary, words binary"), "chunks"), buckets, kept)
+    return Counts(written(docs.mapInArrow(_chunked(kept.names, buckets), "chunk long, body binary"), "chunks"), buckets, kept)
+
+
+def _added(parts: list, teaches: np.ndarray, kinds: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sums of each distinct key, and for each part the sums of its keys. parts: packed hashes and counts of a chunk."""
+    hashes = [np.cumsum(_numbers(*h), dtype=np.uint64) for h, _ in parts]
+    counts = np.concatenate([_numbers(*c).reshape(kinds, -1) if t else np.zeros((kinds, len(h)), np.int32) for (_, c), h, t in zip(parts, hashes, teaches, strict=True)], 1)
+    coded = pa.array(np.concatenate(hashes)).dictionary_encode()
+    at = coded.indices.to_numpy()
+    sums = np.stack([np.bincount(at, c, len(coded.dictionary)) for c in counts]).astype(np.int64)
+    ends = np.cumsum([0, *map(len, hashes)])
+    return sums, [at[a:b] for a, b in pairwise(ends)]
 
 
 def _summed(group: pa.Table) -> pa.Table:
     """Adds up a bucket's keys and answers its chunks; a row without a chunk has the bucket's share of the model's sizes."""
-    parts = [unpacked(b.as_py()) for b in group.column("body")]
-    arrays = []
-    for text, _ in parts:
-        ends = np.concatenate([[0], np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1]).astype(np.int64)
-        arrays.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(text)]))
-    coded = pa.concat_arrays(arrays).dictionary_encode()
-    at, distinct = coded.indices.to_numpy(), coded.dictionary
-    teaches = np.repeat(group.column("teaches").to_numpy(), [len(a) for a in arrays])
-    sums = np.stack([np.bincount(at, np.where(teaches, np.concatenate([c[k] for _, c in parts]), 0), len(distinct)) for k in (0, 1)]).astype(np.int64)
-    words = sums[:, ~pc.match_substring(distinct, b" ").to_numpy(zero_copy_only=False) & ~pc.equal(distinct, b"\n").to_numpy(zero_copy_only=False)]
-    chunks, bodies, begun = [None], [None], 0
-    for chunk, asks, a in zip(group.column("chunk").to_pylist(), group.column("asks").to_pylist(), arrays, strict=True):
+    parts, teaches = [unpacked(b.as_py()) for b in group.column("body")], group.column("teaches").to_pylist()
+    (pairs, pair_at), (words, word_at) = _added([p for p, _ in parts], teaches, 2), _added([w for _, w in parts], teaches, 4)
+    chunks, bodies = [None], [None]
+    for chunk, asks, a, b in zip(group.column("chunk").to_pylist(), group.column("asks").to_pylist(), pair_at, word_at, strict=True):
         if asks:
             chunks.append(chunk)
-            bodies.append(packed(sums[:, at[begun : begun + len(a)]]))
-        begun += len(a)
-    sizes = [*words.sum(1).tolist(), *(words > 0).sum(1).tolist()]
+            bodies.append(packed((_planes(pairs[:, a].ravel()), _planes(words[:, b].ravel()))))
+    sizes = [*words[2:].sum(1).tolist(), *(words[2:] > 0).sum(1).tolist()]
     bucket = group.column("bucket")[0].as_py()
     columns = [pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int32()), pa.array(bodies, pa.binary()), pa.array([sizes] + [None] * (len(chunks) - 1), pa.list_(pa.int64()))]
     return pa.Table.from_arrays(columns, names=["chunk", "bucket", "body", "sizes"])
@@ -228,23 +261,24 @@ def _uses(x: np.ndarray) -> np.ndarray:
     return n[which]
 
 
-def _scores(chunk: Chunk, answers: dict[int, np.ndarray], n: int, target: Sizes, background: Sizes) -> pa.Array:
+def _scores(chunk: Chunk, answers: list, n: int, target: Sizes, background: Sizes) -> pa.Array:
+    """answers: of each bucket in order."""
     empty = pa.nulls(len(chunk.sizes), pa.float64())
     spans = chunk.sizes[chunk.sizes > 0]
     columns = [empty, empty, empty]
     if len(spans):
         left, right = chunk.pairs()
         distinct, which = np.unique(left << 32 | right, return_inverse=True)
-        bucket = chunk.buckets(distinct, n)
-        order = np.argsort(bucket, kind="stable")
-        sums = np.empty((2, len(bucket)), np.int64)
-        sums[:, order] = np.concatenate([answers[b] for b in sorted(answers)], 1)
-        at = (which, left + len(distinct), right + len(distinct) + len(chunk.sums))
+        keys = chunk.keys(distinct, n)
+        pairs, words = np.empty((2, len(distinct)), np.int64), np.empty((4, len(keys.words)), np.int64)
+        pairs[:, keys.pair_order] = np.concatenate([_numbers(*p).reshape(2, -1) for p, _ in answers], 1)
+        words[:, keys.word_order] = np.concatenate([_numbers(*w).reshape(4, -1) for _, w in answers], 1)
         ends = np.cumsum(spans)
         own = [np.concatenate([_uses(x[b - a : b]) for a, b in zip(spans, ends, strict=True)]) for x in (which, left, right)]
         taught = np.repeat(chunk.target[chunk.sizes > 0], spans)
-        a = losses(*(sums[1][x] for x in at), [np.where(taught, x, 0) for x in own], spans, target)
-        b = losses(*(sums[0][x] for x in at), own, spans, background)
+        uses = lambda k: (pairs[k][which], words[k][left], words[2 + k][right])
+        a = losses(*uses(1), [np.where(taught, x, 0) for x in own], spans, target)
+        b = losses(*uses(0), own, spans, background)
         means = [np.add.reduceat(x, ends - spans) / spans for x in (a, b, a - b)]
         where = pa.array(np.where(chunk.sizes > 0, np.cumsum(chunk.sizes > 0) - 1, 0), mask=chunk.sizes == 0)
         columns = [pa.array(m).take(where) for m in means]
@@ -281,7 +315,8 @@ def answered(asked: Counts, models: Counts) -> DataFrame:
 
     def score(documents: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = unpacked(documents.column("body")[0].as_py())
-        lm = _scores(chunk, {b: unpacked(x.as_py()) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("body"), strict=True)}, n, target, background)
+        by_bucket = sorted(zip(answers.column("bucket").to_pylist(), answers.column("body"), strict=True), key=lambda x: x[0])
+        lm = _scores(chunk, [unpacked(x.as_py()) for _, x in by_bucket], n, target, background)
         return pa.Table.from_arrays([*(chunk.rows.column(c) for c in names), lm], names=[*names, "lm"])
 
     documents = asked.rows.select("chunk", "body").groupBy("chunk")
