@@ -24,6 +24,31 @@ def test_normalize_names(spark):
         "株式会社 田中 千代田区丸の内1丁目2番地": "株式会社 田中",
         "株式会社ハツカ代表取締役CEO": "株式会社ハツカ",
         "SUN マルシェ株式会社 東京都渋谷区": "SUN マルシェ株式会社",
+        "SBS holdings Inc. All rights reserved.": "SBS holdings Inc.",
+        "株式会社 ZENB JAPAN 「会社概要」はこちら": "株式会社 ZENB JAPAN",
+        "自然派くらぶ生活協同組合ホームページ": "自然派くらぶ生活協同組合",
+        "株式会社キューブ代表者名代表取締役会長兼社長松村智明（コード番号": "株式会社キューブ",
+        "のぞみ税理士法人の大阪市エリアの事務STAFFのバイト・アルバイト求人情報": "のぞみ税理士法人",
+        "株式会社アクセスの採用・求人情報": "株式会社アクセス",
+        "株式会社サンフジ企画の個人情報のお取り扱いについて": "株式会社サンフジ企画",
+        "株式会社きのこの採用情報": "株式会社きのこ",
+        "ICONIC Co.,Ltd.（グローバル転職のアイコニック": "ICONIC Co.,Ltd.",
+        "株式会社タキオン.": "株式会社タキオン",
+        "株式会社田中産業(以下、弊社)": "株式会社田中産業",
+        "株式会社小野写真館本社所在地": "株式会社小野写真館",
+        "田中建設株式会社（仮称）（東京支社）": "田中建設株式会社",
+        "単調な工場作業はイヤだ！【株式会社八王子】": "株式会社八王子",
+        "内装工事の株式会社山田": "株式会社山田",
+        "無人内見 MUJIN24 物件一覧 セキスイハイム東海株式会社": "セキスイハイム東海株式会社",
+        "有限会社山本 佐世保市・長崎のFP": "有限会社山本",
+        "田中クリニック 大阪市北区1-2": "田中クリニック",
+        "株式会社 SUN マルシェ 渋谷区1-1": "株式会社 SUN マルシェ",
+        "株式会社 千成屋 〒123-4567 東京都港区": "株式会社 千成屋",
+        "「株式会社田中産業」": "株式会社田中産業",
+        "株式会社" + " ".join(f"語{i}" for i in range(90)): "株式会社語0",
+        "株式会社 " + " ".join(f"語{i}" for i in range(90)): "株式会社 " + " ".join(f"語{i}" for i in range(90)),
+        "株式会社代表": "株式会社代表",
+        "": "",
     }
     rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "raw string")
     got = {r.raw: r["name"] for r in normalize_names(rows, "raw").collect()}
@@ -38,6 +63,12 @@ def test_sanitize_names(spark):
     assert got["株式会社ABC代表取締役"] == "株式会社ABC"
     assert got["こちらは会社の名前ではなく長い文章がここに書いてありますよ"] is None
     assert got[""] is None
+    rows = spark.createDataFrame([("フランチャイズ加盟店 山田株式会社",), ("採用情報",), ("山田 太郎株式会社 公式サイト 採用情報",)], "raw string")
+    assert {r.raw: r["name"] for r in sanitize_names(rows, "raw").collect()} == {"フランチャイズ加盟店 山田株式会社": "山田株式会社", "採用情報": None, "山田 太郎株式会社 公式サイト 採用情報": "山田 太郎株式会社"}
+
+
+def test_light_names(spark):
+    assert apply(spark, T.strip_garbage, ["株式会社A（仮称）", "株式会社B - 採用情報", "株式会社C）", "株式会社Dの求人情報", None, ""]) == ["株式会社A", "株式会社B", "株式会社C", "株式会社D", "", ""]
 
 
 def test_validity(spark):
