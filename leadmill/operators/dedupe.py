@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from leadmill.functions.text import calc_rank
 from leadmill.operators.match import find_duplicates
-
-
-def _written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage of a round through the folder that driver and executors share."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="leadmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from leadmill.operators.scratch import written
 
 
 def insert_or_ignore(new: DataFrame, existing: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
@@ -33,7 +19,7 @@ def insert_or_ignore(new: DataFrame, existing: DataFrame, keys: list[str], order
     open_ = new
     for k in keys:
         open_ = open_.join(existing.select(F.col(k).alias("_k")).filter("_k is not null").distinct(), F.col(k) == F.col("_k"), "left_anti")
-    open_ = _written(open_.select(order, *keys), "open")
+    open_ = written(open_.select(order, *keys), "open")
     accepted = []
     while True:
         marked = open_
@@ -43,13 +29,13 @@ def insert_or_ignore(new: DataFrame, existing: DataFrame, keys: list[str], order
         first = F.lit(True)
         for k in keys:
             first = first & F.coalesce(F.col(f"_first_{k}") == F.col(order), F.lit(True))
-        won = _written(marked.filter(first).select(order, *keys), "won")
+        won = written(marked.filter(first).select(order, *keys), "won")
         if not won.limit(1).count():
             break
         accepted.append(won)
         for k in keys:
             open_ = open_.join(won.select(F.col(k).alias("_k")).filter("_k is not null").distinct(), F.col(k) == F.col("_k"), "left_anti")
-        open_ = _written(open_.join(won.select(F.col(order).alias("_o")), F.col(order) == F.col("_o"), "left_anti"), "open")
+        open_ = written(open_.join(won.select(F.col(order).alias("_o")), F.col(order) == F.col("_o"), "left_anti"), "open")
     ids = new.select(F.col(order).alias("_o")).limit(0)
     for won in accepted:
         ids = ids.union(won.select(order))
@@ -61,15 +47,15 @@ def sightings(events: DataFrame, key: str, source: str) -> DataFrame:
     return events.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("seen_count"), F.array_sort(F.collect_set(source)).alias("sources")).withColumn("rank", calc_rank(F.col("seen_count"), F.col("sources")))
 
 
-def apply_sightings(companies: DataFrame, duplicates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_sightings(companies: DataFrame, duplicates: DataFrame, changed_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """New companies and the rank changes, from rows that met a known phone, else a known URL. duplicates(phone, base_url,
-    source). A change is told only where the number of sources grew."""
+    source). A change is told only where the number of sources grew. changed_only: companies that were met alone."""
     keyed = duplicates.withColumn("_n", F.monotonically_increasing_id())
     phone = companies.filter("coalesce(phone, '') <> ''").groupBy(F.col("phone").alias("_p")).agg(F.min("id").alias("_by_phone"))
     url = companies.filter("coalesce(base_url, '') <> ''").groupBy(F.col("base_url").alias("_u")).agg(F.min("id").alias("_by_url"))
     met = keyed.join(phone, F.col("phone") == F.col("_p"), "left").join(url, F.col("base_url") == F.col("_u"), "left").select(F.coalesce("_by_phone", "_by_url").alias("id"), "source").filter("id is not null")
     delta = met.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("_more"), F.collect_set("source").alias("_sources"))
-    both = companies.join(delta, "id", "left")
+    both = companies.join(delta, "id", "inner" if changed_only else "left")
     none = F.array().cast("array<string>")
     merged = F.array_sort(F.array_union(F.coalesce("ad_sources", none), F.coalesce("_sources", none)))
     seen = F.coalesce("seen_count", F.lit(1)) + F.coalesce("_more", F.lit(0))

@@ -34,10 +34,62 @@ def best_match(candidates: DataFrame, id_: str, query: str = "query", name: str
     return first_per_key(scored, id_, [F.desc("_score"), F.col(order)]).drop("_score")
 
 
-def rolling_success(df: DataFrame, n: int = 100, min_n: int = 50, key: str = "source", order=("ts", "id"), ok: str = "ok") -> DataFrame:
+#: Rows of a stretch of time at most, if they come evenly.
+STRETCH = 2_000_000
+
+
+def in_stretches(df: DataFrame, order: str, rows: int = STRETCH) -> tuple[DataFrame, bool]:
+    """The frame with `_stretch`, the number of its stretch of time, and whether there are several: of a key that holds a
+    large part of all rows, each stretch is sorted by itself. Rows equal in order share a stretch."""
+    at = F.col(order).cast("double")
+    n, low, high = df.agg(F.count(F.lit(1)), F.min(at), F.max(at)).first()
+    stretches = -(-n // rows)
+    if stretches < 2 or low == high:
+        return df.withColumn("_stretch", F.lit(0).cast("long")), False
+    return df.withColumn("_stretch", F.coalesce(F.floor((at - low) * (stretches / (high - low))), F.lit(-1).cast("long"))), True
+
+
+def with_rows_before(df: DataFrame, key: str, order, n: int, rows: int = STRETCH) -> DataFrame:
+    """The frame with `_stretch` and `_carried`: each stretch of a key also has the key's last n rows before it, marked as
+    carried, so that a window over (key, stretch) sees all that one over the key would."""
+    df, several = in_stretches(df, _cols(order)[0], rows)
+    own = df.withColumn("_carried", F.lit(False))
+    if not several:
+        return own
+    back = [F.col(o).desc() for o in _cols(order)]
+    last = df.withColumn("_r", F.row_number().over(W.partitionBy(key, "_stretch").orderBy(*back))).filter(F.col("_r") <= n)
+    # a row a key and stretch: how many rows of the key lie before its end
+    size = df.groupBy(key, "_stretch").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(W.partitionBy(key).orderBy("_stretch")))
+    ends = size.select(F.col(key).alias("_key"), F.col("_stretch").alias("_from"), F.col("_upto").alias("_end"))
+    later = size.select(F.col(key).alias("_key2"), F.col("_stretch").alias("_to"), (F.col("_upto") - F.col("_n")).alias("_begin"))
+    pairs = ends.join(later, F.col("_key").eqNullSafe(F.col("_key2")) & (F.col("_from") < F.col("_to"))).withColumn("_between", F.col("_begin") - F.col("_end")).filter(F.col("_between") < n).drop("_key2", "_begin", "_end")
+    carried = last.join(pairs, last[key].eqNullSafe(pairs["_key"]) & (last["_stretch"] == pairs["_from"])).filter(F.col("_r") + F.col("_between") <= n)
+    return own.unionByName(carried.select(*[c for c in df.columns if c != "_stretch"], F.col("_to").alias("_stretch"), F.lit(True).alias("_carried")))
+
+
+def rolling_success(df: DataFrame, n: int = 100, min_n: int = 50, key: str = "source", order=("ts", "id"), ok: str = "ok", rows: int = STRETCH) -> DataFrame:
     """Adds the share of successes among the last n events of the key; null below min_n events."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(-(n - 1), 0)
-    return df.withColumn("seen", F.count(F.lit(1)).over(w)).withColumn("rate", F.when(F.col("seen") >= min_n, F.avg(F.col(ok).cast("double")).over(w)))
+    w = W.partitionBy(key, "_stretch").orderBy(*order).rowsBetween(-(n - 1), 0)
+    out = with_rows_before(df, key, order, n - 1, rows).withColumn("seen", F.count(F.lit(1)).over(w))
+    return out.withColumn("rate", F.when(F.col("seen") >= min_n, F.avg(F.col(ok).cast("double")).over(w))).filter("not _carried").drop("_carried", "_stretch")
+
+
+def runs(df: DataFrame, hit: Column, key: str, order, out: str = "run", rows: int = STRETCH) -> DataFrame:
+    """Adds how many rows with a hit follow one another up to each row, 0 without one."""
+    df, several = in_stretches(df.withColumn("_hit", hit), _cols(order)[0], rows)
+    w = W.partitionBy(key, "_stretch").orderBy(*_cols(order))
+    df = df.withColumn("_island", F.sum((~F.col("_hit")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    run = F.sum(F.col("_hit").cast("long")).over(W.partitionBy(key, "_stretch", "_island").orderBy(*_cols(order)).rowsBetween(W.unboundedPreceding, 0))
+    df = df.withColumn("_run", run)
+    if several:
+        # a row a key and stretch: the run at its end, and whether it lies wholly in the stretch
+        ends = df.groupBy(key, "_stretch").agg(F.max("_island").alias("_breaks"), F.max_by(F.when(F.col("_hit"), F.col("_run")).otherwise(0), F.struct(*_cols(order))).alias("_tail"))
+        along = W.partitionBy(key).orderBy("_stretch")
+        ends = ends.withColumn("_group", F.sum((F.col("_breaks") > 0).cast("int")).over(along))
+        ends = ends.withColumn("_sum", F.sum("_tail").over(W.partitionBy(key, "_group").orderBy("_stretch").rowsBetween(W.unboundedPreceding, 0)))
+        ends = ends.select(F.col(key).alias("_key"), F.col("_stretch").alias("_to"), F.coalesce(F.lag("_sum").over(along), F.lit(0)).alias("_before"))
+        df = df.join(ends, df[key].eqNullSafe(ends["_key"]) & (df["_stretch"] == ends["_to"])).withColumn("_run", F.col("_run") + F.when(F.col("_island") == 0, F.col("_before")).otherwise(0)).drop("_key", "_to", "_before")
+    return df.withColumn(out, F.when(F.col("_hit"), F.col("_run")).otherwise(0)).drop("_hit", "_island", "_run", "_stretch")
 
 
 def nearest_pair(lines: DataFrame, max_dist: int = 8, id_: str = "doc_id") -> DataFrame:
@@ -63,14 +115,11 @@ def trend(history: DataFrame, value: str = "seigoritsu", order: str = "timestamp
     return both.select(newest.alias("newest"), "oldest", before.alias("previous"), F.when(d > flat, "up").when(d < -flat, "down").otherwise("flat").alias("trend"), (newest - before).alias("change"))
 
 
-def streaks(df: DataFrame, ok: str, reset_at: int = 3, key: str = "source", order: str = "ts") -> DataFrame:
+def streaks(df: DataFrame, ok: str, reset_at: int = 3, key: str = "source", order: str = "ts", rows: int = STRETCH) -> DataFrame:
     """Adds the length of the current run of ok rows, starting anew after each reset_at-th, and whether it acts there."""
-    w = W.partitionBy(key).orderBy(order)
-    island = df.withColumn("_island", F.sum((~F.col(ok)).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    run = F.sum(F.col(ok).cast("int")).over(W.partitionBy(key, "_island").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    out = island.withColumn("_run", run)
-    streak = F.when(F.col(ok), F.pmod(F.col("_run") - 1, F.lit(reset_at)) + 1).otherwise(0)
-    return out.withColumn("streak", streak.cast("int")).withColumn("act", F.col("streak") == reset_at).drop("_island", "_run")
+    out = runs(df, F.col(ok), key, order, "_streak", rows)
+    streak = F.when(F.col("_streak") > 0, F.pmod(F.col("_streak") - 1, F.lit(reset_at)) + 1).otherwise(0)
+    return out.withColumn("streak", streak.cast("int")).withColumn("act", F.col("streak") == reset_at).drop("_streak")
 
 
 def latest_pending(history: DataFrame, problem: str = "problem", order: str = "ts", status: str = "status") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from leadmill.functions.text import has, text
 from leadmill.functions.urls import host, is_http, unwrap_tracker
+from leadmill.operators.scratch import written
 from leadmill.operators.windows import first_per_key
 
 LEAD = "lp_url STRING, source STRING, keyword STRING, meta_company STRING, area_name STRING, serp_phone STRING, ts TIMESTAMP"
@@ -23,9 +26,13 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
     return first_per_key(rows, "corp_number", ["_file", "_block", "_row"]).select("corp_number", "name", "pref", "city")
 
 
-def read_leads(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Lead events from JSON files, as a table or a stream."""
-    return (spark.readStream if streaming else spark.read).schema(LEAD).json(path)
+def read_leads(spark: SparkSession, path: str, streaming: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """Lead events from JSON files, as a table or a stream. files_per_batch: at most so many files in one batch of the stream,
+    where collectors write files of a bounded number of rows (50 are one flush)."""
+    if not streaming:
+        return spark.read.schema(LEAD).json(path)
+    reader = spark.readStream.schema(LEAD)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(path)
 
 
 def ads_from_archive(df: DataFrame, blocked: list[str]) -> DataFrame:
@@ -49,18 +56,30 @@ def ads_from_serp(df: DataFrame, own_host: str) -> DataFrame:
     return first_per_key(each, ["keyword", "url"], "pos").select("keyword", "url", "company", "pos")
 
 
-def ads_from_nested(df: DataFrame, url_keys: list[str], company_keys: list[str], depth: int = 8) -> DataFrame:
-    """(keyword, url, company, pos): objects at any level, down to depth, that have an address under one of the keys."""
-    level = df.select("keyword", F.try_parse_json("body").alias("v")).filter("v is not null")
-    out = None
-    for d in range(depth + 1):
-        pick = lambda keys: F.coalesce(*[F.expr(f"try_variant_get(v, '$.{k}', 'string')") for k in keys])
-        found = level.select("keyword", pick(url_keys).alias("url"), pick(company_keys).alias("company"), F.lit(d).alias("pos")).filter("url like 'http%'")
-        out = found if out is None else out.unionByName(found)
-        if d < depth:
-            level.createOrReplaceTempView("_leadmill_level")
-            level = df.sparkSession.sql("SELECT keyword, e.value AS v FROM _leadmill_level, LATERAL variant_explode(v) e WHERE schema_of_variant(e.value) LIKE 'OBJECT%' OR schema_of_variant(e.value) LIKE 'ARRAY%'")
-    return first_per_key(out, ["keyword", "url"], "pos")
+def ads_from_nested(df: DataFrame, url_keys: list[str], company_keys: list[str]) -> DataFrame:
+    """(keyword, url, company, pos) from payloads df(keyword, body): objects at any level that have a web address under one of
+    the keys, each address once; pos is its level. The company is the first one at or below the nearest object around the
+    address (itself included) that has one and whose first address is this one. Within an object keys come in order of
+    their names, an object's own before those below it."""
+    pick = lambda keys: F.coalesce(*[F.expr(f"nullif(trim(try_variant_get(v, '$.{k}', 'string')), '')") for k in keys])
+    level = written(df.select("keyword", F.xxhash64("keyword", "body").alias("doc"), F.array().cast("array<int>").alias("path"), F.try_parse_json("body").alias("v")).filter("v is not null"), "level")
+    parts = []
+    while level.limit(1).count():  # a round a level; the deepest payload says how many
+        parts.append(level.select("keyword", "doc", "path", pick(url_keys).alias("url"), pick(company_keys).alias("company")).filter("url is not null or company is not null"))
+        level.createOrReplaceTempView("_leadmill_level")
+        level = df.sparkSession.sql("SELECT keyword, doc, array_append(path, e.pos) AS path, e.value AS v FROM _leadmill_level, LATERAL variant_explode(v) e WHERE schema_of_variant(e.value) LIKE 'OBJECT%' OR schema_of_variant(e.value) LIKE 'ARRAY%'")
+        level = written(level, "level")
+    if not parts:
+        return df.select("keyword", F.lit("").alias("url"), F.lit("").alias("company"), F.lit(0).alias("pos")).limit(0)
+    own = reduce(DataFrame.unionByName, parts)
+    around = own.withColumn("above", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", 1, n))))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("path")))
+    around = around.groupBy("doc", "above").agg(first("url").alias("_url"), first("company").alias("company"))
+    ads = own.filter("url like 'http%'").select("keyword", "doc", "path", "url").distinct()
+    above = ads.withColumn("above", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", 1, n))))
+    near = above.join(around, ["doc", "above"]).filter("_url = url and company is not null").groupBy("doc", "path").agg(F.max_by("company", F.size("above")).alias("company"))
+    each = ads.join(near, ["doc", "path"], "left").withColumn("pos", F.size("path"))
+    return first_per_key(each, ["keyword", "url"], ["pos", "path"]).select("keyword", "url", "company", "pos")
 
 
 def ad_links_from_html(pages: DataFrame, mark: str = "/aclk", own: str = "(?!)") -> DataFrame:

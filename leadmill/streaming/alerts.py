@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leadmill.functions.text import calc_rank
+from leadmill.operators.windows import STRETCH, runs, with_rows_before
 
 #: Late events are waited for so long.
 LATENESS = "10 minutes"
@@ -43,9 +44,11 @@ def hourly_stats(tele: DataFrame) -> DataFrame:
     return g.agg(F.count_if(search).alias("tries"), share(search & (F.col("n") == 0), search).alias("zero_rate"), share(extract & F.col("ok"), extract).alias("extraction_rate"))
 
 
-def live_sightings(leads: DataFrame, key: str = "lp_url", source: str = "source") -> DataFrame:
-    """(key, seen_count, sources, rank), brought up to date with each batch (update mode)."""
-    g = leads.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("seen_count"), F.array_sort(F.collect_set(source)).alias("sources"))
+def live_sightings(leads: DataFrame, key: str = "lp_url", source: str = "source", horizon: str = "30 days") -> DataFrame:
+    """(key, seen_count, sources, rank), brought up to date with each batch (update mode). On a stream sightings count within
+    a horizon of event time (`window` tells which), and the state of a horizon that the watermark has passed is dropped."""
+    timed = _timed(leads).groupBy(F.window("ts", horizon), key) if leads.isStreaming else leads.groupBy(key)
+    g = timed.agg(F.count(F.lit(1)).cast("int").alias("seen_count"), F.array_sort(F.collect_set(source)).alias("sources"))
     return g.withColumn("rank", calc_rank(F.col("seen_count"), F.col("sources")))
 
 
@@ -180,34 +183,50 @@ def _told(rows: DataFrame, problem: str, severity: str, value) -> DataFrame:
     return rows.select(F.col("ts").cast("timestamp").alias("ts"), "source", F.lit(problem).alias("problem"), F.lit(severity).alias("severity"), value.cast("double").alias("value"))
 
 
-def low_success_alerts(tele: DataFrame, n: int = 100, share: float = 0.10) -> DataFrame:
+def low_success_alerts(tele: DataFrame, n: int = 100, share: float = 0.10, rows: int = STRETCH) -> DataFrame:
     """On a table windows say the same as the processor on a stream."""
     own = tele.filter("kind = 'extract'")
     if own.isStreaming:
         return _stateful(own, "source", LowSuccess(n, share))
-    order = W.partitionBy("source").orderBy(*_in_order(own))
+    order = W.partitionBy("source", "_stretch").orderBy(*_in_order(own))
     last = order.rowsBetween(-(n - 1), 0)
-    rated = own.withColumn("_rate", F.avg(F.col("ok").cast("double")).over(last)).withColumn("_low", (F.count(F.lit(1)).over(last) >= n // 2) & (F.col("_rate") < share))
-    first = rated.withColumn("_was", F.lag("_low", 1, False).over(order)).filter("_low and not _was")
+    # one row more than a window has: the last carried row's own rate is needed too
+    rated = with_rows_before(own, "source", _in_order(own), n, rows).withColumn("_rate", F.avg(F.col("ok").cast("double")).over(last)).withColumn("_low", (F.count(F.lit(1)).over(last) >= n // 2) & (F.col("_rate") < share))
+    first = rated.withColumn("_was", F.lag("_low", 1, False).over(order)).filter("_low and not _was and not _carried")
     return _told(first, "low_success", "warning", F.col("_rate"))
 
 
-def failure_streak_alerts(tele: DataFrame, n: int = 5) -> DataFrame:
+def failure_streak_alerts(tele: DataFrame, n: int = 5, rows: int = STRETCH) -> DataFrame:
     own = tele.filter("kind = 'search'")
     if own.isStreaming:
         return _stateful(own, "source", FailureStreak(n))
-    order = W.partitionBy("source").orderBy(*_in_order(own))
-    island = own.withColumn("_island", F.sum(F.col("ok").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).filter("not ok")
-    run = F.row_number().over(W.partitionBy("source", "_island").orderBy(*_in_order(own)))
-    return _told(island.withColumn("_run", run).filter(F.col("_run") == n), "failure_streak", "critical", F.col("_run"))
+    return _told(runs(own, ~F.col("ok"), "source", _in_order(own), "_failures", rows).filter(F.col("_failures") == n), "failure_streak", "critical", F.col("_failures"))
 
 
 def suppress(alerts: DataFrame, repairs: DataFrame, hours: float = 2) -> DataFrame:
-    """alerts(ts, source, problem, severity, value) and repairs(ts, problem, hours) in one stream by problem."""
+    """alerts(ts, source, problem, severity, value) and repairs(ts, problem, hours) in one stream by problem; on tables
+    repairs meet the alerts of the hours that they quiet. A repair at an alert's own time quiets it."""
+    if not alerts.isStreaming and not repairs.isStreaming:
+        hour = lambda c: F.floor(c.cast("double") / 3600)
+        begin = F.col("ts").cast("timestamp")
+        quiet = repairs.select(F.col("problem").alias("_problem"), begin.alias("_from"), (begin.cast("double") + F.coalesce("hours", F.lit(hours)) * 3600).alias("_until"))
+        quiet = quiet.withColumn("_hour", F.explode(F.sequence(hour(F.col("_from")), F.floor(F.col("_until") / 3600))))
+        at = F.col("ts").cast("timestamp")
+        met = (F.col("problem") == F.col("_problem")) & (hour(at) == F.col("_hour")) & (at >= F.col("_from")) & (at.cast("double") < F.col("_until"))
+        return alerts.join(quiet, met, "left_anti").select(at.alias("ts"), "source", "problem", "severity", F.col("value").cast("double").alias("value"))
     a = alerts.select("ts", "source", "problem", "severity", F.col("value").cast("double").alias("value"), F.lit("alert").alias("kind"))
     r = repairs.select("ts", F.lit("").alias("source"), "problem", F.lit("").alias("severity"), F.col("hours").cast("double").alias("value"), F.lit("repair").alias("kind"))
     return _stateful(a.unionByName(r), "problem", Suppress(hours))
 
 
-def silence_alerts(beats: DataFrame, seconds: int = 300) -> DataFrame:
-    return _stateful(beats, "source", Silence(seconds), "EventTime")
+def silence_alerts(beats: DataFrame, seconds: int = 300, rows: int = STRETCH) -> DataFrame:
+    """On a table: where the next heartbeat of a source comes later, or none comes until the newest one of all sources."""
+    if beats.isStreaming:
+        return _stateful(beats, "source", Silence(seconds), "EventTime")
+    own = beats.select(F.col("ts").cast("timestamp").alias("ts"), "source")
+    before = F.lag("ts").over(W.partitionBy("source", "_stretch").orderBy("ts"))
+    gaps = with_rows_before(own, "source", ["ts"], 1, rows).withColumn("_last", before).filter("not _carried").select("source", F.col("_last").alias("ts"), F.col("ts").alias("_next"))
+    ends = own.groupBy("source").agg(F.max("ts").alias("ts")).join(own.agg(F.max("ts").alias("_next")), how="cross")  # one row
+    late = F.col("_next").cast("double") - F.col("ts").cast("double")
+    gaps = gaps.filter(late > seconds).unionByName(ends.filter(late >= seconds))
+    return _told(gaps.select((F.col("ts").cast("double") + seconds).cast("timestamp").alias("ts"), "source"), "silence", "critical", F.lit(float(seconds)))

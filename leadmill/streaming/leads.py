@@ -1,19 +1,26 @@
 """The lead stream: each batch is filtered, matched with what is known, deduplicated, enriched and written.
 
-A batch goes to `out/<batch>` folders by its number, so that a batch which runs again after a failure replaces its own
-output. `companies` of the last finished batch is the state that the next one reads.
+A batch goes to `out/<table>/<batch>` folders by its number, so that a batch which runs again after a failure replaces its
+own output. `companies/<batch>` holds the companies that the batch changed or added, and each COMPACT-th one all of them; the
+state that the next batch reads is the latest row of each company since the last of these. Rows arrive in order of time and source,
+then of a hash of the row, whatever the order of files and tasks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from leadmill.functions.text import calc_rank, normalize_company, normalize_phone, phone_confidence
 from leadmill.functions.urls import is_article_url, is_http, is_test_url
 from leadmill.operators.dedupe import apply_sightings, insert_or_ignore
 from leadmill.operators.maintain import locate_rows
+from leadmill.operators.scratch import written
 from leadmill.operators.match import base_domain, drop_hosts, find_duplicates
 
+#: Each so many batches all companies are written.
+COMPACT = 50
 COMPANY = "id LONG, company_name STRING, normalized_name STRING, lp_url STRING, base_url STRING, phone STRING, phone_source STRING, ad_sources ARRAY<STRING>, keyword STRING, found_at TIMESTAMP, seen_count INT, rank STRING, phone_confidence INT, corporate_number STRING"
 
 
@@ -24,31 +31,43 @@ def usable_leads(leads: DataFrame, not_landing: DataFrame, blocked: DataFrame) -
 
 
 def process_batch(leads: DataFrame, companies: DataFrame, dims: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(companies after the batch, rank changes). dims: not_landing(host), blocked(host), suffixes(suffix), facts(lp_url,
+    """(companies that the batch changed or added, rank changes). dims: not_landing(host), blocked(host), suffixes(suffix), facts(lp_url,
     company_name, phone, phone_source, corporate_number)."""
     own = base_domain(usable_leads(leads, dims["not_landing"], dims["blocked"]), "lp_url", dims["suffixes"], "base_url")
     own = own.join(dims["facts"], "lp_url", "left")
     rows = own.withColumns({"company_name": F.coalesce("company_name", "meta_company"), "phone": normalize_phone(F.coalesce("phone", "serp_phone"))})
     rows = rows.withColumn("normalized_name", normalize_company(F.col("company_name"))).filter("normalized_name <> '' and phone <> ''")
     marked = find_duplicates(rows, companies, "A")
-    seen, changes = apply_sightings(companies, marked.filter("dup_by is not null"))
-    fresh = marked.filter("dup_by is null")
-    first = companies.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    # ids by hash of the batch's own rows: no numbering of all rows in one task
-    new = fresh.join(first, how="cross").withColumn("id", F.col("_last") + 1 + F.monotonically_increasing_id()).withColumn("ad_sources", F.array("source")).withColumn("seen_count", F.lit(1))
+    seen, changes = apply_sightings(companies, marked.filter("dup_by is not null"), changed_only=True)
+    last = companies.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = marked.filter("dup_by is null").withColumn("_hash", F.xxhash64("lp_url", "source", "keyword", "company_name", "phone", "ts"))
+    # sorted by ranges, so numbers grow along the order of arrival; written once, as they are told apart by them from here on
+    new = fresh.orderBy("ts", "source", "_hash").withColumn("id", F.lit(last + 1) + F.monotonically_increasing_id()).withColumn("ad_sources", F.array("source")).withColumn("seen_count", F.lit(1))
     new = new.withColumn("rank", calc_rank(F.col("seen_count"), F.col("ad_sources"))).withColumn("phone_confidence", phone_confidence(F.col("phone_source"), F.lit("unknown")).cast("int")).withColumn("found_at", F.col("ts"))
-    new = new.select(companies.columns)
+    new = written(new.select(companies.columns), "leads")
     accepted, _ = insert_or_ignore(new, companies, ["normalized_name", "base_url"], "id")
     return seen.unionByName(accepted), changes
 
 
+def known_companies(spark, out: str, number: int) -> DataFrame:
+    """The companies before a batch: of each the latest row since all were written last."""
+    first = max(0, number // COMPACT * COMPACT - 1)
+    parts = [spark.read.schema(COMPANY).parquet(f"{out}/companies/{k}").withColumn("_batch", F.lit(k)) for k in range(first, number)]
+    if not parts:
+        return spark.createDataFrame([], COMPANY)
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "_batch"]), "_batch").alias("r")).select("r.*")
+
+
 def run_lead_stream(leads: DataFrame, dims: dict[str, DataFrame], out: str, trigger: str = "300 seconds", once: bool = False, sheet: DataFrame | None = None):
     """Starts the stream: companies and rank changes of each batch under out. once: works off what is there and ends."""
 
     def batch(df: DataFrame, number: int) -> None:
         session = df.sparkSession
-        old = session.read.schema(COMPANY).parquet(f"{out}/companies/{number - 1}") if number else session.createDataFrame([], COMPANY)
+        old = known_companies(session, out, number)
         after, changes = process_batch(df, old, dims)
+        if number % COMPACT == COMPACT - 1:
+            after = old.join(after.select("id"), "id", "left_anti").unionByName(after)
         after.write.mode("overwrite").parquet(f"{out}/companies/{number}")
         told = locate_rows(changes.withColumn("corporate_number", F.lit(None).cast("string")), sheet) if sheet is not None else changes
         told.write.mode("overwrite").parquet(f"{out}/rank_changes/{number}")

@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from leadmill.operators import dedupe, match, pages as H, windows as W
+from leadmill.sources import readers as S
+from leadmill.streaming import alerts as R
 
 
 def test_insert_or_ignore_is_sequential(spark):
@@ -77,3 +79,51 @@ def test_long_pages_are_read_whole(spark):
     assert "late text" in pages.select(H.visible_text_lines(F.col("html")).alias("t")).first().t
     assert [r.company for r in H.spa_names(pages).collect()] == ["株式会社後方商事"]
     assert any("/late" in str(r) for r in H.links(pages).collect())
+
+
+def test_stretches_of_time_say_the_same(spark):
+    random.seed(8)
+    rows = [(i, random.randrange(400), random.choice(["a", "a", "a", "b", None]), "search" if i % 2 else "extract", random.random() < 0.6) for i in range(600)]
+    tele = spark.createDataFrame(rows, "id long, ts long, source string, kind string, ok boolean")
+    by = {}
+    for i, ts, source, kind, ok in sorted(rows, key=lambda r: (r[1], r[0])):
+        by.setdefault(source, []).append((i, ts, kind, ok))
+    for size in (40, 7, 10_000):
+        got = {r.id: (r.seen, r.rate) for r in W.rolling_success(tele, 20, 5, rows=size).collect()}
+        streak = {r.id: r.streak for r in W.streaks(tele.withColumn("t", F.col("ts") * 1000 + F.col("id")), "ok", order="t", rows=size).collect()}
+        assert len(got) == len(streak) == 600
+        for own in by.values():
+            run = 0
+            for k, (i, _, _, ok) in enumerate(own):
+                last = [o[3] for o in own[max(0, k - 19) : k + 1]]
+                assert got[i][0] == len(last) and (got[i][1] is None) == (len(last) < 5) and (got[i][1] is None or abs(got[i][1] - sum(last) / len(last)) < 1e-9)
+                run = run % 3 + 1 if ok else 0
+                assert streak[i] == run
+        want, low_want = [], []
+        for source, own in by.items():
+            run, low = 0, False
+            for k, (_, ts, _, ok) in enumerate([o for o in own if o[2] == "search"]):
+                run = 0 if ok else run + 1
+                want += [(source, ts)] * (run == 3)
+            some = [o for o in own if o[2] == "extract"]
+            for k, (_, ts, _, _) in enumerate(some):
+                last = [o[3] for o in some[max(0, k - 9) : k + 1]]
+                now = len(last) >= 5 and sum(last) / len(last) < 0.45
+                low_want += [(source, ts)] * (now and not low)
+                low = now
+        key = lambda rs: sorted((str(r.source), int(r.ts.timestamp())) for r in rs)
+        assert key(R.failure_streak_alerts(tele, 3, size).collect()) == sorted((str(s), t) for s, t in want)
+        assert key(R.low_success_alerts(tele, 10, 0.45, size).collect()) == sorted((str(s), t) for s, t in low_want)
+
+
+def test_nested_ads_at_any_depth(spark):
+    import json
+
+    ad = {"page_name": "近く", "snapshot": {"link_url": "https://a.example/"}}
+    for _ in range(6):
+        ad = {"edges": [ad]}
+    body = {"data": ad, "other": [{"page_name": "x", "link_url": "https://b.example/"}, {"link_url": "https://c.example/"}, {"link_url": "ftp://d"}, {"link_url": " "}]}
+    rows = spark.createDataFrame([("k", json.dumps(body)), ("k", json.dumps(body)), ("bad", "{"), ("none", "[]"), ("null", None)], "keyword string, body string")
+    got = {(r.keyword, r.url): r.company for r in S.ads_from_nested(rows, ["link_url"], ["page_name"]).collect()}
+    assert got == {("k", "https://a.example/"): "近く", ("k", "https://b.example/"): "x", ("k", "https://c.example/"): None}
+    assert S.ads_from_nested(rows.limit(0), ["link_url"], ["page_name"]).count() == 0
