@@ -338,15 +338,28 @@ def _(spark, comp):
     return comp.select("id", is_valid_company(c).alias("strict"), is_valid_company_labelled(c).alias("labelled"), T.has_label_leak(c).alias("leak"), T.needs_reextract(c).alias("again"))
 
 
-@query("f18_normalize_names", "SELECT id, CASE id % 5 WHEN 4 THEN 'x' ELSE company_name END AS name FROM comp WHERE id % 5 <> 4", comp=COMPANIES)
+# Names as pages write them: {n} is the name itself.
+_DRESSED = ["'【公式】' || {n} || '（東京本社）'", "'©2024 ' || {n}", "{n} || '‐採用サイト'", "{n} || '（仮称）（東京支社）'", "{n} || ' All rights reserved.'", "{n} || 'ホームページ'", "{n} || '所在地'", "'「' || {n} || '」'", "'※ ' || {n} || ' 「会社概要」はこちら'", "{n} || '(以下、弊社'", "{n} || 'の採用・求人情報'", "'サンプル(' || {n} || ')'"]
+
+
+def _dressed(id_: str, name: str) -> str:
+    return f"CASE {id_} % {len(_DRESSED)} " + " ".join(f"WHEN {i} THEN {d.format(n=name)}" for i, d in enumerate(_DRESSED)) + " END"
+
+
+# only a name that begins with its form is taken out of brackets behind another
+_NAMED = f"CASE WHEN id % {len(_DRESSED)} = {len(_DRESSED) - 1} AND id % 5 IN (1, 2, 4) THEN CASE id % 5 WHEN 4 THEN 'サンプル' ELSE 'サンプル(' || company_name || ')' END ELSE company_name END"
+
+
+@query("f18_normalize_names", f"SELECT id, {_NAMED} AS name FROM comp", comp=COMPANIES)
 def _(spark, comp):
-    raw = comp.filter("id % 5 <> 4").select("id", F.concat(F.lit("【公式】"), "company_name", F.lit("（東京本社）")).alias("raw"))
+    raw = comp.select("id", F.expr(_dressed("id", "company_name")).alias("raw"))
     return normalize_names(raw, "raw").select("id", "name")
 
 
-@query("f19_sanitize_names", "SELECT id, company_name AS name FROM comp WHERE id % 5 <> 4", comp=COMPANIES)
+@query("f19_sanitize_names", "SELECT id, company_name AS name FROM comp UNION ALL SELECT id + 1000000000, NULL FROM comp", comp=COMPANIES)
 def _(spark, comp):
-    raw = comp.filter("id % 5 <> 4").select("id", F.concat("company_name", F.lit(" 採用情報")).alias("raw"))
+    tail = F.element_at(F.array(*[F.lit(x) for x in (" 採用情報", "－公式サイト", " 会社概要 アクセス", "の求人")]), (F.col("id") % 4 + 1).cast("int"))
+    raw = comp.select("id", F.concat("company_name", tail).alias("raw")).unionByName(comp.select((F.col("id") + 1000000000).alias("id"), F.lit("採用情報").alias("raw")))
     return sanitize_names(raw, "raw").select("id", "name")
 
 
@@ -371,7 +384,7 @@ def _(spark, names, reg):
     return J.resolve_guarded(names, reg).select("name", "corp_number", "confidence")
 
 
-_QUERIES5 = "SELECT DISTINCT p_name || ' ' || CAST(p_partkey % 90 AS STRING) AS name FROM {part} WHERE p_partkey % 20 = 7"
+_QUERIES5 = "SELECT DISTINCT p_name || ' ' || CAST(p_partkey % 90 AS STRING) AS name FROM {part}"
 
 
 @query("j5_search_trigram", "SELECT query, corp_number, pos FROM (SELECT q.name AS query, corp_number, row_number() OVER (PARTITION BY q.name ORDER BY corp_number) AS pos FROM q JOIN reg ON contains(reg.name, q.name)) WHERE pos <= 5", q=_QUERIES5, reg=REGISTRY)
@@ -391,7 +404,7 @@ def _(spark, comp, dir_):
     return out.join(dir_.select(F.col("listed").alias("shown"), clean(F.col("listed")).alias("_k")).distinct(), F.col("listed") == F.col("_k")).select("id", F.col("shown").alias("listed"))
 
 
-_HALVES = {"new": COMPANIES + " WHERE c_custkey % 2 = 1", "old": COMPANIES + " WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0"}
+_HALVES = {"new": COMPANIES + " WHERE c_custkey % 2 = 1", "old": COMPANIES + " WHERE c_custkey % 2 = 0"}
 
 
 @query("j14_duplicates", "SELECT n.id, CASE WHEN n.base_url IN (SELECT base_url FROM old) THEN 'base_url' WHEN n.phone IN (SELECT phone FROM old) THEN 'phone' WHEN n.normalized_name IN (SELECT normalized_name FROM old) THEN 'normalized_name' END AS dup_by FROM new n", **_HALVES)
@@ -410,7 +423,7 @@ def _(spark, new, old):
 
 
 @query("j16_competitors", """, t AS (SELECT *, split_part(keyword, ' ', 1) AS tok FROM comp), p AS (SELECT a.id, b.company_name AS name, min(CASE WHEN a.area_name = b.area_name THEN 0 ELSE 1 END * 1000000000 - b.id) AS k FROM t a JOIN t b ON a.tok = b.tok AND a.id <> b.id AND a.company_name <> b.company_name GROUP BY 1, 2),
-r AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM p) SELECT t.id, coalesce(string_agg(name, '+' ORDER BY n), '') AS competitors FROM t LEFT JOIN (SELECT * FROM r WHERE n <= 3) r USING (id) GROUP BY t.id""", comp=COMPANIES + " WHERE c_custkey % 3 = 1")
+r AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM p) SELECT t.id, coalesce(string_agg(name, '+' ORDER BY n), '') AS competitors FROM t LEFT JOIN (SELECT * FROM r WHERE n <= 3) r USING (id) GROUP BY t.id""", comp=COMPANIES)
 def _(spark, comp):
     return J.competitors(comp).select("id", F.array_join("competitors", "+").alias("competitors"))
 
@@ -609,9 +622,12 @@ def _(spark, u):
 
 @query("s5_nested_ads", "SELECT page_id, url, 'c' AS company FROM u", u=_URLS)
 def _(spark, u):
-    inner = F.struct(F.struct(F.array(F.struct(F.col("url").alias("link_url"), F.lit("c").alias("page_name"))).alias("list")).alias("edges"))
+    ad = F.struct(F.struct(F.struct(F.col("url").alias("link_url")).alias("body")).alias("snapshot"), F.lit("c").alias("page_name"))
+    for _ in range(5):  # the address lies below its company, and both at level 11 to 13
+        ad = F.struct(F.array(ad).alias("list"))
+    inner = F.struct(ad.alias("edges"))
     body = u.select(F.col("page_id").cast("string").alias("keyword"), F.to_json(inner).alias("body"))
-    return S.ads_from_nested(body, ["link_url", "website_url"], ["page_name"], 4).select(F.col("keyword").cast("long").alias("page_id"), "url", "company")
+    return S.ads_from_nested(body, ["link_url", "website_url"], ["page_name"]).select(F.col("keyword").cast("long").alias("page_id"), "url", "company")
 
 
 @query("h11_line_pairs", "SELECT c_custkey AS page_id, '株式会社' || substr(c_name, 10) || '商事' AS company FROM customer", pages=f"SELECT c_custkey AS page_id, 'お知らせ' || chr(10) || '会社名：株式会社' || substr(c_name, 10) || '商事' || chr(10) || '住所' || chr(10) || 'TEL：' || {DIGITS} AS text FROM {{customer}}")
@@ -673,11 +689,11 @@ def _(spark, comp):
     return D.merge_reextracted(comp, new).select("id", "action")
 
 
-@query("d6_backfill_prefecture", """SELECT id, m AS pref_match, CASE WHEN m = 'mismatch' THEN CASE r WHEN 'S' THEN 'A' WHEN 'A' THEN 'B' ELSE 'C' END ELSE r END AS rank FROM (SELECT id, CASE WHEN left(phone, 4) = '0476' AND length(phone) = 10 THEN 'near' WHEN left(phone, 2) = '03' THEN 'match' WHEN left(phone, 3) = '045' THEN 'near' WHEN left(phone, 2) = '06' THEN 'mismatch' WHEN left(phone, 3) = '011' THEN 'mismatch' ELSE 'unknown' END AS m,
- CASE WHEN id % 4 IN (3) OR seen_count >= 5 THEN 'S' WHEN id % 4 IN (0, 2) OR seen_count >= 3 THEN 'A' WHEN seen_count >= 2 THEN 'B' ELSE 'C' END AS r FROM comp)""", comp=COMPANIES + " WHERE c_custkey % 7 <> 0")
+@query("d6_backfill_prefecture", """SELECT id, m AS pref_match, CASE WHEN m = 'mismatch' THEN CASE r WHEN 'S' THEN 'A' WHEN 'A' THEN 'B' ELSE 'C' END ELSE r END AS rank FROM (SELECT id, CASE WHEN corporate_number = '' THEN 'unknown' WHEN left(phone, 4) = '0476' AND length(phone) = 10 THEN 'near' WHEN left(phone, 2) = '03' THEN 'match' WHEN left(phone, 3) = '045' THEN 'near' WHEN left(phone, 2) = '06' THEN 'mismatch' WHEN left(phone, 3) = '011' THEN 'mismatch' ELSE 'unknown' END AS m,
+ CASE WHEN id % 4 IN (3) OR seen_count >= 5 THEN 'S' WHEN id % 4 IN (0, 2) OR seen_count >= 3 THEN 'A' WHEN seen_count >= 2 THEN 'B' ELSE 'C' END AS r FROM comp)""", comp=COMPANIES)
 def _(spark, comp):
     own = comp.withColumn("ad_sources", F.split("ad_sources", "[+,]")).withColumns({"nta_prefecture": F.lit(None).cast("string"), "pref_match": F.lit(None).cast("string"), "phone_confidence": F.lit(0)})
-    registry = comp.select(F.col("corporate_number").alias("corp_number"), F.lit("東京都").alias("pref"))
+    registry = comp.filter("corporate_number <> ''").select(F.col("corporate_number").alias("corp_number"), F.lit("東京都").alias("pref"))
     return D.backfill_prefecture(own, registry, _rows(spark, PREFIXES, "prefix prefecture"), _rows(spark, NEIGHBOURS, "src dst")).select("id", "pref_match", "rank")
 
 
@@ -762,7 +778,7 @@ def _(spark, pages):
     return H.legal_block_phone(pages)
 
 
-@query("h16_merge_site_pages", "SELECT id % 40 AS site, arg_min(company_name, id) AS company, arg_min(phone, id) AS phone FROM rec WHERE id % 2 = 0 GROUP BY 1", rec=RECORDS + " WHERE c_custkey % 2 = 0 OR c_custkey % 40 IN (SELECT 0 WHERE false)")
+@query("h16_merge_site_pages", "SELECT id % 40 AS site, arg_min(company_name, id) AS company, arg_min(phone, id) AS phone FROM rec GROUP BY 1", rec=RECORDS)
 def _(spark, rec):
     return H.merge_site_pages(rec.select((F.col("id") % 40).alias("site"), F.col("company_name").alias("company"), "phone", F.col("id").alias("ord")))
 
