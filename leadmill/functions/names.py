@@ -89,23 +89,33 @@ def _roleless(c: Column) -> Column:
     return F.when(has(c, LEGAL_FORM) & (F.length(cut) >= 3) & ~has(cut, f"^{JP_FORM}$"), cut).otherwise(c)
 
 
-def _named(df: DataFrame, raw: str, out: str, steps) -> DataFrame:
-    """Adds the result of the steps, worked out once for each distinct raw name."""
+def _named(df: DataFrame, raw: str, out: str, step) -> DataFrame:
+    """Adds the result of the step, worked out once for each distinct raw name."""
     names = df.select(F.col(raw).alias("_raw")).distinct()
-    names = names.withColumn("_name", chain(text(F.col("_raw")), *steps))
+    names = names.withColumn("_name", step(F.col("_raw")))
     return df.drop(out).join(names, F.col(raw).eqNullSafe(F.col("_raw")), "left").drop("_raw").withColumnRenamed("_name", out)
 
 
-def normalize_names(df: DataFrame, raw: str, out: str = "name") -> DataFrame:
-    """Adds the normalised name; null gives the empty text."""
-    return _named(df, raw, out, [_tidy, cut_behind, _unbracketed, cut_behind, lambda c: _named_words(c), _roleless])
+def normalized_name(c: Column) -> Column:
+    """The normalised name; null gives the empty text."""
+    return chain(text(c), _tidy, cut_behind, _unbracketed, cut_behind, lambda x: _named_words(x), _roleless)
 
 
-def sanitize_names(df: DataFrame, raw: str, out: str = "name") -> DataFrame:
+def sanitized_name(c: Column) -> Column:
     """The last gate: normalised, without an agent's word before it; null where nothing is left, a kind of page is, or a long
     text without a legal form."""
-    gate = lambda c: F.when((c != "") & ~c.isin(*PAGE_WORDS) & ((F.length(c) <= 25) | has(c, LEGAL_FORM)), c)
-    return _named(df, raw, out, [_tidy, cut_behind, _unbracketed, cut_behind, lambda c: _named_words(c, agents=True), _roleless, cut_behind, gate])
+    gate = lambda x: F.when((x != "") & ~x.isin(*PAGE_WORDS) & ((F.length(x) <= 25) | has(x, LEGAL_FORM)), x)
+    return chain(text(c), _tidy, cut_behind, _unbracketed, cut_behind, lambda x: _named_words(x, agents=True), _roleless, cut_behind, gate)
+
+
+def normalize_names(df: DataFrame, raw: str, out: str = "name") -> DataFrame:
+    """Adds the normalised name."""
+    return _named(df, raw, out, normalized_name)
+
+
+def sanitize_names(df: DataFrame, raw: str, out: str = "name") -> DataFrame:
+    """Adds the name that passes the last gate."""
+    return _named(df, raw, out, sanitized_name)
 
 
 # What is no company name, by its beginning.

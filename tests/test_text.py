@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leadmill.functions import text as T, urls as U
+from leadmill.functions import sql, text as T, urls as U
 from leadmill.functions.names import is_valid_company, is_valid_company_labelled, normalize_names, sanitize_names
 
 
@@ -110,6 +110,13 @@ def test_urls(spark):
 
 
 def test_sql_functions(spark):
-    T.register_sql(spark)
+    sql.register_sql(spark)
     row = spark.sql("SELECT lead_rank(2, array('a')) AS a, lead_demote('S') AS b, lead_digits('03-1') AS c, lead_match_key('Ａ Ｂ') AS d, lead_is_freephone('0120-1') AS e").first()
     assert tuple(row) == ("B", "A", "031", "ab", True)
+    values = ["㈱田中商店 大阪支店", "【公式】株式会社山田（東京本社） 採用情報", "TEL 03-5555-1234 FAX 03-5555-9999", "https://www.A.example/blog/1?x=1", "院長：山田太郎 it's \\d &amp;&#65;", "0120-123-456", "", None, "Foo Co., Ltd."]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
+    for name, args, f in sql.FUNCTIONS:
+        if args == "s STRING":
+            got = rows.select("i", F.expr(f"{name}(s)").alias("q"), f(F.col("s")).alias("d")).collect()
+            assert all(r.q == r.d for r in got), name
+    assert spark.sql("SELECT lead_resolve_link('https://a.example/b/', 'e') AS x, lead_phone_confidence('lp_hp', 'match') AS y").first() == ("https://a.example/b/e", 80)
