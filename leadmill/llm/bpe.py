@@ -37,11 +37,11 @@ _WIDE_BEGINS = sorted({w[:2] for w in _WIDE})
 _WIDE_RUN = re.compile(rb"[\t-\r ](?:%(w)s)|(?:%(w)s)(?:[\t-\r ]|%(w)s)" % {b"w": b"|".join(_WIDE)})
 _ASCII_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
 #: Words of a worker's memo; it is emptied when full, which bounds its memory.
-MEMO = 2_000_000
+MEMO = 1_000_000
 #: Longer words are not remembered.
 MEMO_BYTES = 48
 #: Texts are encoded together until they have so many bytes.
-PART_BYTES = 16_000_000
+PART_BYTES = 6_000_000
 #: Longer fragments are merged by a heap, one by one.
 LONG = 64
 _NEVER = 1 << 60

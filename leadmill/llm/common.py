@@ -24,11 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The frame, written once to the shared folder and read again: later passes neither repeat the work before it
-    nor depend on executors that hold its blocks."""
+def written(df: DataFrame, tag: str, under: str | None = None) -> DataFrame:
+    """The frame, written once to the shared folder (or a folder of it) and read again: later passes neither repeat the
+    work before it nor depend on executors that hold its blocks."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{under or shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

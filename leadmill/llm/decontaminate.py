@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadmill.llm.common import indices, let, table
+from leadmill.llm.common import indices, let, table, written
 
 #: Words of a shared span that counts.
 SPAN = 13
@@ -86,29 +86,34 @@ def _united(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), zero, step, lambda s: s.n)
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Adds n_words, n_hit, item_ids (sorted as strings), n_items and contaminated to each row."""
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Adds n_words, n_hit, item_ids (sorted as strings), n_items and contaminated to each row. keep: the columns of docs to
+    carry along, all if None; what is carried goes through a shuffle once a row."""
     index, short = item_index(items, item, item_text)
-    index = index.cache()
+    index = written(index, "fingerprints")
     small = index.count() <= BROADCAST_FINGERPRINTS
     index = F.broadcast(index) if small else index
-    own = [c for c in docs.columns if c not in ("n_words", "n_hit", "item_ids", "n_items", "contaminated")]
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_words", words_of(F.col(text)))
+    own = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "item_ids", "n_items", "contaminated")]
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *own, words_of(F.col(text)).alias("_words"))
     rows = rows.withColumn("_prints", fingerprints(F.col("_words"), short)).withColumn("_n_words", F.size("_words").cast("long")).drop("_words")
-    # one entry without a hash for each document, so that those without hits stay
-    rows = rows.select("_row", *own, "_n_words", F.explode(F.concat("_prints", F.array(F.lit(None).cast(rows.schema["_prints"].dataType.elementType)))).alias("_f"))
+    # one more entry for each document carries its columns: fingerprints travel without them, however many a long text has
+    row = F.struct(*own, "_n_words")
+    none = F.lit(None).cast(rows.select(row).schema[0].dataType)
+    entries = F.transform("_prints", lambda f: F.struct(f.alias("f"), none.alias("row")))
+    keeper = F.array(F.struct(F.lit(None).cast(rows.schema["_prints"].dataType.elementType).alias("f"), row.alias("row")))
+    rows = rows.select("_row", F.explode(F.concat(entries, keeper)).alias("_e")).select("_row", F.col("_e.f").alias("_f"), F.col("_e.row").alias("_own"))
     rows = rows.withColumns({"_hash": F.col("_f.hash"), "_n": F.col("_f.n")}).join(index, ["_hash", "_n"], "left").filter("_hash is null or _items is not null")
     span = F.when(F.col("_hash").isNotNull(), _extended(F.col("_f"), F.col("_lead"), F.col("_around")))
-    rows = rows.select("_row", *own, "_n_words", "_hash", "_items", span.alias("_span")).filter("_hash is null or _span is not null")
-    found = rows.groupBy("_row").agg(*[F.first(F.when(F.col("_hash").isNull(), F.col(c)), ignorenulls=True).alias(c) for c in own], F.max("_n_words").alias("n_words"), F.collect_set("_span").alias("_spans"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("_items"))
-    n_hit = _united(F.col("_spans")).cast("long")
-    return found.select(*own, "n_words", n_hit.alias("n_hit"), F.array_sort("_items").alias("item_ids"), F.size("_items").cast("long").alias("n_items")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    rows = rows.select("_row", "_own", "_hash", "_items", span.alias("_span")).filter("_hash is null or _span is not null")
+    found = rows.groupBy("_row").agg(F.first("_own", ignorenulls=True).alias("_own"), F.collect_set("_span").alias("_spans"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("_items"))
+    found = found.select(*[F.col("_own")[c].alias(c) for c in own], F.col("_own._n_words").alias("n_words"), _united(F.col("_spans")).cast("long").alias("n_hit"), F.array_sort("_items").alias("item_ids"))
+    return found.withColumn("n_items", F.size("item_ids").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    got = contamination(docs, items)
+    got = contamination(docs, items, keep=["doc_id"])
     return got.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import pairwise
 from typing import NamedTuple
@@ -200,7 +201,7 @@ def counted(docs: DataFrame, buckets: int | None = None) -> Counts:
     """Chunks of docs(text, target, others)."""
     if buckets is None:
         buckets = 1 + (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS
-    kept = docs.drop("text").schema
+    kept = docs.drop("text", "lm").schema
     return Counts(written(docs.mapInArrow(_chunked(kept.names, buckets), "chunk long, body binary"), "chunks"), buckets, kept)
 
 
@@ -286,9 +287,10 @@ def _scores(chunk: Chunk, answers: list, n: int, target: Sizes, background: Size
 
 
 def with_target(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """Adds whether a row is of the target."""
-    known = written(target.select("doc_id").distinct().withColumn("_target", F.lit(True)), "target")
-    return docs.join(maybe_broadcast(known), "doc_id", "left").withColumn("target", F.coalesce("_target", F.lit(False))).drop("_target")
+    """Adds whether a row is of the target, in place of a column of that name."""
+    known, own = "_t" + uuid.uuid4().hex, [c for c in docs.columns if c != "target"]
+    ids = written(target.filter("doc_id is not null").select("doc_id").distinct().withColumn(known, F.lit(True)), "target")
+    return docs.join(maybe_broadcast(ids), "doc_id", "left").select(*own, F.coalesce(known, F.lit(False)).alias("target"))
 
 
 def trained(docs: DataFrame, target: DataFrame) -> Counts:
@@ -297,7 +299,7 @@ def trained(docs: DataFrame, target: DataFrame) -> Counts:
 
 
 def scored(docs: DataFrame, models: Counts) -> DataFrame:
-    """The columns of docs but the text, and a struct `lm` of n_tokens, target_loss, background_loss and score, for each
+    """The columns of docs but the text, and in place of a column of that name a struct `lm` of n_tokens, target_loss, background_loss and score, for each
     row of docs, which the background model counted; `target` says whether the target model did."""
     return answered(counted(docs, models.buckets), models)
 

@@ -22,6 +22,7 @@ shingle has one shingle of all its words. Rows that share an id count as linked.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -29,12 +30,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from leadmill.llm.common import maybe_broadcast, table, written
+from leadmill.llm.common import dropped, maybe_broadcast, shared_folder, table, written
 
 COLLECTIONS = 16
 ROWS = 3
 #: Pairs across components of so many members at most are listed bucket by bucket.
 SMALL = 24
+#: Members of one shingle that a task pairs with the others.
+SHARE = 500
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Rounds of one comparison a text before the rest is paired.
 ROUNDS = 2
@@ -127,17 +130,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return pairs.join(left, "a").join(right, "b").filter(similar("left", "right")).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, under: str | None = None) -> DataFrame:
     """(id, component) of every id in edges(a, b): the least id that can be reached. Each round takes the least
     component of all neighbours and then follows components' own components, until nothing changes."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    now = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "components")
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges", under)
+    now = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "components", under)
     while True:
         near = both.join(now.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         step = now.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("c", "component")).alias("component"))
         # follow the component's own component of before
         jump = now.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = written(step.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "components")
+        new = written(step.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "components", under)
         if not new.filter("component <> was").limit(1).count():
             return new.select("id", "component")
         now = new.select("id", "component")
@@ -145,32 +148,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of each row of docs."""
-    rows = written(described(docs, k, id_, text), "described")
+    base = f"{shared_folder(docs.sparkSession)}/near-{uuid.uuid4().hex}"  # for all that is written on the way
+    rows = written(described(docs, k, id_, text), "described", base)
     # equal sets, also thousands of them, become their least id by partial minima
     classes = rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("signature").alias("signature"))
-    classes = written(classes, "classes")
+    classes = written(classes, "classes", base)
     buckets = _buckets(classes)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = written(buckets.join(shared, "bucket"), "members")
-    ids = written(members.select("id").distinct(), "ids")
+    members = written(buckets.join(shared, "bucket"), "members", base)
+    ids = written(members.select("id").distinct(), "ids", base)
     texts = docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).join(maybe_broadcast(ids), "id", "left_semi")
-    texts = written(texts, "texts")
+    texts = written(texts, "texts", base)
     parts = classes.select("id", F.col("id").alias("component")).limit(0)
     links = compared = None
     for _ in range(ROUNDS):
-        pairs = written(_one_each(members, parts, compared, percent), "pairs")
+        pairs = written(_one_each(members, parts, compared, percent), "pairs", base)
         compared = pairs if compared is None else compared.union(pairs)
-        more = written(_confirmed(pairs, texts, k, percent), "links")
+        more = written(_confirmed(pairs, texts, k, percent), "links", base)
         links = more if links is None else links.union(more)
-        parts = components(links)
-    rest = _across(members, parts, texts, k, percent).join(compared, ["a", "b"], "left_anti")
-    more = written(_confirmed(rest, texts, k, percent), "links")
+        parts = components(links, base)
+    rest = _across(members, parts, texts, k, percent, base).join(compared, ["a", "b"], "left_anti")
+    more = written(_confirmed(rest, texts, k, percent), "links", base)
     if more.limit(1).count():
-        parts = components(links.union(more))
+        parts = components(links.union(more), base)
     found = classes.select("key", F.col("id").alias("rep")).join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left")
     found = found.select("key", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id", "n", "key").join(found, "key", "left")
-    return out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    out = written(out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "near-duplicates")
+    dropped(docs.sparkSession, base)
+    return out
 
 
 def _fits(a: str, b: str, percent: int):
@@ -192,24 +198,24 @@ def _one_each(members: DataFrame, parts: DataFrame, compared: DataFrame | None,
     return pairs.groupBy("a").agg(F.min("b").alias("b"))
 
 
-def _across(members: DataFrame, parts: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _across(members: DataFrame, parts: DataFrame, texts: DataFrame, k: int, percent: int, base: str) -> DataFrame:
     """Distinct pairs (a > b) that open buckets leave to be compared."""
     known = _of_parts(members, parts)
     open_ = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    known = written(known.join(open_, "bucket", "left_semi"), "open")
+    known = written(known.join(open_, "bucket", "left_semi"), "open", base)
     few = known.filter(F.col("size") <= SMALL)
     pairs = _pairs(few, "bucket", percent)
     large = known.filter(F.col("size") > SMALL).select("id", "component", "n").distinct()
     if large.limit(1).count():
-        large = written(large, "large")
+        large = written(large, "large", base)
         shingles = F.arrow_udf(lambda t: pa.array([shingle_set(x, k).view(np.int64).tolist() for x in t.to_pylist()], pa.list_(pa.int64())), "array<long>")
         own = large.join(texts.groupBy("id").agg(F.min("text").alias("text")), "id").select("id", "component", "n", F.explode(shingles(F.col("text"))).alias("shingle"))
-        own = written(own, "shingles")
+        own = written(own, "shingles", base)
         uses = own.groupBy("shingle").agg(F.count("*").alias("uses")).filter("uses > 1")
         # shingles of one text can't be shared, but they are its rarest and fill its prefix first
         ranked = own.join(uses, "shingle", "left").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "shingle"))).alias("all"))
         prefix = F.slice("all", F.lit(1), (F.size("all") - F.ceil(F.size("all") * F.lit(percent) / 100) + 1).cast("int"))
-        rare = ranked.select("id", "component", "n", F.posexplode(prefix).alias("at", "s")).filter("s.uses > 1").select("id", "component", "n", "at", F.col("s.shingle").alias("shingle"))
+        rare = ranked.select("id", "component", "n", F.posexplode(prefix).alias("at", "s")).filter("s.uses > 1").select("id", "component", "n", "at", F.col("s.shingle").alias("shingle"), F.col("s.uses").alias("uses"))
         pairs = pairs.union(_pairs(rare, "shingle", percent))
     return pairs.distinct()
 
@@ -218,12 +224,20 @@ def _pairs(rows: DataFrame, key: str, percent: int) -> DataFrame:
     """Distinct pairs of different components under one key that fit in size; and, where rows say at which place of the
     prefix the key is, in what can still follow."""
     place = ["at"] if "at" in rows.columns else []
-    side = lambda s: rows.select(key, F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("component", "n", *place)])
+    side = lambda s: rows.select(key, *spread, F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("component", "n", *place)])
+    spread = []
     good = (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b")) & _fits("n_a", "n_b", percent)
     if place:
         follow = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
         good = good & (follow * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
-    return side("a").join(side("b"), key).filter(good).select("a", "b").distinct()
+    if not place:  # keys of at most SMALL members
+        return side("a").join(side("b"), key).filter(good).select("a", "b").distinct()
+    # a key of many members is split: a member of one side meets each share of the other
+    shares = F.ceil(F.col("uses") / SHARE).cast("int")
+    spread = [F.pmod(F.xxhash64("id"), shares).cast("int").alias("share")]
+    left = side("a")
+    spread = [F.explode(F.sequence(F.lit(0), shares - 1)).alias("share")]
+    return left.join(side("b"), [key, "share"]).filter(good).select("a", "b").distinct()
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ Repeated rows are each judged; texts are measured whole. Without labelled rows o
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -120,7 +121,10 @@ def _grow(rows: list[dict]) -> Rule:
             sums = [0]
             for r in ordered:
                 sums.append(sums[-1] + r["bad"])
-            tried = sorted({len(ordered) * k // CUTS for k in range(1, CUTS)})
+            # the ends of each quantile's value: statistics that many rows share have few places to cut at
+            values = [r[name] for r in ordered]
+            quantiles = {values[len(values) * k // CUTS] for k in range(CUTS)}
+            tried = sorted({at(values, v) for v in quantiles for at in (bisect_left, bisect_right)})
             for j in tried:
                 if not 0 < j < len(ordered) or ordered[j - 1][name] == ordered[j][name]:
                     continue
@@ -183,9 +187,10 @@ def learned_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
     # of rows that repeat an id the one of least statistics: one row a sampled id
     rows = rows.select("doc_id", "quality", statistics(F.col("text")).alias("s")).groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("s").alias("s")).orderBy("doc_id")
-    got = [r.s.asDict() | {"bad": int(r.quality == 0)} for r in rows.collect()]
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)))
+    got = [r.s.asDict() | {"bad": int(r.quality == 0), "fold": r.fold} for r in rows.collect()]
     got = [r for r in got if r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]]
-    return learn_list([{k: float(r[k]) for k in STATISTICS} | {"bad": r["bad"], "fold": i % 3} for i, r in enumerate(got)])
+    return learn_list([{k: float(r[k]) for k in STATISTICS} | {"bad": r["bad"], "fold": r["fold"]} for r in got])
 
 
 def judgement(text: Column, rules: list[Rule]) -> Column:

@@ -1,6 +1,7 @@
 """Each operator against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -329,3 +330,111 @@ def test_html_names_of_pages_and_wrappers():
     assert html.main_text("<aside><article>No</article></aside>" + inner) == "Text"
     assert html.main_text("<html><head><title>T</title><meta charset=utf-8><body>" + inner) == html.main_text("<head><title>T</title>" + inner) == "Text"
     assert html.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "So x=2 holds"
+
+
+def test_url_ties_and_rules_without_a_token(spark):
+    rules = [("block", "a.org/*z/"), ("allow", "a.org/a*/"), ("allow", "a.org/a*/"), ("block", "a.org/a*/"), ("block", "/q*x"), ("allow", "b.org")] + [("block", f"h{i}.org/") for i in range(300)]
+    pages = spark.createDataFrame([(0, "x://a.org/az/"), (1, "x://any.net/qax"), (2, "x://b.org/qax"), (3, "x://h7.org/1"), (None, None)], "page_id long, url string").withColumn("rule", F.lit("clash")).withColumn("_token", F.lit("t"))
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages.drop("_token"), rules).collect()}
+    assert got == {0: ("a.org/*z/", "block"), 1: ("/q*x", "block"), 2: ("b.org", "allow"), 3: ("h7.org/", "block"), None: (None, "allow")}
+
+
+def test_shards_of_any_count(spark):
+    ids = spark.range(4000).select("id", *[shards.shard_of(F.col("id"), shards.even_tree(n)).alias(f"s{n}") for n in range(1, 41)]).collect()
+    for n in range(1, 40):
+        assert all(r[f"s{n + 1}"] in (r[f"s{n}"], n) for r in ids) and any(r[f"s{n + 1}"] == n for r in ids)
+    a = {"r0": {"k0": {0: 1.0, 1: 2.0}}, "r1": {"k1": {2: 1.0}, "k2": {3: 4.0}}}
+    b = {"r0": {"k0": {0: 1.0, 1: 2.0}}, "r1": {"k1": {2: 3.0}, "k2": {3: 4.0}}}
+    moved = spark.range(4000).select(shards.shard_of(F.col("id"), a).alias("a"), shards.shard_of(F.col("id"), b).alias("b")).filter("a <> b").collect()
+    assert moved and all(r.b == 2 for r in moved)
+    sizes = Counter(r.s for r in spark.range(8000).select(shards.shard_of(F.col("id"), a).alias("s")).collect())
+    assert all(abs(sizes[s] / 8000 - w / 8) < 0.03 for s, w in enumerate((1, 2, 1, 4)))
+
+
+def test_scans_are_linear():
+    import time
+
+    begin = time.time()
+    for page in ("<script x " * 20_000, "<div>" * 30_000 + "x", "<p>" + "<div>a" * 30_000, '<a x="' * 30_000, '<a x=">"' * 30_000, "<svg>a" * 30_000, "<!-- " * 50_000, "<article>" + '<div class="comment"><article>x' * 5_000, '<div class="' + "nav_" * 40 + '!">x'):
+        assert isinstance(html.main_text(page), str)
+    score = np.where(np.arange(300_000) % 3 == 0, 1.0, -0.9)
+    assert len(toxicity.maximal_segments(score)) == 100_000
+    assert time.time() - begin < 20
+
+
+def test_html_broken_markup_and_links():
+    assert html.main_text("<article><p title=it's>One</p><p>it's two</p></article>") == "One\n\nit's two"
+    assert html.main_text("<article><p>One<select><option>x</p><p>Two</p></article>") == "Onex\n\nTwo"
+    assert html.main_text("<article><p>a < b and c > d</p></article>") == "a < b and c > d"
+    assert html.main_text("<p>Text</p><script>x = '<p>no</p>'") == html.main_text("<p>Text</p>")
+    card = '<div><a href="/x"><div>Read more about this story here</div></a><a href="/y"><div>And about the other story there</div></a></div>'
+    assert "Read more" not in html.main_text(f"<body>{card}<p>" + "word " * 60 + "</p></body>")
+    assert html.main_text("<body><div class=football><p>" + "word " * 60 + "</p></div>") != ""
+
+
+def test_token_files_of_null_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "a"), (None, "a"), (2, None), (1, "b")], "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    tokenfiles.write_tokens(docs, f"{tmp_path}/n")
+    rows = sorted(tokenfiles.read_checksums(spark, f"{tmp_path}/n").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, 1, 2] and not os.path.exists(f"{tmp_path}/n/tokens")
+
+
+def test_huffman_round_trip():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 255, 256, 257, 300_001):
+        ids = rng.zipf(1.2, n).clip(1, 40_000).astype(np.int64)
+        code = tokenfiles.Code(tokenfiles.code_lengths(dict(Counter(ids.tolist()))))
+        packed, offsets = code.encode(ids)
+        assert n == 0 or (code.decode(packed, offsets, n) == ids).all()
+        assert len(packed) == -(-int(code.bits[ids].sum()) // 8)
+
+
+def test_near_duplicates_with_null_ids_and_hot_shingles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "SHARE", 3)
+    random.seed(12)
+    base = [f"b{i}" for i in range(40)]
+    docs = [(i, " ".join([*base[:34], *random.sample([f"x{j}" for j in range(8)], 6)])) for i in range(60)] + [(None, "b0 b1 b2"), (None, None), (70, "word " * 30_000)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("component_id", F.lit("clash")).withColumn("n", F.lit(1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(table, k=2).collect() if r.doc_id is not None}
+    assert got == _components([d for d in docs if d[0] is not None], 2, 80)
+
+
+def test_lm_on_empty_tables_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a b a"), (None, "a"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long")
+    odd = docs.withColumns({"target": F.lit(7), "_target": F.lit("x"), "lm": F.lit("y")})
+    models = lm.trained(docs, none)
+    got = lm.scored(lm.with_target(odd, none), models).collect()
+    assert len(got) == 4 and all(r.target is False and r._target == "x" for r in got)
+    assert all(abs(r.lm.target_loss - np.log(2)) < 1e-9 for r in got if r.lm.n_tokens)
+    empty = lm.trained(docs.limit(0), none)
+    assert lm.answered(empty, empty).count() == 0
+
+
+def test_toxicity_on_empty_tables_and_repeats(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, "bad " * 5 if i % 2 else "fine words") for i in range(40)] * 2 + [(None, "bad"), (99, "fine bad " * 50_000)], "doc_id long, text string")
+    assert toxicity.trained(docs.limit(0), labels).judged("x")[0] < 0.5
+    model = toxicity.trained(docs, labels)
+    rows = docs.withColumn("score", F.lit("clash")).select("doc_id", toxicity.scorer(spark, model)(F.col("text")).alias("t")).collect()
+    assert len(rows) == 82 and len({(r.doc_id, r.t.score) for r in rows}) == 42
+
+
+def test_quality_on_spark_frames(spark):
+    random.seed(13)
+    text = lambda bad: " ".join(f"w{random.randrange(500)}" + ("###" if bad else "") for _ in range(80))
+    docs = [(i, text(i % 3 == 0)) for i in range(240)]
+    table, labels = spark.createDataFrame(docs + docs[:9] + [(None, "x")], "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(240)] + [(None, 1)], "doc_id long, quality int")
+    rules = quality.learned_rules(table.withColumn("quality", F.lit("clash")), labels)
+    got = {r.doc_id: r.k for r in table.select("doc_id", quality.judgement(F.col("text"), rules)["kept"].alias("k")).collect()}
+    assert rules and sum(got[i] == (i % 3 != 0) for i in range(240)) >= 236
+    assert quality.learned_rules(table.limit(0), labels) == [] and quality.learned_rules(table, labels.limit(0)) == []
+
+
+def test_decontamination_of_empty_and_null_rows(spark):
+    docs = spark.createDataFrame([(None, "a b"), (1, None), (1, "x " * 40_000 + "q w e")], "doc_id long, text string").withColumn("_row", F.lit("clash"))
+    items = spark.createDataFrame([(None, "q w e"), (7, "q w e")], "item_id long, text string")
+    got = {(r.doc_id, r.n_words): (r.n_hit, list(r.item_ids)) for r in decontaminate.contamination(docs.drop("_row"), items).collect()}
+    assert got == {(None, 2): (0, []), (1, 0): (0, []), (1, 40_003): (3, ["7"])}
+    assert decontaminate.contamination(docs.drop("_row").limit(0), items).count() == 0

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from leadmill.llm import queries
 
 KEPT = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,5 +42,25 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in out} == seen[3] and all(r.n_tokens == len(r.ids) > 0 for r in out)
 
 
+def test_stages_on_null_ids_repeats_and_empty_tables(spark, tmp_path):
+    random.seed(14)
+    text = lambda: " ".join(f"word{random.randrange(900)}" for _ in range(80))
+    one = text()
+    rows = [(1, one), (1, one), (1, text()), (None, text()), (None, one), (None, None), (2, "x y"), (3, one)]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("component_id", F.lit(9)).withColumn("contaminated", F.lit("clash"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(one.split()[:20]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["quality rules"](spark, docs, str(tmp_path)).count() == 6
+    assert stages["toxicity"](spark, docs, str(tmp_path)).count() == 8
+    near = stages["minhash near-dedup"](spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in near) == ["1", "2", "None", "None", "None"]
+    clean = stages["benchmark decontamination"](spark, docs, str(tmp_path)).collect()
+    assert all(one not in (r.text or "") for r in clean) and {r.doc_id for r in clean} >= {None, 2}
+    assert stages["bpe encoding"](spark, docs, str(tmp_path)).count() == 8
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
