@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadmill.llm import bpe, decontaminate, neardup, quality, toxicity
-from leadmill.llm.common import maybe_broadcast, shared_folder, table, written
+from leadmill.llm.common import dropped, maybe_broadcast, shared_folder, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -47,7 +47,7 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
     named, nameless = docs.select(COLUMNS).filter("doc_id is not null"), docs.select(COLUMNS).filter("doc_id is null")
     # ids instead of texts go through the shuffle
-    bad = written(decontaminate.contamination(named.select("doc_id", "text"), items).filter("contaminated").select("doc_id").distinct(), "contaminated")
+    bad = written(decontaminate.contamination(named.select("doc_id", "text"), items, keep=["doc_id"]).filter("contaminated").select("doc_id").distinct(), "contaminated")
     kept = named.join(maybe_broadcast(bad), "doc_id", "left_anti")
     return kept.select(COLUMNS).unionByName(decontaminate.contamination(nameless, items).filter("not contaminated").select(COLUMNS))
 
@@ -70,7 +70,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, each stage written to the shared folder before the next reads it."""
+    """The last stage's rows, each stage written to the shared folder before the next reads it; what a later stage's output
+    replaces is removed."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -78,5 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{base}/{k}")
+        if k:
+            dropped(spark, f"{base}/{k - 1}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{k}")
     return docs
