@@ -162,15 +162,23 @@ def fitted_law(scores: np.ndarray, n: np.ndarray) -> tuple[float, float]:
 
 
 def fitted_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Ridge logistic regression with an intercept by Newton steps."""
+    """Ridge logistic regression with an intercept by Newton steps, each halved until the loss falls."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
-    penalty = np.diag([1e-6] + [1e-2] * x.shape[1])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + penalty, a.T @ (y - p) - penalty @ w)
-        w = w + np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-8:
+    ridge = np.array([1e-6] + [1e-2] * x.shape[1])
+    loss = lambda w: float(np.logaddexp(0, a @ w).sum() - y @ (a @ w) + 0.5 * (ridge * w * w).sum())
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(ridge + 1e-9), a.T @ (y - p) - ridge * w)
+        scale = 1.0
+        while scale > 1e-6 and not loss(w + scale * step) < now:
+            scale /= 2
+        if scale <= 1e-6:
+            break
+        w, before = w + scale * step, now
+        now = loss(w)
+        if before - now < 1e-10 * max(1.0, now):
             break
     return float(w[0]), float(w[1]), float(w[2])
 
