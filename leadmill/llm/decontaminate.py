@@ -44,16 +44,17 @@ def winnowed(hashes: Column) -> Column:
     return F.array_distinct(F.transform(indices(F.size(hashes) - (WINDOW - 1)), lambda j: let(F.slice(hashes, j + 1, WINDOW), lambda part: least(part, j))))
 
 
-def fingerprints(words: Column, short: list[int]) -> Column:
-    """Array of (hash, start, n, lead, around): winnowed K-grams (n = 0) with the words that the guarantee reaches, lead
+def fingerprints(words: Column, short: list[int], row=None) -> Column:
+    """Array of (hash, start, n, lead, around, and an empty field of the type row if given): winnowed K-grams (n = 0) with the words that the guarantee reaches, lead
     of them before the gram; and every run of each length n in short. Carrying these few words, not the whole list,
     keeps a row for each hit small, however long the text."""
 
     def entry(h: Column, i: Column, n: int) -> Column:
         lead = F.least(i, F.lit(_REACH)) if n == 0 else F.lit(0)
         around = F.slice(words, i - lead + 1, lead + K + _REACH if n == 0 else F.lit(n))
-        return F.struct(h.alias("hash"), i.cast("int").alias("start"), F.lit(n).alias("n"), lead.cast("int").alias("lead"), around.alias("around"))
+        return F.struct(h.alias("hash"), i.cast("int").alias("start"), F.lit(n).alias("n"), lead.cast("int").alias("lead"), around.alias("around"), *empty)
 
+    empty = [F.lit(None).cast(row).alias("row")] if row else []
     out = let(gram_hashes(words), lambda h: F.transform(winnowed(h), lambda i: entry(F.get(h, i), i, 0)))
     runs = lambda n: F.transform(indices(F.size(words) - (n - 1)), lambda i: entry(F.xxhash64(F.slice(words, i + 1, n), F.lit(n)), i, n))
     return F.concat(out, *map(runs, short)) if short else out
@@ -95,13 +96,13 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     index = F.broadcast(index) if small else index
     own = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "item_ids", "n_items", "contaminated")]
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), *own, words_of(F.col(text)).alias("_words"))
-    rows = rows.withColumn("_prints", fingerprints(F.col("_words"), short)).withColumn("_n_words", F.size("_words").cast("long")).drop("_words")
+    rows = rows.withColumn("_n_words", F.size("_words").cast("long"))
     # one more entry for each document carries its columns: fingerprints travel without them, however many a long text has
     row = F.struct(*own, "_n_words")
-    none = F.lit(None).cast(rows.select(row).schema[0].dataType)
-    entries = F.transform("_prints", lambda f: F.struct(f.alias("f"), none.alias("row")))
-    keeper = F.array(F.struct(F.lit(None).cast(rows.schema["_prints"].dataType.elementType).alias("f"), row.alias("row")))
-    rows = rows.select("_row", F.explode(F.concat(entries, keeper)).alias("_e")).select("_row", F.col("_e.f").alias("_f"), F.col("_e.row").alias("_own"))
+    rows = rows.withColumn("_prints", fingerprints(F.col("_words"), short, rows.select(row).schema[0].dataType)).drop("_words")
+    none = {"hash": "long", "start": "int", "n": "int", "lead": "int", "around": "array<string>"}
+    keeper = F.array(F.struct(*[F.lit(None).cast(t).alias(c) for c, t in none.items()], row.alias("row")))
+    rows = rows.select("_row", F.explode(F.concat("_prints", keeper)).alias("_f")).withColumn("_own", F.col("_f.row"))
     rows = rows.withColumns({"_hash": F.col("_f.hash"), "_n": F.col("_f.n")}).join(index, ["_hash", "_n"], "left").filter("_hash is null or _items is not null")
     span = F.when(F.col("_hash").isNotNull(), _extended(F.col("_f"), F.col("_lead"), F.col("_around")))
     rows = rows.select("_row", "_own", "_hash", "_items", span.alias("_span")).filter("_hash is null or _span is not null")
