@@ -34,7 +34,7 @@ _WORD_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPA
 #: White space beyond ASCII, in UTF-8. Where it stands beside other white space, words don't split independently.
 _WIDE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 _WIDE_BEGINS = sorted({w[:2] for w in _WIDE})
-_WIDE_RUN = re.compile(rb"[\t-\r ](?:%(w)s)|(?:%(w)s)(?:[\t-\r ]|%(w)s)" % {b"w": b"|".join(_WIDE)})
+_WIDE_RUN = re.compile(rb"(?=[\t-\r ](?:%(w)s)|(?:%(w)s)(?:[\t-\r ]|%(w)s))" % {b"w": b"|".join(_WIDE)})  # overlapping, as one may cross a text's end
 _ASCII_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
 #: Words of a worker's memo; it is emptied when full, which bounds its memory.
 MEMO = 1_000_000
@@ -80,14 +80,15 @@ def _parts(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ForcedBoundaryBPE:
-    """Encoder and decoder of a byte-level vocabulary file, with or without word ends."""
+    """Encoder and decoder of a byte-level vocabulary file, with or without word ends. special: whether the special token's
+    string in a text is that token; else it is plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, end = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
         letters = _byte_letters()
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]} if special else {}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.word_ends = bool(end)
         self.first_ids = np.array([vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int64)
@@ -103,7 +104,7 @@ class ForcedBoundaryBPE:
             while self.slot_pair[slot] >= 0:
                 slot = (slot + 1) % SLOTS
             self.slot_pair[slot], self.slot_rank[slot] = pair, self.rank[pair]
-        self.token_bytes = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
+        self.token_bytes = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]))
         together = np.zeros(1 << 16, bool)
         for token, i in vocab.items():
             if end and token.endswith(end):
@@ -114,8 +115,8 @@ class ForcedBoundaryBPE:
             self.token_bytes[i] = raw + tail
             for x, y in pairwise(raw):
                 together[x << 8 | y] = True
-        for token, i in self.special.items():
-            self.token_bytes[i] = token.encode()
+        for token in spec["added_tokens"]:
+            self.token_bytes[token["id"]] = token["content"].encode()
         #: Whether the vocabulary has the two bytes side by side.
         self.together = together
         self.memo = (pa.array([], pa.large_binary()), pa.array([], pa.large_binary()))  # words and their ids
@@ -372,9 +373,9 @@ class ForcedBoundaryBPE:
 
 
 @lru_cache(2)
-def codec(path: str) -> ForcedBoundaryBPE:
+def codec(path: str, special: bool = True) -> ForcedBoundaryBPE:
     """One codec a worker and vocabulary."""
-    return ForcedBoundaryBPE(path)
+    return ForcedBoundaryBPE(path, special)
 
 
 def encoder(path: str | None = None):

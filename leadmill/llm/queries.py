@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from leadmill.llm import bpe, decontaminate, html, lm, neardup, quality, shards, tokenfiles, toxicity, urls
+from leadmill.llm import align, bpe, decontaminate, html, lm, neardup, quality, shards, simhash, tokenfiles, toxicity, urls, vectors
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_sharding": shards.op9_sharding,
     "op10_html_extraction": html.op10_html_extraction,
+    "op11_vector_codes": vectors.op11_vector_codes,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_alignment": align.op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op2_url_filters": urls.OP2_SQL, "op3_decontamination": decontaminate.OP3_SQL}
+ORACLE_SQL = {"op2_url_filters": urls.OP2_SQL, "op3_decontamination": decontaminate.OP3_SQL, "op11_vector_codes": vectors.OP11_SQL}

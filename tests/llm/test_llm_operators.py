@@ -37,6 +37,20 @@ def test_bpe_equals_the_library():
         assert not codec.encode_array(pa.array([], pa.string()))[1].size and codec.encode(None) == []
 
 
+def test_bpe_of_a_text_does_not_depend_on_its_neighbours():
+    wide = ["\x85", "\xa0", "\u2003", "\u3000", " ", "  ", "\n", "a", "x y"]
+    random.seed(4)
+    texts = ["a ", "\xa0\xa0x", *("".join(random.choice(wide) for _ in range(random.randint(0, 6))) for _ in range(1500))]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        codec, library = bpe.codec(P.path(name)), Tokenizer.from_file(P.path(name))
+        want = {t: library.encode(t, add_special_tokens=False).ids for t in texts}
+        assert all(codec.encode(t) == want[t] for t in texts[:300])
+        for _ in range(4):  # each text after others that end in white space
+            ends, ids = codec.encode_array(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [want[t] for t in texts]
+            random.shuffle(texts)
+
+
 def test_bpe_cuts_are_certain():
     codec = bpe.codec(P.path("byte_bpe_50k.json"))
     assert not codec.together[ord("a") << 8 | ord("\n")] and codec.together[ord("t") << 8 | ord("h")]
