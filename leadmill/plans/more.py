@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from leadmill.functions import text as T
+from leadmill.functions.charsets import encoded
 from leadmill.operators import keywords as K, maintain as D, pages as H, windows as W
 from leadmill.operators.scratch import shared_folder
 from leadmill.plans.catalog import _FORMAT, AS_OF, COMPANIES, DIGITS, KEYWORDS, RECORDS, SHEET, TABLE_PAGES, _company, query
@@ -67,12 +68,37 @@ def _(spark, comp):
     return spark.read.schema("id string, company_name string, phone string, lp_url string, keyword string, rank string").csv(path, header=True)
 
 
+#: Pages in ASCII with a line in Japanese of each page's own.
+_JAPANESE = "regexp_replace(html, '[^\\x00-\\x7F]', ''{g}) || '会社名：株式会社' || translate(CAST(page_id AS STRING), '0123456789', '東京むカタの特定商取引') || '、ｶﾅ。'"
+_CHARSET = "CASE page_id % {n} WHEN 0 THEN 'utf-8' WHEN 1 THEN 'shift_jis' WHEN 2 THEN 'euc-jp' ELSE 'iso-2022-jp' END"
+
+
 @query("s15_charsets", "SELECT page_id, md5(html) AS digest FROM pages", pages="pages")
 def _(spark, pages):
     raw = pages.select("page_id", F.encode("html", "UTF-8").alias("raw"))
     return S.decode_pages(raw, "raw").select("page_id", F.md5("html").alias("digest"))
 
 
+@query("s15_unlabelled", f"SELECT page_id, {_CHARSET.format(n=3)} AS charset, md5({_JAPANESE.format(g=", 'g'")}) AS digest FROM pages", pages="pages")
+def _(spark, pages):
+    """Pages whose charset no header names, and their own text names wrongly if at all."""
+    bare = pages.withColumn("said", F.expr(_JAPANESE.format(g="").replace("\\", "\\\\")))
+    raw = encoded(bare.withColumn("as", F.expr(_CHARSET.format(n=3))), "said", "as", "raw").select("page_id", "raw")
+    return S.decode_pages(raw, "raw").select("page_id", "charset", F.md5("html").alias("digest"))
+
+
+#: State of a page in its scripts: JSON of its own, an object with escapes and bare keys, a parsed string.
+_STATE = f"""CASE c_custkey % 4 WHEN 0 THEN '<script id="__NEXT_DATA__" type="application/json">‹"props":‹"list":[‹"x":1›,‹"company":‹"tel":"' || {DIGITS} || '","name":"' || {_company()} || '"››]››</script>'
+ WHEN 1 THEN '<script>function f() ‹ return ‹a: 1›; › window.__STATE__ = ‹a: [1, 2,], /* shop */ shop: ‹"legal_name": "#u682a#u5f0f#u4f1a#u793e' || substr(c_name, 10) || '商事"››;</script>'
+ WHEN 2 THEN '<script>var s = JSON.parse("‹#"shop#":‹#"corp_name#":#"' || {_company()} || '#"››");</script>' ELSE '<script>x = ‹"company": ‹"id": 7›, "name": "' || {_company()} || '"›</script>' END"""
+
+
+@query("h8_state_names", f"SELECT c_custkey AS page_id, {_company()} AS company FROM customer WHERE c_custkey % 4 <> 3", pages=f"SELECT c_custkey AS page_id, replace(replace(replace({_STATE}, '#', chr(92)), '‹', chr(123)), '›', chr(125)) AS html FROM {{customer}}")
+def _(spark, pages):
+    """The fourth kind has a name that is no company's."""
+    return H.spa_names(pages).filter("pos = 0").select("page_id", "company")
+
+
 # Texts
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from leadmill.functions.charsets import with_html
 from leadmill.functions.text import has, text
 from leadmill.functions.urls import host, is_http, unwrap_tracker
-from leadmill.operators.scratch import written
+from leadmill.operators.scratch import scope
+from leadmill.operators.variants import levels
 from leadmill.operators.windows import first_per_key
 
 LEAD = "lp_url STRING, source STRING, keyword STRING, meta_company STRING, area_name STRING, serp_phone STRING, ts TIMESTAMP"
@@ -62,16 +64,10 @@ def ads_from_nested(df: DataFrame, url_keys: list[str], company_keys: list[str])
     address (itself included) that has one and whose first address is this one. Within an object keys come in order of
     their names, an object's own before those below it."""
     pick = lambda keys: F.coalesce(*[F.expr(f"nullif(trim(try_variant_get(v, '$.{k}', 'string')), '')") for k in keys])
-    level = written(df.select("keyword", F.xxhash64("keyword", "body").alias("doc"), F.array().cast("array<int>").alias("path"), F.try_parse_json("body").alias("v")).filter("v is not null"), "level")
-    parts = []
-    while level.limit(1).count():  # a round a level; the deepest payload says how many
-        parts.append(level.select("keyword", "doc", "path", pick(url_keys).alias("url"), pick(company_keys).alias("company")).filter("url is not null or company is not null"))
-        level.createOrReplaceTempView("_leadmill_level")
-        level = df.sparkSession.sql("SELECT keyword, doc, array_append(path, e.pos) AS path, e.value AS v FROM _leadmill_level, LATERAL variant_explode(v) e WHERE schema_of_variant(e.value) LIKE 'OBJECT%' OR schema_of_variant(e.value) LIKE 'ARRAY%'")
-        level = written(level, "level")
-    if not parts:
-        return df.select("keyword", F.lit("").alias("url"), F.lit("").alias("company"), F.lit(0).alias("pos")).limit(0)
-    own = reduce(DataFrame.unionByName, parts)
+    with scope(df.sparkSession) as keep:
+        values = df.select("keyword", F.xxhash64("keyword", "body").alias("doc"), F.try_parse_json("body").alias("v"))
+        parts = [level.select("keyword", "doc", "path", pick(url_keys).alias("url"), pick(company_keys).alias("company")).filter("url is not null or company is not null") for level in levels(values, ["keyword", "doc"])]
+        own = keep(reduce(DataFrame.unionByName, parts), "nested")
     around = own.withColumn("above", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", 1, n))))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("path")))
     around = around.groupBy("doc", "above").agg(first("url").alias("_url"), first("company").alias("company"))
@@ -112,15 +108,7 @@ def append_history(df: DataFrame, path: str) -> None:
 
 
 def decode_pages(df: DataFrame, raw: str, header_charset: str | None = None) -> DataFrame:
-    """Adds html, decoded from bytes: valid UTF-8 is that; else the header's charset, else the page's own. Other charsets
-    than Spark's standard ones need spark.sql.legacy.javaCharsets."""
-    utf8 = F.try_validate_utf8(F.col(raw).cast("string"))
-    meta = F.lower(F.regexp_extract(F.decode(F.col(raw), "ISO-8859-1"), r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_\-]+)", 1))
-    named = F.lower(F.coalesce(F.col(header_charset), F.lit(""))) if header_charset else F.lit("")
-    name = F.when(named != "", named).otherwise(meta)
-
-    def by(charset: str) -> Column:
-        return F.decode(F.col(raw), charset)
-
-    other = F.when(name.isin("shift_jis", "sjis", "x-sjis", "windows-31j"), by("Shift_JIS")).when(name.isin("euc-jp", "euc_jp"), by("EUC-JP")).when(name.isin("iso-2022-jp"), by("ISO-2022-JP")).otherwise(by("ISO-8859-1"))
-    return df.withColumn("html", F.coalesce(utf8, other))
+    """Adds html, decoded from bytes, and charset, the one that they were read in: the header's if the bytes are well-formed
+    in it, else the one that they are well-formed in (`charsets.charset_of`), then the page's own. Malformed bytes become
+    U+FFFD. A page that is well-formed in two charsets is read in the likelier one, not in the first that was tried."""
+    return with_html(df, raw, header_charset, "html", "charset")
