@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from leadmill.operators.windows import first_per_key, sample_n
+from leadmill.operators.windows import first_per_key, least_rows, sample_n
 
 # Cities and synonyms by which productive keywords are extended.
 CITIES = ["東京", "大阪", "名古屋", "福岡", "横浜", "埼玉", "千葉", "神戸", "京都", "札幌", "仙台", "広島", "静岡", "新潟", "熊本"]
@@ -122,10 +122,8 @@ def expand_keywords(keywords: DataFrame, cities: list[str] = CITIES, synonyms: d
     had = made.withColumn("base", F.regexp_extract("keyword", r"^(.*) \S+$", 1)).groupBy("base").agg(F.count(F.lit(1)).alias("_had"))
     new = first_per_key(geo.unionByName(syn), "keyword", ["kind", "place", "base"]).join(keywords.select("keyword"), "keyword", "left_anti").join(had, "base", "left")
     ranked = new.withColumn("_r", F.row_number().over(W.partitionBy("base").orderBy("kind", "place"))).filter(F.col("_r") <= per_key - F.coalesce("_had", F.lit(0)))
-    all_made = made.limit(total).agg(F.count(F.lit(1)).alias("_made"))
-    # the total is a top-k: no window over all rows
-    top = ranked.orderBy("_r", "base", "keyword").limit(total).withColumn("_t", F.row_number().over(W.orderBy("_r", "base", "keyword")))
-    return top.join(all_made, how="cross").filter(F.col("_t") <= total - F.col("_made")).select("keyword", "base")
+    left = total - made.limit(total).count()
+    return (least_rows(ranked, ["_r", "base", "keyword"], left) if left else ranked.limit(0)).select("keyword", "base")
 
 
 def cross_modifiers(base: DataFrame, mods: list[str]) -> DataFrame:

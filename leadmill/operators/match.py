@@ -108,12 +108,51 @@ def verify_local(names: DataFrame, registry: DataFrame, k: int = 5) -> DataFrame
     return first_per_key(hits, "query", ["confidence", "pos"]).drop("pos")
 
 
+#: Digits of a phone that an index of a page's digits is asked for.
+PHONE_KEY = 9
+
+
+def _digit_hits(phones: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, host, page) where the page's digits, one after the other, hold the phone's. phones(id, host, d), pages(host, page,
+    text). Each run of PHONE_KEY digits of a page is a key; a phone meets the pages of its host that have its last ones."""
+    t = digits(F.col("text"))
+    runs = F.when(F.length(t) >= PHONE_KEY, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - PHONE_KEY + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(PHONE_KEY)))))
+    keys = pages.select("host", "page", F.explode(runs).alias("key"))
+    asked = phones.filter(F.length("d") >= PHONE_KEY).withColumn("key", F.right("d", F.lit(PHONE_KEY))).select("id", "host", "d", "key").distinct()
+    met = asked.join(keys, ["host", "key"]).select("id", "host", "d", "page")
+    long = met.filter(F.length("d") > PHONE_KEY).join(pages.select("host", "page", digits(F.col("text")).alias("_t")), ["host", "page"]).filter("contains(_t, d)")
+    return met.filter(F.length("d") == PHONE_KEY).select("id", "host", "page").unionByName(long.select("id", "host", "page"))
+
+
+def _name_hits(names: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, host, page) where the page's text holds the name. names(id, host, core), pages(host, page, text). A name meets
+    the pages of its host that have its rarest piece of three characters there (of two or one, if it is shorter)."""
+    out = []
+    for n in (3, 2, 1):
+        own = names.filter(F.length("core") >= 3 if n == 3 else F.length("core") == n)
+        asked = own.select("id", "host", "core", F.explode(_grams(F.col("core"), n)).alias("gram"))
+        there = pages.join(own.select("host").distinct(), "host", "left_semi").select("host", "page", F.explode(_grams(F.col("text"), n)).alias("gram"))
+        there = there.join(asked.select("host", "gram").distinct(), ["host", "gram"], "left_semi")
+        uses = there.groupBy("host", "gram").agg(F.count(F.lit(1)).alias("uses"))
+        rare = asked.join(uses, ["host", "gram"], "left").groupBy("id", "host", "core").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("g"))
+        met = rare.filter("g.uses > 0").select("id", "host", "core", F.col("g.gram").alias("gram")).join(there, ["host", "gram"])
+        out.append(met.join(pages.select("host", "page", "text"), ["host", "page"]).filter("contains(text, core)").select("id", "host", "page"))
+    return out[0].unionByName(out[1]).unionByName(out[2]).distinct()
+
+
 def evidence(records: DataFrame, pages: DataFrame) -> DataFrame:
-    """(id, page_kind, has_name, has_phone): what pages of a record's host say. records(id, company_name, phone, base_url),
-    pages(host, kind, text)."""
-    both = records.withColumn("host", host(F.col("base_url"))).join(pages.select("host", F.col("kind").alias("page_kind"), F.col("text").alias("_t")), "host")
-    d = digits(F.col("phone"))
-    return both.select("id", "page_kind", F.contains("_t", name_core(F.col("company_name"))).alias("has_name"), ((F.length(d) >= 9) & F.contains(digits(F.col("_t")), d)).alias("has_phone"))
+    """(id, page_kind, has_name, has_phone): the pages of a record's host that say its name's core or its phone, and one row
+    with neither for each kind of page that the host has, if none of that kind says either. records(id, company_name,
+    phone, base_url), pages(host, kind, text). Equal pages of a host count once; a record without a name has no name to
+    be found. Records meet pages through indexes of digits and name pieces only."""
+    own = records.select("id", host(F.col("base_url")).alias("host"), name_core(F.col("company_name")).alias("core"), digits(F.col("phone")).alias("d"))
+    told = pages.select("host", F.col("kind").alias("page_kind"), F.col("text"), F.xxhash64("kind", "text").alias("page")).filter("host is not null")
+    once = told.groupBy("host", "page").agg(F.first("page_kind").alias("page_kind"), F.first("text").alias("text"))
+    hits = _name_hits(own.filter("core <> ''"), once).withColumn("n", F.lit(True)).withColumn("p", F.lit(False)).unionByName(_digit_hits(own, once).withColumn("n", F.lit(False)).withColumn("p", F.lit(True)))
+    hits = hits.groupBy("id", "host", "page").agg(F.max("n").alias("has_name"), F.max("p").alias("has_phone")).join(once.select("host", "page", "page_kind"), ["host", "page"]).select("id", "page_kind", "has_name", "has_phone")
+    kinds = own.select("id", "host").join(told.select("host", "page_kind").distinct(), "host").select("id", "page_kind").distinct()
+    none = kinds.join(hits.select("id", "page_kind").distinct(), ["id", "page_kind"], "left_anti").select("id", "page_kind", F.lit(False).alias("has_name"), F.lit(False).alias("has_phone"))
+    return hits.unionByName(none)
 
 
 def directory_mismatch(companies: DataFrame, directory: DataFrame) -> DataFrame:
@@ -126,9 +165,9 @@ def directory_mismatch(companies: DataFrame, directory: DataFrame) -> DataFrame:
 
 def phone_on_domain(companies: DataFrame, pages: DataFrame) -> DataFrame:
     """(id, found_in): paths of the company's host, or of its parent, whose page has the phone's digits."""
-    own = companies.select("id", digits(F.col("phone")).alias("_d"), F.explode(F.slice(host_suffixes(host(F.col("base_url"))), 1, 2)).alias("host")).filter("length(_d) >= 9")
-    hits = own.join(pages.select("host", "path", digits(F.col("text")).alias("_t")), "host").filter("contains(_t, _d)")
-    return companies.select("id").join(hits.groupBy("id").agg(F.array_sort(F.collect_set("path")).alias("found_in")), "id", "left")
+    own = companies.select("id", digits(F.col("phone")).alias("d"), F.explode(F.slice(host_suffixes(host(F.col("base_url"))), 1, 2)).alias("host"))
+    hits = _digit_hits(own, pages.select("host", F.struct("path", F.xxhash64("text").alias("h")).alias("page"), "text"))
+    return companies.select("id").join(hits.groupBy("id").agg(F.array_sort(F.collect_set("page.path")).alias("found_in")), "id", "left")
 
 
 def phone_from_blocks(names: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -248,14 +248,14 @@ def state_names(pages: DataFrame, depth: int = 8, items: int = 30) -> DataFrame:
 
 def spa_names(pages: DataFrame) -> DataFrame:
     """(page_id, company, pos): valid names in the objects of scripts, then those that stand beside a company's key in any
-    script; names are normalised first."""
+    script, each once; names are normalised first."""
     scripts = F.regexp_extract_all(text(F.col("html")), F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1))
     found = F.flatten(F.transform(scripts, lambda x: F.regexp_extract_all(x, F.lit(r"[\"']?(?:companyName|company_name|corporateName|corporationName|legalName|operatorName|company|corp_name|organizationName)[\"']?\s*[:=]\s*[\"']([^\"'\n]{2,80})[\"']"), F.lit(1))))
     beside = pages.select("page_id", F.posexplode(found).alias("no", "raw")).select("page_id", "raw", F.lit(1).alias("tier"), F.lit(0).alias("script"), "no", F.array().cast("array<int>").alias("path"), F.lit("").alias("at"))
     rows = state_names(pages).withColumn("tier", F.lit(0)).unionByName(beside)
     each = normalize_names(rows, "raw", "company").filter(is_valid_company(F.col("company")) | is_valid_company_labelled(F.col("company")))
-    order = W.partitionBy("page_id").orderBy("tier", "script", "no", "path", "at")
-    return each.select("page_id", "company", (F.row_number().over(order) - 1).alias("pos"))
+    once = each.groupBy("page_id", "company").agg(F.min(F.struct("tier", "script", "no", "path", "at")).alias("place"))
+    return once.select("page_id", "company", (F.row_number().over(W.partitionBy("page_id").orderBy("place")) - 1).alias("pos"))
 
 
 def page_company(pages: DataFrame, b: DataFrame | None = None) -> DataFrame:

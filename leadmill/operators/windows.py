@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from leadmill.functions.text import digits, name_core, text
+from leadmill.operators.scratch import written
 
 
 def _cols(names) -> list:
@@ -34,36 +35,58 @@ def best_match(candidates: DataFrame, id_: str, query: str = "query", name: str
     return first_per_key(scored, id_, [F.desc("_score"), F.col(order)]).drop("_score")
 
 
-#: Rows of a stretch of time at most, if they come evenly.
+#: Rows of a stretch at most, on average.
 STRETCH = 2_000_000
 
 
-def in_stretches(df: DataFrame, order: str, rows: int = STRETCH) -> tuple[DataFrame, bool]:
-    """The frame with `_stretch`, the number of its stretch of time, and whether there are several: of a key that holds a
-    large part of all rows, each stretch is sorted by itself. Rows equal in order share a stretch."""
-    at = F.col(order).cast("double")
-    n, low, high = df.agg(F.count(F.lit(1)), F.min(at), F.max(at)).first()
+def in_stretches(df: DataFrame, order, rows: int = STRETCH) -> tuple[DataFrame, bool]:
+    """The frame with `_stretch`, the number of its stretch of the order, and whether there are several: of a key that holds
+    a large part of all rows, each stretch is sorted by itself. Stretches are ranges between quantiles of the order, so
+    bursts don't make larger ones; rows equal in all of the order share one. Several stretches are written once, as
+    quantiles are sampled."""
+    n = df.count()
     stretches = -(-n // rows)
-    if stretches < 2 or low == high:
-        return df.withColumn("_stretch", F.lit(0).cast("long")), False
-    return df.withColumn("_stretch", F.coalesce(F.floor((at - low) * (stretches / (high - low))), F.lit(-1).cast("long"))), True
+    if stretches < 2:
+        return df.withColumn("_stretch", F.lit(0)), False
+    return written(df.repartitionByRange(stretches, *_cols(order)).withColumn("_stretch", F.spark_partition_id()), "stretches"), True
+
+
+def _sizes(df: DataFrame, key: str) -> DataFrame:
+    """(_key, _at, _n, _begin): of each key and stretch the rows, and how many of the key come before."""
+    size = df.groupBy(F.col(key).alias("_key"), F.col("_stretch").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    return size.withColumn("_begin", F.sum("_n").over(W.partitionBy("_key").orderBy("_at")) - F.col("_n"))
+
+
+def numbered(df: DataFrame, key: str, order, out: str = "number", rows: int = STRETCH) -> DataFrame:
+    """Adds the row's number within its key, from 1 on."""
+    df, several = in_stretches(df, order, rows)
+    df = df.withColumn(out, F.row_number().over(W.partitionBy(key, "_stretch").orderBy(*_cols(order))).cast("long"))
+    if several:
+        size = _sizes(df, key).drop("_n")
+        df = df.join(size, df[key].eqNullSafe(size["_key"]) & (df["_stretch"] == size["_at"])).withColumn(out, F.col(out) + F.col("_begin")).drop("_key", "_at", "_begin")
+    return df.drop("_stretch")
 
 
 def with_rows_before(df: DataFrame, key: str, order, n: int, rows: int = STRETCH) -> DataFrame:
     """The frame with `_stretch` and `_carried`: each stretch of a key also has the key's last n rows before it, marked as
-    carried, so that a window over (key, stretch) sees all that one over the key would."""
-    df, several = in_stretches(df, _cols(order)[0], rows)
+    carried, so that a window over (key, stretch) sees all that one over the key would.
+
+    A row is carried to the stretches that begin less than n rows of the key after it. Numbers within a key are cut into
+    bins of n: a row meets the beginnings in its own bin and the next, so the join is on equal bins."""
+    df, several = in_stretches(df, order, rows)
     own = df.withColumn("_carried", F.lit(False))
     if not several:
         return own
     back = [F.col(o).desc() for o in _cols(order)]
     last = df.withColumn("_r", F.row_number().over(W.partitionBy(key, "_stretch").orderBy(*back))).filter(F.col("_r") <= n)
-    # a row a key and stretch: how many rows of the key lie before its end
-    size = df.groupBy(key, "_stretch").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(W.partitionBy(key).orderBy("_stretch")))
-    ends = size.select(F.col(key).alias("_key"), F.col("_stretch").alias("_from"), F.col("_upto").alias("_end"))
-    later = size.select(F.col(key).alias("_key2"), F.col("_stretch").alias("_to"), (F.col("_upto") - F.col("_n")).alias("_begin"))
-    pairs = ends.join(later, F.col("_key").eqNullSafe(F.col("_key2")) & (F.col("_from") < F.col("_to"))).withColumn("_between", F.col("_begin") - F.col("_end")).filter(F.col("_between") < n).drop("_key2", "_begin", "_end")
-    carried = last.join(pairs, last[key].eqNullSafe(pairs["_key"]) & (last["_stretch"] == pairs["_from"])).filter(F.col("_r") + F.col("_between") <= n)
+    size = _sizes(df, key)
+    ends = size.select("_key", "_at", (F.col("_begin") + F.col("_n")).alias("_end"))
+    last = last.join(ends, last[key].eqNullSafe(ends["_key"]) & (last["_stretch"] == ends["_at"])).withColumn("_no", F.col("_end") - F.col("_r") + 1).drop("_key", "_at", "_end", "_r")
+    first = F.floor(F.col("_no") / n)
+    last = last.withColumn("_bin", F.explode(F.array(first, first + 1)))
+    begins = size.filter("_begin > 0").select(F.col("_key").alias("_to_key"), F.col("_at").alias("_to"), "_begin", F.floor(F.col("_begin") / n).alias("_to_bin"))
+    near = (F.col("_begin") >= F.col("_no")) & (F.col("_begin") < F.col("_no") + n)
+    carried = last.join(begins, last[key].eqNullSafe(begins["_to_key"]) & (last["_bin"] == begins["_to_bin"])).filter(near & (F.col("_to") > F.col("_stretch")))
     return own.unionByName(carried.select(*[c for c in df.columns if c != "_stretch"], F.col("_to").alias("_stretch"), F.lit(True).alias("_carried")))
 
 
@@ -76,7 +99,7 @@ def rolling_success(df: DataFrame, n: int = 100, min_n: int = 50, key: str = "so
 
 def runs(df: DataFrame, hit: Column, key: str, order, out: str = "run", rows: int = STRETCH) -> DataFrame:
     """Adds how many rows with a hit follow one another up to each row, 0 without one."""
-    df, several = in_stretches(df.withColumn("_hit", hit), _cols(order)[0], rows)
+    df, several = in_stretches(df.withColumn("_hit", hit), order, rows)
     w = W.partitionBy(key, "_stretch").orderBy(*_cols(order))
     df = df.withColumn("_island", F.sum((~F.col("_hit")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     run = F.sum(F.col("_hit").cast("long")).over(W.partitionBy(key, "_stretch", "_island").orderBy(*_cols(order)).rowsBetween(W.unboundedPreceding, 0))
@@ -161,16 +184,83 @@ def top_keywords(df: DataFrame, n: int = 10) -> DataFrame:
     return df.orderBy(F.desc("total_found"), "keyword").limit(n)
 
 
+#: So many rows at most come from one top-k, which gathers as many from each task.
+TOP = 100_000
+#: Ranges that values are counted in at once.
+BINS = 4096
+
+
+def least_rows(df: DataFrame, order, n: int, top: int | None = None) -> DataFrame:
+    """The n least rows in order, in no order themselves if n is beyond TOP.
+
+    Few are a top-k. Many are a cut: rows are counted in BINS ranges of the order's first number, the range that holds the
+    n-th is counted anew in finer ones until it has few rows, then all rows below it and the least of it are taken. Where
+    the first column is no number, or very many rows share a value of it, the cut is by sorted stretches of them.
+    """
+    cols, top = _cols(order), top or TOP
+    if n <= top:
+        return df.orderBy(*cols).limit(n)
+    one = df.select(F.col(cols[0]) if isinstance(cols[0], str) else cols[0]).schema[0].dataType
+    if not isinstance(one, T.NumericType):
+        return _least_by_stretches(df, cols, n, top)
+    at = F.coalesce((F.col(cols[0]) if isinstance(cols[0], str) else cols[0]).cast("double"), F.lit(float("-inf")))
+    finite = df.filter(at > float("-inf")).agg(F.min(at), F.max(at)).first()
+    low, high, inside, below = finite[0], finite[1], at > float("-inf"), at == float("-inf")
+    left = n - df.filter(below).count()
+    if low is None or left <= 0:
+        return _least_by_stretches(df, cols, n, top)
+    while True:
+        width = (high - low) / BINS
+        place = F.least(F.greatest(F.floor((at - low) / width), F.lit(0)), F.lit(BINS - 1)) if width > 0 else F.lit(0).cast("long")
+        counts = dict(df.filter(inside).groupBy(place.alias("bin")).count().collect())  # a row a range
+        cut = None
+        for b in sorted(counts):
+            if left <= counts[b]:
+                cut = b
+                break
+            left -= counts[b]
+        if cut is None:
+            return df  # there are no more than n
+        below = below | (inside & (place < cut))
+        inside = inside & (place == cut)
+        if counts[cut] <= top or width <= 0 or low + width * (cut + 1) <= low + width * cut:
+            break
+        low, high = low + width * cut, low + width * (cut + 1)
+    few = df.filter(inside)
+    last = few.orderBy(*cols).limit(left) if left <= top or counts[cut] <= top else _least_by_stretches(few, cols, left, top)
+    return df.filter(below).unionByName(last)
+
+
+def _least_by_stretches(df: DataFrame, cols: list, n: int, top: int) -> DataFrame:
+    named = df
+    for i, c in enumerate(cols):
+        named = named.withColumn(f"_o{i}", F.col(c) if isinstance(c, str) else c)
+    order = [f"_o{i}" for i in range(len(cols))]
+    cut, several = in_stretches(named, order, max(top, 1))
+    if not several:
+        return df.orderBy(*cols).limit(n)
+    left, last = n, None
+    for stretch, count in sorted(map(tuple, cut.groupBy("_stretch").count().collect())):  # a row a stretch
+        if left <= count:
+            last = stretch
+            break
+        left -= count
+    if last is None:
+        return df
+    part = cut.filter(F.col("_stretch") == last).orderBy(*order).limit(left)
+    return cut.filter(F.col("_stretch") < last).unionByName(part).select(df.columns)
+
+
 def sample_n(df: DataFrame, id_: str, n: int, seed: int) -> DataFrame:
     """n rows by a seeded hash: the same rows for the same seed."""
-    return df.orderBy(F.xxhash64(F.col(id_), F.lit(seed)), id_).limit(n)
+    return least_rows(df, [F.xxhash64(F.col(id_), F.lit(seed)), id_], n)
 
 
 def weighted_pick(df: DataFrame, weight: Column, k: int, seed: int, boost: Column | None = None, factor: float = 10.0, key: str = "keyword") -> DataFrame:
     """k rows drawn without replacement, likelier by weight: the least of -ln(u) / weight, u from a seeded hash."""
     u = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11) + 0.5) / float(1 << 53)
     w = weight * (F.when(boost, factor).otherwise(1.0) if boost is not None else F.lit(1.0))
-    return df.orderBy(-F.log(u) / w, key).limit(k)
+    return least_rows(df, [-F.log(u) / w, key], k)
 
 
 def least_recent(df: DataFrame, ts: str) -> DataFrame:

@@ -1,15 +1,17 @@
 """Streams: lead pipeline, alerts over telemetry, live sightings.
 
 telemetry(ts, source, kind, n, ok); event time and a watermark bound the state. Windowed and grouped ones are plain
-DataFrame work on a stream or a table; the four that need order within a key use stateful processors.
+DataFrame work on a stream or a table; the four that need order within a key use stateful processors, which hold rows back
+until the watermark has passed them and so tell the same however the rows are cut into batches.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leadmill.functions.text import calc_rank
@@ -53,19 +55,66 @@ def live_sightings(leads: DataFrame, key: str = "lp_url", source: str = "source"
 
 
 class _Ordered(StatefulProcessor):
-    """A batch's rows of a key in order of time."""
+    """Applies a key's rows in order of event time, whatever batches they come in: rows wait until the watermark has passed
+    them, when none before them can come any more. Rows of one time go by their tie. A row that comes after the watermark
+    has passed it is left out, as Spark's own late rows are. Waiting rows are those of the lateness alone."""
+
+    #: Columns that `apply` is given, as a dictionary.
+    columns: tuple[str, ...] = ("ok",)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-
-    def rows(self, batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        parts = [b for b in batches if len(b)]
-        return pd.concat(parts).sort_values("ts", kind="stable") if parts else pd.DataFrame(columns=["ts"])
+        self.waiting = handle.getListState("waiting", "us long, tie string, row string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        new = []
+        for b in (b for b in rows if len(b)):
+            said = b[list(self.columns)].to_json(orient="records", lines=True).splitlines() if self.columns else ["{}"] * len(b)
+            new += [x for x in zip(b["at_us"].astype("int64").tolist(), b["at_tie"].astype(str).tolist(), said, strict=True) if x[0] > passed]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(x[0] for x in new))
+        yield _alerts([], key)
+
+    def _wake(self, us: int) -> None:
+        """Asks for a call when the watermark has passed a time, unless one comes before."""
+        at = -(-us // 1000)
+        if not any(t <= at for t in self.handle.listTimers()):
+            self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        self.start()
+        out = [x for us, _, said in due for x in self.apply(us, json.loads(said))]
+        out += self.end(passed)
+        if due:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self._wake(rest[0][0])
+        yield _alerts(out, key)
+
+    def start(self) -> None:
+        """Reads the state."""
+
+    def apply(self, us: int, row: dict) -> list[tuple]:
+        """Takes in one row; alerts as (us, source or None for the key, problem or None for the key, severity, value)."""
+        raise NotImplementedError
+
+    def end(self, passed: int) -> list[tuple]:
+        """Writes the state; what follows from the watermark alone."""
+        return []
 
     def close(self) -> None:
         pass
 
 
+def _alerts(rows: list[tuple], key: tuple) -> pd.DataFrame:
+    return pd.DataFrame([(us, key[0] if source is None else source, key[0] if problem is None else problem, severity, value) for us, source, problem, severity, value in rows], columns=["us", "source", "problem", "severity", "value"]).astype({"us": "int64", "value": "float64"})
+
+
 class LowSuccess(_Ordered):
     """Tells when the success rate of the last n events falls below a share, at least half of n being known."""
 
@@ -77,20 +126,23 @@ class LowSuccess(_Ordered):
         self.last = handle.getListState("last", "ok boolean")
         self.low = handle.getValueState("low", "low boolean")
 
-    def handleInputRows(self, key, rows, timerValues):
-        own = [r[0] for r in self.last.get()] if self.last.exists() else []
-        low = bool(self.low.get()[0]) if self.low.exists() else False
-        out = []
-        for r in self.rows(rows).itertuples():
-            own = [*own, bool(r.ok)][-self.n :]
-            rate = sum(own) / len(own)
-            now = len(own) >= self.n // 2 and rate < self.share
-            if now and not low:
-                out.append((r.ts, key[0], "low_success", "warning", rate))
-            low = now
-        self.last.put([(x,) for x in own])
-        self.low.update((low,))
-        yield pd.DataFrame(out, columns=["ts", "source", "problem", "severity", "value"])
+    def start(self):
+        self.own = [bool(r[0]) for r in self.last.get()] if self.last.exists() else []
+        self.was = bool(self.low.get()[0]) if self.low.exists() else False
+
+    def apply(self, us, row):
+        self.own = [*self.own, bool(row["ok"])][-self.n :]
+        rate = sum(self.own) / len(self.own)
+        now = len(self.own) >= self.n // 2 and rate < self.share
+        told = [(us, None, "low_success", "warning", rate)] if now and not self.was else []
+        self.was = now
+        return told
+
+    def end(self, passed):
+        if self.own:
+            self.last.put([(x,) for x in self.own])
+        self.low.update((self.was,))
+        return []
 
 
 class FailureStreak(_Ordered):
@@ -103,76 +155,98 @@ class FailureStreak(_Ordered):
         super().init(handle)
         self.run = handle.getValueState("run", "n int")
 
-    def handleInputRows(self, key, rows, timerValues):
-        run = int(self.run.get()[0]) if self.run.exists() else 0
-        out = []
-        for r in self.rows(rows).itertuples():
-            run = 0 if r.ok else run + 1
-            if run == self.n:
-                out.append((r.ts, key[0], "failure_streak", "critical", float(run)))
-        self.run.update((run,))
-        yield pd.DataFrame(out, columns=["ts", "source", "problem", "severity", "value"])
+    def start(self):
+        self.count = int(self.run.get()[0]) if self.run.exists() else 0
+
+    def apply(self, us, row):
+        self.count = 0 if row["ok"] else self.count + 1
+        return [(us, None, "failure_streak", "critical", float(self.count))] if self.count == self.n else []
+
+    def end(self, passed):
+        self.run.update((self.count,))
+        return []
 
 
 class Suppress(_Ordered):
     """Lets an alert through unless its problem is quiet: for some hours after a repair, or as long as a failed repair
-    says; quiet times are only ever extended. Rows: kind alert or repair, value the hours of a failed repair."""
+    says; quiet times are only ever extended. Rows: kind alert or repair, value the hours of a failed repair. A repair at
+    an alert's own time comes first."""
+
+    columns = ("kind", "source", "severity", "value")
 
     def __init__(self, hours: float = 2):
         self.hours = hours
 
     def init(self, handle):
         super().init(handle)
-        self.until = handle.getValueState("until", "until double")
+        self.until = handle.getValueState("until", "us long")
 
-    def handleInputRows(self, key, rows, timerValues):
-        until = float(self.until.get()[0]) if self.until.exists() else 0.0
-        out = []
-        for r in self.rows(rows).itertuples():
-            at = r.ts.timestamp()
-            if r.kind == "repair":
-                hours = self.hours if pd.isna(r.value) else float(r.value)
-                until = max(until, at + hours * 3600)
-            elif at >= until:
-                out.append((r.ts, r.source, key[0], r.severity, r.value))
-        self.until.update((until,))
-        yield pd.DataFrame(out, columns=["ts", "source", "problem", "severity", "value"])
+    def start(self):
+        self.quiet = int(self.until.get()[0]) if self.until.exists() else 0
+
+    def apply(self, us, row):
+        if row["kind"] == "repair":
+            hours = self.hours if row["value"] is None else float(row["value"])
+            self.quiet = max(self.quiet, us + round(hours * 3_600_000_000))
+            return []
+        return [(us, row["source"], None, row["severity"], row["value"])] if us >= self.quiet else []
+
+    def end(self, passed):
+        self.until.update((self.quiet,))
+        return []
 
 
 class Silence(_Ordered):
-    """Tells when no heartbeat came for so many seconds of event time."""
+    """Tells when no heartbeat came for so many seconds of event time, once a silence."""
+
+    columns = ()
 
     def __init__(self, seconds: int = 300):
         self.seconds = seconds
 
     def init(self, handle):
         super().init(handle)
-        self.seen = handle.getValueState("seen", "ms long")
+        self.seen = handle.getValueState("seen", "us long, told boolean")
 
-    def handleInputRows(self, key, rows, timerValues):
-        last = int(self.seen.get()[0]) if self.seen.exists() else 0
-        for r in self.rows(rows).itertuples():
-            last = max(last, int(r.ts.timestamp() * 1000))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.seen.update((last,))
-        self.handle.registerTimer(last + self.seconds * 1000)
-        yield pd.DataFrame(columns=["ts", "source", "problem", "severity", "value"])
+    def start(self):
+        self.last, self.told = self.seen.get() if self.seen.exists() else (None, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        last = int(self.seen.get()[0]) if self.seen.exists() else 0
-        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        yield pd.DataFrame([(at, key[0], "silence", "critical", float(self.seconds))] if last else [], columns=["ts", "source", "problem", "severity", "value"])
+    def _told(self):
+        return (self.last + self.seconds * 1_000_000, None, "silence", "critical", float(self.seconds))
+
+    def apply(self, us, row):
+        out = [self._told()] if self.last is not None and us - self.last > self.seconds * 1_000_000 and not self.told else []
+        self.last, self.told = us, False
+        return out
+
+    def end(self, passed):
+        out = []
+        if self.last is not None and not self.told:
+            if passed - self.last >= self.seconds * 1_000_000:
+                out, self.told = [self._told()], True
+            else:
+                self._wake(self.last + self.seconds * 1_000_000)
+        if self.last is not None:
+            self.seen.update((self.last, self.told))
+        return out
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-ALERT = "ts timestamp, source string, problem string, severity string, value double"
+ALERT = "us long, source string, problem string, severity string, value double"
+
+
+def needs_rocks(spark) -> None:
+    """Stateful processors need the RocksDB state store; it is the session's to set."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKS:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKS}")
 
 
-def _stateful(df: DataFrame, key: str, processor: StatefulProcessor, mode: str = "None", event_time: str = "") -> DataFrame:
-    """Sets the RocksDB state store, which such processors need, where the session has another."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return _timed(df).groupBy(key).transformWithStateInPandas(processor, ALERT, "append", mode, eventTimeColumnName=event_time)
+def _stateful(df: DataFrame, key: str, processor: _Ordered, tie: Column | None = None) -> DataFrame:
+    needs_rocks(df.sparkSession)
+    timed = _timed(df).withColumn("at_us", F.unix_micros("ts"))
+    timed = timed.withColumn("at_tie", tie if tie is not None else F.lpad(F.col("id").cast("string"), 20, "0") if "id" in df.columns else F.lit(""))
+    out = timed.groupBy(key).transformWithStateInPandas(processor, ALERT, "append", "EventTime")
+    return out.select(F.timestamp_micros("us").alias("ts"), "source", "problem", "severity", "value")
 
 
 def _in_order(tele: DataFrame) -> list[str]:
@@ -216,13 +290,13 @@ def suppress(alerts: DataFrame, repairs: DataFrame, hours: float = 2) -> DataFra
         return alerts.join(quiet, met, "left_anti").select(at.alias("ts"), "source", "problem", "severity", F.col("value").cast("double").alias("value"))
     a = alerts.select("ts", "source", "problem", "severity", F.col("value").cast("double").alias("value"), F.lit("alert").alias("kind"))
     r = repairs.select("ts", F.lit("").alias("source"), "problem", F.lit("").alias("severity"), F.col("hours").cast("double").alias("value"), F.lit("repair").alias("kind"))
-    return _stateful(a.unionByName(r), "problem", Suppress(hours))
+    return _stateful(a.unionByName(r), "problem", Suppress(hours), F.when(F.col("kind") == "repair", "0").otherwise(F.concat(F.lit("1"), F.col("source"))))
 
 
 def silence_alerts(beats: DataFrame, seconds: int = 300, rows: int = STRETCH) -> DataFrame:
     """On a table: where the next heartbeat of a source comes later, or none comes until the newest one of all sources."""
     if beats.isStreaming:
-        return _stateful(beats, "source", Silence(seconds), "EventTime")
+        return _stateful(beats, "source", Silence(seconds))
     own = beats.select(F.col("ts").cast("timestamp").alias("ts"), "source")
     before = F.lag("ts").over(W.partitionBy("source", "_stretch").orderBy("ts"))
     gaps = with_rows_before(own, "source", ["ts"], 1, rows).withColumn("_last", before).filter("not _carried").select("source", F.col("_last").alias("ts"), F.col("ts").alias("_next"))
