@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept a
 read again as the next one's docs; all but the last return the columns of documents.
 
 Rejected: documents that fail the base or meet a learned rule; those with a toxicity score of 0.5 or more; all but the
-one of least doc_id of each group of near copies (five-word shingles, similarity 0.8 or more); those that the benchmark
-contaminates. A null doc_id is a document without copies. Null and empty texts fail the first stage.
+one of least doc_id of each group of near copies (five-word shingles, similarity 0.8 or more; of rows of that group which
+repeat the id one stays, rows of other texts that repeat it stay); those that the benchmark contaminates, with all rows
+of their id. A null doc_id is a document without copies. Null and empty texts fail the first stage.
 """
 
 from __future__ import annotations
@@ -31,16 +32,21 @@ def toxic_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), k=5)
-    dropped = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    kept = docs.select(COLUMNS).join(maybe_broadcast(dropped), "doc_id", "left_anti")
-    # rows that repeat an id are copies too: the one of least text stays
-    again = written(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    hashed = docs.select(*COLUMNS, F.xxhash64("text").alias("_t"))
+    found = neardup.near_duplicates(hashed.select("doc_id", "text", "_t"), k=5, keep=("_t",))
+    # rows that repeat the id that stays are copies too, if they are of its component: the one of least hash stays
+    stays = found.filter("doc_id = component_id and component is not null").groupBy("doc_id", "component").agg(F.min("_t").alias("_stays"), F.count("*").alias("_n"))
+    again = written(stays.filter("_n > 1"), "repeated")
+    gone = found.filter("doc_id <> component_id").select("doc_id", "_t")
     if not again.limit(1).count():
-        return kept.select(COLUMNS)
-    again = maybe_broadcast(again)
-    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(*[F.min_by(c, F.coalesce("text", F.lit(""))).alias(c) for c in COLUMNS[1:]])
-    return kept.join(again, "doc_id", "left_anti").select(COLUMNS).unionByName(one)
+        gone = written(gone.distinct(), "dropped")
+        return hashed.join(maybe_broadcast(gone), ["doc_id", "_t"], "left_anti").select(COLUMNS)
+    other = found.join(maybe_broadcast(again), ["doc_id", "component"]).filter("_t <> _stays").select("doc_id", "_t")
+    gone = written(gone.union(other).distinct(), "dropped")
+    kept = hashed.join(maybe_broadcast(gone), ["doc_id", "_t"], "left_anti")
+    same = again.select("doc_id", F.col("_stays").alias("_t")).distinct()
+    one = kept.join(maybe_broadcast(same), ["doc_id", "_t"], "left_semi").groupBy("doc_id", "_t").agg(*[F.first(c).alias(c) for c in COLUMNS[1:]])
+    return kept.join(maybe_broadcast(same), ["doc_id", "_t"], "left_anti").select(COLUMNS).unionByName(one.select(COLUMNS))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,12 +16,13 @@ class from the start. Candidates are then confirmed on full sets, and links join
 Large groups of copies or near copies thus cost a comparison a member, and no bucket is cut off.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing. A text with fewer words than a
-shingle has one shingle of all its words. Rows that share an id count as linked. Shingles are compared by 64-bit hashes.
+shingle has one shingle of all its words. Rows are linked by their texts alone, also rows that share an id; rows without an
+id are linked with nothing. Shingles are compared by 64-bit hashes, and sets are named by 64-bit digests: of n different
+sets two share a name with a chance of n^2 / 2^65.
 """
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from itertools import combinations
 
@@ -92,18 +93,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def described(docs: DataFrame, k: int, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, key, signature) of each row; key is a 128-bit digest of the set."""
+def described(docs: DataFrame, k: int, id_: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., id, t, n, node, signature) of each row; t is a hash of the text, node a digest of its set."""
 
-    @F.arrow_udf("struct<n: long, key: binary, signature: array<long>>")
+    @F.arrow_udf("struct<n: long, node: long, signature: array<long>>")
     def describe(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
             s = shingle_set(t, k)
-            out.append({"n": len(s), "key": hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "signature": signature(s).tolist() if len(s) else None})
-        return pa.array(out, pa.struct([("n", pa.int64()), ("key", pa.binary()), ("signature", pa.list_(pa.int64()))]))
+            out.append({"n": len(s), "node": xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), "signature": signature(s).tolist() if len(s) else None})
+        return pa.array(out, pa.struct([("n", pa.int64()), ("node", pa.int64()), ("signature", pa.list_(pa.int64()))]))
 
-    return docs.select(F.col(id_).alias("id"), describe(F.col(text)).alias("d")).select("id", "d.n", "d.key", "d.signature")
+    own = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.col(id_).alias("id"), F.xxhash64(text).alias("t"), describe(F.col(text)).alias("d"))
+    return own.select(*[f"keep_{c}" for c in keep], "id", "t", "d.n", "d.node", "d.signature")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -146,18 +148,19 @@ def components(edges: DataFrame, under: str | None = None) -> DataFrame:
         now = new.select("id", "component")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of each row of docs."""
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., id, n_shingles, component_id, component) of each row of docs: the least id of its component, and a name
+    that tells components apart whose least ids are the same. keep: columns of docs that go along."""
     base = f"{shared_folder(docs.sparkSession)}/near-{uuid.uuid4().hex}"  # for all that is written on the way
-    rows = written(described(docs, k, id_, text), "described", base)
-    # equal sets, also thousands of them, become their least id by partial minima
-    classes = rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("signature").alias("signature"))
-    classes = written(classes, "classes", base)
+    rows = written(described(docs, k, id_, text, keep), "described", base)
+    # equal sets, also thousands of them, become one node by partial minima; `own` is the text that stands for it
+    classes = rows.filter("n > 0 and id is not null").groupBy("node").agg(F.min(F.struct("id", "t")).alias("own"), F.max("n").alias("n"), F.first("signature").alias("signature"))
+    classes = written(classes.select(F.col("node").alias("id"), "own", "n", "signature"), "classes", base)
     buckets = _buckets(classes)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(buckets.join(shared, "bucket"), "members", base)
-    ids = written(members.select("id").distinct(), "ids", base)
-    texts = docs.select(F.col(id_).alias("id"), F.col(text).alias("text")).join(maybe_broadcast(ids), "id", "left_semi")
+    ids = written(classes.select("id", "own").join(members.select("id").distinct(), "id").select("id", "own.t", F.col("own.id").alias("doc")), "ids", base)
+    texts = docs.select(F.col(id_).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("t")).join(maybe_broadcast(ids), ["doc", "t"]).select("id", "text")
     texts = written(texts, "texts", base)
     parts = classes.select("id", F.col("id").alias("component")).limit(0)
     links = compared = None
@@ -171,10 +174,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "
     more = written(_confirmed(rest, texts, k, percent), "links", base)
     if more.limit(1).count():
         parts = components(links.union(more), base)
-    found = classes.select("key", F.col("id").alias("rep")).join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    found = found.select("key", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "n", "key").join(found, "key", "left")
-    out = written(out.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "near-duplicates")
+    found = classes.select("id", F.col("own.id").alias("least")).join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = found.join(found.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("id").alias("node"), "component", "component_id")
+    # rows without an id or a set have no component; they don't meet in one task, as they are joined by nothing
+    alone = F.col("n").eqNullSafe(0) | F.col("id").isNull()
+    carried = [F.col(f"keep_{c}").alias(c) for c in keep]
+    linked = rows.filter(~alone).join(found, "node").select(*carried, F.col("id").alias(id_), F.col("n").alias("n_shingles"), "component_id", "component")
+    other = rows.filter(alone).select(*carried, F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    out = written(linked.unionByName(other), "near-duplicates")
     dropped(docs.sparkSession, base)
     return out
 
@@ -209,7 +216,7 @@ def _across(members: DataFrame, parts: DataFrame, texts: DataFrame, k: int, perc
     if large.limit(1).count():
         large = written(large, "large", base)
         shingles = F.arrow_udf(lambda t: pa.array([shingle_set(x, k).view(np.int64).tolist() for x in t.to_pylist()], pa.list_(pa.int64())), "array<long>")
-        own = large.join(texts.groupBy("id").agg(F.min("text").alias("text")), "id").select("id", "component", "n", F.explode(shingles(F.col("text"))).alias("shingle"))
+        own = large.join(texts.dropDuplicates(["id"]), "id").select("id", "component", "n", F.explode(shingles(F.col("text"))).alias("shingle"))
         own = written(own, "shingles", base)
         uses = own.groupBy("shingle").agg(F.count("*").alias("uses")).filter("uses > 1")
         # shingles of one text can't be shared, but they are its rarest and fill its prefix first

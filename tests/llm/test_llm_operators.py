@@ -208,6 +208,22 @@ def test_near_duplicates(spark):
     assert sorted((r.doc_id, r.component_id) for r in again.collect()) == [(5, 5), (5, 5), (6, 5)]
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark, monkeypatch):
+    """Each of an id's texts is compared, also in large open buckets."""
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    random.seed(31)
+    shared = [f"s{i}" for i in range(70)]
+    texts = [" ".join([*shared, *random.sample([f"y{j}" for j in range(400)], 25)]) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "zz " + texts[20]), (3, "aa other words here"), (50, texts[29] + " more"), (50, "aa other words there")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2)
+    by_row = _components([(n, t) for n, (_, t) in enumerate(rows)], 2, 80)
+    groups = {}
+    for n, (_, c) in by_row.items():
+        groups.setdefault(c, []).append(rows[n][0])
+    want = sorted((rows[n][0], s, min(groups[c])) for n, (s, c) in by_row.items())
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want and (3, by_row[30][0], 3) in want
+
+
 def test_segments():
     random.seed(7)
     for _ in range(200):
