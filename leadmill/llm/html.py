@@ -3,7 +3,12 @@
 A page is cut into blocks of text at block tags. Each block has its number of words and link density, those of the
 blocks before and after it, and whether the tags around it say content (article, main) or something else (menus,
 headers, footers, sidebars, notices, adverts, forms, comments). A decision tree, trained on the small labelled table
-below, tells main text from the rest; the chosen blocks are joined in page order.
+below, tells main text from the rest; the chosen blocks are joined in page order. Of a page without any chosen block,
+headings and paragraphs are taken that nothing around them speaks against.
+
+The first article, or a main, tells that what holds it isn't something else by its name, nor as a menu, dialog or form;
+but an article within what is named as comments, related stories or a sidebar tells nothing, nor does a later one. A form
+with an article, main or three paragraphs in it is none.
 
 Scripts, styles, comments of the markup and form controls hold no text. Character references are decoded, white space
 within a block becomes one space. A null or empty page, or one without main text, gives the empty text; pages are read
@@ -34,7 +39,9 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _VALUE = re.compile(r"=\s*([\"'])|>")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mfenced mstyle mspace mpadded mphantom menclose merror".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_OTHER = frozenset("nav aside footer form fieldset menu dialog".split())
+_OTHER = frozenset("nav aside footer".split())
+#: The same, unless the page's article lies in them.
+_PERHAPS = frozenset("fieldset menu dialog".split())
 _CONTENT = frozenset("article main".split())
 #: Elements whose end tags may be missing: what a start tag of that name ends, and the elements that bound the search.
 _CELLS = frozenset("table td th".split())
@@ -49,6 +56,13 @@ _NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*
 _SAYS = r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|foot(?:er\w*)?|header|masthead|side(?:bar)?\w*|widget\w*|cookie\w*|consent|notice\w*|alert\w*|popup|modal|newsletter|subscri\w*|signup|login|comments?\w*|repl(?:y|ies)|disqus|share\w*|sharing|social\w*|related\w*|recommend\w*|contentinfo|navigation|complementary|search\w*|legal|copyright|tags?)\d*"
 _BESIDE = r"(?:\d+|area|articles|bar|block|bottom|box|container|form|global|inner|items|left|links?|list|message|page|policy|posts|primary|right|secondary|section|site|slot|stories|text|top|unit|wrap(?:per)?)"
 _SAYS_PART, _ANY_PART = re.compile(_SAYS, re.I), re.compile(f"{_SAYS}|{_BESIDE}", re.I)
+#: Names of what holds others' words or stories: also with whose they are, and whatever articles lie in it.
+_STRONG = r"(?:comment(?:s|ary|list|lists|form)?|repl(?:y|ies)|responses?|respond|discussion|disqus\w*|related\w*|recommend\w*|side(?:bar)?\w*)\d*"
+_WHOSE = r"(?:user|users|reader|readers|visitor|visitors|member|members|guest|post|posts|entry|article|story|news|blog|view|all|new|latest|recent|wp|fb|facebook|threads?|feed)"
+_STRONG_PART, _STRONG_ANY = re.compile(_STRONG, re.I), re.compile(f"{_STRONG}|{_SAYS}|{_BESIDE}|{_WHOSE}", re.I)
+#: Paragraphs of at least so many words make text of a form, if there are so many.
+FORM_WORDS, FORM_PARAGRAPHS = 8, 3
+_PARAGRAPHS = frozenset("p blockquote pre".split())
 #: Never something else by their names.
 _NEVER = frozenset("html head body article main".split())
 
@@ -60,15 +74,20 @@ class Block(NamedTuple):
     other: int
     content: int
     heading: int
+    paragraph: int
 
 
-def says_other(names: str) -> bool:
-    """Whether one of the names, with all its parts, says that the element isn't main text."""
+def says_other(names: str) -> int:
+    """Whether one of the names, with all its parts, says that the element isn't main text: 2, or 3 if articles within it
+    aren't either; else 0."""
+    out = 0
     for name in names.split():
         parts = [p for p in re.split("[-_]+", name) if p]
+        if parts and any(map(_STRONG_PART.fullmatch, parts)) and all(map(_STRONG_ANY.fullmatch, parts)):
+            return 3
         if parts and any(map(_SAYS_PART.fullmatch, parts)) and all(map(_ANY_PART.fullmatch, parts)):
-            return True
-    return False
+            out = 2
+    return out
 
 
 def tags(page: str) -> Iterator[tuple[str, str, bool, str]]:
@@ -130,16 +149,16 @@ class _Open:
     """Open elements. Their places are kept by name and their marks are counted, so no step walks over all of them."""
 
     def __init__(self):
-        self.stack: list[tuple[str, int, int]] = []  # name, other (1 by tag, 2 by name), content
+        self.stack: list[tuple[str, int, int]] = []  # name, other (1 for good, 2 unless an article lies in it), content
         self.places: dict[str, list[int]] = {}
-        self.by_name: deque[int] = deque()  # places of those that are something else by name
+        self.perhaps: deque[int] = deque()  # places of the latter
         self.other = self.content = 0
         self.link: int | None = None  # number of elements around the open link
 
     def push(self, name: str, other: int, content: int) -> None:
         self.places.setdefault(name, []).append(len(self.stack))
         if other == 2:
-            self.by_name.append(len(self.stack))
+            self.perhaps.append(len(self.stack))
         self.stack.append((name, other, content))
         self.other += other == 1
         self.content += content
@@ -153,26 +172,28 @@ class _Open:
         while len(self.stack) > k:
             name, other, content = self.stack.pop()
             self.places[name].pop()
-            if self.by_name and self.by_name[-1] == len(self.stack):
-                self.by_name.pop()
+            if self.perhaps and self.perhaps[-1] == len(self.stack):
+                self.perhaps.pop()
             self.other -= other == 1
             self.content -= content
         if self.link is not None and self.link > k:
             self.link = None
 
-    def unmark(self, before: int) -> None:
-        """Elements at places before it aren't something else by their names any more."""
-        while self.by_name and self.by_name[0] < before:
-            self.by_name.popleft()
+    def unmark(self) -> None:
+        """What is open isn't something else any more, but for what is for good."""
+        self.perhaps.clear()
 
 
 def blocks(page: str | None) -> list[Block]:
     """Flat blocks of a page in order."""
     out: list[Block] = []
+    forms: list[int] = []  # of each block the number of its form, 0 for none
+    texts: dict[int, int] = {}  # paragraphs of each form; very many where an article lies in it
     open_ = _Open()
     parts: list[str] = []
     link_parts: list[str] = []
-    heading = 0
+    heading = form = 0
+    articles = False
 
     def flush():
         if parts:
@@ -180,7 +201,11 @@ def blocks(page: str | None) -> list[Block]:
             if text:
                 n = text.count(" ") + 1
                 linked = len(" ".join(entities.unescape(" ".join(link_parts)).split()).split(" ")) if link_parts else 0
-                out.append(Block(text, n, min(1.0, linked / n), int(open_.other > 0 or bool(open_.by_name)), int(open_.content > 0), heading))
+                paragraph = int(bool(open_.stack) and open_.stack[-1][0] in _PARAGRAPHS)
+                out.append(Block(text, n, min(1.0, linked / n), int(open_.other > 0 or bool(open_.perhaps)), int(open_.content > 0), heading, paragraph))
+                inside = form if open_.places.get("form") else 0
+                forms.append(inside)
+                texts[inside] = texts.get(inside, 0) + (paragraph and n >= FORM_WORDS and 2 * linked < n)
             parts.clear()
             link_parts.clear()
 
@@ -207,40 +232,54 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if not closing:
             named = " ".join(filter(None, (x for g in _NAMES.findall(attributes) for x in g)))
-            other = name in _OTHER or (name == "header" and not open_.content)
+            other = 1 if name in _OTHER or (name == "header" and not open_.content) else 2 if name in _PERHAPS else 0
             if name in _CONTENT:
-                # what holds an article or main isn't something else by its name, but comments within an article are
-                articles = open_.places.get("article")
-                open_.unmark(articles[0] if name == "article" and articles else len(open_.stack))
-            elif not other and name not in _NEVER and says_other(named):
-                other = 2
+                if open_.other == 0 and (name == "main" or not articles):
+                    open_.unmark()
+                    texts[form] = FORM_PARAGRAPHS + texts.get(form, 0)
+                articles = articles or name == "article"
+            elif name == "form":
+                form += not open_.places.get("form")
+            elif not other and name not in _NEVER:
+                said = says_other(named)
+                other = 1 if said == 3 else said
             if not attributes.endswith("/"):
-                open_.push(name, int(other), int(name in _CONTENT))
+                open_.push(name, other, int(name in _CONTENT))
         else:
             open_.close({name}, _ENDS[name][1] - {name} if name in _ENDS else ())
     flush()
-    return out
+    return [b if not f or texts[f] >= FORM_PARAGRAPHS else b._replace(other=1) for b, f in zip(out, forms, strict=True)]
 
 
-FEATURES = ("words", "linked", "words_before", "linked_before", "words_after", "linked_after", "other", "content", "heading")
-#: Labelled blocks, 1 for main text: words, link density, the same before and after, named as something else, inside content tags, heading.
+FEATURES = ("words", "linked", "words_before", "linked_before", "words_after", "linked_after", "other", "content", "heading", "paragraph")
+#: Labelled blocks, 1 for main text: words, link density, the same before and after, named as something else, inside content tags, heading, paragraph.
 LABELLED = [
     # inside content tags: text of any length, headings, linked phrases
-    (120, 0.0, 90, 0.0, 60, 0.0, 0, 1, 0, 1), (45, 0.02, 10, 0.0, 80, 0.0, 0, 1, 0, 1), (1, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0, 1), (3, 0.0, 40, 0.0, 12, 0.0, 0, 1, 0, 1),
-    (9, 0.0, 14, 0.0, 55, 0.0, 0, 1, 1, 1), (7, 0.0, 1, 1.0, 30, 0.1, 0, 1, 1, 1), (30, 0.3, 50, 0.0, 6, 1.0, 0, 1, 0, 1), (12, 1.0, 70, 0.0, 50, 0.0, 0, 1, 0, 1),
-    (2, 0.0, 80, 0.0, 20, 0.0, 0, 1, 0, 1), (200, 0.01, 5, 0.0, 9, 0.0, 0, 1, 0, 1), (15, 0.0, 100, 0.0, 0, 0.0, 0, 1, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 1),
+    (120, 0.0, 90, 0.0, 60, 0.0, 0, 1, 0, 1, 1), (45, 0.02, 10, 0.0, 80, 0.0, 0, 1, 0, 0, 1), (1, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0, 1, 1), (3, 0.0, 40, 0.0, 12, 0.0, 0, 1, 0, 0, 1),
+    (9, 0.0, 14, 0.0, 55, 0.0, 0, 1, 1, 0, 1), (7, 0.0, 1, 1.0, 30, 0.1, 0, 1, 1, 0, 1), (30, 0.3, 50, 0.0, 6, 1.0, 0, 1, 0, 1, 1), (12, 1.0, 70, 0.0, 50, 0.0, 0, 1, 0, 0, 1),
+    (2, 0.0, 80, 0.0, 20, 0.0, 0, 1, 0, 1, 1), (200, 0.01, 5, 0.0, 9, 0.0, 0, 1, 0, 0, 1), (15, 0.0, 100, 0.0, 0, 0.0, 0, 1, 0, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 0, 1),
     # named as something else, within content or outside
-    (30, 0.0, 60, 0.0, 25, 0.0, 1, 1, 0, 0), (12, 0.0, 90, 0.0, 40, 0.0, 1, 1, 0, 0), (80, 0.0, 30, 0.0, 70, 0.0, 1, 1, 0, 0), (2, 1.0, 50, 0.0, 2, 1.0, 1, 1, 0, 0),
-    (9, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0), (20, 0.1, 80, 0.0, 0, 0.0, 1, 0, 0, 0), (60, 0.0, 9, 0.0, 12, 0.0, 1, 0, 0, 0),
-    (6, 0.0, 40, 0.0, 30, 0.0, 1, 1, 1, 0), (150, 0.0, 70, 0.0, 8, 0.0, 1, 0, 0, 0), (1, 0.0, 12, 0.0, 3, 0.0, 1, 0, 0, 0), (4, 0.0, 0, 0.0, 90, 0.0, 1, 0, 1, 0),
+    (30, 0.0, 60, 0.0, 25, 0.0, 1, 1, 0, 1, 0), (12, 0.0, 90, 0.0, 40, 0.0, 1, 1, 0, 0, 0), (80, 0.0, 30, 0.0, 70, 0.0, 1, 1, 0, 1, 0), (2, 1.0, 50, 0.0, 2, 1.0, 1, 1, 0, 0, 0),
+    (9, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 0, 0), (20, 0.1, 80, 0.0, 0, 0.0, 1, 0, 0, 1, 0), (60, 0.0, 9, 0.0, 12, 0.0, 1, 0, 0, 0, 0),
+    (6, 0.0, 40, 0.0, 30, 0.0, 1, 1, 1, 0, 0), (150, 0.0, 70, 0.0, 8, 0.0, 1, 0, 0, 0, 0), (1, 0.0, 12, 0.0, 3, 0.0, 1, 0, 0, 1, 0), (4, 0.0, 0, 0.0, 90, 0.0, 1, 0, 1, 0, 0),
     # no tags that tell: long unlinked text and what stands beside it is main text
-    (70, 0.0, 55, 0.0, 64, 0.02, 0, 0, 0, 1), (40, 0.05, 8, 0.0, 90, 0.0, 0, 0, 0, 1), (33, 0.0, 3, 1.0, 45, 0.0, 0, 0, 0, 1), (110, 0.1, 60, 0.0, 5, 0.9, 0, 0, 0, 1),
-    (8, 0.0, 60, 0.0, 75, 0.0, 0, 0, 1, 1), (11, 0.0, 45, 0.0, 38, 0.0, 0, 0, 0, 1), (5, 0.0, 90, 0.0, 66, 0.0, 0, 0, 0, 1), (9, 0.0, 2, 1.0, 80, 0.0, 0, 0, 1, 1),
-    (10, 0.0, 4, 0.8, 50, 0.0, 0, 0, 1, 1), (24, 0.0, 70, 0.0, 3, 1.0, 0, 0, 0, 1), (52, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (26, 0.04, 40, 0.0, 9, 0.5, 0, 0, 0, 1),
+    (70, 0.0, 55, 0.0, 64, 0.02, 0, 0, 0, 1, 1), (40, 0.05, 8, 0.0, 90, 0.0, 0, 0, 0, 0, 1), (33, 0.0, 3, 1.0, 45, 0.0, 0, 0, 0, 1, 1), (110, 0.1, 60, 0.0, 5, 0.9, 0, 0, 0, 0, 1),
+    (8, 0.0, 60, 0.0, 75, 0.0, 0, 0, 1, 0, 1), (11, 0.0, 45, 0.0, 38, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 90, 0.0, 66, 0.0, 0, 0, 0, 1, 1), (9, 0.0, 2, 1.0, 80, 0.0, 0, 0, 1, 0, 1),
+    (10, 0.0, 4, 0.8, 50, 0.0, 0, 0, 1, 0, 1), (24, 0.0, 70, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (52, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1, 1), (26, 0.04, 40, 0.0, 9, 0.5, 0, 0, 0, 0, 1),
     # no tags that tell: short, linked, or among links is not
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 9, 0.0, 0, 0, 0, 0), (6, 0.9, 4, 1.0, 60, 0.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (4, 0.0, 80, 0.0, 2, 1.0, 0, 0, 0, 0), (7, 0.2, 30, 0.0, 0, 0.0, 0, 0, 0, 0), (25, 0.8, 3, 1.0, 4, 1.0, 0, 0, 0, 0), (40, 0.9, 50, 0.0, 5, 1.0, 0, 0, 0, 0),
-    (5, 0.0, 6, 1.0, 4, 0.0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 4, 0.0, 0, 0, 0, 0), (8, 0.5, 5, 0.6, 7, 0.4, 0, 0, 0, 0), (9, 0.0, 3, 0.0, 4, 0.5, 0, 0, 0, 0),
+    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 9, 0.0, 0, 0, 0, 0, 0), (6, 0.9, 4, 1.0, 60, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
+    (4, 0.0, 80, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (7, 0.2, 30, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (25, 0.8, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 0), (40, 0.9, 50, 0.0, 5, 1.0, 0, 0, 0, 0, 0),
+    (5, 0.0, 6, 1.0, 4, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 4, 0.0, 0, 0, 0, 0, 0), (8, 0.5, 5, 0.6, 7, 0.4, 0, 0, 0, 0, 0), (9, 0.0, 3, 0.0, 4, 0.5, 0, 0, 0, 0, 0),
+    # what is main text only inside content tags
+    (1, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 40, 0.0, 12, 0.0, 0, 0, 0, 0, 0), (12, 1.0, 70, 0.0, 50, 0.0, 0, 0, 0, 0, 0), (2, 0.0, 80, 0.0, 20, 0.0, 0, 0, 0, 0, 0), (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 0, 0),
+    (1, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0, 1, 1), (3, 0.0, 40, 0.0, 12, 0.0, 0, 1, 0, 0, 1), (12, 1.0, 70, 0.0, 50, 0.0, 0, 1, 0, 1, 1), (2, 0.0, 80, 0.0, 20, 0.0, 0, 1, 0, 1, 1), (1, 0.0, 1, 0.0, 1, 0.0, 0, 1, 0, 1, 1),
+    (1, 1.0, 60, 0.0, 70, 0.0, 0, 1, 0, 1, 1), (3, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0, 1), (6, 0.9, 4, 1.0, 0, 0.0, 0, 1, 0, 0, 1), (4, 0.0, 0, 0.0, 4, 1.0, 0, 1, 1, 0, 1), (2, 0.0, 2, 1.0, 0, 0.0, 0, 1, 0, 0, 1),
+    (3, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (5, 1.0, 1, 0.0, 12, 0.0, 0, 0, 0, 0, 0), (4, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1, 0), (1, 0.0, 2, 1.0, 5, 1.0, 0, 0, 0, 0, 0), (1, 0.0, 1, 0.0, 4, 1.0, 0, 0, 0, 0, 0),
+    # paragraphs without tags that tell: also short ones, at the end or among links, unless they are links themselves
+    (19, 0.0, 18, 0.0, 0, 0.0, 0, 0, 0, 1, 1), (4, 0.0, 8, 0.0, 0, 0.0, 0, 0, 0, 1, 1), (12, 0.1, 3, 1.0, 5, 0.0, 0, 0, 0, 1, 1), (6, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1, 1),
+    (18, 0.0, 2, 0.0, 19, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 1, 1), (3, 1.0, 20, 0.0, 20, 0.0, 0, 0, 0, 1, 0), (9, 0.9, 30, 0.0, 0, 0.0, 0, 0, 0, 1, 0),
+    (40, 0.3, 50, 0.0, 30, 0.0, 0, 0, 0, 1, 1), (20, 0.4, 30, 0.0, 25, 0.1, 0, 0, 0, 1, 1), (60, 0.35, 0, 0.0, 9, 0.0, 0, 0, 0, 0, 1), (12, 0.3, 9, 0.0, 0, 0.0, 0, 0, 0, 1, 1),
+    (4, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0, 1, 0), (14, 0.7, 6, 0.0, 2, 1.0, 0, 0, 0, 1, 0), (2, 0.0, 19, 0.0, 18, 0.0, 0, 0, 1, 0, 1), (2, 0.0, 3, 1.0, 18, 0.0, 0, 0, 1, 0, 1),
 ]
 
 
@@ -289,8 +328,10 @@ def main_text(page: str | None, tree=None) -> str:
     for k, b in enumerate(found):
         before, after = found[k - 1] if k else None, found[k + 1] if k + 1 < len(found) else None
         around = [x for n in (before, after) for x in ((n.words, n.linked) if n else (0, 0.0))]
-        if is_main(tree, (b.words, b.linked, *around, b.other, b.content, b.heading)):
+        if is_main(tree, (b.words, b.linked, *around, b.other, b.content, b.heading, b.paragraph)):
             out.append(b.text)
+    if not out and any(b.paragraph and not b.other and b.linked < 0.5 for b in found):
+        out = [b.text for b in found if (b.paragraph or b.heading) and not b.other and b.linked < 0.5]
     return "\n\n".join(out)
 
 
