@@ -103,9 +103,11 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     none = {"hash": "long", "start": "int", "n": "int", "lead": "int", "around": "array<string>"}
     keeper = F.array(F.struct(*[F.lit(None).cast(t).alias(c) for c, t in none.items()], row.alias("row")))
     rows = rows.select("_row", F.explode(F.concat("_prints", keeper)).alias("_f")).withColumn("_own", F.col("_f.row"))
-    rows = rows.withColumns({"_hash": F.col("_f.hash"), "_n": F.col("_f.n")}).join(index, ["_hash", "_n"], "left").filter("_hash is null or _items is not null")
-    span = F.when(F.col("_hash").isNotNull(), _extended(F.col("_f"), F.col("_lead"), F.col("_around")))
-    rows = rows.select("_row", "_own", "_hash", "_items", span.alias("_span")).filter("_hash is null or _span is not null")
+    # the entries of documents have keys of their own, that no item has, so that they don't meet in one task
+    key = {"_hash": F.coalesce("_f.hash", F.xxhash64("_row")), "_n": F.coalesce("_f.n", F.lit(-1))}
+    rows = rows.withColumns(key).join(index, ["_hash", "_n"], "left").filter("_f.hash is null or _items is not null")
+    span = F.when(F.col("_f.hash").isNotNull(), _extended(F.col("_f"), F.col("_lead"), F.col("_around")))
+    rows = rows.select("_row", "_own", "_f.hash", "_items", span.alias("_span")).filter("hash is null or _span is not null")
     found = rows.groupBy("_row").agg(F.first("_own", ignorenulls=True).alias("_own"), F.collect_set("_span").alias("_spans"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("_items"))
     found = found.select(*[F.col("_own")[c].alias(c) for c in own], F.col("_own._n_words").alias("n_words"), _united(F.col("_spans")).cast("long").alias("n_hit"), F.array_sort("_items").alias("item_ids"))
     return found.withColumn("n_items", F.size("item_ids").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -9,13 +9,16 @@ A URL without `://`, or null, has an empty host and path; no rule fits it. Repea
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from leadmill.llm.common import rows_of, table
 
-#: The index is broadcast up to so many rules; beyond, Spark joins by its own choice, which may shuffle.
+#: The index of so many rules goes along with the plan; of more it is joined: broadcast up to BROADCAST_RULES, beyond by
+#: Spark's own choice, which may shuffle.
+IN_ROW_RULES = 500
 BROADCAST_RULES = 100_000
 
 
@@ -58,12 +61,21 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url",
     rows = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     tokens = [(token, pattern, action, expression) for action, pattern, expression, own in parts for token in own]
     index = _by_rarest(spark, rows, tokens)
+    better = lambda pattern, action: F.struct((-F.length(pattern)).alias("n"), pattern.alias("rule"), action.alias("action"))
+    out = [*keep, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(otherwise)).alias("verdict")]
+    if len(rules) <= IN_ROW_RULES:  # the index goes along as a constant, rows stay where they are
+        kind = "map<string, array<struct<pattern: string, action: string, expression: string>>>"
+        under: dict[str, list] = {}
+        for r in index.select("_token", "_pattern", "_action", "_expression").collect():  # a row a rule
+            under.setdefault(r._token, []).append({"pattern": r._pattern, "action": r._action, "expression": r._expression})
+        known = F.from_json(F.lit(json.dumps(under)), kind)
+        fetched = F.flatten(F.filter(F.transform(url_tokens(F.col("host"), F.col("path")), lambda t: F.try_element_at(known, t)), lambda x: x.isNotNull()))
+        fits = F.filter(fetched, lambda r: F.rlike(F.concat("host", "path"), r["expression"]))
+        return rows.withColumn("_best", F.array_min(F.transform(fits, lambda r: better(r["pattern"], r["action"])))).select(*out)
     index = F.broadcast(index) if len(rules) <= BROADCAST_RULES else index
     seen = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_token", F.explode(url_tokens(F.col("host"), F.col("path"))))
-    fits = F.rlike(F.concat("host", "path"), F.col("_expression"))
-    best = F.min(F.when(fits, F.struct((-F.length("_pattern")).alias("n"), F.col("_pattern").alias("rule"), F.col("_action").alias("action"))))
-    found = seen.join(index, "_token", "left").groupBy("_row", *keep, "host", "path").agg(best.alias("_best"))
-    return found.select(*keep, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(otherwise)).alias("verdict"))
+    best = F.min(F.when(F.rlike(F.concat("host", "path"), F.col("_expression")), better(F.col("_pattern"), F.col("_action"))))
+    return seen.join(index, "_token", "left").groupBy("_row", *keep, "host", "path").agg(best.alias("_best")).select(*out)
 
 
 def _by_rarest(spark: SparkSession, rows: DataFrame, tokens: list[tuple[str, str, str, str]]) -> DataFrame:

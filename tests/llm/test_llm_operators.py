@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -362,7 +363,9 @@ def test_html_names_of_pages_and_wrappers():
     assert html.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "So x=2 holds"
 
 
-def test_url_ties_and_rules_without_a_token(spark):
+@pytest.mark.parametrize("in_row", [500, 0])
+def test_url_ties_and_rules_without_a_token(spark, monkeypatch, in_row):
+    monkeypatch.setattr(urls, "IN_ROW_RULES", in_row)
     rules = [("block", "a.org/*z/"), ("allow", "a.org/a*/"), ("allow", "a.org/a*/"), ("block", "a.org/a*/"), ("block", "/q*x"), ("allow", "b.org")] + [("block", f"h{i}.org/") for i in range(300)]
     pages = spark.createDataFrame([(0, "x://a.org/az/"), (1, "x://any.net/qax"), (2, "x://b.org/qax"), (3, "x://h7.org/1"), (None, None)], "page_id long, url string").withColumn("rule", F.lit("clash")).withColumn("_token", F.lit("t"))
     got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages.drop("_token"), rules).collect()}
