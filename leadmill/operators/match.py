@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from leadmill.functions.text import digits, has, legal_form, name_core, normalize_company, registry_core, strip_garbage, text
 from leadmill.functions.urls import host, host_suffixes
+from leadmill.operators.scratch import removed, scope, written
 from leadmill.operators.windows import first_per_key
 
 
@@ -102,9 +103,72 @@ def search_trigram(names: DataFrame, registry: DataFrame, k: int = 5) -> DataFra
     return ranked.select("query", F.col("name").alias("official_name"), "corp_number", "pref", "pos")
 
 
-def verify_local(names: DataFrame, registry: DataFrame, k: int = 5) -> DataFrame:
-    """Among a name's first hits the exact one ('exact'), else the first ('partial')."""
-    hits = search_trigram(names, registry, k).withColumn("confidence", F.when(F.col("official_name") == F.col("query"), "exact").otherwise("partial"))
+#: Folders that a kept index is dealt into by its trigrams.
+INDEX_BUCKETS = 256
+
+
+def _indexed(registry: DataFrame) -> DataFrame:
+    return registry.select("corp_number", "name", "pref", F.explode(_grams(F.col("name"))).alias("gram")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(INDEX_BUCKETS)).cast("int"))
+
+
+def refresh_index(registry: DataFrame, path: str) -> int:
+    """Brings the stored index under path up to the registry and gives the number of its folders that were written: all at
+    first, then those with a trigram of a company that came, went or changed. path/entries holds the companies it has,
+    path/grams their trigrams and path/uses how many companies have each, both by folders."""
+    spark = registry.sparkSession
+    own = registry.select("corp_number", "name", "pref").distinct()
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/entries")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        touched, grams = list(range(INDEX_BUCKETS)), _indexed(own)
+        return _kept(spark, own, grams, touched, path)
+    had = spark.read.schema(own.schema).parquet(f"{path}/entries")
+    with scope(spark):
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own.columns]
+        alone = lambda a, b: a.join(b.select(*[F.col(c).alias(f"_{c}") for c in own.columns]), same, "left_anti")
+        own = written(own, "entries")
+        came, went = written(_indexed(alone(own, had)), "came"), written(_indexed(alone(had, own)), "went")
+        touched = sorted(r.bucket for r in came.select("bucket").union(went.select("bucket")).distinct().collect())  # INDEX_BUCKETS at most
+        if not touched:
+            return 0
+        old = spark.read.schema(came.schema).parquet(f"{path}/grams").filter(F.col("bucket").isin(touched))
+        gone = went.select(*[F.col(c).alias(f"_{c}") for c in (*own.columns, "gram")])
+        left = old.join(gone, [*same, F.col("gram") == F.col("_gram")], "left_anti")
+        return _kept(spark, own, written(left.unionByName(came), "grams"), touched, path)
+
+
+def _kept(spark, entries: DataFrame, grams: DataFrame, touched: list[int], path: str) -> int:
+    """Writes the touched folders; those that lost all their rows are removed. entries comes last: if a write before it
+    fails, the next refresh writes the same folders again."""
+    put = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
+    put(grams.repartition("bucket").sortWithinPartitions("bucket", "gram"), "grams")
+    put(grams.groupBy("bucket", "gram").agg(F.count(F.lit(1)).alias("uses")), "uses")
+    full = {r.bucket for r in grams.select("bucket").distinct().collect()}
+    for b in set(touched) - full:
+        for name in ("grams", "uses"):
+            removed(spark, f"{path}/{name}/bucket={b}")
+    entries.write.mode("overwrite").parquet(f"{path}/entries")
+    return len(touched)
+
+
+def search_index(names: DataFrame, path: str, k: int = 5) -> DataFrame:
+    """search_trigram against a stored index: only folders of asked trigrams are read."""
+    spark = names.sparkSession
+    q = names.select(F.col("name").alias("query")).filter("length(query) >= 3").distinct()
+    asked = q.select("query", F.explode(_grams(F.col("query"))).alias("gram")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(INDEX_BUCKETS)).cast("int"))
+    read = lambda name, kind, df: spark.read.schema(kind).parquet(f"{path}/{name}").filter(F.col("bucket").isin([r.bucket for r in df.select("bucket").distinct().collect()]))
+    uses = read("uses", "gram string, uses long, bucket int", asked)
+    rare = asked.join(uses, ["bucket", "gram"], "left").groupBy("query").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "bucket", "gram")).alias("g"))
+    rare = rare.filter("g.uses > 0").select("query", "g.bucket", "g.gram")
+    hits = rare.join(read("grams", "corp_number string, name string, pref string, gram string, bucket int", rare), ["bucket", "gram"]).filter("contains(name, query)")
+    ranked = hits.withColumn("pos", F.row_number().over(W.partitionBy("query").orderBy("corp_number"))).filter(F.col("pos") <= k)
+    return ranked.select("query", F.col("name").alias("official_name"), "corp_number", "pref", "pos")
+
+
+def verify_local(names: DataFrame, registry: DataFrame | str, k: int = 5) -> DataFrame:
+    """Among a name's first hits the exact one ('exact'), else the first ('partial'). registry: a table, or the path of a
+    stored index."""
+    hits = (search_index if isinstance(registry, str) else search_trigram)(names, registry, k)
+    hits = hits.withColumn("confidence", F.when(F.col("official_name") == F.col("query"), "exact").otherwise("partial"))
     return first_per_key(hits, "query", ["confidence", "pos"]).drop("pos")
 
 

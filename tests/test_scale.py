@@ -189,3 +189,26 @@ def test_scratch_of_insert_or_ignore_is_removed(spark):
     df = spark.createDataFrame([(1, tag), (2, tag)], "id int, k string")
     got, _ = dedupe.insert_or_ignore(df, df.limit(0), ["k"], "id")
     assert [r.id for r in got.collect()] == [1] and [f.split("-")[0] for f in set(os.listdir(folder)) - before] == ["accepted"]
+
+
+def test_a_stored_index_follows_the_registry(spark, tmp_path):
+    random.seed(4)
+    kana = "アイウエオカキクケコ山川田中東西"
+    rows = [(str(i), "".join(random.choice(kana) for _ in range(random.randint(2, 7))), random.choice(["東京都", None])) for i in range(300)]
+    kind, path = "corp_number string, name string, pref string", f"{tmp_path}/index"
+    names = spark.createDataFrame([(r[1][: random.randint(2, 5)],) for r in rows[:60]] + [("ない名前",), (None,), (rows[5][1],)], "name string")
+    one = lambda df: sorted(tuple(r) for r in df.collect())
+    registry = spark.createDataFrame(rows, kind)
+    assert match.refresh_index(registry, path) == match.INDEX_BUCKETS and match.refresh_index(registry, path) == 0
+    assert one(match.search_index(names, path)) == one(match.search_trigram(names, registry)) and one(match.verify_local(names, path)) == one(match.verify_local(names, registry))
+    changed = spark.createDataFrame([(n, "山田" + m if n == "7" else m, p) for n, m, p in rows[3:]] + [("900", "川田中西東", None)], kind)
+    assert 0 < match.refresh_index(changed, path) < 40
+    found = match.search_index(names, path)
+    assert one(found) == one(match.search_trigram(names, changed))
+    few = match.search_index(names.filter(F.col("name") == rows[5][1]), path)
+    for scan in re.findall(r"FileScan parquet [^\n]*path[^\n]*|FileScan parquet [^\n]*", _plan(few)):
+        if "bucket" in scan:  # folders of the name's own pieces at most
+            asked = re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (?:IN \(([\d,]+)\)|= (\d+))", scan)
+            assert asked and len((asked[1] or asked[2]).split(",")) <= len(rows[5][1])
+    assert "PartitionFilters" in _plan(few)
+    assert match.refresh_index(changed.limit(0), path) > 0 and match.search_index(names, path).count() == 0

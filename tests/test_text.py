@@ -1,5 +1,8 @@
 """Names, phones, scores and URLs by example."""
 
+import html
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from leadmill.functions import sql, text as T, urls as U
@@ -98,6 +101,8 @@ def test_scores(spark):
 
 
 def test_entities_and_widths(spark):
+    named = [f"a &{n} b &eacute;&{n}" for n in html5 if n.endswith(";")]
+    assert apply(spark, T.unescape_entities, named) == [html.unescape(x) for x in named]
     assert apply(spark, T.unescape_entities, ["a&amp;b", "&#26666;&#x5F0F;", "A&nbsp;B", "x &foo y", None]) == ["a&b", "株式", "A\xa0B", "x  y", ""]
     assert apply(spark, lambda c: T.to_halfwidth(T.to_fullwidth(c)), ["Ab 1-!"]) == ["Ab 1-!"]
 
