@@ -159,7 +159,8 @@ def search_index(names: DataFrame, path: str, k: int = 5) -> DataFrame:
     uses = read("uses", "gram string, uses long, bucket int", asked)
     rare = asked.join(uses, ["bucket", "gram"], "left").groupBy("query").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "bucket", "gram")).alias("g"))
     rare = rare.filter("g.uses > 0").select("query", "g.bucket", "g.gram")
-    hits = rare.join(read("grams", "corp_number string, name string, pref string, gram string, bucket int", rare), ["bucket", "gram"]).filter("contains(name, query)")
+    kind = spark.read.parquet(f"{path}/entries").schema.add("gram", "string").add("bucket", "integer")
+    hits = rare.join(read("grams", kind, rare), ["bucket", "gram"]).filter("contains(name, query)")
     ranked = hits.withColumn("pos", F.row_number().over(W.partitionBy("query").orderBy("corp_number"))).filter(F.col("pos") <= k)
     return ranked.select("query", F.col("name").alias("official_name"), "corp_number", "pref", "pos")
 

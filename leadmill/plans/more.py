@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from leadmill.functions import text as T
 from leadmill.functions.charsets import encoded
-from leadmill.operators import keywords as K, maintain as D, pages as H, windows as W
+from leadmill.operators import keywords as K, maintain as D, match as J, pages as H, windows as W
 from leadmill.operators.scratch import shared_folder
-from leadmill.plans.catalog import _FORMAT, AS_OF, COMPANIES, DIGITS, KEYWORDS, RECORDS, SHEET, TABLE_PAGES, _company, query
+from leadmill.plans.catalog import _FORMAT, _QUERIES5, AS_OF, COMPANIES, DIGITS, KEYWORDS, RECORDS, REGISTRY, SHEET, TABLE_PAGES, _company, query
 from leadmill.sources import readers as S
 from leadmill.streaming import alerts as R
+from leadmill.streaming.flush import flush_groups
 
 
 def _folder(spark, tag: str) -> str:
@@ -303,3 +304,18 @@ def _(spark, a):
 SELECT CAST(source AS VARCHAR) AS source, CAST(ts + INTERVAL 21600 SECOND AS VARCHAR) AS ts FROM g WHERE coalesce(nxt, last) - ts > INTERVAL 21600 SECOND OR (nxt IS NULL AND last - ts = INTERVAL 21600 SECOND)""", a=_ALERTS)
 def _(spark, a):
     return R.silence_alerts(a.select("ts", F.col("user_id").cast("string").alias("source")), 21600).select("source", F.col("ts").cast("string").alias("ts"))
+
+
+@query("r8_flush_groups", "SELECT id, CAST(ceil(row_number() OVER (PARTITION BY area_name ORDER BY id) / 50.0) AS BIGINT) AS flush FROM comp", comp=COMPANIES)
+def _(spark, comp):
+    """Rows of a sheet go out fifty at a time."""
+    return flush_groups(comp, "area_name", ["id"]).select("id", "flush")
+
+
+@query("j5_stored_index", "SELECT query, corp_number, pos FROM (SELECT q.name AS query, corp_number, row_number() OVER (PARTITION BY q.name ORDER BY corp_number) AS pos FROM q JOIN reg ON contains(reg.name, q.name)) WHERE pos <= 5", q=_QUERIES5, reg=REGISTRY)
+def _(spark, q, reg):
+    """The index of a registry without its newest companies is brought up to date and searched."""
+    path = _folder(spark, "index")
+    J.refresh_index(reg.filter(F.col("corp_number").substr(-1, 1) != "7"), path)
+    J.refresh_index(reg, path)
+    return J.search_index(q, path).select("query", "corp_number", "pos")
