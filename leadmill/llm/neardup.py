@@ -17,12 +17,12 @@ Large groups of copies or near copies thus cost a comparison a member, and no bu
 
 A null or empty text, or one without words, has an empty set and is linked with nothing. A text with fewer words than a
 shingle has one shingle of all its words. Rows are linked by their texts alone, also rows that share an id; rows without an
-id are linked with nothing. Shingles are compared by 64-bit hashes, and sets are named by 64-bit digests: of n different
-sets two share a name with a chance of n^2 / 2^65.
+id are linked with nothing. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from itertools import combinations
 
@@ -94,18 +94,18 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, k: int, id_: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep..., id, t, n, node, signature) of each row; t is a hash of the text, node a digest of its set."""
+    """(keep..., id, t, n, key, signature) of each row; t is a hash of the text, key a 128-bit digest of its set."""
 
-    @F.arrow_udf("struct<n: long, node: long, signature: array<long>>")
+    @F.arrow_udf("struct<n: long, key: binary, signature: array<long>>")
     def describe(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
             s = shingle_set(t, k)
-            out.append({"n": len(s), "node": xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), "signature": signature(s).tolist() if len(s) else None})
-        return pa.array(out, pa.struct([("n", pa.int64()), ("node", pa.int64()), ("signature", pa.list_(pa.int64()))]))
+            out.append({"n": len(s), "key": hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "signature": signature(s).tolist() if len(s) else None})
+        return pa.array(out, pa.struct([("n", pa.int64()), ("key", pa.binary()), ("signature", pa.list_(pa.int64()))]))
 
     own = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.col(id_).alias("id"), F.xxhash64(text).alias("t"), describe(F.col(text)).alias("d"))
-    return own.select(*[f"keep_{c}" for c in keep], "id", "t", "d.n", "d.node", "d.signature")
+    return own.select(*[f"keep_{c}" for c in keep], "id", "t", "d.n", "d.key", "d.signature")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -153,9 +153,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "
     that tells components apart whose least ids are the same. keep: columns of docs that go along."""
     base = f"{shared_folder(docs.sparkSession)}/near-{uuid.uuid4().hex}"  # for all that is written on the way
     rows = written(described(docs, k, id_, text, keep), "described", base)
-    # equal sets, also thousands of them, become one node by partial minima; `own` is the text that stands for it
-    classes = rows.filter("n > 0 and id is not null").groupBy("node").agg(F.min(F.struct("id", "t")).alias("own"), F.max("n").alias("n"), F.first("signature").alias("signature"))
-    classes = written(classes.select(F.col("node").alias("id"), "own", "n", "signature"), "classes", base)
+    # equal sets, also thousands of them, become one class by partial minima; `own` is the row that stands for it
+    classes = rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min(F.struct("id", "t")).alias("own"), F.max("n").alias("n"), F.first("signature").alias("signature"))
+    classes = written(classes, "classes", base)
+    # a class goes by its least id; those that share one, as rows repeat it with other texts, by a hash of id and text
+    again = written(classes.groupBy(F.col("own.id").alias("again")).count().filter("count > 1").select("again"), "again", base)
+    named = classes.join(maybe_broadcast(again), F.col("own.id") == F.col("again"), "left")
+    name = F.when(F.col("again").isNull(), F.col("own.id")).otherwise(F.xxhash64("own.id", "own.t"))
+    classes = written(named.select("key", name.alias("id"), "own", "n", "signature"), "named", base)
     buckets = _buckets(classes)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(buckets.join(shared, "bucket"), "members", base)
@@ -174,12 +179,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "
     more = written(_confirmed(rest, texts, k, percent), "links", base)
     if more.limit(1).count():
         parts = components(links.union(more), base)
-    found = classes.select("id", F.col("own.id").alias("least")).join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    found = found.join(found.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(F.col("id").alias("node"), "component", "component_id")
+    found = classes.select("key", "id", F.col("own.id").alias("least")).join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = found.join(found.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("key", "component", "component_id")
     # rows without an id or a set have no component; they don't meet in one task, as they are joined by nothing
     alone = F.col("n").eqNullSafe(0) | F.col("id").isNull()
     carried = [F.col(f"keep_{c}").alias(c) for c in keep]
-    linked = rows.filter(~alone).join(found, "node").select(*carried, F.col("id").alias(id_), F.col("n").alias("n_shingles"), "component_id", "component")
+    linked = rows.filter(~alone).join(found, "key").select(*carried, F.col("id").alias(id_), F.col("n").alias("n_shingles"), "component_id", "component")
     other = rows.filter(alone).select(*carried, F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     out = written(linked.unionByName(other), "near-duplicates")
     dropped(docs.sparkSession, base)
