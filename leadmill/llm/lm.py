@@ -7,11 +7,17 @@ models that counted it, so none is scored by what it taught.
 
 Every word is a word of the vocabulary, and words, contexts and bigrams are counted exactly, under 64-bit hashes, over all
 documents; of a hash, what is beyond BITS within its bucket is left out, so a key is mistaken for another of its bucket
-with a chance of 3 in 10 million, however large the input. Tasks cut their documents into chunks of CHUNK tokens or one document more. A chunk sends each of its distinct
-keys once, with its uses, to one of as many buckets as the input's size asks for; a bucket adds them up and answers each
-chunk; a chunk's documents are then scored with the answers. Keys are ranges of hashes, sent in order as differences. So no task or driver holds the model, a common bigram is one
-key a chunk, and what is gathered grows with the input. Probabilities are absolutely discounted and interpolated with
-unigrams, those with a uniform law.
+with a chance of 3 in 10 million, however large the input. Tasks cut their documents into chunks of CHUNK tokens or one
+document more. A chunk's distinct keys go, each once with its uses, to buckets that add them up and answer; its documents
+are then scored with the answers. Buckets are ranges of hashes, as many as the input's size asks for; keys are sent in order,
+as differences.
+
+A sender cuts its keys into at most FAN ranges. Where there are more buckets than that, keys go there in several steps: a
+relay takes one range from a FAN of senders, adds up what they have in common and cuts it into FAN narrower ranges; answers
+come back the same way. A relay holds as many keys as a chunk, so messages number chunks times FAN times steps and
+each holds a FANth of a chunk or so: they grow with the input, but for the logarithm that the steps are. No task or driver holds
+the model, and a common bigram is one key a chunk. Probabilities are absolutely discounted and interpolated with unigrams,
+those with a uniform law.
 
 A null or empty text has no tokens and null losses and score. Repeated rows count and are scored as often as they
 occur; texts are used whole. An empty target gives every document the uniform law's loss as the target's.
@@ -19,11 +25,10 @@ occur; texts are used whole. An empty target gives every document the uniform la
 
 from __future__ import annotations
 
-import pickle
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import count, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -33,12 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from leadmill.llm.common import maybe_broadcast, table, written
+from leadmill.llm.common import dropped, maybe_broadcast, shared_folder, table, written
 
 DISCOUNT = 0.75
 #: Tokens of a chunk, and characters of input a bucket.
 CHUNK = 1_000_000
 BUCKET_CHARS = 24_000_000
+#: Most ranges that a sender cuts its keys into.
+FAN = 256
 BITS = 44
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -49,22 +56,17 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
-def _planes(x: np.ndarray) -> tuple[np.ndarray, str]:
-    """Numbers as planes of bytes, which pack well, and their kind."""
-    return np.ascontiguousarray(x.reshape(-1, 1).view(np.uint8).T), x.dtype.str
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes; none as no bytes."""
+    raw = np.ascontiguousarray(x.reshape(-1, 1).view(np.uint8).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True) if raw else b""
 
 
-def _numbers(planes: np.ndarray, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
-def packed(x) -> bytes:
-    raw = pickle.dumps(x, 5)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
-
-
-def unpacked(body: bytes):
-    return pickle.loads(pa.Codec("zstd").decompress(body[8:], int.from_bytes(body[:8], "little"), asbytes=True))
+def unpacked(body: bytes, kind) -> np.ndarray:
+    if not body:
+        return np.empty(0, kind)
+    raw = pa.Codec("zstd").decompress(body[8:], int.from_bytes(body[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -73,6 +75,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Tree(NamedTuple):
+    """Steps from chunks to buckets, and ranges that each step cuts a range into."""
+
+    fan: int
+    depth: int
+
+    @staticmethod
+    def over(buckets: int) -> Tree:
+        depth = next(d for d in count(1) if FAN**d >= buckets)
+        return Tree(next(f for f in count(1) if f**depth >= buckets), depth)
+
+    @property
+    def left_out(self) -> np.uint64:
+        """Low bits that hashes go without."""
+        return np.uint64(max(0, 64 - BITS - (self.fan**self.depth - 1).bit_length()))
+
+
 class Keys(NamedTuple):
     """A chunk's bigrams and words in order of their hashes."""
 
@@ -83,75 +102,144 @@ class Keys(NamedTuple):
 
 
 class Chunk(NamedTuple):
-    """Documents of a chunk: the columns but the text, whether of the target, numbers of tokens, and ids (places among the
-    chunk's words by use) of each text that has tokens, its beginning included, as planes of bytes."""
+    """Documents of a chunk: the columns but the text, whether of the target, numbers of tokens, ids (places among the
+    chunk's words by use) of each text that has tokens, its beginning included, and a hash of each word."""
 
     rows: pa.Table
     target: np.ndarray
     sizes: np.ndarray
-    planes: tuple[np.ndarray, str]
-    words: tuple[np.ndarray, str]  # a hash of each word
+    ids: np.ndarray
+    words: np.ndarray
+
+    def columns(self) -> list[bytes]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(self.rows)
+        return [sink.getvalue().to_pybytes(), *map(packed, self[1:])]
 
-    def hashes(self) -> np.ndarray:
-        return _numbers(*self.words)
+    @staticmethod
+    def read(row: dict) -> Chunk:
+        rows = pa.ipc.open_stream(row["rows"]).read_all()
+        return Chunk(rows, *(unpacked(row[name], kind) for name, kind in zip(Chunk._fields[1:], ("?", "i8", "i4", "u8"), strict=True)))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the word before each token and of the token."""
         there = self.sizes[self.sizes > 0]
-        ids = _numbers(*self.planes).astype(np.int64)
+        ids = self.ids.astype(np.int64)
         first = np.zeros(len(ids) + 1, bool)
         first[np.concatenate([[0], np.cumsum(there + 1)])] = True
         at = np.flatnonzero(~first[:-1])
         return ids[at - 1], ids[at]
 
-    def keys(self, distinct: np.ndarray, n: int) -> Keys:
-        words = self.hashes()
-        pairs = _mixed(words[distinct >> 32] * _GOLD + words[distinct & 0xFFFFFFFF])
-        pairs = pairs >> _left_out(n) << _left_out(n)
-        a, b = np.argsort(pairs), np.argsort(words)
-        return Keys(pairs[a], a, words[b], b)
+    def keys(self, distinct: np.ndarray, tree: Tree) -> Keys:
+        pairs = _mixed(self.words[distinct >> 32] * _GOLD + self.words[distinct & 0xFFFFFFFF])
+        pairs = pairs >> tree.left_out << tree.left_out
+        a, b = np.argsort(pairs), np.argsort(self.words)
+        return Keys(pairs[a], a, self.words[b], b)
+
 
+_CHUNK = "chunk long, rows binary, target binary, sizes binary, ids binary, words binary"
+_BODY = ["pairs", "pair_uses", "words", "word_uses"]
+#: A message goes to the relay or bucket of a range and a group of senders.
+_MESSAGE = "range long, group long, sender long, pairs binary, pair_uses binary, words binary, word_uses binary"
+#: What messages are for: to be counted and answered, or one of both.
+_BOTH, _TEACHES, _ASKS = range(3)
+_ANSWER = "range long, group long, part long, pair_uses binary, word_uses binary"
 
-def _left_out(n: int) -> np.uint64:
-    """Low bits that the hashes of n buckets go without."""
-    return np.uint64(max(0, 64 - BITS - (n - 1).bit_length()))
 
+class Tallies(NamedTuple):
+    """Hashes in order and uses (of all texts, of the target's) of bigrams; of words, as contexts and as tokens."""
 
-def _cuts(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n ranges of hashes begins, and the end."""
-    bounds = np.array([(k << 64) // n for k in range(n)], np.uint64)
-    return np.append(np.searchsorted(hashes, bounds), len(hashes))
+    pairs: np.ndarray
+    pair_uses: np.ndarray
+    words: np.ndarray
+    word_uses: np.ndarray
+
+    def cut(self, inside: int, step: int, tree: Tree) -> Iterator[tuple[int, list[bytes]]]:
+        """The ranges of a step that a range of the step before is made of, as far as keys fall into them."""
+        first = inside * tree.fan
+        bounds = np.array([(k << 64) // tree.fan**step for k in range(first, first + tree.fan)], np.uint64)
+        p, w = (np.append(np.searchsorted(x, bounds), len(x)) for x in (self.pairs, self.words))
+        part = lambda hashes, uses, a, b: [packed(np.diff(hashes[a:b] >> tree.left_out, prepend=np.uint64(0))), packed(uses[:, a:b].ravel())]
+        for k in range(tree.fan):
+            if p[k] < p[k + 1] or w[k] < w[k + 1]:
+                yield first + k, part(self.pairs, self.pair_uses, p[k], p[k + 1]) + part(self.words, self.word_uses, w[k], w[k + 1])
 
+    @staticmethod
+    def read(group: pa.Table, tree: Tree) -> list[Tallies]:
+        hashes = lambda x: np.cumsum(unpacked(x, "u8"), dtype=np.uint64) << tree.left_out
+        return [Tallies(hashes(p), unpacked(m, "i8").reshape(2, -1), hashes(w), unpacked(n, "i8").reshape(4, -1)) for p, m, w, n in zip(*(group.column(c).to_pylist() for c in _BODY), strict=True)]
 
-def _tallied(chunk: Chunk, n: int) -> Iterator[tuple[int, bytes]]:
-    """Bucket and body of a chunk's keys: hashes and uses (of all texts, of the target's) of bigrams; hashes and uses of
-    words as contexts and as tokens."""
+
+def _tallied(chunk: Chunk, tree: Tree) -> Tallies:
     left, right = chunk.pairs()
     distinct, which = np.unique(left << 32 | right, return_inverse=True)
     taught = np.repeat(chunk.target, chunk.sizes)
     uses = lambda at, size: [np.bincount(at, minlength=size), np.bincount(at[taught], minlength=size)]
-    keys = chunk.keys(distinct, n)
+    keys = chunk.keys(distinct, tree)
     size = len(keys.words)
-    pairs = np.stack(uses(which, len(distinct))).astype(np.int32)[:, keys.pair_order]
-    words = np.stack([*uses(left, size), *uses(right, size)]).astype(np.int32)[:, keys.word_order]
-    p, w = _cuts(keys.pairs, n), _cuts(keys.words, n)
-    part = lambda hashes, counts, a, b: (_planes(np.diff(hashes[a:b] >> _left_out(n), prepend=np.uint64(0))), _planes(counts[:, a:b].ravel()))
-    for k in range(n):
-        if p[k] < p[k + 1] or w[k] < w[k + 1]:
-            yield k, packed((part(keys.pairs, pairs, p[k], p[k + 1]), part(keys.words, words, w[k], w[k + 1])))
+    return Tallies(keys.pairs, np.stack(uses(which, len(distinct)))[:, keys.pair_order], keys.words, np.stack([*uses(left, size), *uses(right, size)])[:, keys.word_order])
+
 
+def _table(rows: list[list], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.Table.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names=list(names))
+
+
+def _first_sent(tree: Tree, chunks: int):
+    """Messages of chunks to the first step; chunks: their number, which says how many groups they make."""
 
-def _keyed(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, body in zip(batch.column("chunk"), batch.column("body"), strict=True):
-                for bucket, keys in _tallied(unpacked(body.as_py()), n):
-                    yield pa.RecordBatch.from_arrays([pa.array([number.as_py()], pa.int64()), pa.array([bucket], pa.int32()), pa.array([keys], pa.binary())], names=["chunk", "bucket", "body"])
+            for row in batch.to_pylist():
+                place = int(_mixed(np.array([row["chunk"]], np.uint64) * _GOLD)[0]) % chunks
+                group = place // tree.fan if tree.depth > 1 else 0
+                for k, body in _tallied(Chunk.read(row), tree).cut(0, 1, tree):
+                    yield from _table([[k, group, row["chunk"], *body]], _MESSAGE).to_batches()
 
     return run
 
 
-def _chunked(kept: list[str], n: int):
+def _relayed(tree: Tree, step: int):
+    """Adds up what the senders of a relay after a step sent, and sends it on to the next."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts, inside, own = Tallies.read(group, tree), group.column("range")[0].as_py(), group.column("group")[0].as_py()
+        pairs, pair_uses, _ = _added([(t.pairs, t.pair_uses) for t in parts])
+        words, word_uses, _ = _added([(t.words, t.word_uses) for t in parts])
+        a, b = np.argsort(pairs), np.argsort(words)
+        sums = Tallies(pairs[a], pair_uses[:, a], words[b], word_uses[:, b])
+        to = own // tree.fan if step + 1 < tree.depth else 0
+        return _table([[k, to, own, *body] for k, body in sums.cut(inside, step + 1, tree)], _MESSAGE)
+
+    return run
+
+
+def _passed_back(tree: Tree):
+    """A relay's answers to each of its senders."""
+
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        inside = group.column("range")[0].as_py()
+        pairs, words = _joined(answers)
+        rows, parts = [], Tallies.read(group, tree)
+        all_pairs, all_words = (np.unique(np.concatenate(x)) for x in ([t.pairs for t in parts], [t.words for t in parts]))
+        for sender, t in zip(group.column("sender").to_pylist(), parts, strict=True):
+            a, b = np.searchsorted(all_pairs, t.pairs), np.searchsorted(all_words, t.words)
+            rows.append([inside // tree.fan, sender, inside, packed(pairs[:, a].ravel()), packed(words[:, b].ravel())])
+        return _table(rows, _ANSWER)
+
+    return run
+
+
+def _joined(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of all keys of a sender, from the answers of the ranges that it cut them into."""
+    parts = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "pair_uses", "word_uses")), strict=True))
+    both = [[unpacked(x[k], "i8").reshape(rows, -1) for x in parts] for k, rows in ((1, 2), (2, 4))]
+    return tuple(np.concatenate([np.empty((rows, 0), np.int64), *x], 1) for rows, x in zip((2, 4), both, strict=True))
+
+
+def _chunked(kept: list[str], tree: Tree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         of, rows, texts, target, size = {"": 0}, [], [], [], 0
@@ -165,9 +253,9 @@ def _chunked(kept: list[str], n: int):
             place = np.empty(len(words), np.int32)
             place[order] = np.arange(len(words))
             words = [words[k] for k in order]
-            hashes = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64) >> _left_out(n) << _left_out(n)
-            chunk = Chunk(pa.Table.from_batches(rows).combine_chunks(), np.array(target, bool), sizes, _planes(place[ids]), _planes(hashes))
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed(chunk)], pa.binary())], names=["chunk", "body"])
+            hashes = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64) >> tree.left_out << tree.left_out
+            chunk = Chunk(pa.Table.from_batches(rows).combine_chunks(), np.array(target, bool), sizes, place[ids], hashes)
+            yield from _table([[number, *chunk.columns()]], _CHUNK).to_batches()
             number += 1
             of, rows, texts, target, size = {"": 0}, [], [], [], 0
 
@@ -190,45 +278,46 @@ def _chunked(kept: list[str], n: int):
 
 
 class Counts(NamedTuple):
-    """Chunks of documents, written; the number of buckets; the documents' columns but the text."""
+    """Chunks of documents, written; how their keys reach buckets; the documents' columns but the text."""
 
     rows: DataFrame
-    buckets: int
+    tree: Tree
     kept: StructType
 
 
-def counted(docs: DataFrame, buckets: int | None = None) -> Counts:
+def counted(docs: DataFrame, tree: Tree | None = None) -> Counts:
     """Chunks of docs(text, target, others)."""
-    if buckets is None:
-        buckets = 1 + (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS
+    if tree is None:
+        tree = Tree.over(1 + (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_CHARS)
     kept = docs.drop("text", "lm").schema
-    return Counts(written(docs.mapInArrow(_chunked(kept.names, buckets), "chunk long, body binary"), "chunks"), buckets, kept)
+    return Counts(written(docs.mapInArrow(_chunked(kept.names, tree), _CHUNK), "chunks"), tree, kept)
 
 
-def _added(parts: list, teaches: np.ndarray, kinds: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sums of each distinct key, and for each part the sums of its keys. parts: packed hashes and counts of a chunk."""
-    hashes = [np.cumsum(_numbers(*h), dtype=np.uint64) for h, _ in parts]
-    counts = np.concatenate([_numbers(*c).reshape(kinds, -1) if t else np.zeros((kinds, len(h)), np.int32) for (_, c), h, t in zip(parts, hashes, teaches, strict=True)], 1)
-    coded = pa.array(np.concatenate(hashes)).dictionary_encode()
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct hashes, their sums, and for each part (hashes and uses) the places of its keys among them."""
+    coded = pa.array(np.concatenate([h for h, _ in parts])).dictionary_encode()
     at = coded.indices.to_numpy()
-    sums = np.stack([np.bincount(at, c, len(coded.dictionary)) for c in counts]).astype(np.int64)
-    ends = np.cumsum([0, *map(len, hashes)])
-    return sums, [at[a:b] for a, b in pairwise(ends)]
-
-
-def _summed(group: pa.Table) -> pa.Table:
-    """Adds up a bucket's keys and answers its chunks; a row without a chunk has the bucket's share of the model's sizes."""
-    parts, teaches = [unpacked(b.as_py()) for b in group.column("body")], group.column("teaches").to_pylist()
-    (pairs, pair_at), (words, word_at) = _added([p for p, _ in parts], teaches, 2), _added([w for _, w in parts], teaches, 4)
-    chunks, bodies = [None], [None]
-    for chunk, asks, a, b in zip(group.column("chunk").to_pylist(), group.column("asks").to_pylist(), pair_at, word_at, strict=True):
-        if asks:
-            chunks.append(chunk)
-            bodies.append(packed((_planes(pairs[:, a].ravel()), _planes(words[:, b].ravel()))))
-    sizes = [*words[2:].sum(1).tolist(), *(words[2:] > 0).sum(1).tolist()]
-    bucket = group.column("bucket")[0].as_py()
-    columns = [pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int32()), pa.array(bodies, pa.binary()), pa.array([sizes] + [None] * (len(chunks) - 1), pa.list_(pa.int64()))]
-    return pa.Table.from_arrays(columns, names=["chunk", "bucket", "body", "sizes"])
+    sums = np.stack([np.bincount(at, c, len(coded.dictionary)) for c in np.concatenate([c for _, c in parts], 1)]).astype(np.int64)
+    return coded.dictionary.to_numpy(), sums, [at[a:b] for a, b in pairwise(np.cumsum([0, *(len(h) for h, _ in parts)]))]
+
+
+def _summed(tree: Tree):
+    """Adds up a bucket's keys and answers its senders; a row without a group has the bucket's share of the model's sizes."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sides = group.column("side").to_pylist()
+        parts = [t if side < _ASKS else t._replace(pair_uses=0 * t.pair_uses, word_uses=0 * t.word_uses) for t, side in zip(Tallies.read(group, tree), sides, strict=True)]
+        _, pairs, pair_at = _added([(t.pairs, t.pair_uses) for t in parts])
+        _, words, word_at = _added([(t.words, t.word_uses) for t in parts])
+        bucket = group.column("range")[0].as_py()
+        sizes = [*words[2:].sum(1).tolist(), *(words[2:] > 0).sum(1).tolist()]
+        rows = [[None, None, bucket, None, None, sizes]]
+        for sender, side, a, b in zip(group.column("sender").to_pylist(), sides, pair_at, word_at, strict=True):
+            if side != _TEACHES:
+                rows.append([bucket // tree.fan, sender, bucket, packed(pairs[:, a].ravel()), packed(words[:, b].ravel()), None])
+        return _table(rows, _ANSWER + ", sizes array<long>")
+
+    return run
 
 
 class Sizes(NamedTuple):
@@ -262,18 +351,16 @@ def _uses(x: np.ndarray) -> np.ndarray:
     return n[which]
 
 
-def _scores(chunk: Chunk, answers: list, n: int, target: Sizes, background: Sizes) -> pa.Array:
-    """answers: of each bucket in order."""
+def _scores(chunk: Chunk, answers: pa.Table, tree: Tree, target: Sizes, background: Sizes) -> pa.Array:
     empty = pa.nulls(len(chunk.sizes), pa.float64())
     spans = chunk.sizes[chunk.sizes > 0]
     columns = [empty, empty, empty]
     if len(spans):
         left, right = chunk.pairs()
         distinct, which = np.unique(left << 32 | right, return_inverse=True)
-        keys = chunk.keys(distinct, n)
+        keys = chunk.keys(distinct, tree)
         pairs, words = np.empty((2, len(distinct)), np.int64), np.empty((4, len(keys.words)), np.int64)
-        pairs[:, keys.pair_order] = np.concatenate([_numbers(*p).reshape(2, -1) for p, _ in answers], 1)
-        words[:, keys.word_order] = np.concatenate([_numbers(*w).reshape(4, -1) for _, w in answers], 1)
+        pairs[:, keys.pair_order], words[:, keys.word_order] = _joined(answers)
         ends = np.cumsum(spans)
         own = [np.concatenate([_uses(x[b - a : b]) for a, b in zip(spans, ends, strict=True)]) for x in (which, left, right)]
         taught = np.repeat(chunk.target[chunk.sizes > 0], spans)
@@ -301,28 +388,42 @@ def trained(docs: DataFrame, target: DataFrame) -> Counts:
 def scored(docs: DataFrame, models: Counts) -> DataFrame:
     """The columns of docs but the text, and in place of a column of that name a struct `lm` of n_tokens, target_loss, background_loss and score, for each
     row of docs, which the background model counted; `target` says whether the target model did."""
-    return answered(counted(docs, models.buckets), models)
+    return answered(counted(docs, models.tree), models)
 
 
 def answered(asked: Counts, models: Counts) -> DataFrame:
     """scored() for documents in chunks, which may be those that the models counted."""
-    n = models.buckets
-    known = lambda rows, asks, teaches: rows.mapInArrow(_keyed(n), "chunk long, bucket int, body binary").withColumns({"asks": F.lit(asks), "teaches": F.lit(teaches)})
-    keys = known(asked.rows, True, True) if asked is models else known(asked.rows, True, False).unionByName(known(models.rows, False, True))
-    sums = written(keys.groupBy("bucket").applyInArrow(_summed, "chunk long, bucket int, body binary, sizes array<long>"), "sums")
-    total = sums.filter("chunk IS NULL").agg(*[F.coalesce(F.sum(F.col("sizes")[k]), F.lit(0)) for k in range(4)]).first()
+    tree = models.tree
+
+    def sent(chunks: DataFrame, side: int) -> DataFrame:
+        number = max(chunks.count(), 1) if tree.depth > 1 else 1
+        return chunks.mapInArrow(_first_sent(tree, number), _MESSAGE).withColumn("side", F.lit(side))
+
+    messages = sent(asked.rows, _BOTH) if asked is models else sent(asked.rows, _ASKS).unionByName(sent(models.rows, _TEACHES))
+    spark, steps, places = asked.rows.sparkSession, [], ["range", "group"]
+    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}" if tree.depth > 1 else None
+    for step in range(1, tree.depth):
+        steps.append(written(messages, "messages", folder))
+        relayed = lambda side: steps[-1].filter(F.col("side") == side).groupBy(*places).applyInArrow(_relayed(tree, step), _MESSAGE).withColumn("side", F.lit(side))
+        messages = relayed(_BOTH) if asked is models else relayed(_ASKS).unionByName(relayed(_TEACHES))
+    sums = written(messages.groupBy("range").applyInArrow(_summed(tree), _ANSWER + ", sizes array<long>"), "sums", folder)
+    total = sums.filter("sizes IS NOT NULL").agg(*[F.coalesce(F.sum(F.col("sizes")[k]), F.lit(0)) for k in range(4)]).first()
     background, target = Sizes(total[0], total[2], total[2]), Sizes(total[1], total[3], total[2])
+    answers = sums.filter("sizes IS NULL").drop("sizes")
+    for step, messages in reversed(list(enumerate(steps))):
+        asking = messages.filter(F.col("side") != _TEACHES).groupBy(*places)
+        answers = written(asking.cogroup(answers.groupBy(*places)).applyInArrow(_passed_back(tree), _ANSWER), "answers", folder if step else None)
+    if folder:  # the last answers are all that is left to read
+        dropped(spark, folder)
     schema = StructType(asked.kept.fields).add("lm", _LM)
     names = asked.kept.names
 
     def score(documents: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = unpacked(documents.column("body")[0].as_py())
-        by_bucket = sorted(zip(answers.column("bucket").to_pylist(), answers.column("body"), strict=True), key=lambda x: x[0])
-        lm = _scores(chunk, [unpacked(x.as_py()) for _, x in by_bucket], n, target, background)
+        chunk = Chunk.read(documents.to_pylist()[0])
+        lm = _scores(chunk, answers, tree, target, background)
         return pa.Table.from_arrays([*(chunk.rows.column(c) for c in names), lm], names=[*names, "lm"])
 
-    documents = asked.rows.select("chunk", "body").groupBy("chunk")
-    return documents.cogroup(sums.filter("chunk IS NOT NULL").groupBy("chunk")).applyInArrow(score, schema)
+    return asked.rows.groupBy("chunk").cogroup(answers.groupBy("group")).applyInArrow(score, schema)
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -329,13 +329,16 @@ def exact_lm(docs, good):
     return out
 
 
-def test_lm_counts_every_bigram_and_word_exactly(spark, monkeypatch):
+@pytest.mark.parametrize(("fan", "parts"), [(256, 3), (3, 9), (2, 5)])
+def test_lm_counts_every_bigram_and_word_exactly(spark, monkeypatch, fan, parts):
     monkeypatch.setattr(lm, "BUCKET_CHARS", 500)
+    monkeypatch.setattr(lm, "FAN", fan)
     random.seed(4)
     docs = [(i, " ".join(f"w{int(random.paretovariate(0.6)) % 5000}" for _ in range(random.randint(1, 60)))) for i in range(60)] + [(60, ""), (61, None), (62, "one-off Ωmega\x1cx")]
     good = list(range(0, 60, 3))
-    table, target = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame([(i,) for i in good], "doc_id long")
+    table, target = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts), spark.createDataFrame([(i,) for i in good], "doc_id long")
     want, models = exact_lm(docs, good), lm.trained(table, target)
+    assert models.tree.depth > 2 or fan == 256
     for frame in (lm.answered(models, models), lm.scored(lm.with_target(table, target), models)):
         got = {r.doc_id: r.lm for r in frame.collect()}
         assert len(got) == len(docs)
@@ -345,6 +348,25 @@ def test_lm_counts_every_bigram_and_word_exactly(spark, monkeypatch):
                 assert abs(got[d].target_loss - a) < 1e-9 and abs(got[d].background_loss - b) < 1e-9
 
 
+def test_lm_messages_grow_with_the_input(spark, monkeypatch):
+    """Each chunk is sent in at most FAN messages a step, and relays send no more than chunks do."""
+    monkeypatch.setattr(lm, "BUCKET_CHARS", 200)
+    monkeypatch.setattr(lm, "FAN", 4)
+    sent, known = [], lm.written
+    monkeypatch.setattr(lm, "written", lambda df, tag, under=None: sent.append((tag, known(df, tag, under))) or sent[-1][1])
+    monkeypatch.setattr(lm, "dropped", lambda *_: None)
+    rows = []
+    for times in (1, 2, 4):
+        sent.clear()
+        docs = spark.range(48 * times, numPartitions=6 * times).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 40), k -> concat('w', pmod(hash(id, k), 500)))) text")
+        models = lm.trained(docs, docs.select("doc_id").filter("doc_id % 3 = 0"))
+        assert lm.answered(models, models).count() == 48 * times
+        steps = [df.count() for tag, df in sent if tag == "messages"]
+        assert len(steps) == models.tree.depth - 1 and max(steps) <= (6 * times + 4) * 4  # groups are rounded up
+        rows.append(sum(steps) / len(steps))
+    assert rows[2] <= 4.5 * rows[0]
+
+
 def test_html_named_elements_end():
     assert html.main_text('<article><p class="ad">Buy</p><p>Text</p></article>') == "Text"
     assert html.main_text('<article><p class="notice">Buy<p>Text<div>more</div></article>') == "Text\n\nmore"
