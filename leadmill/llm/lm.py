@@ -14,8 +14,8 @@ as differences.
 
 A sender cuts its keys into at most FAN ranges. Where there are more buckets than that, keys go there in several steps: a
 relay takes one range from a FAN of senders, adds up what they have in common and cuts it into FAN narrower ranges; answers
-come back the same way. A relay holds as many keys as a chunk, so messages number chunks times FAN times steps and
-each holds a FANth of a chunk or so: they grow with the input, but for the logarithm that the steps are. No task or driver holds
+come back the same way. A relay holds as many keys as a chunk, so messages of a step number chunks and buckets together times FAN at
+most, and each holds a FANth of a chunk or so: they grow with the input, but for the logarithm that the steps are. No task or driver holds
 the model, and a common bigram is one key a chunk. Probabilities are absolutely discounted and interpolated with unigrams,
 those with a uniform law.
 

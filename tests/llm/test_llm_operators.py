@@ -349,7 +349,7 @@ def test_lm_counts_every_bigram_and_word_exactly(spark, monkeypatch, fan, parts)
 
 
 def test_lm_messages_grow_with_the_input(spark, monkeypatch):
-    """Each chunk is sent in at most FAN messages a step, and relays send no more than chunks do."""
+    """A step has at most FAN messages for each chunk and each range that a relay stands for."""
     monkeypatch.setattr(lm, "BUCKET_CHARS", 200)
     monkeypatch.setattr(lm, "FAN", 4)
     sent, known = [], lm.written
@@ -362,7 +362,9 @@ def test_lm_messages_grow_with_the_input(spark, monkeypatch):
         models = lm.trained(docs, docs.select("doc_id").filter("doc_id % 3 = 0"))
         assert lm.answered(models, models).count() == 48 * times
         steps = [df.count() for tag, df in sent if tag == "messages"]
-        assert len(steps) == models.tree.depth - 1 and max(steps) <= (6 * times + 4) * 4  # groups are rounded up
+        fan = models.tree.fan
+        assert len(steps) == models.tree.depth - 1 and fan <= 4
+        assert all(n <= (6 * times + fan**k) * fan for k, n in enumerate(steps))  # groups of senders are rounded up, one a range
         rows.append(sum(steps) / len(steps))
     assert rows[2] <= 4.5 * rows[0]
 
