@@ -90,16 +90,28 @@ def _grams(c, n: int = 3):
     return F.array_distinct(F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array(c)))
 
 
+def _met(left: DataFrame, entries: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with what was taken apart into n-grams or digits. Its size is estimated by the rows it came from, which would
+    have the driver broadcast it; the hint has both sides shuffled, however small the estimate."""
+    return left.join(entries.hint("merge"), keys, how)
+
+
 def search_trigram(names: DataFrame, registry: DataFrame, k: int = 5) -> DataFrame:
     """(query, official_name, corp_number, pref, pos): registered names that contain the query, at most k by number.
-    A query looks up its rarest trigram alone; containment is then checked, so a frequent trigram costs nothing."""
+    A query looks up its rarest trigram alone, among distinct names; containment is then checked, so neither a frequent
+    trigram nor a name that many companies have costs anything. Of a name its k least numbers are enough, of a query the k
+    names whose least number is least."""
     q = names.select(F.col("name").alias("query")).filter("length(query) >= 3").distinct()
-    grams = registry.select("corp_number", "name", "pref", F.explode(_grams(F.col("name"))).alias("gram"))
+    numbered = registry.select("corp_number", "name", "pref").withColumn("_r", F.row_number().over(W.partitionBy("name").orderBy("corp_number"))).filter(F.col("_r") <= k)
+    once = registry.groupBy("name").agg(F.min("corp_number").alias("least"))
+    grams = once.select("least", "name", F.explode(_grams(F.col("name"))).alias("gram"))
     uses = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
-    asked = q.select("query", F.explode(_grams(F.col("query"))).alias("gram")).join(uses, "gram", "left")
+    asked = _met(q.select("query", F.explode(_grams(F.col("query"))).alias("gram")), uses, ["gram"], "left")
     rare = asked.groupBy("query").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("g")).filter("g.uses > 0").select("query", F.col("g.gram").alias("gram"))
-    hits = rare.join(grams, "gram").filter("contains(name, query)")
-    ranked = hits.withColumn("pos", F.row_number().over(W.partitionBy("query").orderBy("corp_number"))).filter(F.col("pos") <= k)
+    hits = _met(rare, grams, ["gram"]).filter("contains(name, query)").select("query", "name", "least")
+    first = hits.withColumn("_n", F.row_number().over(W.partitionBy("query").orderBy("least"))).filter(F.col("_n") <= k).select("query", "name")
+    each = _met(first, numbered.drop("_r"), ["name"])
+    ranked = each.withColumn("pos", F.row_number().over(W.partitionBy("query").orderBy("corp_number"))).filter(F.col("pos") <= k)
     return ranked.select("query", F.col("name").alias("official_name"), "corp_number", "pref", "pos")
 
 
@@ -157,10 +169,10 @@ def search_index(names: DataFrame, path: str, k: int = 5) -> DataFrame:
     asked = q.select("query", F.explode(_grams(F.col("query"))).alias("gram")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(INDEX_BUCKETS)).cast("int"))
     read = lambda name, kind, df: spark.read.schema(kind).parquet(f"{path}/{name}").filter(F.col("bucket").isin([r.bucket for r in df.select("bucket").distinct().collect()]))
     uses = read("uses", "gram string, uses long, bucket int", asked)
-    rare = asked.join(uses, ["bucket", "gram"], "left").groupBy("query").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "bucket", "gram")).alias("g"))
+    rare = _met(asked, uses, ["bucket", "gram"], "left").groupBy("query").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "bucket", "gram")).alias("g"))
     rare = rare.filter("g.uses > 0").select("query", "g.bucket", "g.gram")
     kind = spark.read.parquet(f"{path}/entries").schema.add("gram", "string").add("bucket", "integer")
-    hits = rare.join(read("grams", kind, rare), ["bucket", "gram"]).filter("contains(name, query)")
+    hits = _met(rare, read("grams", kind, rare), ["bucket", "gram"]).filter("contains(name, query)")
     ranked = hits.withColumn("pos", F.row_number().over(W.partitionBy("query").orderBy("corp_number"))).filter(F.col("pos") <= k)
     return ranked.select("query", F.col("name").alias("official_name"), "corp_number", "pref", "pos")
 
