@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from leadmill.functions.text import digits, has, legal_form, name_core, normalize_company, registry_core, strip_garbage, text
 from leadmill.functions.urls import host, host_suffixes
 from leadmill.operators.scratch import removed, scope, written
-from leadmill.operators.windows import first_per_key
+from leadmill.operators.windows import first_per_key, spread
 
 
 def flag_hosts(df: DataFrame, url: str, hosts: DataFrame, out: str = "listed") -> DataFrame:
@@ -194,10 +194,10 @@ def _digit_hits(phones: DataFrame, pages: DataFrame) -> DataFrame:
     text). Each run of PHONE_KEY digits of a page is a key; a phone meets the pages of its host that have its last ones."""
     t = digits(F.col("text"))
     runs = F.when(F.length(t) >= PHONE_KEY, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - PHONE_KEY + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(PHONE_KEY)))))
-    keys = pages.select("host", "page", F.explode(runs).alias("key"))
+    keys = spread(pages.select("host", "page", "text"), ["host", "page"]).select("host", "page", F.explode(runs).alias("key"))
     asked = phones.filter(F.length("d") >= PHONE_KEY).withColumn("key", F.right("d", F.lit(PHONE_KEY))).select("id", "host", "d", "key").distinct()
-    met = asked.join(keys, ["host", "key"]).select("id", "host", "d", "page")
-    long = met.filter(F.length("d") > PHONE_KEY).join(pages.select("host", "page", digits(F.col("text")).alias("_t")), ["host", "page"]).filter("contains(_t, d)")
+    met = _met(asked, keys, ["host", "key"]).select("id", "host", "d", "page")
+    long = _met(met.filter(F.length("d") > PHONE_KEY), pages.select("host", "page", digits(F.col("text")).alias("_t")), ["host", "page"]).filter("contains(_t, d)")
     return met.filter(F.length("d") == PHONE_KEY).select("id", "host", "page").unionByName(long.select("id", "host", "page"))
 
 
@@ -208,12 +208,12 @@ def _name_hits(names: DataFrame, pages: DataFrame) -> DataFrame:
     for n in (3, 2, 1):
         own = names.filter(F.length("core") >= 3 if n == 3 else F.length("core") == n)
         asked = own.select("id", "host", "core", F.explode(_grams(F.col("core"), n)).alias("gram"))
-        there = pages.join(own.select("host").distinct(), "host", "left_semi").select("host", "page", F.explode(_grams(F.col("text"), n)).alias("gram"))
-        there = there.join(asked.select("host", "gram").distinct(), ["host", "gram"], "left_semi")
+        there = _met(pages, own.select("host").distinct(), ["host"], "left_semi").select("host", "page", F.explode(_grams(F.col("text"), n)).alias("gram"))
+        there = _met(there, asked.select("host", "gram").distinct(), ["host", "gram"], "left_semi")
         uses = there.groupBy("host", "gram").agg(F.count(F.lit(1)).alias("uses"))
-        rare = asked.join(uses, ["host", "gram"], "left").groupBy("id", "host", "core").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("g"))
-        met = rare.filter("g.uses > 0").select("id", "host", "core", F.col("g.gram").alias("gram")).join(there, ["host", "gram"])
-        out.append(met.join(pages.select("host", "page", "text"), ["host", "page"]).filter("contains(text, core)").select("id", "host", "page"))
+        rare = _met(asked, uses, ["host", "gram"], "left").groupBy("id", "host", "core").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")).alias("g"))
+        met = _met(rare.filter("g.uses > 0").select("id", "host", "core", F.col("g.gram").alias("gram")), there, ["host", "gram"])
+        out.append(_met(met, pages.select("host", "page", "text"), ["host", "page"]).filter("contains(text, core)").select("id", "host", "page"))
     return out[0].unionByName(out[1]).unionByName(out[2]).distinct()
 
 
@@ -226,9 +226,9 @@ def evidence(records: DataFrame, pages: DataFrame) -> DataFrame:
     told = pages.select("host", F.col("kind").alias("page_kind"), F.col("text"), F.xxhash64("kind", "text").alias("page")).filter("host is not null")
     once = told.groupBy("host", "page").agg(F.first("page_kind").alias("page_kind"), F.first("text").alias("text"))
     hits = _name_hits(own.filter("core <> ''"), once).withColumn("n", F.lit(True)).withColumn("p", F.lit(False)).unionByName(_digit_hits(own, once).withColumn("n", F.lit(False)).withColumn("p", F.lit(True)))
-    hits = hits.groupBy("id", "host", "page").agg(F.max("n").alias("has_name"), F.max("p").alias("has_phone")).join(once.select("host", "page", "page_kind"), ["host", "page"]).select("id", "page_kind", "has_name", "has_phone")
-    kinds = own.select("id", "host").join(told.select("host", "page_kind").distinct(), "host").select("id", "page_kind").distinct()
-    none = kinds.join(hits.select("id", "page_kind").distinct(), ["id", "page_kind"], "left_anti").select("id", "page_kind", F.lit(False).alias("has_name"), F.lit(False).alias("has_phone"))
+    hits = _met(hits.groupBy("id", "host", "page").agg(F.max("n").alias("has_name"), F.max("p").alias("has_phone")), once.select("host", "page", "page_kind"), ["host", "page"]).select("id", "page_kind", "has_name", "has_phone")
+    kinds = _met(own.select("id", "host"), told.select("host", "page_kind").distinct(), ["host"]).select("id", "page_kind").distinct()
+    none = _met(kinds, hits.select("id", "page_kind").distinct(), ["id", "page_kind"], "left_anti").select("id", "page_kind", F.lit(False).alias("has_name"), F.lit(False).alias("has_phone"))
     return hits.unionByName(none)
 
 
@@ -244,7 +244,7 @@ def phone_on_domain(companies: DataFrame, pages: DataFrame) -> DataFrame:
     """(id, found_in): paths of the company's host, or of its parent, whose page has the phone's digits."""
     own = companies.select("id", digits(F.col("phone")).alias("d"), F.explode(F.slice(host_suffixes(host(F.col("base_url"))), 1, 2)).alias("host"))
     hits = _digit_hits(own, pages.select("host", F.struct("path", F.xxhash64("text").alias("h")).alias("page"), "text"))
-    return companies.select("id").join(hits.groupBy("id").agg(F.array_sort(F.collect_set("page.path")).alias("found_in")), "id", "left")
+    return _met(companies.select("id"), hits.groupBy("id").agg(F.array_sort(F.collect_set("page.path")).alias("found_in")), ["id"], "left")
 
 
 def phone_from_blocks(names: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -12,6 +12,12 @@ def _cols(names) -> list:
     return [names] if isinstance(names, (str, Column)) else list(names)
 
 
+def spread(df: DataFrame, keys) -> DataFrame:
+    """The rows dealt by their keys, before steps that cost much a row: a file is read by at most as many tasks as it has row
+    groups, often one. A filter on a column moves in front of this; what is exploded or mapped after it doesn't."""
+    return df.repartition(*_cols(keys))
+
+
 def first_per_key(df: DataFrame, keys, order) -> DataFrame:
     """The first row of each key in the order given."""
     return df.withColumn("_k", F.row_number().over(W.partitionBy(*_cols(keys)).orderBy(*_cols(order)))).filter("_k = 1").drop("_k")

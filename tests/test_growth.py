@@ -19,3 +19,15 @@ def test_trigram_search_through_copies(spark):
     for r in got.collect():
         found.setdefault(r.query, {})[r.pos] = (r.corp_number, r.official_name[-2])
     assert found == {"large ring 1": {i + 1: (1 + 3 * i, "1") for i in range(5)}, "ring": {i + 1: (i, str(i % 3)) for i in range(5)}}
+
+
+def test_digits_and_names_are_not_broadcast(spark):
+    """Runs of digits and pieces of names meet by shuffles, and pages are dealt before they are taken apart."""
+    own = spark.createDataFrame([(1, "株式会社東海", "0355551234", "https://a.example"), (2, "株式会社西海", "0666661234", "https://a.example")], "id long, company_name string, phone string, base_url string")
+    pages = spark.createDataFrame([("a.example", "base", "/law", "株式会社東海 TEL 03-5555-1234"), ("a.example", "base", "/x", "TEL 03-5555-12")], "host string, kind string, path string, text string")
+    got = J.phone_on_domain(own, pages)
+    assert "Broadcast" not in _plan(got) and "REPARTITION_BY_COL" in _plan(got)
+    assert {r.id: r.found_in for r in got.collect()} == {1: ["/law"], 2: None}
+    said = J.evidence(own, pages)
+    assert "Broadcast" not in _plan(said)
+    assert sorted(map(tuple, said.collect())) == [(1, "base", True, True), (2, "base", False, False)]
