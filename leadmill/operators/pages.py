@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from leadmill.functions.names import is_valid_company, is_valid_company_labelled, normalize_names
-from leadmill.functions.text import extract_phone, extract_phones, has, score_to_rank, text, unescape_entities
+from leadmill.functions.text import extract_phone, extract_phones, has, let, score_to_rank, text, unescape_entities
 from leadmill.functions.urls import host, host_contains_any, resolve_link
-from leadmill.operators.scratch import scope
+from leadmill.operators.scratch import scope, written
 from leadmill.operators.scripts import script_values
 from leadmill.operators.variants import field, levels
-from leadmill.operators.windows import first_per_key, nearest_pair
+from leadmill.operators.windows import first_per_key, nearest_pair, spread
 
 # Labels of a company's name, and of its phone, in tables and lists.
 COMPANY_LABELS = [
@@ -81,25 +81,32 @@ class _Tree(HTMLParser):
 
 
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32())
+    names = ["page_id", "block_id", "parent_id", "tag", "attrs", "text", "pos"]
     for batch in batches:
+        columns, size = [[] for _ in names], 0
         for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if html is None:
                 continue
             t = _Tree()
             t.feed(html)
             t.close()
-            # ancestors' texts hold their descendants': those of whole-page elements are left out
-            said = ["" if r[2] in ("html", "body", "head") else "\n".join(x for x in (" ".join(s.split()) for s in "".join(r[4]).split("\n")) if x) for r in t.rows]
-            n = len(t.rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([page_id] * n, pa.int64()), pa.array([r[0] for r in t.rows], pa.int32()), pa.array([r[1] for r in t.rows], pa.int32()), pa.array([r[2] for r in t.rows], pa.string()), pa.array([list(r[3].items()) for r in t.rows], pa.map_(pa.string(), pa.string())), pa.array(said, pa.string()), pa.array(range(n), pa.int32())],
-                names=["page_id", "block_id", "parent_id", "tag", "attrs", "text", "pos"],
-            )
+            for k, parent, tag, attrs, told in t.rows:
+                # ancestors' texts hold their descendants': those of whole-page elements are left out
+                said = "" if tag in ("html", "body", "head") else "\n".join(x for x in (" ".join(s.split()) for s in "".join(told).split("\n")) if x)
+                for column, value in zip(columns, (page_id, k, parent, tag, list(attrs.items()), said, k), strict=True):
+                    column.append(value)
+                size += 100 + len(said)
+            if size > 8_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                columns, size = [[] for _ in names], 0
+        if columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
 def blocks(pages: DataFrame) -> DataFrame:
     """(page_id, block_id, parent_id, tag, attrs, text, pos) of every element; readings of ruby are left out."""
-    return pages.select("page_id", "html").mapInArrow(_tree, "page_id long, block_id int, parent_id int, tag string, attrs map<string, string>, text string, pos int")
+    return spread(pages.select("page_id", "html"), "page_id").mapInArrow(_tree, "page_id long, block_id int, parent_id int, tag string, attrs map<string, string>, text string, pos int")
 
 
 def visible_text(c: Column) -> Column:
@@ -172,7 +179,7 @@ def jsonld_orgs(pages: DataFrame) -> DataFrame:
 def site_names(pages: DataFrame) -> DataFrame:
     """(page_id, company, pos): valid parts of site-name meta tags."""
     tags = F.array(*[F.struct(F.lit(i).alias("i"), _meta(text(F.col("html")), n).alias("c")) for i, n in enumerate(("og:site_name", "application-name", "author", "copyright", "publisher"))])
-    each = pages.select("page_id", F.explode(tags).alias("t")).select("page_id", F.col("t.i").alias("i"), F.posexplode(F.split("t.c", r"\s*[|｜/／:：–—]\s*|\s+-\s+")).alias("j", "company"))
+    each = spread(pages.select("page_id", "html"), "page_id").select("page_id", F.explode(tags).alias("t")).select("page_id", F.col("t.i").alias("i"), F.posexplode(F.split("t.c", r"\s*[|｜/／:：–—]\s*|\s+-\s+")).alias("j", "company"))
     strict = is_valid_company(F.col("company"))
     return each.withColumn("company", F.trim("company")).filter(strict | is_valid_company_labelled(F.col("company"))).select("page_id", "company", (F.col("i") * 100 + F.col("j") + F.when(strict, 0).otherwise(1000)).alias("pos"))
 
@@ -206,21 +213,34 @@ def div_pairs(b: DataFrame) -> DataFrame:
     return first_per_key(both, ["page_id", "company"], "pos").select("page_id", "company", "parent_id", "pos")
 
 
+def _worked_out(c: Column) -> Column:
+    """Each row with the value, once, and no row where it is null: a filter on it would work it out again, before rows are
+    dealt."""
+    return F.explode(F.filter(F.array(c), lambda x: x.isNotNull()))
+
+
 def container_phones(b: DataFrame) -> DataFrame:
-    """(page_id, block_id, phone, tier): tel links, labelled cells, then phones in the text of containers."""
-    tel = b.filter("tag = 'a' and lower(attrs['href']) like 'tel:%'").select("page_id", F.col("parent_id").alias("block_id"), extract_phone(F.col("attrs")["href"]).alias("phone"), F.lit(0).alias("tier"), "pos")
-    cells = _cells(b, PHONE_LABELS, "v").select("page_id", F.col("parent_id").alias("block_id"), extract_phone(F.col("v")).alias("phone"), F.lit(1).alias("tier"), "pos")
-    body = b.filter(F.col("tag").isin("table", "dl", "section", "article", "footer", "main", "div", "p", "li", "td", "dd", "address")).select("page_id", "block_id", extract_phone(F.col("text")).alias("phone"), F.lit(2).alias("tier"), "pos")
-    return tel.unionByName(cells).unionByName(body).filter("phone is not null")
+    """(page_id, block_id, phone, tier): tel links, labelled cells, then phones in the text of containers. Elements are
+    written once, as they are read three times."""
+    with scope(b.sparkSession) as keep:
+        b = written(b, "blocks")
+        box = F.col("tag").isin("table", "dl", "section", "article", "footer", "main", "div", "p", "li", "td", "dd", "address")
+        tel = b.filter("tag = 'a' and lower(attrs['href']) like 'tel:%'").select("page_id", F.col("parent_id").alias("block_id"), _worked_out(extract_phone(F.col("attrs")["href"])).alias("phone"), F.lit(0).alias("tier"), "pos")
+        cells = _cells(b, PHONE_LABELS, "v").select("page_id", F.col("parent_id").alias("block_id"), _worked_out(extract_phone(F.col("v"))).alias("phone"), F.lit(1).alias("tier"), "pos")
+        body = b.filter(box).select("page_id", "block_id", _worked_out(extract_phone(F.col("text"))).alias("phone"), F.lit(2).alias("tier"), "pos")
+        return keep(tel.unionByName(cells).unionByName(body), "container-phones")
 
 
 def container_pairs(b: DataFrame) -> DataFrame:
-    """(page_id, company, phone): name and phone in one container: a table or list, then a section, then the smallest div."""
+    """(page_id, company, phone): name and phone in one container: a table or list, then a section, then the smallest div.
+    Elements are written once, as they are read six times."""
     tiers = F.when(F.col("tag").isin("table", "dl"), 0).when(F.col("tag").isin("section", "article", "footer", "main"), 1).when(F.col("tag") == "div", 2)
-    box = b.withColumn("tier", tiers).filter("tier is not null").select("page_id", "block_id", "tier", "text", F.length("text").alias("size"), "pos")
-    names = table_pairs(b).unionByName(div_pairs(b)).select("page_id", "company", F.col("pos").alias("name_pos"))
-    hit = box.join(names, "page_id").filter("contains(text, company)").withColumn("phone", extract_phone(F.col("text"))).filter("phone is not null")
-    return first_per_key(hit, "page_id", ["tier", "size", "pos", "name_pos"]).select("page_id", "company", "phone")
+    with scope(b.sparkSession) as keep:
+        b = written(b, "blocks")
+        box = b.withColumn("tier", tiers).filter("tier is not null").select("page_id", "block_id", "tier", "text", F.length("text").alias("size"), "pos")
+        names = table_pairs(b).unionByName(div_pairs(b)).select("page_id", "company", F.col("pos").alias("name_pos"))
+        hit = box.join(names.hint("merge"), "page_id").filter("contains(text, company)").withColumn("phone", _worked_out(extract_phone(F.col("text"))))
+        return keep(first_per_key(hit, "page_id", ["tier", "size", "pos", "name_pos"]).select("page_id", "company", "phone"), "container-pairs")
 
 
 # Keys of a company's name in page state; keys of objects whose name is a company's.
@@ -251,7 +271,7 @@ def spa_names(pages: DataFrame) -> DataFrame:
     script, each once; names are normalised first."""
     scripts = F.regexp_extract_all(text(F.col("html")), F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1))
     found = F.flatten(F.transform(scripts, lambda x: F.regexp_extract_all(x, F.lit(r"[\"']?(?:companyName|company_name|corporateName|corporationName|legalName|operatorName|company|corp_name|organizationName)[\"']?\s*[:=]\s*[\"']([^\"'\n]{2,80})[\"']"), F.lit(1))))
-    beside = pages.select("page_id", F.posexplode(found).alias("no", "raw")).select("page_id", "raw", F.lit(1).alias("tier"), F.lit(0).alias("script"), "no", F.array().cast("array<int>").alias("path"), F.lit("").alias("at"))
+    beside = spread(pages.select("page_id", "html"), "page_id").select("page_id", F.posexplode(found).alias("no", "raw")).select("page_id", "raw", F.lit(1).alias("tier"), F.lit(0).alias("script"), "no", F.array().cast("array<int>").alias("path"), F.lit("").alias("at"))
     rows = state_names(pages).withColumn("tier", F.lit(0)).unionByName(beside)
     each = normalize_names(rows, "raw", "company").filter(is_valid_company(F.col("company")) | is_valid_company_labelled(F.col("company")))
     once = each.groupBy("page_id", "company").agg(F.min(F.struct("tier", "script", "no", "path", "at")).alias("place"))
@@ -260,20 +280,22 @@ def spa_names(pages: DataFrame) -> DataFrame:
 
 def page_company(pages: DataFrame, b: DataFrame | None = None) -> DataFrame:
     """(page_id, company, source): the first source that names a valid company: JSON-LD, microdata, script data, meta tags,
-    title, headings, elements of a company's class, tables, divs, labels in the text."""
-    b = blocks(pages) if b is None else b
-    html = text(F.col("html"))
-    parts = lambda c: F.explode(F.split(c, r"\s*[|｜]\s*|\s+[-–—]\s+"))
-    titles = pages.select("page_id", parts(_inner(html, "title")).alias("company"), F.lit("title").alias("source"), F.lit(4).alias("tier"), F.lit(0).alias("pos"))
-    heads = b.filter("tag in ('h1', 'h2')").select("page_id", F.col("text").alias("company"), F.lit("heading").alias("source"), F.lit(5).alias("tier"), "pos")
-    micro = b.filter("attrs['itemprop'] in ('legalName', 'name')").select("page_id", F.coalesce(F.col("attrs")["content"], F.col("text")).alias("company"), F.lit("microdata").alias("source"), F.lit(1).alias("tier"), "pos")
-    classes = b.filter(F.rlike(F.lower(F.coalesce(F.col("attrs")["class"], F.lit(""))), F.lit("company|corp|org-name|operator"))).select("page_id", F.col("text").alias("company"), F.lit("class").alias("source"), F.lit(6).alias("tier"), "pos")
-    loose = titles.unionByName(heads).unionByName(micro).unionByName(classes).withColumn("company", F.trim("company")).filter(is_valid_company(F.col("company")))
-    tagged = lambda d, s, t: d.select("page_id", "company", F.lit(s).alias("source"), F.lit(t).alias("tier"), F.col("pos").cast("int").alias("pos"))
-    said = pages.select("page_id", company_from_text(visible_text_lines(F.col("html"))).alias("company"), F.lit(0).alias("pos")).filter("company is not null")
-    rows = tagged(jsonld_orgs(pages).filter("company is not null"), "json_ld", 0).unionByName(tagged(spa_names(pages), "spa", 2)).unionByName(tagged(site_names(pages), "meta", 3)).unionByName(loose)
-    rows = rows.unionByName(tagged(table_pairs(b), "table", 7)).unionByName(tagged(div_pairs(b), "div", 8)).unionByName(tagged(said, "text", 9))
-    return first_per_key(rows, "page_id", ["tier", "pos", "company"]).select("page_id", "company", "source")
+    title, headings, elements of a company's class, tables, divs, labels in the text. Elements are written once."""
+    with scope(pages.sparkSession) as keep:
+        b = written(blocks(pages) if b is None else b, "blocks")
+        told = spread(pages.select("page_id", "html"), "page_id")
+        html = text(F.col("html"))
+        parts = lambda c: F.explode(F.split(c, r"\s*[|｜]\s*|\s+[-–—]\s+"))
+        titles = told.select("page_id", parts(_inner(html, "title")).alias("company"), F.lit("title").alias("source"), F.lit(4).alias("tier"), F.lit(0).alias("pos"))
+        heads = b.filter("tag in ('h1', 'h2')").select("page_id", F.col("text").alias("company"), F.lit("heading").alias("source"), F.lit(5).alias("tier"), "pos")
+        micro = b.filter("attrs['itemprop'] in ('legalName', 'name')").select("page_id", F.coalesce(F.col("attrs")["content"], F.col("text")).alias("company"), F.lit("microdata").alias("source"), F.lit(1).alias("tier"), "pos")
+        classes = b.filter(F.rlike(F.lower(F.coalesce(F.col("attrs")["class"], F.lit(""))), F.lit("company|corp|org-name|operator"))).select("page_id", F.col("text").alias("company"), F.lit("class").alias("source"), F.lit(6).alias("tier"), "pos")
+        loose = titles.unionByName(heads).unionByName(micro).unionByName(classes).withColumn("company", F.trim("company")).filter(is_valid_company(F.col("company")))
+        tagged = lambda d, s, t: d.select("page_id", "company", F.lit(s).alias("source"), F.lit(t).alias("tier"), F.col("pos").cast("int").alias("pos"))
+        said = told.select("page_id", _worked_out(company_from_text(visible_text_lines(F.col("html")))).alias("company"), F.lit(0).alias("pos"))
+        rows = tagged(jsonld_orgs(pages).filter("company is not null"), "json_ld", 0).unionByName(tagged(spa_names(pages), "spa", 2)).unionByName(tagged(site_names(pages), "meta", 3)).unionByName(loose)
+        rows = rows.unionByName(tagged(table_pairs(b), "table", 7)).unionByName(tagged(div_pairs(b), "div", 8)).unionByName(tagged(said, "text", 9))
+        return keep(first_per_key(rows, "page_id", ["tier", "pos", "company"]).select("page_id", "company", "source"), "page-company")
 
 
 def visible_text_lines(c: Column) -> Column:
@@ -284,26 +306,30 @@ def visible_text_lines(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f　]+", " "), r" ?\n[ \n]*", "\n"))
 
 
+def _phones_of(c: Column) -> Column:
+    """What extract_phone gives and then all of extract_phones, which is worked out once."""
+    return let(extract_phones(c), lambda found: F.when(has(F.trim(c), r"(?i)^tel:"), F.concat(F.array(extract_phone(c)), found)).otherwise(found))
+
+
 def page_phones(pages: DataFrame, b: DataFrame | None = None) -> DataFrame:
     """(page_id, phone, tier, pos) in order of trust, each phone once: tel links, attributes, address, aria labels, alt
-    texts, inputs, data attributes, scripts, meta tags, microdata, classes, labelled cells, text."""
-    b = blocks(pages) if b is None else b
-    a = F.col("attrs")
+    texts, inputs, data attributes, scripts, meta tags, microdata, classes, labelled cells, text. Elements are written once;
+    one reading takes all places of an element, another its cells."""
+    a, tag, text_ = F.col("attrs"), F.col("tag"), F.col("text")
     named = F.lower(F.concat_ws(" ", a["class"], a["id"]))
     places = [
-        (b.filter("tag = 'a' and lower(attrs['href']) like 'tel:%'"), a["href"]), (b.filter("attrs['data-tel'] is not null or attrs['data-phone'] is not null"), F.coalesce(a["data-tel"], a["data-phone"])),
-        (b.filter("tag = 'address'"), F.col("text")), (b.filter("attrs['aria-label'] is not null"), a["aria-label"]), (b.filter("tag = 'img'"), a["alt"]),
-        (b.filter("tag = 'input' and attrs['value'] is not null"), a["value"]), (b.filter(F.exists(F.map_keys("attrs"), lambda k: F.startswith(k, F.lit("data-")))), F.array_join(F.map_values("attrs"), "\n")),
-        (b.filter("tag = 'script'"), F.col("text")), (b.filter("tag = 'meta'"), a["content"]), (b.filter("attrs['itemprop'] = 'telephone'"), F.coalesce(a["content"], F.col("text"))),
-        (b.filter(F.rlike(named, F.lit("tel|phone|contact"))), F.col("text")),
+        F.when((tag == "a") & F.startswith(F.lower(a["href"]), F.lit("tel:")), a["href"]), F.coalesce(a["data-tel"], a["data-phone"]), F.when(tag == "address", text_), a["aria-label"], F.when(tag == "img", a["alt"]),
+        F.when(tag == "input", a["value"]), F.when(F.exists(F.map_keys("attrs"), lambda k: F.startswith(k, F.lit("data-"))), F.array_join(F.map_values("attrs"), "\n")), F.when(tag == "script", text_), F.when(tag == "meta", a["content"]),
+        F.when(a["itemprop"] == "telephone", F.coalesce(a["content"], text_)), F.when(F.rlike(named, F.lit("tel|phone|contact")), text_),
     ]
-    rows = [d.select("page_id", F.explode(F.filter(F.concat(F.array(extract_phone(c)), extract_phones(c)), lambda x: x.isNotNull())).alias("phone"), F.lit(i).alias("tier"), "pos") for i, (d, c) in enumerate(places)]
-    rows.append(_cells(b, PHONE_LABELS, "v").select("page_id", F.explode(extract_phones(F.col("v"))).alias("phone"), F.lit(11).alias("tier"), "pos"))
-    rows.append(pages.select("page_id", F.posexplode(extract_phones(visible_text_lines(F.col("html")))).alias("pos", "phone")).select("page_id", "phone", F.lit(12).alias("tier"), "pos"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return first_per_key(out.filter("phone <> ''"), ["page_id", "phone"], ["tier", "pos"])
+    with scope(pages.sparkSession) as keep:
+        b = written(blocks(pages) if b is None else b, "blocks")
+        each = F.filter(F.array(*[F.struct(F.lit(i).alias("tier"), c.alias("said")) for i, c in enumerate(places)]), lambda x: x["said"].isNotNull())
+        rows = b.select("page_id", "pos", F.explode(each).alias("x")).select("page_id", "pos", "x.tier", F.explode(_phones_of(F.col("x.said"))).alias("phone"))
+        cells = _cells(b, PHONE_LABELS, "v").select("page_id", "pos", F.lit(11).alias("tier"), F.explode(extract_phones(F.col("v"))).alias("phone"))
+        said = spread(pages.select("page_id", "html"), "page_id").select("page_id", F.lit(12).alias("tier"), F.posexplode(extract_phones(visible_text_lines(F.col("html")))).alias("pos", "phone"))
+        out = rows.unionByName(cells).unionByName(said).filter("phone <> ''").select("page_id", "phone", "tier", "pos")
+        return keep(first_per_key(out, ["page_id", "phone"], ["tier", "pos"]), "page-phones")
 
 
 def _lines(pages: DataFrame, body: str = "text") -> DataFrame:
@@ -422,15 +448,16 @@ def guess_site(result_pages: DataFrame, bad: list[str]) -> DataFrame:
 
 def case_clients(pages: DataFrame, excluded: list[str]) -> DataFrame:
     """(page_id, client, site): client and official site of case-study pages, from labels, headings and titles."""
+    pages = spread(pages.select("page_id", "url", "html"), "page_id")
     said = visible_text_lines(F.col("html"))
     label = F.regexp_extract(said, r"(?:導入企業|お客様名|企業名|会社名|クライアント)\s*[：:]?\s*\n?([^\n：:]{2,60})", 1)
     form = r"((?:株式会社|有限会社|合同会社)[^\s|｜]{2,20}|[^\s|｜]{2,20}(?:株式会社|有限会社|合同会社))"
     title = F.regexp_extract(_inner(text(F.col("html")), "h1"), form, 1)
     title2 = F.regexp_extract(_inner(text(F.col("html")), "title"), form, 1)
     good = lambda c: F.when(is_valid_company_labelled(F.trim(c)), F.trim(c))
-    names = pages.select("page_id", "url", F.coalesce(good(label), good(title), good(title2)).alias("client"))
+    names = pages.select("page_id", _worked_out(F.coalesce(good(label), good(title), good(title2))).alias("client"))
     out = links(pages).filter(has(F.col("said"), "公式|サイト|ホームページ|https?://")).withColumn("site", resolve_link(F.col("url"), F.col("href"), True)).filter("site is not null")
     out = out.filter((host(F.col("site")) != host(F.col("url"))) & ~host_contains_any(F.col("site"), excluded))
-    return names.join(first_per_key(out, "page_id", "pos").select("page_id", "site"), "page_id", "left").select("page_id", "client", "site").filter("client is not null")
+    return names.join(first_per_key(out, "page_id", "pos").select("page_id", "site"), "page_id", "left").select("page_id", "client", "site")
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leadmill.operators import match as J
+from leadmill.operators import match as J, pages as H
 
 
 def _plan(df) -> str:
@@ -31,3 +31,29 @@ def test_digits_and_names_are_not_broadcast(spark):
     said = J.evidence(own, pages)
     assert "Broadcast" not in _plan(said)
     assert sorted(map(tuple, said.collect())) == [(1, "base", True, True), (2, "base", False, False)]
+
+
+def _pages(spark):
+    cells = "<table><tr><th>会社名</th><td>株式会社東海</td></tr><tr><th>電話番号</th><td>0355551234</td></tr></table>"
+    html = f'<html><body><a href="tel:06-6666-1234">tel</a>{cells}<p>企業名：株式会社東海</p><a href="https://b.example/">公式サイト</a></body></html>'
+    return spark.createDataFrame([(1, "https://a.example/", html), (2, "https://a.example/", None)], "page_id long, url string, html string")
+
+
+def test_pages_are_dealt_and_read_once(spark):
+    """Elements are made after pages are dealt, and only once, however many places of a page are looked into."""
+    pages = _pages(spark)
+    assert "REPARTITION_BY_COL" in _plan(H.blocks(pages))
+    for f in (H.page_phones, H.page_company, lambda p: H.container_pairs(H.blocks(p)), lambda p: H.container_phones(H.blocks(p))):
+        assert "MapInArrow" not in _plan(f(pages))
+    assert sorted((r.phone, r.tier) for r in H.page_phones(pages).collect()) == [("03-5555-1234", 11), ("06-6666-1234", 0)]
+    assert [tuple(r) for r in H.page_company(pages).collect()] == [(1, "株式会社東海", "table")]
+    assert [tuple(r) for r in H.container_pairs(H.blocks(pages)).collect()] == [(1, "株式会社東海", "03-5555-1234")]
+
+
+def test_page_texts_are_dealt_first(spark):
+    """What is said on a page is worked out after pages are dealt, and no filter pulls it before that."""
+    pages = _pages(spark)
+    for df in (H.site_names(pages), H.case_clients(pages, ["c.example"])):
+        plan = _plan(df)
+        assert "REPARTITION_BY_COL" in plan and "rlike" not in plan.lower().split("repartition_by_col")[-1].lower()
+    assert [tuple(r) for r in H.case_clients(pages, ["c.example"]).collect()] == [(1, "株式会社東海", "https://b.example/")]
