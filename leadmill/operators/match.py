@@ -232,12 +232,22 @@ def evidence(records: DataFrame, pages: DataFrame) -> DataFrame:
     return hits.unionByName(none)
 
 
+#: Companies of one phone that a task compares with what a directory lists under it.
+SHARE = 1000
+
+
 def directory_mismatch(companies: DataFrame, directory: DataFrame) -> DataFrame:
-    """Companies whose phone a directory lists under another name: neither core contains the other. directory(phone, listed)."""
-    listed = directory.select(digits(F.col("phone")).alias("_d"), "listed")
-    both = companies.withColumn("_d", digits(F.col("phone"))).join(listed, "_d")
-    a, b = normalize_company(F.col("company_name")), normalize_company(F.col("listed"))
-    return both.withColumn("_a", a).withColumn("_b", b).filter("not contains(_a, _b) and not contains(_b, _a)").drop("_d", "_a", "_b")
+    """Companies whose phone a directory lists under another name, with the directory's columns: neither core contains the
+    other. directory(phone, listed, ...). Cores are worked out before rows meet; companies of a hot phone are dealt in shares
+    of about SHARE, and its listings are repeated for each. What comes out is as many rows as there are such pairs."""
+    n = int(companies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = spread(companies, companies.columns[0]).withColumn("_d", digits(F.col("phone"))).withColumn("_a", normalize_company(F.col("company_name")))
+    listed = directory.select(digits(F.col("phone")).alias("_d"), *[c for c in directory.columns if c != "phone"], normalize_company(F.col("listed")).alias("_b"))
+    hot = companies.groupBy(digits(F.col("phone")).alias("_d")).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_n")).filter("_n > 1")
+    own = own.join(hot, "_d", "left").withColumn("_s", F.pmod(F.xxhash64(*companies.columns), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+    listed = listed.join(hot, "_d", "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    both = own.repartition(n, "_d", "_s").join(listed.repartition(n, "_d", "_s").hint("shuffle_hash"), ["_d", "_s"])
+    return both.filter("not contains(_a, _b) and not contains(_b, _a)").drop("_d", "_s", "_a", "_b")
 
 
 def phone_on_domain(companies: DataFrame, pages: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def best_match(candidates: DataFrame, id_: str, query: str = "query", name: str
     q, n = match_key(F.col(query)), match_key(F.col(name))
     shared = F.size(F.filter(F.split(n, ""), lambda ch: (ch != "") & F.contains(q, ch)))
     score = F.struct((F.col(query) == F.col(name)).alias("exact"), (q == n).alias("loose"), (legal_form(F.col(query)) == legal_form(F.col(name))).alias("form"), shared.alias("shared"), (-F.abs(F.length(q) - F.length(n))).alias("length"))
-    scored = candidates.withColumn("_score", score)
+    scored = spread(candidates, id_).withColumn("_score", score)
     return first_per_key(scored, id_, [F.desc("_score"), F.col(order)]).drop("_score")
 
 

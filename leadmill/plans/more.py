@@ -131,7 +131,7 @@ def _(spark, comp):
 def _(spark, c):
     short = F.when(F.col("id") % 5 == 0, F.concat(F.lit("㈱ "), "c_name")).when(F.col("id") % 5 == 1, F.concat("c_name", F.lit("(株)"))).when(F.col("id") % 5 == 2, F.concat("c_name", F.lit(" Inc."))).when(F.col("id") % 5 == 3, F.concat(F.lit("（有）"), "c_name")).otherwise(F.col("c_name"))
     form = F.element_at(F.array(*[F.lit(x) for x in (" Co., Ltd.", " Inc.", ", LLC", " Holdings", "")]), (F.col("id") % 5 + 1).cast("int"))
-    return c.select("id", T.expand_abbreviations(short).alias("expanded"), T.unescape_entities(F.concat(F.lit("&lt;"), "c_name", F.lit("&#38;&#x41;&yen;&foo"))).alias("plain"), T.strip_english_form(F.concat("c_name", form)).alias("bare"), T.to_halfwidth(T.to_fullwidth(F.concat("c_name", F.lit(" x-1")))).alias("half"))
+    return W.spread(c, "id").select("id", T.expand_abbreviations(short).alias("expanded"), T.unescape_entities(F.concat(F.lit("&lt;"), "c_name", F.lit("&#38;&#x41;&yen;&foo"))).alias("plain"), T.strip_english_form(F.concat("c_name", form)).alias("bare"), T.to_halfwidth(T.to_fullwidth(F.concat("c_name", F.lit(" x-1")))).alias("half"))
 
 
 @query("f22_f28_cuts", "SELECT id, company_name AS unit, company_name AS light FROM comp", comp=COMPANIES)

@@ -57,3 +57,36 @@ def test_page_texts_are_dealt_first(spark):
         plan = _plan(df)
         assert "REPARTITION_BY_COL" in plan and "rlike" not in plan.lower().split("repartition_by_col")[-1].lower()
     assert [tuple(r) for r in H.case_clients(pages, ["c.example"]).collect()] == [(1, "株式会社東海", "https://b.example/")]
+
+
+def test_references_that_lack_their_end(spark):
+    """`&amp` needs no `;`, a name cut off goes: the same in a query and its SQL."""
+    import duckdb
+
+    from leadmill.functions.text import unescape_entities
+    from leadmill.plans.catalog import _referred
+
+    said = ["ver&amp", "doó&amp;&amp;&am", "a &copy b&quot", "x&cop&mid y", "&amp;", "p & q", "&am&amp;"]
+    want = ["ver&", "doó&&", 'a © b"', "x y", "&", "p & q", "&"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in said], "x string").select(unescape_entities(F.col("x"))).collect()] == want
+    assert [duckdb.sql(f"SELECT {_referred('x')} FROM (SELECT '{x}' AS x)").fetchall()[0][0] for x in said] == want
+
+
+def test_directory_shares(spark, monkeypatch):
+    """A hot phone's companies are dealt in shares, and every pair that differs comes out as often as it is there."""
+    monkeypatch.setattr(J, "SHARE", 7)
+    own = spark.range(40).select("id", F.lit("0311112222").alias("phone"), F.concat(F.lit("株式会社n"), (F.col("id") % 3).cast("string")).alias("company_name"))
+    listed = spark.createDataFrame([("03-1111-2222", "n1"), ("03-1111-2222", "m9"), ("03-1111-2222", "m9"), ("06-1111-2222", "m8")], "phone string, listed string")
+    out = J.directory_mismatch(own, listed)
+    assert "_s" in _plan(out)
+    want = sorted([(i, "n1") for i in range(40) if i % 3 != 1] + [(i, "m9") for i in range(40)] * 2)
+    assert sorted((r.id, r.listed) for r in out.collect()) == want
+
+
+def test_costly_columns_are_dealt_first(spark):
+    from leadmill.operators import windows as W
+    from leadmill.plans import catalog, more  # noqa: F401
+
+    rows = spark.createDataFrame([(1, "a", "b", 0), (1, "a", "a", 1)], "id long, query string, name string, pos int")
+    assert "REPARTITION_BY_COL" in _plan(W.best_match(rows, "id")) and [r.name for r in W.best_match(rows, "id").collect()] == ["a"]
+    assert "REPARTITION_BY_COL" in _plan(catalog.QUERIES["f16_f23_spelling"](spark, "/root/testdata/sf0.001"))
