@@ -13,13 +13,13 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from leadmill.functions.names import is_valid_company, is_valid_company_labelled, normalize_names
+from leadmill.functions.names import is_valid_company, is_valid_company_labelled, normalized_name
 from leadmill.functions.text import extract_phone, extract_phones, has, let, score_to_rank, text, unescape_entities
 from leadmill.functions.urls import host, host_contains_any, resolve_link
 from leadmill.operators.scratch import scope, written
 from leadmill.operators.scripts import script_values
 from leadmill.operators.variants import field, levels
-from leadmill.operators.windows import first_per_key, nearest_pair, spread
+from leadmill.operators.windows import dealt, first_per_key, nearest_pair, spread
 
 # Labels of a company's name, and of its phone, in tables and lists.
 COMPANY_LABELS = [
@@ -59,7 +59,7 @@ class _Tree(HTMLParser):
             self.handle_data("\n")
             return
         k = len(self.rows)
-        self.rows.append([k, self.stack[-1] if self.stack else None, tag, {a: v or "" for a, v in attrs}, []])
+        self.rows.append((k, self.stack[-1] if self.stack else None, tag, list({a: v or "" for a, v in attrs}.items()) if attrs else [], []))
         if tag not in self.VOID:
             self.stack.append(k)
 
@@ -72,6 +72,9 @@ class _Tree(HTMLParser):
                 del self.stack[i:]
                 return
 
+    def updatepos(self, i, j):
+        return j  # nobody asks for lines and columns
+
     def handle_data(self, data):
         if self.skip or not self.stack:
             return
@@ -80,11 +83,24 @@ class _Tree(HTMLParser):
             self.rows[k][4].append(data)
 
 
+_WHOLE = frozenset(("html", "body", "head"))
+_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32())
+
+
+def _squeezed(said: str) -> str:
+    """The lines of a text that aren't empty, spaces squeezed."""
+    if "\n" not in said:
+        return " ".join(said.split())
+    return "\n".join(x for x in (" ".join(s.split()) for s in said.split("\n")) if x)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=["page_id", "block_id", "parent_id", "tag", "attrs", "text", "pos"])
+
+
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32())
-    names = ["page_id", "block_id", "parent_id", "tag", "attrs", "text", "pos"]
     for batch in batches:
-        columns, size = [[] for _ in names], 0
+        rows, size = [], 0
         for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if html is None:
                 continue
@@ -93,15 +109,14 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t.close()
             for k, parent, tag, attrs, told in t.rows:
                 # ancestors' texts hold their descendants': those of whole-page elements are left out
-                said = "" if tag in ("html", "body", "head") else "\n".join(x for x in (" ".join(s.split()) for s in "".join(told).split("\n")) if x)
-                for column, value in zip(columns, (page_id, k, parent, tag, list(attrs.items()), said, k), strict=True):
-                    column.append(value)
+                said = "" if tag in _WHOLE else _squeezed("".join(told))
+                rows.append((page_id, k, parent, tag, attrs, said, k))
                 size += 100 + len(said)
             if size > 8_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-                columns, size = [[] for _ in names], 0
-        if columns[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
 
 def blocks(pages: DataFrame) -> DataFrame:
@@ -150,15 +165,12 @@ _TYPES = ["Organization", "Corporation", "LocalBusiness", "ProfessionalService",
 
 def _variants(pages: DataFrame) -> DataFrame:
     """(page_id, pos, v): objects of the page's JSON-LD scripts; lists and @graph are unrolled."""
-    bodies = pages.select("page_id", F.posexplode(F.regexp_extract_all(text(F.col("html")), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))).alias("pos", "body"))
+    bodies = spread(pages.select("page_id", "html"), "page_id").select("page_id", F.posexplode(F.regexp_extract_all(text(F.col("html")), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))).alias("pos", "body"))
     v = bodies.select("page_id", "pos", F.try_parse_json("body").alias("v")).filter("v is not null")
     top = v.select("page_id", "pos", F.explode(F.coalesce(F.expr("try_cast(v as array<variant>)"), F.array("v"))).alias("v"))
-    graph = top.select("page_id", "pos", F.explode(F.expr("try_cast(try_variant_get(v, '$[\"@graph\"]') as array<variant>)")).alias("v"))
-    first = top.unionByName(graph)
-    nested = [first.select("page_id", "pos", F.expr(f"try_variant_get(v, '$.{k}')").alias("v")).filter("v is not null") for k in ("parentOrganization", "publisher", "provider", "author")]
-    for n in nested:
-        first = first.unionByName(n)
-    return first
+    first = top.select("page_id", "pos", F.explode(F.concat(F.array("v"), F.coalesce(F.expr("try_cast(try_variant_get(v, '$[\"@graph\"]') as array<variant>)"), F.expr("cast(array() as array<variant>)")))).alias("v"))
+    nested = F.array(*[F.expr(f"try_variant_get(v, '$.{k}')") for k in ("parentOrganization", "publisher", "provider", "author")])
+    return first.select("page_id", "pos", F.explode(F.concat(F.array("v"), F.filter(nested, lambda x: x.isNotNull()))).alias("v"))
 
 
 def _list(path: str) -> Column:
@@ -187,29 +199,40 @@ def site_names(pages: DataFrame) -> DataFrame:
 def _cells(b: DataFrame, labels: list[str], out: str) -> DataFrame:
     """(page_id, label_id, parent_id, out, pos): text of the cell after a label's cell in the same row or list; after a
     label alone in its row, the first cell of the next row."""
-    w = W.partitionBy("page_id", "parent_id").orderBy("pos")
-    cell = b.filter(F.col("tag").isin("th", "td", "dt", "dd")).withColumn("next", F.lead("text").over(w))
-    rows = b.filter("tag = 'tr'").withColumn("below", F.lead("text").over(W.partitionBy("page_id", "parent_id").orderBy("pos"))).select("page_id", F.col("block_id").alias("parent_id"), F.col("text").alias("_row"), "below")
+    row = F.col("tag") == "tr"
+    # a row goes with its cells: first for what comes next beside or below, then for the row's own text
+    both = dealt(b.filter(F.col("tag").isin("th", "td", "dt", "dd", "tr")).select("page_id", "block_id", "parent_id", row.alias("_is_row"), "text", "pos"), "page_id")
+    both = both.withColumn("next", F.lead("text").over(W.partitionBy("page_id", "parent_id", "_is_row").orderBy("pos")))
+    w = W.partitionBy("page_id", F.when(F.col("_is_row"), F.col("block_id")).otherwise(F.col("parent_id")))
+    of_row = lambda c: F.max(F.when(F.col("_is_row"), F.col(c))).over(w)
+    cell = both.withColumns({"_row": of_row("text"), "below": of_row("next")}).filter("not _is_row")
     label = F.regexp_replace(F.col("text"), r"(?U)[\s：:]", "")
-    at = cell.filter(label.isin(labels)).join(rows, ["page_id", "parent_id"], "left")
     value = F.coalesce("next", F.when(F.col("_row") == F.col("text"), F.col("below")))
-    return at.select("page_id", F.col("block_id").alias("label_id"), "parent_id", F.trim(value).alias(out), "pos").filter(f"coalesce({out}, '') <> ''")
+    return cell.filter(label.isin(labels)).select("page_id", F.col("block_id").alias("label_id"), "parent_id", F.trim(value).alias(out), "pos").filter(f"coalesce({out}, '') <> ''")
 
 
 def table_pairs(b: DataFrame) -> DataFrame:
     """(page_id, company, parent_id, pos): values beside company labels in tables and definition lists."""
-    rows = _cells(b, COMPANY_LABELS, "company").withColumn("company", F.get(F.split("company", "\n"), F.lit(0)))
-    return rows.filter(is_valid_company_labelled(F.col("company"))).select("page_id", "company", "parent_id", "pos")
+    company = F.get(F.split("company", "\n"), F.lit(0))
+    return _cells(b, COMPANY_LABELS, "company").select("page_id", _worked_out(_labelled(company)).alias("company"), "parent_id", "pos")
+
+
+def _labelled(c: Column) -> Column:
+    """The name, worked out once, where it is valid after a label."""
+    return let(c, lambda x: F.when(is_valid_company_labelled(x), x))
 
 
 def div_pairs(b: DataFrame) -> DataFrame:
     """(page_id, company, parent_id, pos): `label: value` within a block, or label and value in neighbours; not in links."""
-    links = b.filter("tag = 'a'").select("page_id", F.col("block_id").alias("parent_id"))
-    own = b.filter(F.col("tag").isin("div", "p", "span", "li", "section")).join(links, ["page_id", "parent_id"], "left_anti")
-    inline = own.withColumn("company", F.trim(F.regexp_extract("text", rf"^{_NAME}\s*[：:]\s*([^\n：:]{{2,80}})$", 1))).filter("company <> ''")
+    link = F.col("tag") == "a"
+    # a link goes with the blocks in it
+    own = dealt(b.filter(F.col("tag").isin("div", "p", "span", "li", "section", "a")).select("page_id", F.when(link, F.col("block_id")).otherwise(F.col("parent_id")).alias("parent_id"), link.alias("_link"), "text", "pos"), "page_id")
     w = W.partitionBy("page_id", "parent_id").orderBy("pos")
-    near = own.withColumn("company", F.trim(F.lead("text").over(w))).filter(F.regexp_replace("text", r"(?U)[\s：:]", "").isin(COMPANY_LABELS) & F.col("company").isNotNull())
-    both = inline.unionByName(near).filter(is_valid_company_labelled(F.col("company")))
+    own = own.withColumns({"_next": F.lead("text").over(w), "_in_link": F.max("_link").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))}).filter("not _in_link")
+    inline = F.trim(F.regexp_extract("text", rf"^{_NAME}\s*[：:]\s*([^\n：:]{{2,80}})$", 1))
+    near = F.when(F.regexp_replace("text", r"(?U)[\s：:]", "").isin(COMPANY_LABELS), F.trim("_next"))
+    said = F.filter(F.array(let(inline, lambda x: F.when(x != "", x)), near), lambda x: F.coalesce(is_valid_company_labelled(x), F.lit(False)))
+    both = own.select("page_id", F.explode(said).alias("company"), "parent_id", "pos")
     return first_per_key(both, ["page_id", "company"], "pos").select("page_id", "company", "parent_id", "pos")
 
 
@@ -233,11 +256,11 @@ def container_phones(b: DataFrame) -> DataFrame:
 
 def container_pairs(b: DataFrame) -> DataFrame:
     """(page_id, company, phone): name and phone in one container: a table or list, then a section, then the smallest div.
-    Elements are written once, as they are read six times."""
+    Elements are written once, as they are read three times."""
     tiers = F.when(F.col("tag").isin("table", "dl"), 0).when(F.col("tag").isin("section", "article", "footer", "main"), 1).when(F.col("tag") == "div", 2)
     with scope(b.sparkSession) as keep:
         b = written(b, "blocks")
-        box = b.withColumn("tier", tiers).filter("tier is not null").select("page_id", "block_id", "tier", "text", F.length("text").alias("size"), "pos")
+        box = dealt(b.withColumn("tier", tiers).filter("tier is not null").select("page_id", "tier", "text", F.length("text").alias("size"), "pos"), "page_id")
         names = table_pairs(b).unionByName(div_pairs(b)).select("page_id", "company", F.col("pos").alias("name_pos"))
         hit = box.join(names.hint("merge"), "page_id").filter("contains(text, company)").withColumn("phone", _worked_out(extract_phone(F.col("text"))))
         return keep(first_per_key(hit, "page_id", ["tier", "size", "pos", "name_pos"]).select("page_id", "company", "phone"), "container-pairs")
@@ -273,7 +296,9 @@ def spa_names(pages: DataFrame) -> DataFrame:
     found = F.flatten(F.transform(scripts, lambda x: F.regexp_extract_all(x, F.lit(r"[\"']?(?:companyName|company_name|corporateName|corporationName|legalName|operatorName|company|corp_name|organizationName)[\"']?\s*[:=]\s*[\"']([^\"'\n]{2,80})[\"']"), F.lit(1))))
     beside = spread(pages.select("page_id", "html"), "page_id").select("page_id", F.posexplode(found).alias("no", "raw")).select("page_id", "raw", F.lit(1).alias("tier"), F.lit(0).alias("script"), "no", F.array().cast("array<int>").alias("path"), F.lit("").alias("at"))
     rows = state_names(pages).withColumn("tier", F.lit(0)).unionByName(beside)
-    each = normalize_names(rows, "raw", "company").filter(is_valid_company(F.col("company")) | is_valid_company_labelled(F.col("company")))
+    valid = lambda x: F.when(is_valid_company(x) | is_valid_company_labelled(x), x)
+    names = spread(rows.select("raw").distinct(), "raw").select("raw", _worked_out(let(normalized_name(F.col("raw")), valid)).alias("company"))
+    each = rows.join(names, "raw")
     once = each.groupBy("page_id", "company").agg(F.min(F.struct("tier", "script", "no", "path", "at")).alias("place"))
     return once.select("page_id", "company", (F.row_number().over(W.partitionBy("page_id").orderBy("place")) - 1).alias("pos"))
 

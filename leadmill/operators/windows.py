@@ -12,10 +12,28 @@ def _cols(names) -> list:
     return [names] if isinstance(names, (str, Column)) else list(names)
 
 
-def spread(df: DataFrame, keys) -> DataFrame:
+#: Rows of a share at most, on average, where tasks sort or keep their rows.
+SHARE_ROWS = 250_000
+
+
+def shares(df: DataFrame, rows: int = 0) -> int:
+    """A number of shares: enough for all cores, and for at most SHARE_ROWS of so many rows in each."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, 4 * spark.sparkContext.defaultParallelism, -(-rows // SHARE_ROWS))
+
+
+def spread(df: DataFrame, keys, rows: int = 0) -> DataFrame:
     """The rows dealt by their keys, before steps that cost much a row: a file is read by at most as many tasks as it has row
-    groups, often one. A filter on a column moves in front of this; what is exploded or mapped after it doesn't."""
-    return df.repartition(*_cols(keys))
+    groups, often one. What is dealt by columns alone is put together again by its bytes, and rows that cost much may have
+    few of them; so it is dealt anew, into a fixed number of shares. (The filter, which all rows pass, and the hash keep
+    Spark from taking both steps for one.) A filter on a column moves in front of this; what is exploded or mapped after it
+    doesn't. rows: how many there may be, where tasks keep them."""
+    return dealt(df.repartition(F.xxhash64(*_cols(keys))).filter(F.spark_partition_id() >= 0), keys, rows)
+
+
+def dealt(df: DataFrame, keys, rows: int = 0) -> DataFrame:
+    """The rows in a fixed number of shares by their keys, which windows over these and further keys keep."""
+    return df.repartition(shares(df, rows), *_cols(keys))
 
 
 def first_per_key(df: DataFrame, keys, order) -> DataFrame:

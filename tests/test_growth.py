@@ -90,3 +90,35 @@ def test_costly_columns_are_dealt_first(spark):
     rows = spark.createDataFrame([(1, "a", "b", 0), (1, "a", "a", 1)], "id long, query string, name string, pos int")
     assert "REPARTITION_BY_COL" in _plan(W.best_match(rows, "id")) and [r.name for r in W.best_match(rows, "id").collect()] == ["a"]
     assert "REPARTITION_BY_COL" in _plan(catalog.QUERIES["f16_f23_spelling"](spark, "/root/testdata/sf0.001"))
+
+
+def test_few_bytes_are_dealt_over_all_tasks(spark):
+    """Pages of few bytes aren't put together in one task before they are parsed, nor elements before they are judged."""
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("https://a.example/").alias("url"), F.lit("<p>会社名：株式会社東海</p>").alias("html"))
+    at = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert at(H.blocks(pages)) >= 8 and at(H.div_pairs(H.blocks(pages))) >= 8 and at(H.case_clients(pages, []).select("client")) >= 8
+
+
+def test_elements_are_made_once_for_tables_and_divs(spark):
+    b = H.blocks(_pages(spark))
+    for df in (H.table_pairs(b), H.div_pairs(b)):
+        assert _plan(df).count("MapInArrow") == 1 and "Join" not in _plan(df)
+    assert [r.company for r in H.table_pairs(b).collect()] == ["株式会社東海"] and [r.company for r in H.div_pairs(b).collect()] == ["株式会社東海"]
+
+
+def test_rows_and_links_of_elements(spark):
+    """A label alone in its row takes the next row's first cell, one beside another cell doesn't; blocks in links are out."""
+    table = "<table><tr><th>会社名</th></tr><tr><td>株式会社東海</td></tr><tr><td>販売業者</td><td>株式会社西海</td></tr></table>"
+    divs = "<a><div>会社名：株式会社リンク</div></a><div><p>会社名</p><p>株式会社南海</p></div><div>商号：株式会社北海</div>"
+    b = H.blocks(spark.createDataFrame([(1, table + divs), (2, table)], "page_id long, html string"))
+    assert sorted((r.page_id, r.company) for r in H.table_pairs(b).collect()) == [(p, c) for p in (1, 2) for c in ("株式会社東海", "株式会社西海")]
+    assert sorted(r.company for r in H.div_pairs(b).collect()) == ["株式会社北海", "株式会社南海"]
+
+
+def test_jsonld_is_read_in_one_pass(spark):
+    """Objects, lists, @graph and what they name are unrolled where they stand, not by a union of passes over the pages."""
+    body = '[{"@type": "Organization", "name": "株式会社東海"}, {"@graph": [{"@type": "WebSite", "publisher": {"@type": "Organization", "name": "株式会社西海", "telephone": "03-5555-1234"}}]}]'
+    pages = spark.createDataFrame([(1, f'<script type="application/ld+json">{body}</script>'), (2, None)], "page_id long, html string")
+    got = H.jsonld_orgs(pages)
+    assert "Union" not in _plan(got)
+    assert sorted((r.company, r.phone) for r in got.collect()) == [("株式会社東海", None), ("株式会社西海", "03-5555-1234")]
