@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from leadmill.operators.windows import first_per_key, least_rows, sample_n
+from leadmill.operators.windows import dealt, first_per_key, least_rows, sample_n
 
 # Cities and synonyms by which productive keywords are extended.
 CITIES = ["東京", "大阪", "名古屋", "福岡", "横浜", "埼玉", "千葉", "神戸", "京都", "札幌", "仙台", "広島", "静岡", "新潟", "熊本"]
@@ -120,7 +120,10 @@ def expand_keywords(keywords: DataFrame, cities: list[str] = CITIES, synonyms: d
     syn = base.select("base", pairs.alias("p")).filter(at > 0).select("base", changed.alias("keyword"), F.lit(1).alias("kind"), F.col("p.i").cast("long").alias("place"))
     made = keywords.filter("source = 'auto_expanded'")
     had = made.withColumn("base", F.regexp_extract("keyword", r"^(.*) \S+$", 1)).groupBy("base").agg(F.count(F.lit(1)).alias("_had"))
-    new = first_per_key(geo.unionByName(syn), "keyword", ["kind", "place", "base"]).join(keywords.select("keyword"), "keyword", "left_anti").join(had, "base", "left")
+    # tasks sort their rows: there are as many shares as rows ask for, whatever the bytes of a share
+    rows = base.count() * (len(cities) + sum(map(len, synonyms.values())))
+    new = first_per_key(dealt(geo.unionByName(syn), "keyword", rows), "keyword", ["kind", "place", "base"]).join(keywords.select("keyword"), "keyword", "left_anti")
+    new = dealt(new, "base", rows).join(had, "base", "left")
     ranked = new.withColumn("_r", F.row_number().over(W.partitionBy("base").orderBy("kind", "place"))).filter(F.col("_r") <= per_key - F.coalesce("_had", F.lit(0)))
     left = total - made.limit(total).count()
     return (least_rows(ranked, ["_r", "base", "keyword"], left) if left else ranked.limit(0)).select("keyword", "base")

@@ -122,3 +122,14 @@ def test_jsonld_is_read_in_one_pass(spark):
     got = H.jsonld_orgs(pages)
     assert "Union" not in _plan(got)
     assert sorted((r.company, r.phone) for r in got.collect()) == [("株式会社東海", None), ("株式会社西海", "03-5555-1234")]
+
+
+def test_variants_of_keywords_are_dealt_by_their_number(spark, monkeypatch):
+    """Variants are sorted in shares of a bounded number of rows."""
+    from leadmill.operators import keywords as K, windows as W
+
+    monkeypatch.setattr(W, "SHARE_ROWS", 20)
+    rows = spark.range(40).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("keyword"), F.lit("google").alias("source"), F.lit(5).alias("total_found"))
+    plan = _plan(K.expand_keywords(rows, cities=["東京", "大阪"], synonyms={"業者": ["会社"]}))
+    assert "hashpartitioning(keyword" in plan and plan.count("REPARTITION_BY_NUM") == 2
+    assert K.expand_keywords(rows, cities=["東京", "大阪"], synonyms={"業者": ["会社"]}).count() == 80
