@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from leadmill.functions.text import digits, has, legal_form, name_core, normalize_company, registry_core, strip_garbage, text
 from leadmill.functions.urls import host, host_suffixes
 from leadmill.operators.scratch import removed, scope, written
-from leadmill.operators.windows import first_per_key, spread
+from leadmill.operators.windows import dealt, first_per_key, spread
 
 
 def flag_hosts(df: DataFrame, url: str, hosts: DataFrame, out: str = "listed") -> DataFrame:
@@ -324,7 +324,8 @@ def competitors(companies: DataFrame, k: int = 3, match: str = "token") -> DataF
     own = base.select("id", "company_name", "area_name", "_token")
     a = own.join(near, (own["_token"] == near["_token"]) & own["area_name"].eqNullSafe(near["_area"])).select("id", "company_name", "_name", "_id", F.lit(0).alias("_tier"))
     b = own.join(far, "_token").select("id", "company_name", "_name", "_id", F.lit(1).alias("_tier"))
-    pairs = a.unionByName(b).filter("_id <> id and _name <> company_name")
+    # at most so many rows a company; tasks sort them, in shares of a bounded number
+    pairs = dealt(a.unionByName(b).filter("_id <> id and _name <> company_name"), "id", companies.count() * (3 * k + 3))
     pairs = first_per_key(pairs, ["id", "_name"], ["_tier", F.desc("_id")])
     ranked = pairs.withColumn("_r", F.row_number().over(W.partitionBy("id").orderBy("_tier", F.desc("_id")))).filter(F.col("_r") <= k)
     names = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_name"))), lambda x: x["_name"]).alias("competitors"))

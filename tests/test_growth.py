@@ -133,3 +133,15 @@ def test_variants_of_keywords_are_dealt_by_their_number(spark, monkeypatch):
     plan = _plan(K.expand_keywords(rows, cities=["東京", "大阪"], synonyms={"業者": ["会社"]}))
     assert "hashpartitioning(keyword" in plan and plan.count("REPARTITION_BY_NUM") == 2
     assert K.expand_keywords(rows, cities=["東京", "大阪"], synonyms={"業者": ["会社"]}).count() == 80
+
+
+def test_competitors_are_ranked_in_bounded_shares(spark, monkeypatch):
+    from leadmill.operators import windows as W
+    from leadmill.plans import catalog
+
+    assert {"j14_duplicates", "j15_ledger", "j16_competitors", "j17_only_new", "j1_next_keywords", "j2_available_pairs"} <= set(catalog.QUERIES) & set(catalog.ORACLE_SQL)
+    monkeypatch.setattr(W, "SHARE_ROWS", 10)
+    rows = spark.createDataFrame([(i, f"n{i}", "k x", "a") for i in range(5)], "id long, company_name string, keyword string, area_name string")
+    got = J.competitors(rows)
+    assert "REPARTITION_BY_NUM" in _plan(got)
+    assert {r.id: r.competitors for r in got.collect()}[4] == ["n3", "n2", "n1"]
