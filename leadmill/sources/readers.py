@@ -11,7 +11,7 @@ from leadmill.functions.text import has, text
 from leadmill.functions.urls import host, is_http, unwrap_tracker
 from leadmill.operators.scratch import scope
 from leadmill.operators.variants import levels
-from leadmill.operators.windows import first_per_key
+from leadmill.operators.windows import dealt, first_per_key
 
 LEAD = "lp_url STRING, source STRING, keyword STRING, meta_company STRING, area_name STRING, serp_phone STRING, ts TIMESTAMP"
 #: Columns of a registry row that are read: number, name, prefecture, city, close date.
@@ -68,6 +68,9 @@ def ads_from_nested(df: DataFrame, url_keys: list[str], company_keys: list[str])
         values = df.select("keyword", F.xxhash64("keyword", "body").alias("doc"), F.try_parse_json("body").alias("v"))
         parts = [level.select("keyword", "doc", "path", pick(url_keys).alias("url"), pick(company_keys).alias("company")).filter("url is not null or company is not null") for level in levels(values, ["keyword", "doc"])]
         own = keep(reduce(DataFrame.unionByName, parts), "nested")
+    # an element stands under each object around it; tasks sort these rows, in shares of a bounded number
+    rows = own.agg(F.sum(F.size("path") + 1)).first()[0] or 0
+    own = dealt(own, "doc", rows)
     around = own.withColumn("above", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", 1, n))))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("path")))
     around = around.groupBy("doc", "above").agg(first("url").alias("_url"), first("company").alias("company"))

@@ -145,3 +145,13 @@ def test_competitors_are_ranked_in_bounded_shares(spark, monkeypatch):
     got = J.competitors(rows)
     assert "REPARTITION_BY_NUM" in _plan(got)
     assert {r.id: r.competitors for r in got.collect()}[4] == ["n3", "n2", "n1"]
+
+
+def test_nested_ads_are_dealt_by_their_number(spark, monkeypatch):
+    from leadmill.operators import windows as W
+    from leadmill.sources import readers as S
+
+    monkeypatch.setattr(W, "SHARE_ROWS", 1)
+    got = S.ads_from_nested(spark.createDataFrame([("k", '{"n": "c", "list": [{"u": "https://a.example/"}]}')], "keyword string, body string"), ["u"], ["n"])
+    assert "REPARTITION_BY_NUM" in _plan(got)
+    assert [tuple(r)[:3] for r in got.collect()] == [("k", "https://a.example/", "c")]
