@@ -10,8 +10,11 @@ class from the start. Candidates are then confirmed on full sets, and links join
 2. Buckets whose members are then of one component are done. In others of at most SMALL members, each pair of members
    from different components that fit in size is compared.
 3. Members of larger open buckets are joined exactly, whatever their number: two sets of similarity s share one of
-   their n - ceil(s * n) + 1 rarest shingles, early enough in both that what follows can make up the similarity. Pairs
-   of different components that share such a shingle and fit in size are compared.
+   their n - ceil(s * n) + 1 rarest shingles, early enough in both that what follows can make up the similarity. Rows
+   that no row of another component under the same shingle could bring there are left out first. ROUNDS times, every text
+   left is compared with one of the main component, the member that brings most, while that links any. Then pairs of different
+   components that share such a shingle and fit in size are compared; one of the two is outside the component that has
+   most of the shingle's rows, so only such rows are copied to the shares of a hot shingle.
 
 Large groups of copies or near copies thus cost a comparison a member, and no bucket is cut off.
 
@@ -37,7 +40,7 @@ COLLECTIONS = 16
 ROWS = 3
 #: Pairs across components of so many members at most are listed bucket by bucket.
 SMALL = 24
-#: Members of one shingle that a task pairs with the others.
+#: Members of one shingle, of those left, that a task pairs with those outside its main component.
 SHARE = 500
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Rounds of one comparison a text before the rest is paired.
@@ -175,7 +178,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "
         more = written(_confirmed(pairs, texts, k, percent), "links", base)
         links = more if links is None else links.union(more)
         parts = components(links, base)
-    rest = _across(members, parts, texts, k, percent, base).join(compared, ["a", "b"], "left_anti")
+    rest, rare = _across(members, parts, texts, k, percent, base)
+    if rare is not None:
+        for _ in range(ROUNDS):
+            left = _candidates(_of_parts(rare, parts), percent, base)
+            pairs = written(_best_each(left, percent).join(compared, ["a", "b"], "left_anti"), "pairs", base)
+            compared = compared.union(pairs)
+            more = written(_confirmed(pairs, texts, k, percent), "links", base)
+            if not more.limit(1).count():
+                break
+            links = links.union(more)
+            parts = components(links, base)
+        else:
+            left = _candidates(_of_parts(rare, parts), percent, base)
+        rest = rest.union(_rare_pairs(left, percent)).distinct()
+    rest = rest.join(compared, ["a", "b"], "left_anti")
     more = written(_confirmed(rest, texts, k, percent), "links", base)
     if more.limit(1).count():
         parts = components(links.union(more), base)
@@ -196,6 +213,11 @@ def _fits(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _follows(both, a: str, b: str, percent: int):
+    """Column: sets of these sizes that share so many shingles reach the similarity."""
+    return (F.col(both) if isinstance(both, str) else both) * (100 + percent) >= percent * (F.col(a) + F.col(b))
+
+
 def _of_parts(members: DataFrame, parts: DataFrame) -> DataFrame:
     return members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
@@ -210,46 +232,92 @@ def _one_each(members: DataFrame, parts: DataFrame, compared: DataFrame | None,
     return pairs.groupBy("a").agg(F.min("b").alias("b"))
 
 
-def _across(members: DataFrame, parts: DataFrame, texts: DataFrame, k: int, percent: int, base: str) -> DataFrame:
-    """Distinct pairs (a > b) that open buckets leave to be compared."""
+def _across(members: DataFrame, parts: DataFrame, texts: DataFrame, k: int, percent: int, base: str) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs (a > b) that small open buckets leave to be compared; and, if there are large ones, the shingles of
+    their members' prefixes that another member has: (id, n, rest, shingle, uses)."""
     known = _of_parts(members, parts)
     open_ = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     known = written(known.join(open_, "bucket", "left_semi"), "open", base)
     few = known.filter(F.col("size") <= SMALL)
-    pairs = _pairs(few, "bucket", percent)
-    large = known.filter(F.col("size") > SMALL).select("id", "component", "n").distinct()
+    pairs, rare = _pairs(few, percent), None
+    large = known.filter(F.col("size") > SMALL).select("id", "n").distinct()
     if large.limit(1).count():
         large = written(large, "large", base)
         shingles = F.arrow_udf(lambda t: pa.array([shingle_set(x, k).view(np.int64).tolist() for x in t.to_pylist()], pa.list_(pa.int64())), "array<long>")
-        own = large.join(texts.dropDuplicates(["id"]), "id").select("id", "component", "n", F.explode(shingles(F.col("text"))).alias("shingle"))
+        own = large.join(texts.dropDuplicates(["id"]), "id").select("id", "n", F.explode(shingles(F.col("text"))).alias("shingle"))
         own = written(own, "shingles", base)
         uses = own.groupBy("shingle").agg(F.count("*").alias("uses")).filter("uses > 1")
         # shingles of one text can't be shared, but they are its rarest and fill its prefix first
-        ranked = own.join(uses, "shingle", "left").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "shingle"))).alias("all"))
+        ranked = own.join(uses, "shingle", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "shingle"))).alias("all"))
         prefix = F.slice("all", F.lit(1), (F.size("all") - F.ceil(F.size("all") * F.lit(percent) / 100) + 1).cast("int"))
-        rare = ranked.select("id", "component", "n", F.posexplode(prefix).alias("at", "s")).filter("s.uses > 1").select("id", "component", "n", "at", F.col("s.shingle").alias("shingle"), F.col("s.uses").alias("uses"))
-        pairs = pairs.union(_pairs(rare, "shingle", percent))
-    return pairs.distinct()
+        rare = ranked.select("id", "n", F.posexplode(prefix).alias("at", "s")).filter("s.uses > 1")
+        # rest: a set's shingles from this one on, the most that it can share with one that shares none before
+        rare = rare.select("id", "n", (F.col("n") - F.col("at")).cast("int").alias("rest"), F.col("s.shingle").alias("shingle"), F.col("s.uses").alias("uses"))
+        rare = written(rare, "rare", base)
+    return pairs, rare
 
 
-def _pairs(rows: DataFrame, key: str, percent: int) -> DataFrame:
-    """Distinct pairs of different components under one key that fit in size; and, where rows say at which place of the
-    prefix the key is, in what can still follow."""
-    place = ["at"] if "at" in rows.columns else []
-    side = lambda s: rows.select(key, *spread, F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("component", "n", *place)])
-    spread = []
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of different components in one bucket, of at most SMALL members, that fit in size."""
+    side = lambda s: rows.select("bucket", F.col("id").alias(s), F.col("component").alias(f"component_{s}"), F.col("n").alias(f"n_{s}"))
     good = (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b")) & _fits("n_a", "n_b", percent)
-    if place:
-        follow = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
-        good = good & (follow * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
-    if not place:  # keys of at most SMALL members
-        return side("a").join(side("b"), key).filter(good).select("a", "b").distinct()
-    # a key of many members is split: a member of one side meets each share of the other
-    shares = F.ceil(F.col("uses") / SHARE).cast("int")
-    spread = [F.pmod(F.xxhash64("id"), shares).cast("int").alias("share")]
-    left = side("a")
-    spread = [F.explode(F.sequence(F.lit(0), shares - 1)).alias("share")]
-    return left.join(side("b"), [key, "share"]).filter(good).select("a", "b").distinct()
+    return side("a").join(side("b"), "bucket").filter(good).select("a", "b").distinct()
+
+
+def _reaches(most: str, least: str, percent: int):
+    """Column: a row may reach the similarity with another, if others have that rest at most and that size at least."""
+    return 100 * F.least("rest", most) * (100 + percent) >= percent * (100 * F.col("n") + F.greatest(100 * F.col(least), percent * F.col("n")))
+
+
+def _told(rows: DataFrame, keys: DataFrame, size: str = "uses") -> DataFrame:
+    """The rows of the keys(shingle, size, ...) with what is known of their key; each share of a hot key's rows meets a copy."""
+    shares = F.ceil(F.col(size) / SHARE).cast("int")
+    copies = keys.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop(size)
+    return rows.withColumn("share", F.pmod(F.xxhash64("id"), shares).cast("int")).join(copies, ["shingle", "share"]).drop("share")
+
+
+def _candidates(rare: DataFrame, percent: int, base: str) -> DataFrame:
+    """The rows that can reach the similarity with a row of another component under their shingle. main: of the component
+    that most of the shingle's rows are of; kept: how many rows of the shingle are left."""
+    rare = written(rare, "placed", base)
+    sizes = rare.groupBy("shingle", "component").agg(F.count("*").alias("size"), F.max("rest").alias("most"), F.min("n").alias("least"), F.max("uses").alias("uses"))
+    keys = sizes.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"), F.max("most").alias("most"), F.min("least").alias("least"), F.max("uses").alias("uses"))
+    keys = keys.filter("parts > 1").select("shingle", "uses", "most", "least", F.col("top.component").alias("top"))
+    rows = _told(rare, keys).filter(_reaches("most", "least", percent)).withColumn("main", F.col("component") == F.col("top")).drop("most", "least", "top")
+    rows = written(rows, "reaching", base)
+    # those of the main component reach rows of others alone, and what these can do is known only now
+    other = lambda c: F.when(~F.col("main"), F.col(c))
+    keys = rows.groupBy("shingle").agg(F.max(other("rest")).alias("most_other"), F.min(other("n")).alias("least_other"), F.max("rest").alias("most"), F.min("n").alias("least"), F.max("uses").alias("uses"))
+    rows = _told(rows, keys.filter("most_other is not null")).filter(F.when(F.col("main"), _reaches("most_other", "least_other", percent)).otherwise(_reaches("most", "least", percent)))
+    rows = written(rows.select("shingle", "uses", "id", "component", "n", "rest", "main"), "candidates", base)
+    kept = rows.groupBy("shingle").agg(F.count("*").alias("kept"), F.max("uses").alias("uses"), F.max(~F.col("main")).alias("mixed"))
+    return written(_told(rows, kept.filter("mixed").drop("mixed")).drop("uses"), "dealt", base)
+
+
+def _best_each(candidates: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each text outside the main components at most one other, of what its shingles' main components have that
+    with the greatest rest: the original, rather than a copy with changes of its own. At most a pair a text."""
+    tops = candidates.filter("main").groupBy("shingle").agg(F.max(F.struct("rest", F.negative("id").alias("first"), "id", "n")).alias("top"), F.max("kept").alias("kept"))
+    met = _told(candidates.filter("not main"), tops, "kept").withColumns({"nb": F.col("top.n"), "both": F.least("rest", "top.rest")})
+    met = met.filter(_fits("n", "nb", percent) & _follows("both", "n", "nb", percent))
+    best = met.groupBy("id").agg(F.max(F.struct("top.rest", "top.first", "top.id")).alias("top"))
+    return best.select(F.greatest("id", "top.id").alias("a"), F.least("id", "top.id").alias("b")).distinct()
+
+
+def _copied(candidates: DataFrame) -> DataFrame:
+    """Rows that go to each share of their shingle's rows: those outside the main component, as each pair has one of them."""
+    return candidates.filter(~F.col("main")).withColumn("share", F.explode(F.sequence(F.lit(0), F.ceil(F.col("kept") / SHARE).cast("int") - 1)))
+
+
+def _rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a > b) of candidates of different components that fit in size and in what can still follow."""
+    side = lambda df, s: df.select("shingle", "share", F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("component", "n", "rest", "main")])
+    dealt = rows.withColumn("share", F.pmod(F.xxhash64("id"), F.ceil(F.col("kept") / SHARE)).cast("int"))
+    # of two rows that are both copied, the one of greater id meets the other
+    good = (F.col("component_x") != F.col("component_y")) & (F.col("main_y") | (F.col("x") > F.col("y"))) & _fits("n_x", "n_y", percent)
+    good = good & _follows(F.least("rest_x", "rest_y"), "n_x", "n_y", percent)
+    met = side(_copied(rows), "x").join(side(dealt, "y"), ["shingle", "share"]).filter(good)
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:

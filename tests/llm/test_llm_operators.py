@@ -457,6 +457,40 @@ def test_near_duplicates_with_null_ids_and_hot_shingles(spark, monkeypatch):
     assert got == _components([d for d in docs if d[0] is not None], 2, 80)
 
 
+def _listed(spark, after):
+    """Rows that explodes of sequences made in the runs after that one, and the last run."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, total = store.executionsList(), 0
+    ids = [runs.apply(i).executionId() for i in range(runs.size())]
+    for run in (i for i in ids if i > after):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "Generate" and "explode(sequence(" in node.desc():
+                total += sum(int(values.get(m.accumulatorId()).get().replace(",", "")) for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return total, max(ids, default=-1)
+
+
+@pytest.mark.parametrize("pool", [10**9, 60])
+def test_copies_for_hot_shingles_grow_with_the_group(spark, monkeypatch, pool):
+    """One group of near copies, some too far from it: four times as many make about four times the rows, not sixteen times."""
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "SHARE", 3)
+    base, made = [f"b{i}" for i in range(60)], []
+    for size in (60, 240):
+        random.seed(size)
+        docs = []
+        for i in range(size):
+            own = list(base)
+            for j in random.sample(range(60), random.randint(0, 5)):
+                own[j] = f"x{random.randrange(pool)}"
+            docs.append((i, " ".join(own)))
+        _, last = _listed(spark, 10**9)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=2).collect()}
+        assert got == _components(docs, 2, 80)
+        made.append(_listed(spark, last)[0])
+    assert 0 < made[0] and made[1] <= 8 * made[0]
+
+
 def test_lm_on_empty_tables_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b a"), (1, "a b a"), (None, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long")
