@@ -43,9 +43,25 @@ def dropped(spark: SparkSession, path: str) -> None:
 BROADCAST_IDS = 1_000_000
 
 
-def maybe_broadcast(ids: DataFrame) -> DataFrame:
-    """The frame of ids, with a broadcast hint where it was counted to be small."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+#: Tables of so many rows at most are left to Spark's own choice, which goes by the size of compressed files.
+OWN_CHOICE = 200_000
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """The frame with a hint to join it by a shuffle. Spark takes what was exploded for as large as what it came from, and
+    AQE keeps a broadcast that was planned by that even where it has counted more."""
+    return df.hint("merge")
+
+
+def maybe_broadcast(ids: DataFrame, most: int | None = None) -> DataFrame:
+    """The frame of ids, with a broadcast hint where it was counted to be small; else it is shuffled."""
+    most = BROADCAST_IDS if most is None else most
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else shuffled(ids)
+
+
+def by_rows(df: DataFrame) -> DataFrame:
+    """The frame of a few numbers a row, to be shuffled where it was counted to be large."""
+    return df if df.limit(OWN_CHOICE + 1).count() <= OWN_CHOICE else shuffled(df)
 
 
 def let(value: Column, body) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadmill.llm.common import indices, let, table, written
+from leadmill.llm.common import indices, let, shuffled, table, written
 
 #: Words of a shared span that counts.
 SPAN = 13
@@ -93,7 +93,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     index, short = item_index(items, item, item_text)
     index = written(index, "fingerprints")
     small = index.count() <= BROADCAST_FINGERPRINTS
-    index = F.broadcast(index) if small else index
+    index = F.broadcast(index) if small else shuffled(index)
     own = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_hit", "item_ids", "n_items", "contaminated")]
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), *own, words_of(F.col(text)).alias("_words"))
     rows = rows.withColumn("_n_words", F.size("_words").cast("long"))

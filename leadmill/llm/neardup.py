@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from leadmill.llm.common import dropped, maybe_broadcast, shared_folder, table, written
+from leadmill.llm.common import OWN_CHOICE, by_rows, dropped, maybe_broadcast, shared_folder, shuffled, table, written
 
 COLLECTIONS = 16
 ROWS = 3
@@ -118,7 +118,8 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b), which are written, whose full sets are similar enough. Texts are never broadcast: files of alike
+    ones are far smaller than they."""
 
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -132,7 +133,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
         return pa.array(out, pa.bool_())
 
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("left")), texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").filter(similar("left", "right")).select("a", "b")
+    return maybe_broadcast(pairs, OWN_CHOICE).join(left, "a").join(shuffled(right), "b").filter(similar("left", "right")).select("a", "b")
 
 
 def components(edges: DataFrame, under: str | None = None) -> DataFrame:
@@ -141,10 +142,11 @@ def components(edges: DataFrame, under: str | None = None) -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges", under)
     now = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "components", under)
     while True:
-        near = both.join(now.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
+        known = by_rows(now)
+        near = both.join(known.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         step = now.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("c", "component")).alias("component"))
         # follow the component's own component of before
-        jump = now.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        jump = known.select(F.col("id").alias("component"), F.col("component").alias("further"))
         new = written(step.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "components", under)
         if not new.filter("component <> was").limit(1).count():
             return new.select("id", "component")
@@ -166,8 +168,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "
     classes = written(named.select("key", name.alias("id"), "own", "n", "signature"), "named", base)
     buckets = _buckets(classes)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = written(buckets.join(shared, "bucket"), "members", base)
-    ids = written(classes.select("id", "own").join(members.select("id").distinct(), "id").select("id", "own.t", F.col("own.id").alias("doc")), "ids", base)
+    members = written(buckets.join(shuffled(shared), "bucket"), "members", base)
+    ids = written(classes.select("id", "own").join(shuffled(members.select("id").distinct()), "id").select("id", "own.t", F.col("own.id").alias("doc")), "ids", base)
     texts = docs.select(F.col(id_).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("t")).join(maybe_broadcast(ids), ["doc", "t"]).select("id", "text")
     texts = written(texts, "texts", base)
     parts = classes.select("id", F.col("id").alias("component")).limit(0)
@@ -182,7 +184,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "
     if rare is not None:
         for _ in range(ROUNDS):
             left = _candidates(_of_parts(rare, parts), percent, base)
-            pairs = written(_best_each(left, percent).join(compared, ["a", "b"], "left_anti"), "pairs", base)
+            pairs = written(_best_each(left, percent).join(by_rows(compared), ["a", "b"], "left_anti"), "pairs", base)
             compared = compared.union(pairs)
             more = written(_confirmed(pairs, texts, k, percent), "links", base)
             if not more.limit(1).count():
@@ -192,11 +194,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_: str = "
         else:
             left = _candidates(_of_parts(rare, parts), percent, base)
         rest = rest.union(_rare_pairs(left, percent)).distinct()
-    rest = rest.join(compared, ["a", "b"], "left_anti")
+    rest = written(rest.join(by_rows(compared), ["a", "b"], "left_anti"), "pairs", base)
     more = written(_confirmed(rest, texts, k, percent), "links", base)
     if more.limit(1).count():
         parts = components(links.union(more), base)
-    found = classes.select("key", "id", F.col("own.id").alias("least")).join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = classes.select("key", "id", F.col("own.id").alias("least")).join(by_rows(parts), "id", "left").withColumn("component", F.coalesce("component", "id"))
     found = found.join(found.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("key", "component", "component_id")
     # rows without an id or a set have no component; they don't meet in one task, as they are joined by nothing
     alone = F.col("n").eqNullSafe(0) | F.col("id").isNull()
@@ -219,16 +221,16 @@ def _follows(both, a: str, b: str, percent: int):
 
 
 def _of_parts(members: DataFrame, parts: DataFrame) -> DataFrame:
-    return members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return members.join(by_rows(parts), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def _one_each(members: DataFrame, parts: DataFrame, compared: DataFrame | None, percent: int) -> DataFrame:
     """(a, b): for each text at most one other, the least center of its open buckets. At most a pair a text."""
     known = _of_parts(members, parts)
     centers = known.groupBy("bucket").agg(F.min(F.struct("component", "id", "n")).alias("c"), F.max("component").alias("hi")).filter("c.component < hi").select("bucket", "c")
-    pairs = known.join(centers, "bucket").filter(F.col("component") != F.col("c.component")).withColumn("nb", F.col("c.n")).filter(_fits("n", "nb", percent)).select(F.col("id").alias("a"), F.col("c.id").alias("b"))
+    pairs = known.join(shuffled(centers), "bucket").filter(F.col("component") != F.col("c.component")).withColumn("nb", F.col("c.n")).filter(_fits("n", "nb", percent)).select(F.col("id").alias("a"), F.col("c.id").alias("b"))
     if compared is not None:
-        pairs = pairs.distinct().join(compared, ["a", "b"], "left_anti")
+        pairs = pairs.distinct().join(by_rows(compared), ["a", "b"], "left_anti")
     return pairs.groupBy("a").agg(F.min("b").alias("b"))
 
 
@@ -244,11 +246,11 @@ def _across(members: DataFrame, parts: DataFrame, texts: DataFrame, k: int, perc
     if large.limit(1).count():
         large = written(large, "large", base)
         shingles = F.arrow_udf(lambda t: pa.array([shingle_set(x, k).view(np.int64).tolist() for x in t.to_pylist()], pa.list_(pa.int64())), "array<long>")
-        own = large.join(texts.dropDuplicates(["id"]), "id").select("id", "n", F.explode(shingles(F.col("text"))).alias("shingle"))
+        own = maybe_broadcast(large, OWN_CHOICE).join(texts.dropDuplicates(["id"]), "id").select("id", "n", F.explode(shingles(F.col("text"))).alias("shingle"))
         own = written(own, "shingles", base)
         uses = own.groupBy("shingle").agg(F.count("*").alias("uses")).filter("uses > 1")
         # shingles of one text can't be shared, but they are its rarest and fill its prefix first
-        ranked = own.join(uses, "shingle", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "shingle"))).alias("all"))
+        ranked = own.join(shuffled(uses), "shingle", "left").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(1)).alias("uses"), "shingle"))).alias("all"))
         prefix = F.slice("all", F.lit(1), (F.size("all") - F.ceil(F.size("all") * F.lit(percent) / 100) + 1).cast("int"))
         rare = ranked.select("id", "n", F.posexplode(prefix).alias("at", "s")).filter("s.uses > 1")
         # rest: a set's shingles from this one on, the most that it can share with one that shares none before
@@ -261,7 +263,7 @@ def _pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of different components in one bucket, of at most SMALL members, that fit in size."""
     side = lambda s: rows.select("bucket", F.col("id").alias(s), F.col("component").alias(f"component_{s}"), F.col("n").alias(f"n_{s}"))
     good = (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b")) & _fits("n_a", "n_b", percent)
-    return side("a").join(side("b"), "bucket").filter(good).select("a", "b").distinct()
+    return side("a").join(shuffled(side("b")), "bucket").filter(good).select("a", "b").distinct()
 
 
 def _reaches(most: str, least: str, percent: int):
@@ -273,7 +275,7 @@ def _told(rows: DataFrame, keys: DataFrame, size: str = "uses") -> DataFrame:
     """The rows of the keys(shingle, size, ...) with what is known of their key; each share of a hot key's rows meets a copy."""
     shares = F.ceil(F.col(size) / SHARE).cast("int")
     copies = keys.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop(size)
-    return rows.withColumn("share", F.pmod(F.xxhash64("id"), shares).cast("int")).join(copies, ["shingle", "share"]).drop("share")
+    return rows.withColumn("share", F.pmod(F.xxhash64("id"), shares).cast("int")).join(shuffled(copies), ["shingle", "share"]).drop("share")
 
 
 def _candidates(rare: DataFrame, percent: int, base: str) -> DataFrame:
@@ -316,7 +318,7 @@ def _rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
     # of two rows that are both copied, the one of greater id meets the other
     good = (F.col("component_x") != F.col("component_y")) & (F.col("main_y") | (F.col("x") > F.col("y"))) & _fits("n_x", "n_y", percent)
     good = good & _follows(F.least("rest_x", "rest_y"), "n_x", "n_y", percent)
-    met = side(_copied(rows), "x").join(side(dealt, "y"), ["shingle", "share"]).filter(good)
+    met = side(_copied(rows), "x").join(shuffled(side(dealt, "y")), ["shingle", "share"]).filter(good)
     return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 

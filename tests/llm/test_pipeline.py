@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from leadmill.llm import queries
+from leadmill.llm import common, neardup, queries
 
 KEPT = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -64,3 +64,33 @@ def test_stages_on_null_ids_repeats_and_empty_tables(spark, tmp_path):
 
 def test_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
+
+
+def test_what_is_exploded_is_not_broadcast_by_the_size_of_its_source(spark, monkeypatch):
+    """Buckets of texts, 120 a text, are joined by shuffles however small Spark takes them for; all else where it was
+    counted to be large."""
+    random.seed(12)
+    base = [f"b{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join([*base[:34], *random.sample([f"x{j}" for j in range(8)], 6)])) for i in range(60)], "doc_id long, text string")
+    plans = []
+    plain = neardup.written
+
+    def watched(df, tag, under=None):
+        plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, tag, under)
+
+    monkeypatch.setattr(neardup, "written", watched)
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    found = lambda: sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs, k=2).collect())
+    want = found()
+    assert [tag for tag, plan in plans if "Broadcast" in plan and tag == "members"] == []
+    plans.clear()
+    monkeypatch.setattr(common, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(common, "OWN_CHOICE", -1)
+    monkeypatch.setattr(neardup, "OWN_CHOICE", -1)
+    assert found() == want
+    seen = {tag for tag, _ in plans}
+    # what is left is joined with what Spark takes for the product of both sides
+    assert seen >= {"members", "rare", "dealt"} and {tag for tag, plan in plans if "Broadcast" in plan} <= {"open", "components", "near-duplicates"}
+    ids = spark.range(2)
+    assert "Broadcast" not in spark.range(9).join(common.maybe_broadcast(ids), "id", "left_anti")._jdf.queryExecution().executedPlan().toString()
