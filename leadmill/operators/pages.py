@@ -7,7 +7,6 @@ one pass, and everything after it is DataFrame work. Pages and scripts are read
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -17,8 +16,7 @@ from leadmill.functions.names import is_valid_company, is_valid_company_labelled
 from leadmill.functions.text import extract_phone, extract_phones, has, let, score_to_rank, text, unescape_entities
 from leadmill.functions.urls import host, host_contains_any, resolve_link
 from leadmill.operators.scratch import scope, written
-from leadmill.operators.scripts import script_values
-from leadmill.operators.variants import field, levels
+from leadmill.operators.scripts import named_texts
 from leadmill.operators.windows import dealt, first_per_key, nearest_pair, spread
 
 # Labels of a company's name, and of its phone, in tables and lists.
@@ -271,31 +269,21 @@ STATE_KEYS = ["companyName", "legalName", "company_name", "legal_name", "organiz
 STATE_OBJECTS = ["company", "organization", "corporation", "corporate", "operator", "seller", "publisher"]
 
 
-def state_names(pages: DataFrame, depth: int = 8, items: int = 30) -> DataFrame:
+def state_names(pages: DataFrame, depth: int | None = 8, items: int | None = 30) -> DataFrame:
     """(page_id, raw, script, no, path, at): company names in the objects of scripts, by the keys' names, or `name` of an
     object under a company's key. Objects come before those in them, keys in the order of their names. depth: levels of an
-    object that are looked into; items: of a list so many."""
-    spark = pages.sparkSession
-    with scope(spark) as keep:
-        values = script_values(pages).select("page_id", "script", "no", F.try_parse_json("json").alias("v"))
-        found = []
-        for level in levels(values, ["page_id", "script", "no"], depth=depth, items=items):
-            under = F.element_at(F.filter("keys", lambda k: k.isNotNull()), F.lit(-1))
-            own = F.size("keys") > 0
-            named = F.when(own & F.get("keys", F.size("keys") - 1).isNotNull() & F.lower(under).isin(STATE_OBJECTS), field("name"))
-            each = F.array(*[F.struct(F.lit(k).alias("key"), field(k).alias("raw")) for k in STATE_KEYS], F.struct(F.lit("name").alias("key"), named.alias("raw")))
-            rows = level.select("page_id", "script", "no", "path", F.explode(F.filter(each, lambda x: F.trim(x["raw"]) != "")).alias("f"))
-            found.append(rows.select("page_id", F.trim("f.raw").alias("raw"), "script", "no", "path", F.col("f.key").alias("at")))
-        return keep(reduce(DataFrame.unionByName, found), "state-names")
+    object that are looked into; items: of a list so many; None: all, as spa_names asks for."""
+    with scope(pages.sparkSession) as keep:
+        return keep(named_texts(pages, STATE_KEYS, STATE_OBJECTS, depth, items), "state-names")
 
 
 def spa_names(pages: DataFrame) -> DataFrame:
-    """(page_id, company, pos): valid names in the objects of scripts, then those that stand beside a company's key in any
+    """(page_id, company, pos): valid names in the objects of scripts, at any depth and place, then those that stand beside a company's key in any
     script, each once; names are normalised first."""
     scripts = F.regexp_extract_all(text(F.col("html")), F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1))
     found = F.flatten(F.transform(scripts, lambda x: F.regexp_extract_all(x, F.lit(r"[\"']?(?:companyName|company_name|corporateName|corporationName|legalName|operatorName|company|corp_name|organizationName)[\"']?\s*[:=]\s*[\"']([^\"'\n]{2,80})[\"']"), F.lit(1))))
     beside = spread(pages.select("page_id", "html"), "page_id").select("page_id", F.posexplode(found).alias("no", "raw")).select("page_id", "raw", F.lit(1).alias("tier"), F.lit(0).alias("script"), "no", F.array().cast("array<int>").alias("path"), F.lit("").alias("at"))
-    rows = state_names(pages).withColumn("tier", F.lit(0)).unionByName(beside)
+    rows = state_names(pages, depth=None, items=None).withColumn("tier", F.lit(0)).unionByName(beside)
     valid = lambda x: F.when(is_valid_company(x) | is_valid_company_labelled(x), x)
     names = spread(rows.select("raw").distinct(), "raw").select("raw", _worked_out(let(normalized_name(F.col("raw")), valid)).alias("company"))
     each = rows.join(names, "raw")

@@ -83,3 +83,42 @@ def test_scopes_leave_nothing_but_what_is_kept(spark, tmp_path):
         kept = keep(parts[-2].select("id", "path", "keys"), "kept")
     assert [(r.path, r["keys"]) for r in kept.collect()] == [([0, 0, 0], ["a", "b", None])]
     assert [f.split("-")[0] for f in set(os.listdir(folder)) - before] == ["kept"]
+
+
+def test_names_at_any_depth_and_place(spark):
+    """No level, item or repeated key is too far: the only name of a page lies below level 8, after item 30, or thousands
+    of levels down, deeper than JSON readers go."""
+    name = {"corpName": "株式会社甲"}  # a key that is read in objects alone
+    deep, far, both = {"a": name}, [0] * 40 + [name], [[1]] * 31 + [{"b": {"company": {"name": "株式会社甲"}}}]
+    for _ in range(9):
+        deep, both = {"a": deep}, [both]
+    very = '{"a":[' * 8000 + json.dumps(name) + "]}" * 8000
+    said = [json.dumps(deep), json.dumps(far), json.dumps(both), very, '{"x":1,"x":{"corpName":"株式会社甲"}}', '{"a":' + "9" * 5000 + ',"corpName":"株式会社甲"}']
+    pages = spark.createDataFrame([(i, f"<script type='application/json'>{t}</script>") for i, t in enumerate(said)], "page_id long, html string")
+    want = {(i, "株式会社甲") for i in range(len(said))}
+    assert {(r.page_id, r.company) for r in H.spa_names(pages).collect()} == want
+    assert {(r.page_id, r.company, r.source) for r in H.page_company(pages).collect()} == {(*w, "spa") for w in want}
+
+
+def test_json_without_recursion():
+    random.seed(5)
+
+    def made(depth):
+        kind = random.randrange(5 if depth else 3)
+        return [random.random(), None, 'é"\\ \n', [made(depth - 1) for _ in range(random.randrange(4))] if depth else 0, {random.choice("abc\""): made(depth - 1) for _ in range(random.randrange(4))} if depth else 0][kind]
+
+    for _ in range(300):
+        v = made(5)
+        text = json.dumps(v, indent=random.choice([None, 1]))
+        assert scripts._loaded_flat(text) == scripts.loaded(text) == v
+        for bad in (text + "]", text[:-1], "[" + text, text.replace(",", ",,", 1), text.replace(":", "", 1)):
+            try:
+                json.loads(bad)
+            except ValueError:
+                for read in (scripts.loaded, scripts._loaded_flat):
+                    try:
+                        read(bad)
+                    except ValueError:
+                        continue
+                    raise AssertionError(bad)
+    assert [(p[:], k) for p, k, _ in scripts.containers({"b": [1, {}, []], "a": {"c": {}}})] == [([], None), ([0], "a"), ([0, 0], "c"), ([1], "b"), ([1, 1], None), ([1, 2], None)]
