@@ -122,3 +122,12 @@ def test_json_without_recursion():
                         continue
                     raise AssertionError(bad)
     assert [(p[:], k) for p, k, _ in scripts.containers({"b": [1, {}, []], "a": {"c": {}}})] == [([], None), ([0], "a"), ([0, 0], "c"), ([1], "b"), ([1, 1], None), ([1, 2], None)]
+
+
+def test_company_of_a_page_from_far_within_its_state(spark):
+    """A name in script data goes before the title's, however far within."""
+    deep, far = {"corpName": "株式会社甲商店"}, [0] * 30 + [{"corpName": "株式会社甲商店"}]
+    for _ in range(9):
+        deep = [deep]
+    pages = spark.createDataFrame([(i, f"<html><head><title>株式会社乙商事</title></head><script>window.S = {json.dumps(v)};</script></html>") for i, v in enumerate((deep, far))], "page_id long, html string")
+    assert sorted(tuple(r) for r in H.page_company(pages).collect()) == [(i, "株式会社甲商店", "spa") for i in range(2)]
